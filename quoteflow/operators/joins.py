@@ -25,7 +25,7 @@ def align_ffill(bars: DataFrame, other: DataFrame, limit: int = 3, column: str =
     s = Series.cut(bars.join(side, [*keys, ts], "left"), halo + limit, keys, ts, size)
     filled = F.last("_other", ignorenulls=True).over(s.rows(-limit, 0))
     s = s.add(**{out: filled})
-    return Series(s.frame.drop("_other"), s.keys, s.order)
+    return s.using(s.frame.drop("_other"))
 
 
 def overlap(a: DataFrame, b: DataFrame, columns: Sequence[str], suffixes=("_a", "_b"), on=("symbol", "date")) -> DataFrame:
@@ -152,9 +152,8 @@ def next_open_fill(signals: DataFrame, bars: DataFrame, key="symbol", ts: str =
                    size: int = CHUNK_ROWS) -> DataFrame:
     """Pair each decision with the key's next bar: its date and price (NULL when there is none yet)."""
     keys = as_list(key)
-    back = bars.withColumn("_back", -F.unix_date(ts))
-    s = Series.cut(back, 1, keys, "_back", size)
-    s = s.add(fill_date=F.lag(ts).over(s.window()), fill_price=F.lag(price).over(s.window()))
+    s = Series.cut(bars, 0, keys, ts, size, ahead=1)
+    s = s.add(fill_date=F.lead(ts).over(s.window()), fill_price=F.lead(price).over(s.window()))
     ahead = s.done().select(*keys, ts, "fill_date", "fill_price")
     return signals.join(ahead, [*keys, ts], "left")
 

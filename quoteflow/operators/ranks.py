@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoteflow.functions.scalars import mean_skip
-from quoteflow.operators.timeline import CHUNK, Series
+from quoteflow.operators.timeline import CHUNK, Series, whole_placement
 
 BLOCK = 2048
 
@@ -70,12 +70,13 @@ def with_ranks(s: Series, *ranks: Rank) -> Series:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        return pdf[names].assign(**{
+        ranked = pdf[names].assign(**{
             item.out: rank_values(pdf[item.column].to_numpy(dtype=float), item.k, item.minimum, item.mode) for item in ranks
         })
+        return whole_placement(ranked)
 
     schema = T.StructType([*s.frame.schema.fields, *[T.StructField(item.out, T.DoubleType()) for item in ranks]])
-    return Series(s.frame.groupBy(*s.keys, CHUNK).applyInPandas(run, schema), s.keys, s.order)
+    return s.using(s.frame.groupBy(*s.keys, CHUNK).applyInPandas(run, schema))
 
 
 def percentile_set(prefix: str, column: str, ks: Sequence[int] = (63, 126, 252)) -> list[Rank]:

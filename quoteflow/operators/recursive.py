@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoteflow.operators.timeline import CHUNK, CHUNK_ROWS, OWN, SUCC, Series, as_list
+from quoteflow.operators.timeline import CHUNK, CHUNK_ROWS, OWN, PLACEMENT, SUCC, Series, whole_placement
 
 SEED = "_seed"
 STEP = "_step"
@@ -38,7 +38,7 @@ def chunk_scan(
     """Append ``outputs`` computed by an associative scan over each key; halo copies are dropped."""
     keys, sort = s.keys, s.order
     cut = s.frame.where(OWN).drop(OWN)
-    kept = [f for f in cut.schema.fields if f.name not in (CHUNK, SUCC)]
+    kept = [f for f in cut.schema.fields if s.placed or f.name not in PLACEMENT]
     used = list(dict.fromkeys([*keys, CHUNK, *sort, *inputs]))
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -61,7 +61,7 @@ def chunk_scan(
         .applyInPandas(summarise, T.StructType([*head_fields, T.StructField(STEP, vector)]))
     )
     seeds = steps.groupBy(*keys).applyInPandas(fold, T.StructType([*head_fields, T.StructField(SEED, vector)]))
-    seeded = cut.drop(SUCC).join(seeds.withColumnRenamed(SUCC, CHUNK), [*keys, CHUNK], "left")
+    seeded = cut.join(seeds.withColumnRenamed(SUCC, CHUNK), [*keys, CHUNK], "left")
 
     names = [f.name for f in kept]
 
@@ -69,7 +69,7 @@ def chunk_scan(
         pdf = pdf.sort_values(sort, kind="stable")
         first = pdf[SEED].iloc[0]
         seed = None if first is None else np.asarray(first, dtype=float)
-        return pdf[names].assign(**replay(pdf, seed))
+        return whole_placement(pdf[names].assign(**replay(pdf, seed)))
 
     return seeded.groupBy(*keys, CHUNK).applyInPandas(run, T.StructType([*kept, *outputs]))
 
@@ -132,7 +132,7 @@ def means_on(s: Series, means: Sequence[Mean]) -> DataFrame:
         return result
 
     outputs = [T.StructField(m.out, T.DoubleType()) for m in means]
-    return chunk_scan(df, step, combine, replay, outputs, [m.column for m in means])
+    return chunk_scan(s, step, combine, replay, outputs, [m.column for m in means])
 
 
 def recursive_means(df: DataFrame, means: Sequence[Mean], key="symbol", ts: str = "date",
@@ -143,35 +143,54 @@ def recursive_means(df: DataFrame, means: Sequence[Mean], key="symbol", ts: str
 def ar1(df: DataFrame, column: str, memory: float, out: str, key="symbol", ts: str = "date",
         size: int = CHUNK_ROWS, width: int | None = None) -> DataFrame:
     """``L = (1-memory) * x + memory * L_before`` from ``L = 0``, over the rows where ``x`` exists."""
-    missing = df.where(F.col(column).isNull()).withColumn(out, F.lit(None).cast("double"))
-    mean = Mean(out, column, 1 - memory, from_zero=True)
-    return recursive_means(df.where(F.col(column).isNotNull()), [mean], key, ts, size, width).unionByName(missing)
+    smoothed = recursive_means(df, [Mean(out, column, 1 - memory, from_zero=True)], key, ts, size, width)
+    return smoothed.withColumn(out, F.when(F.col(column).isNotNull(), F.col(out)))
 
 
-def warmup_rows(weight: float) -> int:
-    """Rows after which filters with different starts agree to the last digit: (1 - weight)^rows < 1e-31."""
+def warmup_values(weight: float) -> int:
+    """Values after which filters with different starts agree to the last digit: (1 - weight)^n < 1e-31."""
     return math.ceil(-31 * math.log(10) / math.log(1 - weight))
 
 
+def _filter(values: list[float], falling: float, rising: float, previous: float | None) -> list[float]:
+    result = []
+    for value in values:
+        if previous is None:
+            previous = value
+        else:
+            weight = falling if value < previous else rising
+            previous = weight * value + (1 - weight) * previous
+        result.append(previous)
+    return result
+
+
 def asymmetric(df: DataFrame, column: str, out: str, falling: float = 0.55, rising: float = 0.25,
                key="symbol", ts: str = "date", size: int = CHUNK_ROWS, width: int | None = None) -> DataFrame:
-    """Filter that follows falls faster than rises; starts at the first value, nulls give null and change nothing."""
-    keys = as_list(key)
-    missing = df.where(F.col(column).isNull()).withColumn(out, F.lit(None).cast("double"))
-    s = Series.cut(df.where(F.col(column).isNotNull()), warmup_rows(min(falling, rising)), keys, ts, size, width)
-    names = df.columns
+    """Filter that follows falls faster than rises; starts at the first value, nulls give null and change nothing.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        previous, values = None, []
-        for value in pdf[column].tolist():
-            if previous is None:
-                previous = value
-            else:
-                weight = falling if value < previous else rising
-                previous = weight * value + (1 - weight) * previous
-            values.append(previous)
-        return pdf.assign(**{out: values}).loc[pdf[OWN], [*names, out]]
-
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-    return s.frame.groupBy(*keys, CHUNK).applyInPandas(run, schema).unionByName(missing)
+    Every value shrinks the influence of the start, so a chunk's step is just its last few hundred values.
+    """
+    needed = warmup_values(min(falling, rising))
+
+    def known(pdf):
+        x = pdf[column].to_numpy(dtype=float)
+        return x, np.isfinite(x)
+
+    def step(pdf):
+        x, ok = known(pdf)
+        return x[ok][-needed:]
+
+    def combine(seed, vector):
+        start = None if seed is None or not len(seed) else float(seed[0])
+        values = _filter(vector.tolist(), falling, rising, start)
+        return np.array(values[-1:] or ([] if start is None else [start]))
+
+    def replay(pdf, seed):
+        x, ok = known(pdf)
+        result = np.full(len(x), np.nan)
+        start = None if seed is None or not len(seed) else float(seed[0])
+        result[ok] = _filter(x[ok].tolist(), falling, rising, start)
+        return {out: result}
+
+    s = Series.cut(df, 0, key, ts, size, width)
+    return chunk_scan(s, step, combine, replay, [T.StructField(out, T.DoubleType())], [column])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoteflow.functions.series import centred_median
-from quoteflow.operators.timeline import CHUNK_ROWS, Series, as_list, positions, running
+from quoteflow.operators.timeline import CHUNK_ROWS, Series, as_list, positions, running_on
 
 
 def interpolate(df: DataFrame, column: str, out: str, limit: int = 12, key="symbol", ts: str = "date",
@@ -15,11 +15,9 @@ def interpolate(df: DataFrame, column: str, out: str, limit: int = 12, key="symb
 
     Beyond the first and last known value the nearest one is repeated, again for at most ``limit`` rows.
     """
-    keys = as_list(key)
-    numbered = positions(df, keys, ts, pos="_pos", total=None)
+    s = running_on(Series.cut(df, 0, key, ts, size), _pos=("count", F.lit(1)))
     known = F.when(F.col(column).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(column).alias("x")))
-    ahead = running(numbered, keys, "_pos", size, _before=("last", known)).withColumn("_back", -F.col("_pos"))
-    both = running(ahead, keys, "_back", size, _after=("last", known))
+    s = running_on(running_on(s, _before=("last", known)), reverse=True, _after=("last", known))
     b, a, p = F.col("_before"), F.col("_after"), F.col("_pos")
     near_b, near_a = (p - b["p"]) <= limit, (a["p"] - p) <= limit
     line = b["x"] + (a["x"] - b["x"]) * (p - b["p"]) / (a["p"] - b["p"])
@@ -29,39 +27,28 @@ def interpolate(df: DataFrame, column: str, out: str, limit: int = 12, key="symb
         .when(a.isNull() & near_b, b["x"])
         .when(b.isNull() & near_a, a["x"])
     )
-    return both.withColumn(out, value).drop("_pos", "_back", "_before", "_after")
+    return s.add(**{out: value}).done("_pos", "_before", "_after")
 
 
 def smooth(df: DataFrame, column: str, out: str, radius: int = 1, key="symbol", ts: str = "date",
            size: int = CHUNK_ROWS) -> DataFrame:
-    """Centred median of 2*radius+1 rows. A row that is ``radius`` back sees the rows after it in its own chunk,
-    so the median of the row before is taken there: lag-only windows over shifted rows."""
-    keys = as_list(key)
-    s = Series.cut(df, 2 * radius, keys, ts, size)
-    # medians at chunk edges need rows of the next chunk: compute the value for the row ``radius`` back instead,
-    # and read it forward for the rows that end the series
-    behind = s.add(_shifted=centred_median(s, column, radius))
-    last_rows_of_chunk = F.lead(F.lit(1), radius).over(s.window()).isNull()
-    behind = behind.add(_edge=last_rows_of_chunk, _depth=F.row_number().over(s.window()))
-    frame = behind.frame
-    own = frame.where("_own")
-    # every row is owned by exactly one chunk; edge rows of non-final chunks are corrected from the next chunk's halo copy
-    halo = frame.where(~F.col("_own") & (F.col("_depth") > radius) & ~F.col("_edge")).select(
-        *keys, ts, F.col("_shifted").alias("_fixed")
-    )
-    joined = own.join(halo, [*keys, ts], "left")
-    fixed = F.when(F.col("_edge") & F.col("_succ").isNotNull(), F.col("_fixed")).otherwise(F.col("_shifted"))
-    return joined.withColumn(out, fixed).drop("_chunk", "_own", "_succ", "_shifted", "_edge", "_depth", "_fixed")
+    """Centred median of 2*radius+1 rows; missing rows at the ends are left out."""
+    s = Series.cut(df, radius, key, ts, size, ahead=radius)
+    return s.add(**{out: centred_median(s, column, radius)}).done()
 
 
 def resample_linear(df: DataFrame, column: str, wanted: DataFrame, at: str, out: str, key="symbol", ts: str = "date") -> DataFrame:
     """Value of the series at fractional 0-based row positions, by linear interpolation (ends are held)."""
     keys = as_list(key)
-    points = positions(df, keys, ts, pos="_pos", total="_n").select(*keys, (F.col("_pos") - 1).alias("_i"), F.col(column).alias("_x"))
-    last = points.groupBy(*keys).agg(F.max("_i").alias("_end"))
-    asked = wanted.join(last, keys).withColumn("_at", F.least(F.greatest(F.col(at).cast("double"), F.lit(0.0)), F.col("_end").cast("double")))
+    points = positions(df, keys, ts, pos="_pos", total="_n").select(
+        *keys, (F.col("_pos") - 1).alias("_i"), F.col(column).alias("_x"), (F.col("_n") - 1).alias("_end")
+    )
+    ends = points.groupBy(*keys).agg(F.max("_end").alias("_end"))
+    asked = wanted.join(ends, keys)
+    asked = asked.withColumn("_at", F.least(F.greatest(F.col(at).cast("double"), F.lit(0.0)), F.col("_end").cast("double")))
     asked = asked.withColumn("_i", F.floor("_at"))
+    lower = points.select(*keys, "_i", "_x")
     upper = points.select(*keys, (F.col("_i") - 1).alias("_i"), F.col("_x").alias("_x1"))
-    joined = asked.join(points, [*keys, "_i"]).join(upper, [*keys, "_i"], "left")
+    joined = asked.join(lower, [*keys, "_i"]).join(upper, [*keys, "_i"], "left")
     value = F.col("_x") + (F.coalesce("_x1", "_x") - F.col("_x")) * (F.col("_at") - F.col("_i"))
     return joined.withColumn(out, value).drop("_i", "_x", "_x1", "_at", "_end")

@@ -14,14 +14,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK = "_chunk"
-OWN = "_own"
-SUCC = "_succ"
+CHUNK = "_chunk"  # chunk a row is computed in
+OWN = "_own"  # false for copies lent to a neighbouring chunk
+SUCC = "_succ"  # the key's next non-empty chunk, null in the last
+PRED = "_pred"  # the key's previous non-empty chunk, null in the first
+FROM, TO = "_from", "_to"  # range of chunks that need the row
 BUCKET = "_bucket"
+PLACEMENT = (CHUNK, SUCC, PRED, FROM, TO)
 
 CHUNK_ROWS = 16384
 DATE_WIDTH = 128  # days per bucket of a DATE series
@@ -42,56 +46,85 @@ def time_bucket(df: DataFrame, ts: str, width: int | None) -> Column:
     return F.floor(F.col(ts) / (width or CHUNK_ROWS))
 
 
-def bucket_layout(df: DataFrame, key, ts: str, halo: int, size: int, width: int | None) -> DataFrame:
-    """One row per (key, bucket): first position, chunk, and the chunks that need the bucket's rows."""
+def bucket_layout(df: DataFrame, key, ts: str, halo: int = 0, ahead: int = 0, size: int = CHUNK_ROWS,
+                  width: int | None = None) -> DataFrame:
+    """One row per (key, bucket): first position, key total, chunk and the chunks that need the bucket's rows.
+
+    Windows by key are safe on this table: it holds a row per time bucket, not per input row.
+    """
     keys = as_list(key)
     counts = df.groupBy(*keys, time_bucket(df, ts, width).alias(BUCKET)).agg(F.count(F.lit(1)).alias("_n"))
     by_key = Window.partitionBy(*keys).orderBy(BUCKET)
     table = counts.withColumn("_end", F.sum("_n").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
     table = table.withColumn("_start", F.col("_end") - F.col("_n"))
     table = table.withColumn(CHUNK, F.floor(F.col("_start") / size))
-    table = table.withColumns(
-        {
-            "_next": F.lead(CHUNK).over(by_key),
-            "_total": F.sum("_n").over(Window.partitionBy(*keys)),
-        }
-    )
-    # the key's next non-empty chunk (null in the last one)
-    follows = F.when(F.col("_next") > F.col(CHUNK), F.col("_next"))
-    table = table.withColumn(SUCC, F.min(follows).over(Window.partitionBy(*keys, CHUNK)))
-    if halo > 0:
+    table = table.withColumns({
+        "_next": F.lead(CHUNK).over(by_key),
+        "_prev": F.lag(CHUNK).over(by_key),
+        "_total": F.sum("_n").over(Window.partitionBy(*keys)),
+    })
+    in_chunk = Window.partitionBy(*keys, CHUNK)
+    table = table.withColumns({
+        SUCC: F.min(F.when(F.col("_next") > F.col(CHUNK), F.col("_next"))).over(in_chunk),
+        PRED: F.max(F.when(F.col("_prev") < F.col(CHUNK), F.col("_prev"))).over(in_chunk),
+    })
+    first, last = F.col(CHUNK), F.col(CHUNK)
+    if halo > 0:  # later chunks that start fewer than halo rows after this bucket ends
         reach = Window.partitionBy(*keys).orderBy("_end").rangeBetween(0, halo - 1)
-        table = table.withColumn("_reach", F.coalesce(F.max("_next").over(reach), F.col(CHUNK)))
-    else:
-        table = table.withColumn("_reach", F.col(CHUNK))
-    return table.select(*keys, BUCKET, CHUNK, "_start", "_reach", "_total", SUCC)
+        last = F.coalesce(F.max("_next").over(reach), last)
+    if ahead > 0:  # earlier chunks that end fewer than ahead rows before this bucket starts
+        reach = Window.partitionBy(*keys).orderBy("_start").rangeBetween(-(ahead - 1), 0)
+        first = F.coalesce(F.min("_prev").over(reach), first)
+    table = table.withColumns({TO: last, FROM: first})
+    return table.select(*keys, BUCKET, CHUNK, SUCC, PRED, FROM, TO, "_start", "_total")
+
+
+def place(df: DataFrame, halo: int = 0, ahead: int = 0, key="symbol", ts: str = "date", size: int = CHUNK_ROWS,
+          width: int | None = None) -> DataFrame:
+    """Add the placement columns, so that the operators called on the result need not count the rows again.
+
+    ``halo``/``ahead`` must cover the longest look-back/look-ahead of any of them. Rows may gain columns but must
+    neither be dropped nor added in between; :func:`unplace` ends the sequence. Keys and ``ts`` must be non-null.
+    """
+    keys = as_list(key)
+    layout = bucket_layout(df, keys, ts, halo, ahead, max(size, halo, ahead, 1), width).drop("_start", "_total")
+    return df.withColumn(BUCKET, time_bucket(df, ts, width)).join(layout, [*keys, BUCKET]).drop(BUCKET)
+
+
+def unplace(df: DataFrame) -> DataFrame:
+    return df.drop(*PLACEMENT)
+
+
+def whole_placement(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Placement ids are whole numbers or missing; pandas would read the latter as floats."""
+    return pdf.astype({c: "Int64" for c in (SUCC, PRED) if c in pdf.columns})
 
 
 class Series:
     """Rows cut into chunks, with window specs that stay inside a chunk."""
 
-    def __init__(self, frame: DataFrame, keys: list[str], order: list[str]):
-        self.frame, self.keys, self.order = frame, keys, order
+    def __init__(self, frame: DataFrame, keys: list[str], order: list[str], placed: bool = False):
+        self.frame, self.keys, self.order, self.placed = frame, keys, order, placed
+        self._pending: dict[str, tuple[str, Column]] = {}
 
     @classmethod
     def cut(cls, df: DataFrame, halo: int = 0, key="symbol", ts: str = "date", size: int = CHUNK_ROWS,
-            width: int | None = None, order: Sequence[str] = ()) -> Series:
-        """Cut ``df``; ``order`` breaks ties of ``ts``. Rows need a non-null key and ``ts``."""
+            width: int | None = None, order: Sequence[str] = (), ahead: int = 0) -> Series:
+        """Cut ``df`` (reusing its placement if it has one); ``order`` breaks ties of ``ts``."""
         keys = as_list(key)
-        size = max(size, halo, 1)
-        layout = bucket_layout(df, keys, ts, halo, size, width)
-        placed = df.withColumn(BUCKET, time_bucket(df, ts, width)).join(
-            layout.select(*keys, BUCKET, CHUNK, "_reach", SUCC), [*keys, BUCKET]
-        )
-        if halo > 0:
-            placed = placed.withColumn("_to", F.explode(F.sequence(CHUNK, "_reach")))
-            placed = placed.withColumn(OWN, F.col("_to") == F.col(CHUNK)).withColumn(CHUNK, F.col("_to")).drop("_to")
+        placed = CHUNK in df.columns
+        rows = df if placed else place(df, halo, ahead, keys, ts, size, width)
+        if halo or ahead:
+            rows = rows.withColumn("_at", F.explode(F.sequence(FROM, TO)))
+            rows = rows.withColumn(OWN, F.col("_at") == F.col(CHUNK))
+            rows = rows.withColumn(CHUNK, F.col("_at")).drop("_at")
         else:
-            placed = placed.withColumn(OWN, F.lit(True))
-        return cls(placed.drop(BUCKET, "_reach"), keys, [ts, *order])
+            rows = rows.withColumn(OWN, F.lit(True))
+        return cls(rows, keys, [ts, *order], placed)
 
-    def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys, CHUNK).orderBy(*self.order)
+    def window(self, reverse: bool = False) -> WindowSpec:
+        order = [F.col(c).desc() for c in self.order] if reverse else self.order
+        return Window.partitionBy(*self.keys, CHUNK).orderBy(*order)
 
     def rows(self, start: int, end: int = 0) -> WindowSpec:
         return self.window().rowsBetween(start, end)
@@ -100,19 +133,34 @@ class Series:
         """The current row and the k-1 rows before it."""
         return self.rows(-(k - 1), 0)
 
+    def using(self, frame: DataFrame) -> Series:
+        return Series(frame, self.keys, self.order, self.placed)
+
+    def let(self, windowed: Column) -> Column:
+        """Name a window expression: each distinct one is evaluated once, by the next :meth:`add`.
+
+        The optimizer does not merge equal window expressions, and formulas use the same one several times.
+        """
+        name = self._pending.setdefault(str(windowed), (f"_w{len(self._pending)}", windowed))[0]
+        return F.col(name)
+
     def add(self, **columns: Column) -> Series:
-        return Series(self.frame.withColumns(columns), self.keys, self.order)
+        named = dict(self._pending.values())
+        self._pending = {}
+        frame = self.frame.withColumns(named) if named else self.frame
+        return self.using(frame.withColumns(columns).drop(*named))
 
     def done(self, *drop: str) -> DataFrame:
-        """Drop halo copies and helper columns."""
-        return self.frame.where(OWN).drop(CHUNK, OWN, SUCC, *drop)
+        """Own rows only; the placement stays if the input came with one."""
+        rows = self.frame.where(OWN).drop(OWN, *drop)
+        return rows if self.placed else unplace(rows)
 
 
 def positions(df: DataFrame, key="symbol", ts: str = "date", width: int | None = None,
               order: Sequence[str] = (), pos: str = "pos", total: str | None = "n") -> DataFrame:
     """1-based row position within each key (and the key's row count) without a whole-key window."""
     keys = as_list(key)
-    layout = bucket_layout(df, keys, ts, 0, CHUNK_ROWS, width)
+    layout = bucket_layout(df, keys, ts, width=width)
     placed = df.withColumn(BUCKET, time_bucket(df, ts, width)).join(
         layout.select(*keys, BUCKET, "_start", "_total"), [*keys, BUCKET]
     )
@@ -129,7 +177,7 @@ def last_rows(df: DataFrame, n: int, key="symbol", ts: str = "date", width: int
     if n == 0:
         return df
     keys = as_list(key)
-    layout = bucket_layout(df, keys, ts, 0, CHUNK_ROWS, width)
+    layout = bucket_layout(df, keys, ts, width=width)
     by_key = Window.partitionBy(*keys).orderBy(BUCKET)
     ends = layout.withColumn("_stop", F.coalesce(F.lead("_start").over(by_key), F.col("_total")))
     wanted = ends.where(F.col("_stop") > F.col("_total") - n)
@@ -164,38 +212,40 @@ def _aggregate(kind: str, column: Column) -> Column:
     }[kind](column)
 
 
-def running_on(s: Series, **specs: tuple[str, Column]) -> Series:
+def running_on(s: Series, reverse: bool = False, **specs: tuple[str, Column]) -> Series:
     """Running aggregates (row included) from the start of each key over an already cut series.
 
     ``specs`` maps an output name to (kind, column), kind in sum, count, product, max, min, last, first;
-    the last two skip nulls. Chunk totals are combined on a table with one row per chunk.
+    the last two skip nulls. ``reverse`` runs from the end of each key. Chunk totals are combined on a table
+    with one row per chunk.
     """
+    onward = PRED if reverse else SUCC
     frame = s.frame.withColumns({f"_x_{name}": column for name, (_, column) in specs.items()})
-    own = frame.where(F.col(OWN) & F.col(SUCC).isNotNull())
     totals = []
     for name, (kind, _) in specs.items():
         value = F.col(f"_x_{name}")
         if kind in ("last", "first"):
-            pick = F.max_by if kind == "last" else F.min_by
+            pick = F.max_by if (kind == "last") != reverse else F.min_by
             totals.append(pick(value, F.when(value.isNotNull(), F.struct(*s.order))).alias(f"_c_{name}"))
         else:
             totals.append(_aggregate(kind, value).alias(f"_c_{name}"))
-    ends = own.groupBy(*s.keys, SUCC).agg(*totals)
-    upto = Window.partitionBy(*s.keys).orderBy(SUCC).rowsBetween(Window.unboundedPreceding, 0)
+    ends = frame.where(F.col(OWN) & F.col(onward).isNotNull()).groupBy(*s.keys, onward).agg(*totals)
+    direction = F.col(onward).desc() if reverse else F.col(onward)
+    upto = Window.partitionBy(*s.keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
     carries = ends.select(
         *s.keys,
-        F.col(SUCC).alias(CHUNK),
+        F.col(onward).alias(CHUNK),
         *[_aggregate("sum" if kind == "count" else kind, F.col(f"_c_{name}")).over(upto).alias(f"_k_{name}")
           for name, (kind, _) in specs.items()],
     )
     joined = frame.join(carries, [*s.keys, CHUNK], "left")
-    inside = Window.partitionBy(*s.keys, CHUNK).orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = s.window(reverse).rowsBetween(Window.unboundedPreceding, 0)
     outputs = {}
     for name, (kind, _) in specs.items():
         value = F.when(F.col(OWN), F.col(f"_x_{name}"))
         outputs[name] = _combine(kind, F.col(f"_k_{name}"), _aggregate(kind, value).over(inside))
     joined = joined.withColumns(outputs).drop(*[f"_x_{n}" for n in specs], *[f"_k_{n}" for n in specs])
-    return Series(joined, s.keys, s.order)
+    return s.using(joined)
 
 
 def running(df: DataFrame, key="symbol", ts: str = "date", size: int = CHUNK_ROWS, width: int | None = None,

@@ -12,7 +12,7 @@ from quoteflow.functions.scalars import clip, col, mean_skip, mean_strict, nonze
 from quoteflow.operators.joins import align_ffill
 from quoteflow.operators.recursive import Mean, ar1, asymmetric, means_on, recursive_means, span, wilder
 from quoteflow.operators.ranks import avg_percentiles, percentile_set, prior_rank, rolling_percentile, rolling_rank, with_ranks
-from quoteflow.operators.timeline import CHUNK_ROWS, Series, as_list
+from quoteflow.operators.timeline import CHUNK_ROWS, PLACEMENT, Series, as_list, place, unplace
 
 # Fixed values of the models: factor weights, scale of the squash, filter weights.
 FOUR_FACTOR_WEIGHTS = {"market_position": 0.25, "etf_position": 0.25, "volatility": 0.25, "trend": 0.25}
@@ -83,7 +83,8 @@ def oscillators(bars: DataFrame, windows: Sequence[int] = RSI_WINDOWS, macd: boo
 
 def five_component(bars: DataFrame, key="symbol", ts: str = "date", size: int = CHUNK_ROWS) -> DataFrame:
     """Five components from a symbol's own bars, each on -100..100 (bars must have passed ``strict_gate``)."""
-    s = Series.cut(oscillators(bars, key=key, ts=ts, size=size), 272, key, ts, size)
+    placed = place(bars, 272, 0, key, ts, size)
+    s = Series.cut(oscillators(placed, key=key, ts=ts, size=size), 272, key, ts)
     s = s.add(
         _ret=fs.change(s, "a_close"),
         _loc=fs.close_location("a_high", "a_low", "a_close"),
@@ -130,10 +131,10 @@ def four_factor_score(bars: DataFrame, underlying: DataFrame, key="symbol", ts:
     ``underlying`` has (key, ts, adjusted_close) and is aligned to the dates of ``bars``.
     """
     means = [span(f"_e{n}", "adjusted_close", n, max(10, n // 2)) for n, _ in TREND_SPANS]
-    with_means = recursive_means(bars, means, key, ts, size)
+    with_means = recursive_means(place(bars, 515, 0, key, ts, size), means, key, ts)
     ratio = F.col("adjusted_close") / nonzero("close")
     close = F.col("adjusted_close")
-    s = align_ffill(with_means, underlying, 3, "adjusted_close", "underlying_adjusted_close", key, ts, size, halo=512)
+    s = align_ffill(with_means, underlying, 3, "adjusted_close", "underlying_adjusted_close", key, ts, halo=512)
     s = s.add(
         execution_open=F.col("open") * ratio,
         execution_close=close,
@@ -176,7 +177,7 @@ def two_input_score(bars: DataFrame, parameters: Sequence[float], key="symbol",
                     size: int = CHUNK_ROWS) -> DataFrame:
     """Stochastic and ranked RSI, squashed after an AR(1) smoothing, with ranks among the preceding values."""
     p = check_parameters(parameters)
-    s = Series.cut(oscillators(bars, (14,), False, key, ts, size), 252, key, ts, size)
+    s = Series.cut(oscillators(place(bars, 504, 0, key, ts, size), (14,), False, key, ts), 504, key, ts)
     s = s.add(
         _f1=fs.stochastic(s, "a_high", "a_low", "a_close", 21),
         _f2=fs.stochastic(s, "a_high", "a_low", "a_close", 252),
@@ -184,12 +185,13 @@ def two_input_score(bars: DataFrame, parameters: Sequence[float], key="symbol",
     s = with_ranks(s, rolling_rank("_f3", "rsi_14", 252, 126))
     drive = p[0] + (F.col("_f1") * p[1] + F.col("_f2") * p[2] + F.col("_f3") * p[3]) / 100
     driven = s.done().withColumn("_drive", drive)
-    latent = ar1(driven, "_drive", p[4], "_latent", key, ts, size)
+    latent = ar1(driven, "_drive", p[4], "_latent", key, ts)
     scored = latent.withColumn("score", clip(100 * F.tanh("_latent"), -99, 99))
     names = [*as_list(key), ts]
-    inputs = scored.select(*names, F.col("a_close").alias("close"), F.col("a_open").alias("open"), "score")
-    t = Series.cut(inputs, 504, key, ts, size)
-    return with_ranks(t, prior_rank("score_rank", "score", 504, 504), prior_rank("score_partial_rank", "score", 504, 126)).done()
+    inputs = scored.select(*names, F.col("a_close").alias("close"), F.col("a_open").alias("open"), "score", *PLACEMENT)
+    t = Series.cut(inputs, 504, key, ts)
+    t = with_ranks(t, prior_rank("score_rank", "score", 504, 504), prior_rank("score_partial_rank", "score", 504, 126))
+    return unplace(t.done())
 
 
 def contributions(df: DataFrame, weights: dict[str, float], keep: Sequence[str] = ("symbol", "date")) -> DataFrame:

@@ -10,7 +10,7 @@ from quoteflow.operators import recursive as rec
 from quoteflow.operators.joins import align_ffill
 from quoteflow.operators.ranks import avg_percentiles, percentile_set, prior_rank, rolling_percentile, rolling_rank, with_ranks
 from quoteflow.operators.smoothing import interpolate, resample_linear, smooth
-from quoteflow.operators.timeline import Series, last_rows, running
+from quoteflow.operators.timeline import Series, last_rows, place, running
 from quoteflow.plans import fixtures as fx
 from quoteflow.plans import scores
 from quoteflow.plans.registry import query, r, rounded
@@ -176,15 +176,14 @@ TR_ADJ = "CASE WHEN prev IS NULL THEN a_high - a_low ELSE greatest(a_high - a_lo
 
 
 @query("ts9_ts10_atr_ratio", f"""WITH {NUMBERED}, p AS (SELECT *, {TR_RAW} AS tr, {TR_ADJ} AS tr_adj FROM n)
-SELECT symbol, date, {r('tr', 'true_range')}, {r('tr_adj', 'adjusted_true_range')},
+SELECT symbol, date, tr AS true_range, tr_adj AS adjusted_true_range,
   {r(f"({gated_sql('avg', 'tr', 20, 15)}) / close", 'atr_ratio')} FROM p""")
 def _(spark, sf):
     s = Series.cut(scores.adjust_ohlc(fx.daily_bars(spark, sf)), 21)
     s = s.add(true_range=fs.true_range(s, "high", "low", "close"),
               adjusted_true_range=fs.true_range(s, "a_high", "a_low", "a_close"))
     s = s.add(atr_ratio=fs.atr_ratio(s, "true_range", "close"))
-    names = ["true_range", "adjusted_true_range", "atr_ratio"]
-    return rounded(s.done().select(*KEY, *names), 4, *names)
+    return rounded(s.done().select(*KEY, "true_range", "adjusted_true_range", "atr_ratio"), 4, "atr_ratio")
 
 
 # --- recursive indicators ------------------------------------------------------------------------------------
@@ -220,7 +219,7 @@ OSC_MEANS = ema_cte("e", "m", [
 
 def rsi_sql(n: int) -> str:
     # 2 * (100 - 100 / (1 + g/l)) - 100, missing before n differences or with no loss
-    return f"CASE WHEN rn > {n} AND l{n} <> 0 THEN greatest(-100.0, least(100.0, 2 * (100 - 100 / (1 + g{n} / l{n})) - 100)) END"
+    return f"CASE WHEN j.rn > {n} AND l{n} <> 0 THEN greatest(-100.0, least(100.0, 2 * (100 - 100 / (1 + g{n} / l{n})) - 100)) END"
 
 
 OSC_ALL = f"""{recursive(OSC, OSC_MEANS)},
@@ -296,14 +295,13 @@ def _(spark, sf):
 
 
 @query("ts25_changes", f"""WITH {NUMBERED}
-SELECT symbol, date, {r('ret', 'change_1', 6)}, {r('adjusted_close / lag(adjusted_close, 5) OVER (PARTITION BY symbol ORDER BY date) - 1', 'change_5', 6)},
-  {r('delta', 'difference_1')} FROM n""")
+SELECT symbol, date, ret AS change_1, adjusted_close / lag(adjusted_close, 5) OVER (PARTITION BY symbol ORDER BY date) - 1 AS change_5,
+  delta AS difference_1 FROM n""")
 def _(spark, sf):
     s = Series.cut(fx.daily_bars(spark, sf), 5)
     s = s.add(change_1=fs.change(s, "adjusted_close"), change_5=fs.change(s, "adjusted_close", 5),
               difference_1=fs.difference(s, "adjusted_close"))
-    out = s.done().select(*KEY, "change_1", "change_5", "difference_1")
-    return rounded(rounded(out, 6, "change_1", "change_5"), 4, "difference_1")
+    return s.done().select(*KEY, "change_1", "change_5", "difference_1")
 
 
 # --- smoothing -----------------------------------------------------------------------------------------------
@@ -326,10 +324,10 @@ def gappy(spark, sf):
 
 
 @query("ts24_interpolate_smooth", f"""WITH {GAPPY}
-SELECT symbol, date, {r('filled', 'filled')}, {r("median(filled) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)", 'smooth')} FROM i""")
+SELECT symbol, date, filled, median(filled) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM i""")
 def _(spark, sf):
-    out = smooth(interpolate(gappy(spark, sf), "x", "filled", 12), "filled", "smooth")
-    return rounded(out.select(*KEY, "filled", "smooth"), 4, "filled", "smooth")
+    out = smooth(interpolate(place(gappy(spark, sf), 1, 1), "x", "filled", 12), "filled", "smooth")
+    return out.select(*KEY, "filled", "smooth")
 
 
 @query("ts24_resample_linear", f"""WITH {fx.BARS}, p AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS x,
@@ -387,10 +385,10 @@ def _(spark, sf):
     return rounded(rounded(out.select(*KEY, "peak", "drawdown", "rebased"), 4, "peak"), 6, "drawdown", "rebased")
 
 
-@query("ts31_last_rows", f"""WITH {fx.BARS} SELECT symbol, date, {r('close', 'close')} FROM bars
+@query("ts31_last_rows", f"""WITH {fx.BARS} SELECT symbol, date, close FROM bars
 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 60""")
 def _(spark, sf):
-    return rounded(last_rows(fx.daily_bars(spark, sf), 60).select(*KEY, "close"), 4, "close")
+    return last_rows(fx.daily_bars(spark, sf), 60).select(*KEY, "close")
 
 
 # --- composites ----------------------------------------------------------------------------------------------
@@ -459,9 +457,9 @@ two AS (SELECT symbol, date, close, open, score, CASE WHEN score IS NOT NULL AND
   CASE WHEN score IS NOT NULL AND len(l) >= 126 THEN 100 * len(list_filter(l, lambda v: v <= score))::DOUBLE / len(l) END AS score_partial_rank FROM t7)"""
 
 
-@query("sc3_two_input", f"""{TWO} SELECT symbol, date, {r('close', 'close')}, {r('open', 'open')}, {r('score', 'score')}, {r('score_rank', 'score_rank')},
+@query("sc3_two_input", f"""{TWO} SELECT symbol, date, close, open, {r('score', 'score')}, {r('score_rank', 'score_rank')},
   {r('score_partial_rank', 'score_partial_rank')} FROM two""")
 def _(spark, sf):
     out = scores.two_input_score(fx.daily_bars(spark, sf), FROZEN_PARAMETERS)
-    return rounded(out, 4, "close", "open", "score", "score_rank", "score_partial_rank")
+    return rounded(out, 4, "score", "score_rank", "score_partial_rank")
 
