@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoteflow.functions.scalars import mean_skip
-from quoteflow.operators.timeline import CHUNK, Series, whole_placement
+from quoteflow.operators.timeline import Series, whole_placement
 
 BLOCK = 2048
 
@@ -76,7 +76,7 @@ def with_ranks(s: Series, *ranks: Rank) -> Series:
         return whole_placement(ranked)
 
     schema = T.StructType([*s.frame.schema.fields, *[T.StructField(item.out, T.DoubleType()) for item in ranks]])
-    return s.using(s.frame.groupBy(*s.keys, CHUNK).applyInPandas(run, schema))
+    return s.using(s.frame.groupBy(*s.parts).applyInPandas(run, schema))
 
 
 def percentile_set(prefix: str, column: str, ks: Sequence[int] = (63, 126, 252)) -> list[Rank]:

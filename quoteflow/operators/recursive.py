@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoteflow.operators.timeline import CHUNK, CHUNK_ROWS, OWN, PLACEMENT, SUCC, Series, whole_placement
+from quoteflow.operators.timeline import CHUNK, CHUNK_ROWS, OWN, PLACEMENT, PRED, SUCC, Series, whole_placement
 
 SEED = "_seed"
 STEP = "_step"
@@ -39,39 +39,43 @@ def chunk_scan(
     keys, sort = s.keys, s.order
     cut = s.frame.where(OWN).drop(OWN)
     kept = [f for f in cut.schema.fields if s.placed or f.name not in PLACEMENT]
+    names = [f.name for f in kept]
+    result = T.StructType([*kept, *outputs])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(sort, kind="stable")
+        first = pdf[SEED].iloc[0] if SEED in pdf.columns else None
+        seed = None if first is None else np.asarray(first, dtype=float)
+        return whole_placement(pdf[names].assign(**replay(pdf, seed)))
+
+    if s.single:
+        return cut.groupBy(*keys).applyInPandas(run, result)
+
     used = list(dict.fromkeys([*keys, CHUNK, *sort, *inputs]))
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[[0]][[*keys, SUCC]].copy()
+        head = pdf.iloc[[0]][[*keys, CHUNK]].copy()
         head[STEP] = [np.asarray(step(pdf.sort_values(sort, kind="stable")), dtype=float).tolist()]
         return head
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SUCC)
+        # the seed of a chunk is the state after the chunks before it
+        pdf = pdf.sort_values(CHUNK)
         seed, seeds = None, []
         for vector in pdf[STEP]:
-            seed = combine(seed, np.asarray(vector, dtype=float))
-            seeds.append(np.asarray(seed, dtype=float).tolist())
-        return pdf[[*keys, SUCC]].assign(**{SEED: seeds})
+            seeds.append(None if seed is None else seed.tolist())
+            seed = np.asarray(combine(seed, np.asarray(vector, dtype=float)), dtype=float)
+        return pdf[[*keys, CHUNK]].assign(**{SEED: seeds})
 
-    head_fields = [*_fields(cut, keys), T.StructField(SUCC, T.LongType())]
+    head_fields = [*_fields(cut, keys), T.StructField(CHUNK, T.LongType())]
     vector = T.ArrayType(T.DoubleType())
     steps = (
-        cut.where(F.col(SUCC).isNotNull()).select(*used, SUCC).groupBy(*keys, CHUNK)
+        cut.where(F.col(SUCC).isNotNull() | F.col(PRED).isNotNull()).select(*used).groupBy(*keys, CHUNK)
         .applyInPandas(summarise, T.StructType([*head_fields, T.StructField(STEP, vector)]))
     )
     seeds = steps.groupBy(*keys).applyInPandas(fold, T.StructType([*head_fields, T.StructField(SEED, vector)]))
-    seeded = cut.join(seeds.withColumnRenamed(SUCC, CHUNK), [*keys, CHUNK], "left")
-
-    names = [f.name for f in kept]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sort, kind="stable")
-        first = pdf[SEED].iloc[0]
-        seed = None if first is None else np.asarray(first, dtype=float)
-        return whole_placement(pdf[names].assign(**replay(pdf, seed)))
-
-    return seeded.groupBy(*keys, CHUNK).applyInPandas(run, T.StructType([*kept, *outputs]))
+    seeded = cut.join(seeds, [*keys, CHUNK], "left")
+    return seeded.groupBy(*keys, CHUNK).applyInPandas(run, result)
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,8 @@ copies of the last ``halo`` rows before it. A frame that looks back at most ``ha
 inside its chunk. Running aggregates add one small table with a row per chunk.
 
 The cut depends only on the data (time bucket and row counts), never on task order, so a lost executor
-recomputes the same chunks.
+recomputes the same chunks. Row counts are taken first: when every key fits one chunk, the cut is a constant and
+nothing is copied, joined or summarised.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ SUCC = "_succ"  # the key's next non-empty chunk, null in the last
 PRED = "_pred"  # the key's previous non-empty chunk, null in the first
 FROM, TO = "_from", "_to"  # range of chunks that need the row
 BUCKET = "_bucket"
+SINGLE = "single_chunk"
 PLACEMENT = (CHUNK, SUCC, PRED, FROM, TO)
 
 CHUNK_ROWS = 16384
@@ -79,18 +81,41 @@ def bucket_layout(df: DataFrame, key, ts: str, halo: int = 0, ahead: int = 0, si
     return table.select(*keys, BUCKET, CHUNK, SUCC, PRED, FROM, TO, "_start", "_total")
 
 
+def longest_key(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the longest key (reads the key columns only; one number comes back)."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.agg(F.max("_n")).first()[0] or 0
+
+
+def one_chunk(df: DataFrame) -> DataFrame:
+    return df.withColumn(CHUNK, F.lit(0).cast("bigint").alias(CHUNK, metadata={SINGLE: True}))
+
+
 def place(df: DataFrame, halo: int = 0, ahead: int = 0, key="symbol", ts: str = "date", size: int = CHUNK_ROWS,
           width: int | None = None) -> DataFrame:
     """Add the placement columns, so that the operators called on the result need not count the rows again.
 
-    ``halo``/``ahead`` must cover the longest look-back/look-ahead of any of them. Rows may gain columns but must
-    neither be dropped nor added in between; :func:`unplace` ends the sequence. Keys and ``ts`` must be non-null.
+    ``halo``/``ahead`` must cover the longest look-back/look-ahead of any of them. Columns may be added in between;
+    scans and running aggregates also accept a subset of the rows, windows need them all. :func:`unplace` ends the
+    sequence. Keys and ``ts`` must be non-null.
     """
     keys = as_list(key)
-    layout = bucket_layout(df, keys, ts, halo, ahead, max(size, halo, ahead, 1), width).drop("_start", "_total")
+    size = max(size, halo, ahead, 1)
+    if longest_key(df, keys) <= size:
+        return one_chunk(df)
+    layout = bucket_layout(df, keys, ts, halo, ahead, size, width).drop("_start", "_total")
     return df.withColumn(BUCKET, time_bucket(df, ts, width)).join(layout, [*keys, BUCKET]).drop(BUCKET)
 
 
+def is_single(df: DataFrame) -> bool:
+    """Whether every key of a placed frame fits one chunk."""
+    return bool(df.schema[CHUNK].metadata.get(SINGLE))
+
+
+def placement_of(df: DataFrame) -> list[str]:
+    return [c for c in PLACEMENT if c in df.columns]
+
+
 def unplace(df: DataFrame) -> DataFrame:
     return df.drop(*PLACEMENT)
 
@@ -103,28 +128,36 @@ def whole_placement(pdf: pd.DataFrame) -> pd.DataFrame:
 class Series:
     """Rows cut into chunks, with window specs that stay inside a chunk."""
 
-    def __init__(self, frame: DataFrame, keys: list[str], order: list[str], placed: bool = False):
-        self.frame, self.keys, self.order, self.placed = frame, keys, order, placed
+    def __init__(self, frame: DataFrame, keys: list[str], order: list[str], placed: bool = False, single: bool = False):
+        self.frame, self.keys, self.order, self.placed, self.single = frame, keys, order, placed, single
         self._pending: dict[str, tuple[str, Column]] = {}
 
     @classmethod
     def cut(cls, df: DataFrame, halo: int = 0, key="symbol", ts: str = "date", size: int = CHUNK_ROWS,
-            width: int | None = None, order: Sequence[str] = (), ahead: int = 0) -> Series:
-        """Cut ``df`` (reusing its placement if it has one); ``order`` breaks ties of ``ts``."""
+            width: int | None = None, order: Sequence[str] = (), ahead: int = 0, short: bool = False) -> Series:
+        """Cut ``df`` (reusing its placement if it has one); ``order`` breaks ties of ``ts``.
+
+        ``short`` states that every key is known to fit one chunk, so nothing is counted.
+        """
         keys = as_list(key)
         placed = CHUNK in df.columns
-        rows = df if placed else place(df, halo, ahead, keys, ts, size, width)
-        if halo or ahead:
+        rows = df if placed else one_chunk(df) if short else place(df, halo, ahead, keys, ts, size, width)
+        single = is_single(rows)
+        if (halo or ahead) and not single:
             rows = rows.withColumn("_at", F.explode(F.sequence(FROM, TO)))
-            rows = rows.withColumn(OWN, F.col("_at") == F.col(CHUNK))
-            rows = rows.withColumn(CHUNK, F.col("_at")).drop("_at")
+            rows = rows.withColumn(OWN, F.col("_at") == F.col(CHUNK)).withColumn(CHUNK, F.col("_at")).drop("_at")
         else:
             rows = rows.withColumn(OWN, F.lit(True))
-        return cls(rows, keys, [ts, *order], placed)
+        return cls(rows, keys, [ts, *order], placed, single)
+
+    @property
+    def parts(self) -> list[str]:
+        """Columns that identify a chunk."""
+        return self.keys if self.single else [*self.keys, CHUNK]
 
     def window(self, reverse: bool = False) -> WindowSpec:
         order = [F.col(c).desc() for c in self.order] if reverse else self.order
-        return Window.partitionBy(*self.keys, CHUNK).orderBy(*order)
+        return Window.partitionBy(*self.parts).orderBy(*order)
 
     def rows(self, start: int, end: int = 0) -> WindowSpec:
         return self.window().rowsBetween(start, end)
@@ -134,7 +167,7 @@ class Series:
         return self.rows(-(k - 1), 0)
 
     def using(self, frame: DataFrame) -> Series:
-        return Series(frame, self.keys, self.order, self.placed)
+        return Series(frame, self.keys, self.order, self.placed, self.single)
 
     def let(self, windowed: Column) -> Column:
         """Name a window expression: each distinct one is evaluated once, by the next :meth:`add`.
@@ -219,8 +252,12 @@ def running_on(s: Series, reverse: bool = False, **specs: tuple[str, Column]) ->
     the last two skip nulls. ``reverse`` runs from the end of each key. Chunk totals are combined on a table
     with one row per chunk.
     """
-    onward = PRED if reverse else SUCC
     frame = s.frame.withColumns({f"_x_{name}": column for name, (_, column) in specs.items()})
+    inside = s.window(reverse).rowsBetween(Window.unboundedPreceding, 0)
+    own = {n: _aggregate(k, F.when(F.col(OWN), F.col(f"_x_{n}"))).over(inside) for n, (k, _) in specs.items()}
+    scratch = [f"_x_{n}" for n in specs]
+    if s.single:
+        return s.using(frame.withColumns(own).drop(*scratch))
     totals = []
     for name, (kind, _) in specs.items():
         value = F.col(f"_x_{name}")
@@ -229,23 +266,18 @@ def running_on(s: Series, reverse: bool = False, **specs: tuple[str, Column]) ->
             totals.append(pick(value, F.when(value.isNotNull(), F.struct(*s.order))).alias(f"_c_{name}"))
         else:
             totals.append(_aggregate(kind, value).alias(f"_c_{name}"))
-    ends = frame.where(F.col(OWN) & F.col(onward).isNotNull()).groupBy(*s.keys, onward).agg(*totals)
-    direction = F.col(onward).desc() if reverse else F.col(onward)
-    upto = Window.partitionBy(*s.keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
-    carries = ends.select(
-        *s.keys,
-        F.col(onward).alias(CHUNK),
-        *[_aggregate("sum" if kind == "count" else kind, F.col(f"_c_{name}")).over(upto).alias(f"_k_{name}")
+    cut_keys = frame.where(F.col(OWN) & (F.col(SUCC).isNotNull() | F.col(PRED).isNotNull()))
+    chunks = cut_keys.groupBy(*s.keys, CHUNK).agg(*totals)
+    direction = F.col(CHUNK).desc() if reverse else F.col(CHUNK)
+    before = Window.partitionBy(*s.keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
+    carries = chunks.select(
+        *s.keys, CHUNK,
+        *[_aggregate("sum" if kind == "count" else kind, F.col(f"_c_{name}")).over(before).alias(f"_k_{name}")
           for name, (kind, _) in specs.items()],
     )
-    joined = frame.join(carries, [*s.keys, CHUNK], "left")
-    inside = s.window(reverse).rowsBetween(Window.unboundedPreceding, 0)
-    outputs = {}
-    for name, (kind, _) in specs.items():
-        value = F.when(F.col(OWN), F.col(f"_x_{name}"))
-        outputs[name] = _combine(kind, F.col(f"_k_{name}"), _aggregate(kind, value).over(inside))
-    joined = joined.withColumns(outputs).drop(*[f"_x_{n}" for n in specs], *[f"_k_{n}" for n in specs])
-    return s.using(joined)
+    joined = frame.join(carries, [*s.keys, CHUNK], "left").withColumns(own)
+    outputs = {n: _combine(kind, F.col(f"_k_{n}"), F.col(n)) for n, (kind, _) in specs.items()}
+    return s.using(joined.withColumns(outputs).drop(*scratch, *[f"_k_{n}" for n in specs]))
 
 
 def running(df: DataFrame, key="symbol", ts: str = "date", size: int = CHUNK_ROWS, width: int | None = None,

@@ -12,12 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.functions import series as fs
 from quoteflow.operators.joins import DEFAULT_BUYS, DEFAULT_SELLS
 from quoteflow.operators.metrics import performance_columns
 from quoteflow.operators.ranking import argmax_first
 from quoteflow.operators.signals import STEPS, crossing_events, ladder_on
-from quoteflow.operators.timeline import CHUNK_ROWS, Series, as_list, positions, running_on
+from quoteflow.operators.timeline import CHUNK_ROWS, Series, as_list, is_single, place, placement_of, positions, running_on, unplace
 
 # Sweep grid, spacing of the levels, friction in basis points, gates of the choice.
 GRID_BUYS = range(-45, -81, -5)
@@ -57,7 +56,7 @@ def sweep_pairs() -> list[tuple[list[float], list[float]]]:
 
 
 def prepare(scored: DataFrame, key="symbol", ts: str = "date", size: int = CHUNK_ROWS) -> DataFrame:
-    """Usable rows with the score before, and the next row's date and open.
+    """Usable rows (placed) with the score and close before, and the next row's date and open.
 
     ``scored`` has open, close, score and optionally execution_open/execution_close (used instead when present).
     """
@@ -65,20 +64,20 @@ def prepare(scored: DataFrame, key="symbol", ts: str = "date", size: int = CHUNK
     rows = scored.na.drop(subset=["open", "close", "score"])
     price = lambda c: F.col(f"execution_{c}") if f"execution_{c}" in scored.columns else F.col(c)
     rows = rows.select(*keys, ts, price("open").alias("_open"), price("close").alias("_close"), "score")
-    s = Series.cut(rows, 1, keys, ts, size, ahead=1)
-    before = s.let(F.lag("score").over(s.window()))
+    s = Series.cut(place(rows, 1, 1, keys, ts, size), 1, keys, ts, ahead=1)
     return s.add(
-        prev=F.coalesce(before, F.col("score")), fill_date=F.lead(ts).over(s.window()), fill_price=F.lead("_open").over(s.window())
+        prev=F.coalesce(F.lag("score").over(s.window()), F.col("score")), _before=F.lag("_close").over(s.window()),
+        fill_date=F.lead(ts).over(s.window()), fill_price=F.lead("_open").over(s.window()),
     ).done()
 
 
 def decisions(rows: DataFrame, pairs, key="symbol", ts: str = "date", size: int = CHUNK_ROWS) -> DataFrame:
     """Ladder decisions of every threshold pair, with their fill; the last decision of a key never fills."""
     keys = as_list(key)
-    runs = rows.select(*keys, ts, "score", "prev", "fill_date", "fill_price", F.inline(grid_array(pairs)))
+    runs = rows.select(*keys, ts, "score", "prev", "fill_date", "fill_price", *placement_of(rows), F.inline(grid_array(pairs)))
     levels = lambda c: [F.element_at(c, i + 1) for i in range(STEPS)]
     events = crossing_events(runs, levels("buys"), levels("sells")).drop("buys", "sells")
-    return ladder_on(events, [*keys, "run"], ts, size).where("delta <> 0 AND fill_date IS NOT NULL")
+    return unplace(ladder_on(events, [*keys, "run"], ts, size)).where("delta <> 0 AND fill_date IS NOT NULL")
 
 
 def _fill_step(friction: Column):
@@ -99,27 +98,28 @@ def _fill_step(friction: Column):
         record = F.struct(
             fill["date"].alias("date"), price.alias("price"), fill["steps"].alias("steps"), cash.alias("cash"), units.alias("units"),
             trade.alias("trade"), cost.alias("cost"), pnl.alias("realized_pnl"),
+            acc["cash"].alias("cash0"), acc["units"].alias("units0"),
         )
         return F.struct(cash.alias("cash"), units.alias("units"), basis.alias("basis"), F.array_append(acc["fills"], record).alias("fills"))
 
     return step
 
 
-def fills(made: DataFrame, frictions: Sequence[float], key="symbol", size: int = CHUNK_ROWS) -> DataFrame:
-    """Fills with the account after them, per (key, run, friction)."""
+def fills(made: DataFrame, frictions: Sequence[float], key="symbol", size: int = CHUNK_ROWS, short: bool = False) -> DataFrame:
+    """Fills with the account after them, per (key, run, friction); ``short`` when the bars of a key fit one chunk."""
     run = [*as_list(key), "run", "friction"]
     cycle = made.groupBy(*as_list(key), "run", "cycle").agg(
         F.array_sort(F.collect_list(F.struct(F.col("fill_date").alias("date"), F.col("fill_price").alias("price"), "steps"))).alias("_fills")
     )
     each = cycle.withColumn("friction", F.explode(F.array(*[F.lit(float(f)) for f in frictions])))
-    record = "array<struct<date:date,price:double,steps:int,cash:double,units:double,trade:double,cost:double,realized_pnl:double>>"
+    record = "array<struct<date:date,price:double,steps:int,cash:double,units:double,trade:double,cost:double,realized_pnl:double,cash0:double,units0:double>>"
     start = F.struct(F.lit(1.0).alias("cash"), F.lit(0.0).alias("units"), F.lit(0.0).alias("basis"), F.array().cast(record).alias("fills"))
     folded = each.withColumn("_end", F.aggregate("_fills", start, _fill_step(F.col("friction") / 10_000)))
-    s = Series.cut(folded.select(*run, "cycle", "_end"), 1, run, "cycle", size)
+    s = Series.cut(folded.select(*run, "cycle", "_end"), 1, run, "cycle", size, short=short)
     s = s.add(_gain=F.coalesce(s.let(F.lag(F.col("_end")["cash"]).over(s.window())), F.lit(1.0)))
     scaled = running_on(s, _scale=("product", F.col("_gain"))).done()
     rows = scaled.select(*run, "cycle", "_scale", F.inline(F.col("_end")["fills"]))
-    money = ("cash", "units", "trade", "cost", "realized_pnl")
+    money = ("cash", "units", "trade", "cost", "realized_pnl", "cash0", "units0")
     return rows.withColumns({c: F.col(c) * F.col("_scale") for c in money}).drop("_scale")
 
 
@@ -128,18 +128,24 @@ def trades_of(made: DataFrame) -> DataFrame:
 
 
 def curves(rows: DataFrame, filled: DataFrame, pairs, frictions, key="symbol", ts: str = "date", size: int = CHUNK_ROWS) -> Series:
-    """Equity and position per bar and run, still cut into chunks (one halo row)."""
+    """Equity, its change and the position per bar and run, still cut into chunks.
+
+    The account before a row is the one before its fill, so the change needs no look-back at the curve itself.
+    """
     keys = as_list(key)
     run = [*keys, "run", "friction"]
     ids = F.array(*[F.struct(F.lit(i).alias("run"), F.lit(float(f)).alias("friction")) for i in range(len(pairs)) for f in frictions])
-    state = filled.select(*run, F.col("date").alias(ts), F.struct("cash", "units", "steps").alias("_state"))
-    bars = rows.select(*keys, ts, "_close", F.inline(ids)).join(state, [*run, ts], "left")
+    state = filled.select(*run, F.col("date").alias(ts), F.struct("cash", "units", "steps", "cash0", "units0").alias("_state"))
+    bars = rows.select(*keys, ts, "_close", "_before", *placement_of(rows), F.inline(ids)).join(state, [*run, ts], "left")
     s = running_on(Series.cut(bars, 0, run, ts, size), _last=("last", F.col("_state")))
-    last = F.col("_last")
-    return s.add(
-        equity=F.when(last.isNull(), 1.0).otherwise(last["cash"] + last["units"] * F.col("_close")),
-        position=F.coalesce(last["steps"], F.lit(0)) / STEPS,
+    last, now = F.col("_last"), F.col("_state")
+    worth = lambda account, cash, units, price: F.when(account.isNull(), 1.0).otherwise(account[cash] + account[units] * F.col(price))
+    before = F.when(now.isNotNull(), worth(now, "cash0", "units0", "_before")).otherwise(worth(last, "cash", "units", "_before"))
+    s = s.add(
+        equity=worth(last, "cash", "units", "_close"), position=F.coalesce(last["steps"], F.lit(0)) / STEPS,
+        _prior=F.when(F.col("_before").isNotNull(), before),
     )
+    return s.add(change=F.col("equity") / F.col("_prior") - 1)
 
 
 def evaluate(scored: DataFrame, buys: Sequence[float] = DEFAULT_BUYS, sells: Sequence[float] = DEFAULT_SELLS, bps: float = 15,
@@ -148,28 +154,26 @@ def evaluate(scored: DataFrame, buys: Sequence[float] = DEFAULT_BUYS, sells: Seq
     keys = as_list(key)
     pairs = [(buys, sells)]
     rows = enough_rows(prepare(scored, keys, ts, size), keys)
-    filled = fills(decisions(rows, pairs, keys, ts, size), [bps], keys, size)
-    curve = curves(rows, filled, pairs, [bps], keys, ts, size).done()
+    filled = fills(decisions(rows, pairs, keys, ts, size), [bps], keys, size, is_single(rows))
+    curve = unplace(curves(rows, filled, pairs, [bps], keys, ts, size).done())
     return curve.select(*keys, ts, "equity", "position"), trades_of(filled).drop("run", "friction", "cycle")
 
 
 def enough_rows(rows: DataFrame, key) -> DataFrame:
     keys = as_list(key)
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= MIN_RUN)
-    return rows.join(counted.select(*keys), keys, "left_semi")
+    return rows.join(counted.select(*keys), keys, "left_semi")  # whole keys go, so the placement stays valid
 
 
 def run_metrics(rows: DataFrame, pairs, frictions, key="symbol", ts: str = "date", size: int = CHUNK_ROWS) -> DataFrame:
     """Performance of every (key, run, friction)."""
     keys = as_list(key)
     run = [*keys, "run", "friction"]
-    filled = fills(decisions(rows, pairs, keys, ts, size), frictions, keys, size)
+    filled = fills(decisions(rows, pairs, keys, ts, size), frictions, keys, size, is_single(rows))
     s = curves(rows, filled, pairs, frictions, keys, ts, size)
-    again = Series.cut(s.done().select(*run, ts, "equity"), 1, run, ts, size)
-    again = running_on(again.add(_r=fs.change(again, "equity")), _peak=("max", F.col("equity")))
-    table = again.done().groupBy(*run).agg(
+    table = running_on(s, _peak=("max", F.col("equity"))).done().groupBy(*run).agg(
         F.count(F.lit(1)).alias("_n"), F.min_by("equity", ts).alias("_first"), F.max_by("equity", ts).alias("_last"),
-        F.avg("_r").alias("_mean"), F.stddev_samp("_r").alias("_std"), F.avg((F.col("_r") > 0).cast("double")).alias("_gains"),
+        F.avg("change").alias("_mean"), F.stddev_samp("change").alias("_std"), F.avg((F.col("change") > 0).cast("double")).alias("_gains"),
         F.min(F.col("equity") / F.col("_peak") - 1).alias("_mdd"),
     )
     made = trades_of(filled).groupBy(*run).agg(

@@ -12,7 +12,7 @@ from quoteflow.functions.scalars import clip, col, mean_skip, mean_strict, nonze
 from quoteflow.operators.joins import align_ffill
 from quoteflow.operators.recursive import Mean, ar1, asymmetric, means_on, recursive_means, span, wilder
 from quoteflow.operators.ranks import avg_percentiles, percentile_set, prior_rank, rolling_percentile, rolling_rank, with_ranks
-from quoteflow.operators.timeline import CHUNK_ROWS, PLACEMENT, Series, as_list, place, unplace
+from quoteflow.operators.timeline import CHUNK_ROWS, Series, as_list, place, placement_of, unplace
 
 # Fixed values of the models: factor weights, scale of the squash, filter weights.
 FOUR_FACTOR_WEIGHTS = {"market_position": 0.25, "etf_position": 0.25, "volatility": 0.25, "trend": 0.25}
@@ -188,7 +188,7 @@ def two_input_score(bars: DataFrame, parameters: Sequence[float], key="symbol",
     latent = ar1(driven, "_drive", p[4], "_latent", key, ts)
     scored = latent.withColumn("score", clip(100 * F.tanh("_latent"), -99, 99))
     names = [*as_list(key), ts]
-    inputs = scored.select(*names, F.col("a_close").alias("close"), F.col("a_open").alias("open"), "score", *PLACEMENT)
+    inputs = scored.select(*names, F.col("a_close").alias("close"), F.col("a_open").alias("open"), "score", *placement_of(scored))
     t = Series.cut(inputs, 504, key, ts)
     t = with_ranks(t, prior_rank("score_rank", "score", 504, 504), prior_rank("score_partial_rank", "score", 504, 126))
     return unplace(t.done())

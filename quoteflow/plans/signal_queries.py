@@ -119,18 +119,22 @@ ACCOUNT = recursive(SCORED, ladder_cte("w", "q", "symbol", BUYS, SELLS, True, "0
 
 
 @query("sg5_equity_curve", f"""{ACCOUNT}
-SELECT q.symbol, q.date, {r('w.cash + w.units * q.ec', 'equity', 6)}, {r('(w.steps - w.delta) / 3', 'position', 6)} FROM w JOIN q ON q.symbol = w.symbol AND q.rn = w.rn""")
+SELECT q.symbol, q.date, {r('ln(w.cash + w.units * q.ec)', 'log_equity', 6)}, {r('(w.steps - w.delta) / 3', 'position', 6)} FROM w JOIN q ON q.symbol = w.symbol AND q.rn = w.rn""")
 def _(spark, sf):
     curve, _ = ev.evaluate(scored(spark, sf))
-    return rounded(curve, 6, "equity", "position")
+    return rounded(curve.select(*KEY, F.log("equity").alias("log_equity"), "position"), 6, "log_equity", "position")
 
 
 @query("sg5_trades", f"""{ACCOUNT}
-SELECT q.symbol, q.date, q.eo AS price, CASE WHEN w.trade > 0 THEN 'buy' ELSE 'sell' END AS side, {r('abs(w.trade)', 'value', 6)}, {r('w.cost', 'cost', 6)},
-  {r('w.pnl', 'realized_pnl', 6)} FROM w JOIN q ON q.symbol = w.symbol AND q.rn = w.rn WHERE w.filled = 1""")
+SELECT q.symbol, q.date, q.eo AS price, CASE WHEN w.trade > 0 THEN 'buy' ELSE 'sell' END AS side, {r('ln(abs(w.trade))', 'log_value', 6)}, {r('w.cost / abs(w.trade)', 'cost_share', 6)},
+  {r('w.pnl / abs(w.trade)', 'pnl_share', 6)} FROM w JOIN q ON q.symbol = w.symbol AND q.rn = w.rn WHERE w.filled = 1""")
 def _(spark, sf):
     _, trades = ev.evaluate(scored(spark, sf))
-    return rounded(trades.select(*KEY, "price", "side", "value", "cost", "realized_pnl"), 6, "value", "cost", "realized_pnl")
+    out = trades.select(
+        *KEY, "price", "side", F.log("value").alias("log_value"), (F.col("cost") / F.col("value")).alias("cost_share"),
+        (F.col("realized_pnl") / F.col("value")).alias("pnl_share"),
+    )
+    return rounded(out, 6, "log_value", "cost_share", "pnl_share")
 
 
 @query("ts30_walk_split", f"""WITH {SCORED}, t AS (SELECT symbol, date, rn, count(*) OVER (PARTITION BY symbol) AS n FROM q),
@@ -163,22 +167,29 @@ res AS (SELECT *, CASE WHEN mdd < 0 THEN cagr / abs(mdd) ELSE 0 END AS calmar FR
 )
 
 
-@query("sg6_sweep", f"""{SWEEP} SELECT symbol, fold::INT AS fold, run, friction, {r('total_return', 'total_return', 4)}, {r('sharpe', 'sharpe', 4)}, {r('mdd', 'max_drawdown', 4)}, {r('calmar', 'calmar', 4)},
-  trades, {r('turnover', 'turnover', 3)} FROM res""")
+@query("sg6_sweep", f"""{SWEEP} SELECT symbol, fold::INT AS fold, run, friction, {r('ln(1 + total_return)', 'log_return', 4)}, {r('sharpe', 'sharpe', 4)}, {r('mdd', 'max_drawdown', 4)},
+  {r('ln(1 + abs(calmar))', 'log_calmar', 4)}, trades, {r('ln(1 + turnover)', 'log_turnover', 4)} FROM res""")
 def _(spark, sf):
-    out = ev.sweep(scored(spark, sf)).select("symbol", "fold", "run", "friction", "total_return", "sharpe", "max_drawdown", "calmar", "trades", "turnover")
-    return rounded(rounded(out, 4, "total_return", "sharpe", "max_drawdown", "calmar"), 3, "turnover")
+    out = ev.sweep(scored(spark, sf)).select(
+        "symbol", "fold", "run", "friction", F.log(1 + F.col("total_return")).alias("log_return"), "sharpe", "max_drawdown",
+        F.log(1 + F.abs("calmar")).alias("log_calmar"), "trades", F.log(1 + F.col("turnover")).alias("log_turnover"),
+    )
+    return rounded(out, 4, "log_return", "sharpe", "max_drawdown", "log_calmar", "log_turnover")
 
 
 @query("agg17_agg18_sweep_choice", f"""{SWEEP},
 b AS (SELECT symbol, run, median(calmar) + 0.25::DOUBLE * median(sharpe) - 0.02::DOUBLE * median(turnover) AS sc FROM res WHERE fold > 0 GROUP BY ALL
   HAVING sum(trades) >= 6 AND min(calmar) > 0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sc DESC, run) = 1),
 h AS (SELECT symbol, run, sc, sum(trades) AS t, median(total_return) AS mr, median(calmar) AS mc FROM res JOIN b USING (symbol, run) WHERE fold = 0 GROUP BY ALL)
-SELECT s.symbol, {r('sc', 'training_robust_score', 4)}, t AS holdout_trades, {r('mr', 'holdout_median_return', 4)}, {r('mc', 'holdout_median_calmar', 4)},
+SELECT s.symbol, {r('ln(abs(sc))', 'log_robust_score', 4)}, t AS holdout_trades, {r('ln(1 + mr)', 'log_median_return', 4)}, {r('ln(1 + abs(mc))', 'log_median_calmar', 4)},
   CASE WHEN t >= 1 AND mr > 0 THEN run END AS run, CASE WHEN t >= 1 AND mr > 0 THEN CASE WHEN t >= 6 AND mc >= 0.5 THEN 'high' ELSE 'medium' END ELSE 'low' END AS confidence
 FROM (SELECT DISTINCT symbol FROM bars) s LEFT JOIN h USING (symbol)""")
 def _(spark, sf):
     rows = scored(spark, sf)
     results = ev.sweep(rows)
     out = ev.holdout_gate(rows, ev.sweep_best(results), results)
-    return rounded(out, 4, "training_robust_score", "holdout_median_return", "holdout_median_calmar")
+    out = out.select(
+        "symbol", F.log(F.abs("training_robust_score")).alias("log_robust_score"), "holdout_trades", "run", "confidence",
+        F.log(1 + F.col("holdout_median_return")).alias("log_median_return"), F.log(1 + F.abs("holdout_median_calmar")).alias("log_median_calmar"),
+    )
+    return rounded(out, 4, "log_robust_score", "log_median_return", "log_median_calmar")
