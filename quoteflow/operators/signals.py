@@ -177,7 +177,8 @@ def size_fills(fills: DataFrame, key: str = "symbol") -> DataFrame:
     bought = (F.col("capital").cast("decimal(18,2)") * delta.cast("decimal(2,0)") / F.lit(3)).cast("decimal(24,12)") / price
     sold = held * F.abs(delta).cast("decimal(2,0)") / steps.cast("decimal(2,0)")
     void = (delta < 0) & ((steps <= 0) | (held <= 0))
-    quantity = F.when(void, None).when(delta > 0, bought).otherwise(sold).cast("decimal(24,12)")
+    exact = "decimal(24,12)"  # one type for both branches: widening two wide decimals would cut digits
+    quantity = F.when(void, None).when(delta > 0, bought.cast(exact)).otherwise(sold.cast(exact))
     after = F.when(void, steps).otherwise(F.greatest(F.lit(0), F.least(F.lit(STEPS), steps + delta)))
     out = fills.withColumns({
         "side": F.when(delta > 0, "buy").otherwise("sell"), "quantity": quantity, "steps_after": after,

@@ -245,15 +245,15 @@ def _aggregate(kind: str, column: Column) -> Column:
     }[kind](column)
 
 
-def running_on(s: Series, reverse: bool = False, **specs: tuple[str, Column]) -> Series:
+def running_on(s: Series, reverse: bool = False, exclusive: bool = False, **specs: tuple[str, Column]) -> Series:
     """Running aggregates (row included) from the start of each key over an already cut series.
 
     ``specs`` maps an output name to (kind, column), kind in sum, count, product, max, min, last, first;
-    the last two skip nulls. ``reverse`` runs from the end of each key. Chunk totals are combined on a table
+    the last two skip nulls. ``reverse`` runs from the end of each key, ``exclusive`` leaves the row itself out. Chunk totals are combined on a table
     with one row per chunk.
     """
     frame = s.frame.withColumns({f"_x_{name}": column for name, (_, column) in specs.items()})
-    inside = s.window(reverse).rowsBetween(Window.unboundedPreceding, 0)
+    inside = s.window(reverse).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     own = {n: _aggregate(k, F.when(F.col(OWN), F.col(f"_x_{n}"))).over(inside) for n, (k, _) in specs.items()}
     scratch = [f"_x_{n}" for n in specs]
     if s.single:

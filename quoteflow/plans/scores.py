@@ -201,3 +201,10 @@ def contributions(df: DataFrame, weights: dict[str, float], keep: Sequence[str]
         for name, w in weights.items()
     ])
     return df.select(*keep, F.inline(parts)).withColumn("contribution", F.col("value") * F.col("weight"))
+
+
+def with_previous(b: DataFrame, key="symbol", ts: str = "date", price: str = "close", score: str = "score",
+                  size: int = CHUNK_ROWS) -> DataFrame:
+    """Percent price change against the previous row, and the previous score."""
+    s = Series.cut(b, 1, key, ts, size)
+    return s.add(price_change_pct=fs.change(s, price) * 100, previous_score=F.lag(score).over(s.window())).done()

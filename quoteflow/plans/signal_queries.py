@@ -178,8 +178,9 @@ def _(spark, sf):
 
 
 @query("agg17_agg18_sweep_choice", f"""{SWEEP},
-b AS (SELECT symbol, run, median(calmar) + 0.25::DOUBLE * median(sharpe) - 0.02::DOUBLE * median(turnover) AS sc FROM res WHERE fold > 0 GROUP BY ALL
-  HAVING sum(trades) >= 6 AND min(calmar) > 0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sc DESC, run) = 1),
+b0 AS (SELECT symbol, run, median(calmar) + 0.25::DOUBLE * median(sharpe) - 0.02::DOUBLE * median(turnover) AS sc FROM res WHERE fold > 0 GROUP BY symbol, run
+  HAVING sum(trades) >= 6 AND min(calmar) > 0),
+b AS (SELECT * FROM b0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sc DESC, run) = 1),
 h AS (SELECT symbol, run, sc, sum(trades) AS t, median(total_return) AS mr, median(calmar) AS mc FROM res JOIN b USING (symbol, run) WHERE fold = 0 GROUP BY ALL)
 SELECT s.symbol, {r('ln(abs(sc))', 'log_robust_score', 4)}, t AS holdout_trades, {r('ln(1 + mr)', 'log_median_return', 4)}, {r('ln(1 + abs(mc))', 'log_median_calmar', 4)},
   CASE WHEN t >= 1 AND mr > 0 THEN run END AS run, CASE WHEN t >= 1 AND mr > 0 THEN CASE WHEN t >= 6 AND mc >= 0.5 THEN 'high' ELSE 'medium' END ELSE 'low' END AS confidence
