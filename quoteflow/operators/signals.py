@@ -174,8 +174,9 @@ def size_fills(fills: DataFrame, key: str = "symbol") -> DataFrame:
     money = "decimal(38,18)"
     price = F.col("fill_price").cast("decimal(18,6)")
     delta, steps, held = F.col("delta"), F.col("position_steps"), F.col("held").cast("decimal(18,6)")
-    bought = (F.col("capital").cast("decimal(18,2)") * delta.cast("decimal(2,0)") / F.lit(3)).cast("decimal(24,12)") / price
-    sold = held * F.abs(delta).cast("decimal(2,0)") / steps.cast("decimal(2,0)")
+    spent = (F.col("capital").cast("decimal(18,2)") * delta.cast("decimal(2,0)")).cast("decimal(24,12)") / F.lit(STEPS)
+    bought = spent.cast("decimal(24,12)") / price
+    sold = (held * F.abs(delta).cast("decimal(2,0)")).cast("decimal(24,12)") / steps.cast("decimal(2,0)")
     void = (delta < 0) & ((steps <= 0) | (held <= 0))
     exact = "decimal(24,12)"  # one type for both branches: widening two wide decimals would cut digits
     quantity = F.when(void, None).when(delta > 0, bought.cast(exact)).otherwise(sold.cast(exact))

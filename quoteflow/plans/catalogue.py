@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from quoteflow.plans import book_queries, quality_queries, rule_queries, series_queries, signal_queries  # noqa: F401
+from quoteflow.plans import book_queries, quality_queries, rule_queries, series_queries, signal_queries, source_queries, stream_queries  # noqa: F401
 from quoteflow.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
