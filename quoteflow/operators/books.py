@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from quoteflow.operators.joins import latest_fx, split_events
 from quoteflow.operators.recursive import chunk_scan
-from quoteflow.operators.timeline import CHUNK_ROWS, Series, as_list, running_on
+from quoteflow.operators.timeline import CHUNK_ROWS, OWN, PLACEMENT, Series, as_list, running_on
+from quoteflow.session import settle
 
 BOOK_KEY = ("kind", "instrument")
 QUANTITY = "decimal(38,12)"
@@ -45,24 +46,29 @@ def held_quantities(trades: DataFrame, splits: DataFrame | None, key: Sequence[s
     rows = rows.withColumn("_q", scaled)
     signed = F.when(F.col("side") == "buy", F.col("_q")).otherwise(-F.col("_q"))
     s = Series.cut(rows, 0, keys, ts, size, width, order)
-    s = running_on(s, _sum=("sum", signed))
+    s = settled(running_on(s, _sum=("sum", signed)))
     zero = F.lit(0).cast(QUANTITY)
     lowest = F.least(F.col("_sum"), zero)
-    s = running_on(s, _low=("min", lowest))
     s = running_on(s, exclusive=True, _low0=("min", lowest))
+    before = F.coalesce("_low0", zero)
     return s.add(
-        held_after=(F.col("_sum") - F.col("_low")).cast(QUANTITY),
-        held_before=(F.col("_sum") - signed - F.coalesce("_low0", zero)).cast(QUANTITY),
+        held_after=(F.col("_sum") - F.least(before, lowest)).cast(QUANTITY),
+        held_before=(F.col("_sum") - signed - before).cast(QUANTITY),
     )
 
 
+def settled(s: Series) -> Series:
+    """A key of many chunks is read once per scan that follows, so it is written first; short keys are not."""
+    return s if s.single else s.using(settle(s.frame))
+
+
 def average_cost_book(trades: DataFrame, splits: DataFrame | None = None, key: Sequence[str] = BOOK_KEY, instrument: str = "instrument",
                       ts: str = "date", order: Sequence[str] = (), size: int = CHUNK_ROWS, width: int | None = 1) -> DataFrame:
     """One row per book: quantity, cost, realized profit, fees, and the number of oversold sells.
 
     A sell takes at most what is held but its profit counts the full sell value, as recorded; ``oversold`` flags such rows.
     """
-    ledger = book_ledger(trades, splits, key, instrument, ts, order, size, width)
+    ledger = book_ledger(trades, splits, key, instrument, ts, order, size, width, ("fee", "held_after"))
     keys = as_list(key)
     place_in_time = F.struct(ts, *order)
     return ledger.groupBy(*keys).agg(
@@ -73,8 +79,12 @@ def average_cost_book(trades: DataFrame, splits: DataFrame | None = None, key: S
 
 
 def book_ledger(trades: DataFrame, splits: DataFrame | None = None, key: Sequence[str] = BOOK_KEY, instrument: str = "instrument",
-                ts: str = "date", order: Sequence[str] = (), size: int = CHUNK_ROWS, width: int | None = 1) -> DataFrame:
-    """Every trade with holdings before and after, cost after it, and its realized profit."""
+                ts: str = "date", order: Sequence[str] = (), size: int = CHUNK_ROWS, width: int | None = 1,
+                columns: Sequence[str] | None = None) -> DataFrame:
+    """Every trade with holdings before and after, cost after it, and its realized profit.
+
+    ``columns`` limits what travels through the Python scan besides the key and the order.
+    """
     s = held_quantities(trades, splits, key, instrument, ts, order, size, width)
     value = (F.col("quantity") * F.col("price")).cast("decimal(38,12)")
     buy, held = F.col("side") == "buy", F.col("held_before") > 0
@@ -82,7 +92,16 @@ def book_ledger(trades: DataFrame, splits: DataFrame | None = None, key: Sequenc
     s = s.add(
         _keep=F.when(~buy & held, left).otherwise(1.0),
         _add=F.when(buy, (value + F.col("fee")).cast("double")).otherwise(0.0),
+        _gross=F.when(~buy & held, (value - F.col("fee")).cast("double")),
+        oversold=~buy & (F.col("_q") > F.col("held_before")),
     )
+    wanted = list(columns) if columns is not None else [*trades.columns, "held_before", "held_after"]
+    kept = list(dict.fromkeys([*s.keys, *s.order, *wanted, "oversold", "_keep", "_add", "_gross"]))
+    # decimals cross to Python as text: exact, and far cheaper than decimal objects
+    exact = {f.name: f.dataType for f in s.frame.schema.fields if f.name in kept and isinstance(f.dataType, T.DecimalType)}
+    hidden = [c for c in s.frame.columns if c in (*PLACEMENT, OWN)]
+    slim = s.using(s.frame.select(*[F.col(c).cast("string").alias(c) if c in exact else c for c in kept], *hidden))
+    slim = settled(slim)
 
     def step(pdf):
         keep, add = pdf["_keep"].to_numpy(dtype=float), pdf["_add"].to_numpy(dtype=float)
@@ -97,11 +116,10 @@ def book_ledger(trades: DataFrame, splits: DataFrame | None = None, key: Sequenc
         return {"cost": after, "_cost_before": np.concatenate([[start], after[:-1]])}
 
     outputs = [T.StructField("cost", T.DoubleType()), T.StructField("_cost_before", T.DoubleType())]
-    walked = chunk_scan(s, step, combine, replay, outputs, ["_keep", "_add"])
-    gain = (value - F.col("fee")).cast("double") - F.col("_cost_before") * (1 - F.col("_keep"))
-    return walked.withColumns({
-        "realized_pnl": F.when(~buy & held, gain).otherwise(0.0), "oversold": ~buy & (F.col("_q") > F.col("held_before")),
-    }).drop("_keep", "_add", "_cost_before", "_q", "_sum", "_low", "_low0", "_factor")
+    walked = chunk_scan(slim, step, combine, replay, outputs, ["_keep", "_add"])
+    gain = F.coalesce(F.col("_gross") - F.col("_cost_before") * (1 - F.col("_keep")), F.lit(0.0))
+    typed = {name: F.col(name).cast(kind) for name, kind in exact.items()}
+    return walked.withColumns({"realized_pnl": gain, **typed}).drop("_keep", "_add", "_gross", "_cost_before")
 
 
 def _costs(keep: np.ndarray, add: np.ndarray, start: float) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quoteflow.operators import quality as qc
 from quoteflow.operators.metrics import threshold_distribution
 from quoteflow.operators.timeline import last_rows
-from quoteflow.plans.scores import FIVE_COMPONENT_WEIGHTS, five_component, score_index
+from quoteflow.plans.scores import FIVE_COMPONENT_WEIGHTS, five_component_score
 
 POINTS = 756
 
@@ -16,7 +16,7 @@ POINTS = 756
 def scored_bars(bars: DataFrame, gate: DataFrame | None = None) -> DataFrame:
     """Five-component scores of the symbols that pass the strict gate."""
     gate = qc.strict_gate(bars) if gate is None else gate
-    return score_index(five_component(qc.passing(bars, gate)))
+    return five_component_score(qc.passing(bars, gate))
 
 
 def observation(bars: DataFrame, calendar: DataFrame, expected) -> tuple[DataFrame, DataFrame]:

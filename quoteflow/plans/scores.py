@@ -12,7 +12,7 @@ from quoteflow.functions.scalars import clip, col, mean_skip, mean_strict, nonze
 from quoteflow.operators.joins import align_ffill
 from quoteflow.operators.recursive import Mean, ar1, asymmetric, means_on, recursive_means, span, wilder
 from quoteflow.operators.ranks import avg_percentiles, percentile_set, prior_rank, rolling_percentile, rolling_rank, with_ranks
-from quoteflow.operators.timeline import CHUNK_ROWS, Series, as_list, place, placement_of, unplace
+from quoteflow.operators.timeline import CHUNK, CHUNK_ROWS, Series, as_list, place, placement_of, unplace
 
 # Fixed values of the models: factor weights, scale of the squash, filter weights.
 FOUR_FACTOR_WEIGHTS = {"market_position": 0.25, "etf_position": 0.25, "volatility": 0.25, "trend": 0.25}
@@ -23,6 +23,7 @@ SQUASH = 50.0
 FALLING, RISING = 0.55, 0.25
 TREND_SPANS = ((20, 3), (60, 6), (200, 20))
 RSI_WINDOWS = (6, 14, 21)
+FIVE_HALO = 272  # longest look-back of the five components: a 252-row rank over a 20-row change
 VOLATILITY = ("_v20", "_v60", "_atr")
 
 
@@ -83,8 +84,8 @@ def oscillators(bars: DataFrame, windows: Sequence[int] = RSI_WINDOWS, macd: boo
 
 def five_component(bars: DataFrame, key="symbol", ts: str = "date", size: int = CHUNK_ROWS) -> DataFrame:
     """Five components from a symbol's own bars, each on -100..100 (bars must have passed ``strict_gate``)."""
-    placed = place(bars, 272, 0, key, ts, size)
-    s = Series.cut(oscillators(placed, key=key, ts=ts, size=size), 272, key, ts)
+    placed = bars if CHUNK in bars.columns else place(bars, FIVE_HALO, 0, key, ts, size)
+    s = Series.cut(oscillators(placed, key=key, ts=ts, size=size), FIVE_HALO, key, ts)
     s = s.add(
         _ret=fs.change(s, "a_close"),
         _loc=fs.close_location("a_high", "a_low", "a_close"),
@@ -116,6 +117,12 @@ def five_component(bars: DataFrame, key="symbol", ts: str = "date", size: int =
     return out.select(*bars.columns, *FIVE_COMPONENT_WEIGHTS)
 
 
+def five_component_score(bars: DataFrame, key="symbol", ts: str = "date", size: int = CHUNK_ROWS) -> DataFrame:
+    """Components, raw score and filtered score; the rows are counted once for all steps."""
+    placed = place(bars, FIVE_HALO, 0, key, ts, size)
+    return unplace(score_index(five_component(placed, key, ts), key, ts))
+
+
 def score_index(components: DataFrame, key="symbol", ts: str = "date", size: int = CHUNK_ROWS) -> DataFrame:
     """``score_raw`` (squashed weighted sum) and ``score`` (asymmetric filter of it)."""
     linear = sum((F.col(c) * w for c, w in FIVE_COMPONENT_WEIGHTS.items()), F.lit(0.0))

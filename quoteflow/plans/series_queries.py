@@ -436,7 +436,7 @@ five AS (SELECT c3.*, c5.y AS score FROM c3 LEFT JOIN c4 ON c4.symbol = c3.symbo
 
 @query("sc2_five_component", f"""{FIVE} SELECT symbol, date, {', '.join(r(c, c, 3) for c in ('price_position', 'momentum', 'volume_flow', 'volatility_state', 'urgency', 'score_raw', 'score'))} FROM five""")
 def _(spark, sf):
-    out = scores.score_index(scores.five_component(fx.daily_bars(spark, sf)))
+    out = scores.five_component_score(fx.daily_bars(spark, sf))
     names = [*scores.FIVE_COMPONENT_WEIGHTS, "score_raw", "score"]
     return rounded(out.select(*KEY, *names), 3, *names)
 

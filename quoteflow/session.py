@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, app: str = "quoteflow") -> SparkSession:
@@ -26,12 +26,16 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "quote
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster; a fresh one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    existing = spark.sparkContext.getCheckpointDir()
-    if existing:
-        return existing
-    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(folder)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several later steps read, so that none of them computes it again."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()

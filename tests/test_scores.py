@@ -103,7 +103,7 @@ def five(g):
 
 @pytest.mark.parametrize("size", [100, 100_000])
 def test_five_component_score(spark, data, size):
-    rows = scores.score_index(scores.five_component(to_spark(spark, data), size=size), size=size)
+    rows = scores.five_component_score(to_spark(spark, data), size=size)
     got = collect(rows)
     want = per_key(data, five)
     np.testing.assert_allclose(got["score"].astype(float), want, atol=1e-8, equal_nan=True)
