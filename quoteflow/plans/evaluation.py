@@ -17,6 +17,7 @@ from quoteflow.operators.metrics import performance_columns
 from quoteflow.operators.ranking import argmax_first
 from quoteflow.operators.signals import STEPS, crossing_events, ladder_on
 from quoteflow.operators.timeline import CHUNK_ROWS, Series, as_list, is_single, place, placement_of, positions, running_on, unplace
+from quoteflow.session import settle
 
 # Sweep grid, spacing of the levels, friction in basis points, gates of the choice.
 GRID_BUYS = range(-45, -81, -5)
@@ -153,12 +154,18 @@ def evaluate(scored: DataFrame, buys: Sequence[float] = DEFAULT_BUYS, sells: Seq
     """(equity curve, trades) of one threshold pair for every key. Keys with fewer than three usable rows give none."""
     keys = as_list(key)
     pairs = [(buys, sells)]
-    rows = enough_rows(prepare(scored, keys, ts, size), keys)
+    rows = _once(enough_rows(prepare(scored, keys, ts, size), keys))
     filled = fills(decisions(rows, pairs, keys, ts, size), [bps], keys, size, is_single(rows))
+    filled = filled if is_single(rows) else settle(filled)
     curve = unplace(curves(rows, filled, pairs, [bps], keys, ts, size).done())
     return curve.select(*keys, ts, "equity", "position"), trades_of(filled).drop("run", "friction", "cycle")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Rows of long keys are read by the decision scan and by the curves: write them in between."""
+    return rows if is_single(rows) else settle(rows)
+
+
 def enough_rows(rows: DataFrame, key) -> DataFrame:
     keys = as_list(key)
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= MIN_RUN)
@@ -169,7 +176,8 @@ def run_metrics(rows: DataFrame, pairs, frictions, key="symbol", ts: str = "date
     """Performance of every (key, run, friction)."""
     keys = as_list(key)
     run = [*keys, "run", "friction"]
-    filled = fills(decisions(rows, pairs, keys, ts, size), frictions, keys, size, is_single(rows))
+    rows = settle(rows)  # both are read twice
+    filled = settle(fills(decisions(rows, pairs, keys, ts, size), frictions, keys, size, is_single(rows)))
     s = curves(rows, filled, pairs, frictions, keys, ts, size)
     table = running_on(s, _peak=("max", F.col("equity"))).done().groupBy(*run).agg(
         F.count(F.lit(1)).alias("_n"), F.min_by("equity", ts).alias("_first"), F.max_by("equity", ts).alias("_last"),
@@ -188,8 +196,7 @@ def sweep(scored: DataFrame, pairs=None, frictions: Sequence[float] = FRICTIONS,
     """Metrics of every threshold pair, friction and fold (0 = holdout) of the keys with enough history."""
     pairs = pairs or sweep_pairs()
     usable = scored.na.drop(subset=["open", "close", "score"])
-    counted = usable.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= MIN_ROWS)
-    split = walk_split(usable.join(counted.select(key), key, "left_semi"), key=key, ts=ts)
+    split = walk_split(usable, key=key, ts=ts).where(F.col("n") >= MIN_ROWS)
     rows = prepare(split, [key, "fold"], ts, size)
     return run_metrics(rows, pairs, frictions, [key, "fold"], ts, size)
 
