@@ -253,3 +253,25 @@ QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 756""")
 def _(spark, sf):
     out = ob.indicator_history(scores.two_input_score(fx.daily_bars(spark, sf), FROZEN_PARAMETERS))
     return rounded(out, 4, "score", "percentile")
+
+
+@query("sc5_history_view", f"""{TWO}, w AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 600),
+l AS (SELECT symbol, arg_max(coalesce(score, 'nan'::DOUBLE), date) AS cur FROM two GROUP BY 1)
+SELECT w.symbol, count(score) AS observations, {r('min(score)', 'observed_min', 3)}, {r('max(score)', 'observed_max', 3)}, count_if(score <= -20) AS fear_days, count_if(score >= 20) AS greed_days,
+  CASE WHEN NOT isnan(any_value(cur)) THEN count_if(score >= cur) END AS at_or_above_current FROM w JOIN l USING (symbol) GROUP BY 1""")
+def _(spark, sf):
+    _points, table = ob.history_view(scores.two_input_score(fx.daily_bars(spark, sf), FROZEN_PARAMETERS), 600)
+    at = lambda t, op: F.max(F.when((F.col("threshold") == t) & (F.col("operator") == op), F.col("count")))
+    out = table.groupBy("symbol", "observations", "observed_min", "observed_max", "at_or_above_current").agg(
+        at(-20, "<=").alias("fear_days"), at(20, ">=").alias("greed_days"))
+    return rounded(out, 3, "observed_min", "observed_max")
+
+
+@query("flt1_predicates", """SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS date, o_totalprice FROM orders
+WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' AND o_totalprice IS NOT NULL AND o_custkey <> 1""")
+def _(spark, sf):
+    # every predicate is on a stored column, so the scan gets all of them
+    return fx.table(spark, sf, "orders").where(
+        F.col("o_orderpriority").isin("1-URGENT", "5-LOW") & (F.col("o_orderstatus") == "F") & (F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz"))
+        & (F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")) & F.col("o_totalprice").isNotNull() & (F.col("o_custkey") != 1)
+    ).select("o_orderkey", "o_orderpriority", F.to_date("o_orderdate").alias("date"), "o_totalprice")
