@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,15 +23,18 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "quote
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a fresh one only where none is set."""
+    """Shared checkpoint folder named by the cluster; a fresh one only in local mode, where none is set."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("executors need a shared folder for intermediate results: set spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -39,3 +45,20 @@ def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate result that several later steps read, so that none of them computes it again."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the application, once; needed where it is not installed on them."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
