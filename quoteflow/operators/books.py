@@ -1,8 +1,10 @@
 """Average-cost books, positions and currency totals.
 
-The walk through a trade list is split into two scans. Held quantity is a reflected running sum (it never goes below zero):
+The walk through a trade list is split into scans. Held quantity is a reflected running sum (it never goes below zero):
 running total minus the lowest total so far, both exact decimals and plain running aggregates. Cost is then linear in the cost
-before, so it is an associative scan over chunks.
+before: what a buy adds is later multiplied by the share that each sell leaves. A book's cost at the end is therefore a sum over buys of their
+cost times a running product from the end, and its realized profit follows from the totals; no row is replayed. The ledger, which
+shows the cost after every trade, is an associative scan over chunks.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,44 +24,66 @@ from quoteflow.session import settle
 
 BOOK_KEY = ("kind", "instrument")
 QUANTITY = "decimal(38,12)"
+#: quantities on the common scale; whole multipliers; money
+SCALED, MULTIPLIER, MONEY = "decimal(38,6)", "decimal(18,0)", "decimal(38,12)"
+
+
+def _later_splits(splits: DataFrame, instrument: str, ts: str) -> DataFrame:
+    """Per instrument: an array of (day, n, d), each split factor as the fraction n/d with the smallest fitting d up to 1000."""
+    near = lambda d: F.abs(F.col("split_factor") * d - F.round(F.col("split_factor") * d)) < 1e-9 * d
+    d = F.coalesce(F.filter(F.sequence(F.lit(1), F.lit(1000)), lambda k: near(k) & (F.round(F.col("split_factor") * k) > 0))[0], F.lit(1_000_000))
+    fraction = F.struct(F.col(ts).alias("day"), F.round(F.col("split_factor") * F.col("_d")).cast(MULTIPLIER).alias("n"), F.col("_d").cast(MULTIPLIER).alias("d"))
+    events = split_events(splits, instrument, ts).withColumn("_d", d)
+    return events.groupBy(instrument).agg(F.collect_list(fraction).alias("_splits"))  # days are unique per instrument and splits rare
 
 
 def held_quantities(trades: DataFrame, splits: DataFrame | None, key: Sequence[str] = BOOK_KEY, instrument: str = "instrument",
                     ts: str = "date", order: Sequence[str] = (), size: int = CHUNK_ROWS, width: int | None = 1) -> Series:
-    """Trades with the quantity held before and after, in units after all splits, on a cut series.
+    """Trades with the quantity held before and after, in units of their day, on a cut series.
 
-    A split scales what is held on the day before trades of that day; multiplying every quantity by the splits still to come
-    puts the whole list on one scale, so that one running sum serves all of it.
+    A split scales what is held on the day before trades of that day. Every quantity is multiplied by the numerators of splits still to come and
+    the denominators of those that were: whole numbers, so one exact running sum serves the whole list. ``_unit`` is that multiplier and
+    ``_whole`` the one after all splits.
     """
     keys = as_list(key)
-    rows = trades
+    one = F.lit(1).cast(MULTIPLIER)
     if splits is not None:
-        events = split_events(splits, instrument, ts).groupBy(instrument).agg(
-            F.collect_list(F.struct(F.col(ts).alias("d"), F.col("split_factor").alias("f"))).alias("_splits")
-        )  # dates are unique per instrument and splits rare
-        later = F.filter("_splits", lambda e: e["d"] > F.col(ts))
-        factor = F.aggregate(later, F.lit(1.0), lambda acc, e: acc * e["f"])
-        rows = rows.join(events, instrument, "left").withColumn("_factor", F.coalesce(factor, F.lit(1.0))).drop("_splits")
+        rows = trades.join(_later_splits(splits, instrument, ts), instrument, "left")
+        both = F.aggregate("_splits", one, lambda acc, e: (acc * F.when(e["day"] > F.col(ts), e["n"]).otherwise(e["d"])).cast(MULTIPLIER))
+        after = F.aggregate("_splits", one, lambda acc, e: (acc * e["d"]).cast(MULTIPLIER))
+        rows = rows.withColumns({"_unit": F.coalesce(both, one), "_whole": F.coalesce(after, one)}).drop("_splits")
     else:
-        rows = rows.withColumn("_factor", F.lit(1.0))
-    scaled = (F.col("quantity") * F.col("_factor").cast("decimal(18,6)")).cast(QUANTITY)
-    rows = rows.withColumn("_q", scaled)
+        rows = trades.withColumns({"_unit": one, "_whole": one})
+    rows = rows.withColumn("_q", (F.col("quantity").cast("decimal(18,6)") * F.col("_unit")).cast(SCALED))
     signed = F.when(F.col("side") == "buy", F.col("_q")).otherwise(-F.col("_q"))
-    s = Series.cut(rows, 0, keys, ts, size, width, order)
-    s = settled(running_on(s, _sum=("sum", signed)))
-    zero = F.lit(0).cast(QUANTITY)
-    lowest = F.least(F.col("_sum"), zero)
+    s = running_on(Series.cut(rows, 0, keys, ts, size, width, order), _sum=("sum", signed))
+    zero = F.lit(0).cast(SCALED)
+    lowest = F.least(F.col("_sum").cast(SCALED), zero)
     s = running_on(s, exclusive=True, _low0=("min", lowest))
     before = F.coalesce("_low0", zero)
+    s = s.add(_after=(F.col("_sum") - F.least(before, lowest)).cast(SCALED), _before=(F.col("_sum") - signed - before).cast(SCALED))
     return s.add(
-        held_after=(F.col("_sum") - F.least(before, lowest)).cast(QUANTITY),
-        held_before=(F.col("_sum") - signed - before).cast(QUANTITY),
+        held_after=_divided("_after", "_unit"), held_before=_divided("_before", "_unit"),
+        oversold=(F.col("side") != "buy") & (F.col("_q") > F.col("_before")),
     )
 
 
-def settled(s: Series) -> Series:
-    """A key of many chunks is read once per scan that follows, so it is written first; short keys are not."""
-    return s if s.single else s.using(settle(s.frame))
+def _divided(scaled: str, unit: str) -> Column:
+    # whole part and rest apart, so that the quotient keeps its digits
+    whole = F.floor(F.col(scaled) / F.col(unit).cast("decimal(20,0)")).cast("decimal(26,0)")
+    rest = (F.col(scaled) - whole * F.col(unit)).cast("decimal(30,6)")
+    return (whole.cast("decimal(36,12)") + (rest.cast("double") / F.col(unit).cast("double")).cast("decimal(20,12)")).cast(QUANTITY)
+
+
+def _money(s: Series) -> Series:
+    """What a trade adds to the cost, what share of it a sell leaves, and the proceeds of sells of something held."""
+    value = (F.col("quantity") * F.col("price")).cast(MONEY)
+    buy, held = F.col("side") == "buy", F.col("_before") > 0
+    left = F.col("_after").cast("double") / F.col("_before").cast("double")
+    return s.add(
+        _keep=F.when(~buy & held, left).otherwise(1.0), _add=F.when(buy, (value + F.col("fee")).cast(MONEY)),
+        _gross=F.when(~buy & held, (value - F.col("fee")).cast(MONEY)),
+    )
 
 
 def average_cost_book(trades: DataFrame, splits: DataFrame | None = None, key: Sequence[str] = BOOK_KEY, instrument: str = "instrument",
@@ -68,51 +92,46 @@ def average_cost_book(trades: DataFrame, splits: DataFrame | None = None, key: S
 
     A sell takes at most what is held but its profit counts the full sell value, as recorded; ``oversold`` flags such rows.
     """
-    ledger = book_ledger(trades, splits, key, instrument, ts, order, size, width, ("fee", "held_after"))
+    s = _money(held_quantities(trades, splits, key, instrument, ts, order, size, width))
+    s = running_on(s, reverse=True, exclusive=True, _rest=("product", F.col("_keep")))
     keys = as_list(key)
     place_in_time = F.struct(ts, *order)
-    return ledger.groupBy(*keys).agg(
-        F.max_by("held_after", place_in_time).alias("quantity"), F.max_by("cost", place_in_time).alias("cost"),
-        F.sum("realized_pnl").alias("realized_pnl"), F.sum("fee").alias("fees"),
-        F.count_if(F.col("oversold")).alias("oversold"), F.count(F.lit(1)).alias("trades"),
+    added, proceeds = F.sum("_add").alias("_added"), F.sum("_gross").alias("_proceeds")
+    rows = s.done().groupBy(*keys).agg(
+        F.max_by(F.struct("_after", "_whole"), place_in_time).alias("_end"), F.sum(F.col("_add").cast("double") * F.coalesce("_rest", F.lit(1.0))).alias("_cost"),
+        added, proceeds, F.sum("fee").alias("fees"), F.count_if(F.col("oversold")).alias("oversold"), F.count(F.lit(1)).alias("trades"),
+    )
+    # cost runs from nothing to _cost: all that was added and is not in it went into sells
+    gain = F.coalesce("_proceeds", F.lit(0)) - F.coalesce("_added", F.lit(0))
+    rows = rows.withColumns({"_after": F.col("_end._after"), "_whole": F.col("_end._whole"), "cost": F.coalesce("_cost", F.lit(0.0))})
+    return rows.select(
+        *keys, _divided("_after", "_whole").alias("quantity"), F.col("cost"), (gain.cast("double") + F.col("cost")).alias("realized_pnl"), "fees", "oversold", "trades",
     )
 
 
 def book_ledger(trades: DataFrame, splits: DataFrame | None = None, key: Sequence[str] = BOOK_KEY, instrument: str = "instrument",
-                ts: str = "date", order: Sequence[str] = (), size: int = CHUNK_ROWS, width: int | None = 1,
-                columns: Sequence[str] | None = None) -> DataFrame:
-    """Every trade with holdings before and after, cost after it, and its realized profit.
-
-    ``columns`` limits what travels through the Python scan besides the key and the order.
-    """
-    s = held_quantities(trades, splits, key, instrument, ts, order, size, width)
-    value = (F.col("quantity") * F.col("price")).cast("decimal(38,12)")
-    buy, held = F.col("side") == "buy", F.col("held_before") > 0
-    left = F.col("held_after").cast("double") / F.col("held_before").cast("double")
-    s = s.add(
-        _keep=F.when(~buy & held, left).otherwise(1.0),
-        _add=F.when(buy, (value + F.col("fee")).cast("double")).otherwise(0.0),
-        _gross=F.when(~buy & held, (value - F.col("fee")).cast("double")),
-        oversold=~buy & (F.col("_q") > F.col("held_before")),
-    )
-    wanted = list(columns) if columns is not None else [*trades.columns, "held_before", "held_after"]
-    kept = list(dict.fromkeys([*s.keys, *s.order, *wanted, "oversold", "_keep", "_add", "_gross"]))
+                ts: str = "date", order: Sequence[str] = (), size: int = CHUNK_ROWS, width: int | None = 1) -> DataFrame:
+    """Every trade with holdings before and after (in units of its day), cost after it, and its realized profit."""
+    s = _money(held_quantities(trades, splits, key, instrument, ts, order, size, width))
+    kept = list(dict.fromkeys([*s.keys, *s.order, *trades.columns, "held_before", "held_after", "oversold", "_keep", "_add", "_gross"]))
     # decimals cross to Python as text: exact, and far cheaper than decimal objects
-    exact = {f.name: f.dataType for f in s.frame.schema.fields if f.name in kept and isinstance(f.dataType, T.DecimalType)}
+    exact = {f.name: f.dataType for f in s.frame.schema.fields if f.name in kept and isinstance(f.dataType, T.DecimalType) and f.name not in ("_add", "_gross")}
+    amounts = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c == "_add" else F.col(c).cast("double") for c in ("_add", "_gross")}
     hidden = [c for c in s.frame.columns if c in (*PLACEMENT, OWN)]
-    slim = s.using(s.frame.select(*[F.col(c).cast("string").alias(c) if c in exact else c for c in kept], *hidden))
-    slim = settled(slim)
+    columns = [amounts[c].alias(c) if c in amounts else F.col(c).cast("string").alias(c) if c in exact else F.col(c) for c in kept]
+    slim = s.using(settle(s.frame.select(*columns, *hidden)))  # read by both passes of the scan
 
     def step(pdf):
-        keep, add = pdf["_keep"].to_numpy(dtype=float), pdf["_add"].to_numpy(dtype=float)
-        return np.array([keep.prod(), _costs(keep, add, 0.0)[-1]])
+        keep, add = _composed(pdf["_keep"].to_numpy(dtype=float), pdf["_add"].to_numpy(dtype=float))
+        return np.array([keep[-1], add[-1]])
 
     def combine(seed, vector):
         return np.array([vector[0] * (0.0 if seed is None else seed[0]) + vector[1]])
 
     def replay(pdf: pd.DataFrame, seed):
         start = 0.0 if seed is None else float(seed[0])
-        after = _costs(pdf["_keep"].to_numpy(dtype=float), pdf["_add"].to_numpy(dtype=float), start)
+        keep, add = _composed(pdf["_keep"].to_numpy(dtype=float), pdf["_add"].to_numpy(dtype=float))
+        after = keep * start + add
         return {"cost": after, "_cost_before": np.concatenate([[start], after[:-1]])}
 
     outputs = [T.StructField("cost", T.DoubleType()), T.StructField("_cost_before", T.DoubleType())]
@@ -122,12 +141,14 @@ def book_ledger(trades: DataFrame, splits: DataFrame | None = None, key: Sequenc
     return walked.withColumns({"realized_pnl": gain, **typed}).drop("_keep", "_add", "_gross", "_cost_before")
 
 
-def _costs(keep: np.ndarray, add: np.ndarray, start: float) -> np.ndarray:
-    out, cost = np.empty(len(keep)), start
-    for i, (k, a) in enumerate(zip(keep.tolist(), add.tolist(), strict=True)):
-        cost = cost * k + a
-        out[i] = cost
-    return out
+def _composed(keep: np.ndarray, add: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the map cost -> keep * cost + add of all rows up to it, by doubling."""
+    keep, add, reach = keep.copy(), add.copy(), 1
+    while reach < len(keep):
+        add[reach:] = add[:-reach] * keep[reach:] + add[reach:]
+        keep[reach:] = keep[:-reach] * keep[reach:]
+        reach *= 2
+    return keep, add
 
 
 def positions_view(book: DataFrame, bars: DataFrame, instrument: str = "instrument", ts: str = "date") -> DataFrame:

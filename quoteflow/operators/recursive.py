@@ -8,7 +8,7 @@ chunk, and the chunks are replayed in parallel from their seeds. Keys with a sin
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,14 +58,17 @@ def chunk_scan(
         head[STEP] = [np.asarray(step(pdf.sort_values(sort, kind="stable")), dtype=float).tolist()]
         return head
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        # the seed of a chunk is the state after the chunks before it
-        pdf = pdf.sort_values(CHUNK)
-        seed, seeds = None, []
-        for vector in pdf[STEP]:
-            seeds.append(None if seed is None else seed.tolist())
-            seed = np.asarray(combine(seed, np.asarray(vector, dtype=float)), dtype=float)
-        return pdf[[*keys, CHUNK]].assign(**{SEED: seeds})
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # the seed of a chunk is the state after the chunks before it; steps come sorted, so one batch and one state are held
+        known, seed = None, None
+        for pdf in batches:
+            seeds = []
+            for name, vector in zip(pdf[keys].itertuples(index=False, name=None), pdf[STEP], strict=True):
+                if name != known:
+                    known, seed = name, None
+                seeds.append(None if seed is None else seed.tolist())
+                seed = np.asarray(combine(seed, np.asarray(vector, dtype=float)), dtype=float)
+            yield pdf[[*keys, CHUNK]].assign(**{SEED: seeds})
 
     head_fields = [*_fields(cut, keys), T.StructField(CHUNK, T.LongType())]
     vector = T.ArrayType(T.DoubleType())
@@ -73,7 +76,8 @@ def chunk_scan(
         cut.where(F.col(SUCC).isNotNull() | F.col(PRED).isNotNull()).select(*used).groupBy(*keys, CHUNK)
         .applyInPandas(summarise, T.StructType([*head_fields, T.StructField(STEP, vector)]))
     )
-    seeds = steps.groupBy(*keys).applyInPandas(fold, T.StructType([*head_fields, T.StructField(SEED, vector)]))
+    ordered = steps.repartition(*keys).sortWithinPartitions(*keys, CHUNK)
+    seeds = ordered.mapInPandas(fold, T.StructType([*head_fields, T.StructField(SEED, vector)]))
     seeded = cut.join(seeds, [*keys, CHUNK], "left")
     return seeded.groupBy(*keys, CHUNK).applyInPandas(run, result)
 
@@ -156,16 +160,21 @@ def warmup_values(weight: float) -> int:
     return math.ceil(-31 * math.log(10) / math.log(1 - weight))
 
 
-def _filter(values: list[float], falling: float, rising: float, previous: float | None) -> list[float]:
-    result = []
-    for value in values:
-        if previous is None:
-            previous = value
-        else:
-            weight = falling if value < previous else rising
-            previous = weight * value + (1 - weight) * previous
-        result.append(previous)
-    return result
+def _filter(values: np.ndarray, falling: float, rising: float, previous: float | None, needed: int) -> np.ndarray:
+    """Filtered values. Stretches of at least ``needed`` values run side by side as columns, each after a warm-up of ``needed``
+    values before it, which leaves nothing of its start."""
+    n = len(values)
+    width = max(needed, math.isqrt(n))
+    lead = np.full(width, values[0] if n and previous is None else previous or 0.0)  # equal values keep the filter where it starts
+    padded = np.concatenate([lead, values, np.zeros(-n % width)])
+    columns = padded.reshape(-1, width).T
+    state, result = columns[0, :-1].copy(), np.empty((width, columns.shape[1] - 1))
+    for row in columns[:, :-1]:
+        state += np.where(row < state, falling, rising) * (row - state)
+    for k, row in enumerate(columns[:, 1:]):
+        state += np.where(row < state, falling, rising) * (row - state)
+        result[k] = state
+    return result.T.ravel()[:n]
 
 
 def asymmetric(df: DataFrame, column: str, out: str, falling: float = 0.55, rising: float = 0.25,
@@ -186,14 +195,14 @@ def asymmetric(df: DataFrame, column: str, out: str, falling: float = 0.55, risi
 
     def combine(seed, vector):
         start = None if seed is None or not len(seed) else float(seed[0])
-        values = _filter(vector.tolist(), falling, rising, start)
-        return np.array(values[-1:] or ([] if start is None else [start]))
+        values = _filter(vector, falling, rising, start, needed)
+        return values[-1:] if len(values) else np.array([] if start is None else [start])
 
     def replay(pdf, seed):
         x, ok = known(pdf)
         result = np.full(len(x), np.nan)
         start = None if seed is None or not len(seed) else float(seed[0])
-        result[ok] = _filter(x[ok].tolist(), falling, rising, start)
+        result[ok] = _filter(x[ok], falling, rising, start, needed)
         return {out: result}
 
     s = Series.cut(df, 0, key, ts, size, width)

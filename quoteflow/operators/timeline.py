@@ -7,8 +7,8 @@ copies of the last ``halo`` rows before it. A frame that looks back at most ``ha
 inside its chunk. Running aggregates add one small table with a row per chunk.
 
 The cut depends only on the data (time bucket and row counts), never on task order, so a lost executor
-recomputes the same chunks. Row counts are taken first: when every key fits one chunk, the cut is a constant and
-nothing is copied, joined or summarised.
+recomputes the same chunks. There is one path for every size: a short key is a key with one chunk, and no job runs before the
+action. Only a caller that knows its keys to be short by their nature says so (``short``), and then nothing is cut.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ SUCC = "_succ"  # the key's next non-empty chunk, null in the last
 PRED = "_pred"  # the key's previous non-empty chunk, null in the first
 FROM, TO = "_from", "_to"  # range of chunks that need the row
 BUCKET = "_bucket"
-SINGLE = "single_chunk"
 PLACEMENT = (CHUNK, SUCC, PRED, FROM, TO)
 
 CHUNK_ROWS = 16384
@@ -81,14 +80,8 @@ def bucket_layout(df: DataFrame, key, ts: str, halo: int = 0, ahead: int = 0, si
     return table.select(*keys, BUCKET, CHUNK, SUCC, PRED, FROM, TO, "_start", "_total")
 
 
-def longest_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the longest key (reads the key columns only; one number comes back)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(F.max("_n")).first()[0] or 0
-
-
 def one_chunk(df: DataFrame) -> DataFrame:
-    return df.withColumn(CHUNK, F.lit(0).cast("bigint").alias(CHUNK, metadata={SINGLE: True}))
+    return df.withColumn(CHUNK, F.lit(0).cast("bigint"))
 
 
 def place(df: DataFrame, halo: int = 0, ahead: int = 0, key="symbol", ts: str = "date", size: int = CHUNK_ROWS,
@@ -101,17 +94,10 @@ def place(df: DataFrame, halo: int = 0, ahead: int = 0, key="symbol", ts: str =
     """
     keys = as_list(key)
     size = max(size, halo, ahead, 1)
-    if longest_key(df, keys) <= size:
-        return one_chunk(df)
     layout = bucket_layout(df, keys, ts, halo, ahead, size, width).drop("_start", "_total")
     return df.withColumn(BUCKET, time_bucket(df, ts, width)).join(layout, [*keys, BUCKET]).drop(BUCKET)
 
 
-def is_single(df: DataFrame) -> bool:
-    """Whether every key of a placed frame fits one chunk."""
-    return bool(df.schema[CHUNK].metadata.get(SINGLE))
-
-
 def placement_of(df: DataFrame) -> list[str]:
     return [c for c in PLACEMENT if c in df.columns]
 
@@ -137,12 +123,12 @@ class Series:
             width: int | None = None, order: Sequence[str] = (), ahead: int = 0, short: bool = False) -> Series:
         """Cut ``df`` (reusing its placement if it has one); ``order`` breaks ties of ``ts``.
 
-        ``short`` states that every key is known to fit one chunk, so nothing is counted.
+        ``short`` states that keys have few rows by their nature, so that nothing is cut.
         """
         keys = as_list(key)
         placed = CHUNK in df.columns
         rows = df if placed else one_chunk(df) if short else place(df, halo, ahead, keys, ts, size, width)
-        single = is_single(rows)
+        single = short and not placed
         if (halo or ahead) and not single:
             rows = rows.withColumn("_at", F.explode(F.sequence(FROM, TO)))
             rows = rows.withColumn(OWN, F.col("_at") == F.col(CHUNK)).withColumn(CHUNK, F.col("_at")).drop("_at")

@@ -16,7 +16,7 @@ from quoteflow.operators.joins import DEFAULT_BUYS, DEFAULT_SELLS
 from quoteflow.operators.metrics import performance_columns
 from quoteflow.operators.ranking import argmax_first
 from quoteflow.operators.signals import STEPS, crossing_events, ladder_on
-from quoteflow.operators.timeline import CHUNK_ROWS, Series, as_list, is_single, place, placement_of, positions, running_on, unplace
+from quoteflow.operators.timeline import CHUNK_ROWS, Series, as_list, place, placement_of, positions, running_on, unplace
 from quoteflow.session import settle
 
 # Sweep grid, spacing of the levels, friction in basis points, gates of the choice.
@@ -106,8 +106,8 @@ def _fill_step(friction: Column):
     return step
 
 
-def fills(made: DataFrame, frictions: Sequence[float], key="symbol", size: int = CHUNK_ROWS, short: bool = False) -> DataFrame:
-    """Fills with the account after them, per (key, run, friction); ``short`` when the bars of a key fit one chunk."""
+def fills(made: DataFrame, frictions: Sequence[float], key="symbol", size: int = CHUNK_ROWS) -> DataFrame:
+    """Fills with the account after them, per (key, run, friction)."""
     run = [*as_list(key), "run", "friction"]
     cycle = made.groupBy(*as_list(key), "run", "cycle").agg(
         F.array_sort(F.collect_list(F.struct(F.col("fill_date").alias("date"), F.col("fill_price").alias("price"), "steps"))).alias("_fills")
@@ -116,7 +116,7 @@ def fills(made: DataFrame, frictions: Sequence[float], key="symbol", size: int =
     record = "array<struct<date:date,price:double,steps:int,cash:double,units:double,trade:double,cost:double,realized_pnl:double,cash0:double,units0:double>>"
     start = F.struct(F.lit(1.0).alias("cash"), F.lit(0.0).alias("units"), F.lit(0.0).alias("basis"), F.array().cast(record).alias("fills"))
     folded = each.withColumn("_end", F.aggregate("_fills", start, _fill_step(F.col("friction") / 10_000)))
-    s = Series.cut(folded.select(*run, "cycle", "_end"), 1, run, "cycle", size, short=short)
+    s = Series.cut(folded.select(*run, "cycle", "_end"), 1, run, "cycle", size)
     s = s.add(_gain=F.coalesce(s.let(F.lag(F.col("_end")["cash"]).over(s.window())), F.lit(1.0)))
     scaled = running_on(s, _scale=("product", F.col("_gain"))).done()
     rows = scaled.select(*run, "cycle", "_scale", F.inline(F.col("_end")["fills"]))
@@ -154,18 +154,12 @@ def evaluate(scored: DataFrame, buys: Sequence[float] = DEFAULT_BUYS, sells: Seq
     """(equity curve, trades) of one threshold pair for every key. Keys with fewer than three usable rows give none."""
     keys = as_list(key)
     pairs = [(buys, sells)]
-    rows = _once(enough_rows(prepare(scored, keys, ts, size), keys))
-    filled = fills(decisions(rows, pairs, keys, ts, size), [bps], keys, size, is_single(rows))
-    filled = filled if is_single(rows) else settle(filled)
+    rows = settle(enough_rows(prepare(scored, keys, ts, size), keys))  # read by the decision scan and by the curves
+    filled = settle(fills(decisions(rows, pairs, keys, ts, size), [bps], keys, size))
     curve = unplace(curves(rows, filled, pairs, [bps], keys, ts, size).done())
     return curve.select(*keys, ts, "equity", "position"), trades_of(filled).drop("run", "friction", "cycle")
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """Rows of long keys are read by the decision scan and by the curves: write them in between."""
-    return rows if is_single(rows) else settle(rows)
-
-
 def enough_rows(rows: DataFrame, key) -> DataFrame:
     keys = as_list(key)
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= MIN_RUN)
@@ -177,7 +171,7 @@ def run_metrics(rows: DataFrame, pairs, frictions, key="symbol", ts: str = "date
     keys = as_list(key)
     run = [*keys, "run", "friction"]
     rows = settle(rows)  # both are read twice
-    filled = settle(fills(decisions(rows, pairs, keys, ts, size), frictions, keys, size, is_single(rows)))
+    filled = settle(fills(decisions(rows, pairs, keys, ts, size), frictions, keys, size))
     s = curves(rows, filled, pairs, frictions, keys, ts, size)
     table = running_on(s, _peak=("max", F.col("equity"))).done().groupBy(*run).agg(
         F.count(F.lit(1)).alias("_n"), F.min_by("equity", ts).alias("_first"), F.max_by("equity", ts).alias("_last"),

@@ -9,7 +9,7 @@ from quoteflow.functions import series as fs
 from quoteflow.operators import recursive as rec
 from quoteflow.operators.ranks import prior_rank, rolling_percentile, rolling_rank, with_ranks
 from quoteflow.operators.smoothing import interpolate, smooth
-from quoteflow.operators.timeline import CHUNK, Series, is_single, last_rows, place, positions, running, running_on
+from quoteflow.operators.timeline import CHUNK, Series, last_rows, place, positions, running, running_on
 from tests.series_data import collect, frame, to_spark
 
 SIZE = 60
@@ -35,7 +35,6 @@ def same(got, want, tol=1e-9):
 
 def test_hot_key_spans_chunks_and_every_row_has_one_owner(df, data):
     placed = place(df, 5, 5, size=SIZE)
-    assert not is_single(placed)
     assert placed.where("symbol = 'HOT'").select(CHUNK).distinct().count() > 5
     cut = Series.cut(df, 30, size=SIZE, ahead=7)
     assert cut.done().count() == len(data)
@@ -43,8 +42,12 @@ def test_hot_key_spans_chunks_and_every_row_has_one_owner(df, data):
     assert biggest < 400  # bounded by chunk + bucket + halo, not by the key
 
 
-def test_short_keys_are_not_cut(spark, data):
-    assert is_single(place(to_spark(spark, data)))
+def test_placing_runs_no_job(spark, df):
+    spark.sparkContext.setJobGroup("placing", "none expected")
+    place(df, 5, 5, size=SIZE)
+    Series.cut(df, 30, size=SIZE)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("placing")
+    spark.sparkContext.setJobGroup("tests", "")
 
 
 def test_look_back_windows(df, data):

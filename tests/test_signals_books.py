@@ -148,6 +148,35 @@ def test_average_cost_book_with_splits_and_oversells(spark, size):
         assert got[name].oversold > 0
 
 
+@pytest.mark.parametrize("held,factors,want", [
+    (15_000_000, [1 / 15], "1000000"), (15_000_000, [1 / 300], "50000"), (15_000_000, [1 / 15, 1 / 15], "66666.666666666667"), (7, [1.5, 3.0], "31.5"),
+])
+def test_reverse_splits_are_exact(spark, held, factors, want):
+    trades = spark.createDataFrame([("live", "A", 1, "buy", Decimal(held), Decimal(1), Decimal(0))],
+                                   "kind string, instrument string, id int, side string, quantity decimal(18,6), price decimal(18,6), fee decimal(18,6)"
+                                   ).selectExpr("*", "DATE'2020-01-01' AS date")
+    bars = spark.createDataFrame([("A", f"2020-02-{k + 1:02d}", f) for k, f in enumerate(factors)], "instrument string, day string, split_factor double")
+    bars = bars.selectExpr("instrument", "to_date(day) AS date", "split_factor")
+    row = books.average_cost_book(trades, bars, order=["id"]).first()
+    assert row.quantity == Decimal(want) and row.cost == held
+    ledger = books.book_ledger(trades, bars, order=["id"]).first()
+    assert ledger.held_after == held and ledger.cost == held
+
+
+@pytest.mark.parametrize("size", [40, 100_000])
+def test_ledger_ends_where_the_book_does(spark, size):
+    trades = spark.createDataFrame(
+        [("paper", a, b, c, d, e, f, g) for a, b, c, d, e, f, g in trade_table()],
+        "kind string, instrument string, day string, id int, side string, quantity decimal(18,6), price decimal(18,6), fee decimal(18,6)",
+    ).selectExpr("*", "to_date(day) AS date").drop("day")
+    book = {r.instrument: r for r in books.average_cost_book(trades, order=["id"], size=size).collect()}
+    rows = books.book_ledger(trades, order=["id"], size=size).collect()
+    for name, b in book.items():
+        mine = sorted((r for r in rows if r.instrument == name), key=lambda r: (r.date, r.id))
+        assert mine[-1].cost == pytest.approx(b.cost, abs=1e-6) and mine[-1].held_after == b.quantity
+        assert sum(r.realized_pnl for r in mine) == pytest.approx(b.realized_pnl, abs=1e-6)
+
+
 def test_sell_without_holdings_only_pays_the_fee(spark):
     trades = spark.createDataFrame([("live", "A", 1, "sell", Decimal(5), Decimal(10), Decimal(1))],
                                    "kind string, instrument string, id int, side string, quantity decimal(18,6), price decimal(18,6), fee decimal(18,6)"
