@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quoteflow.session import checkpoint_root, settle
 
-__all__ = ["Forest", "settle", "shared_path", "table", "texts_of"]
+__all__ = ["Forest", "packed", "settle", "shared_path", "table", "texts_of", "unpacked"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,16 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_root(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def packed(docs: DataFrame, **own: Column) -> DataFrame:
+    """The rows of docs as one struct column beside columns of our own, so that no names clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *[c.alias(n) for n, c in own.items()])
+
+
+def unpacked(rows: DataFrame, like: DataFrame, name: str = "_doc") -> DataFrame:
+    """Back to the columns of `like`."""
+    return rows.select(*[F.col(f"{name}.`{c}`").alias(c) for c in like.columns])
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of each string; null reads as empty."""
     for value in column.cast(pa.large_binary()):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quoteflow.llm.common import settle
+from quoteflow.llm.common import packed, settle, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -188,16 +188,15 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     span = F.struct("from_word", "to_word")
     spans = pieces.groupBy(*KEY, "pass").agg(F.sort_array(F.collect_list(span)).alias("_spans"), F.min("shard").alias("_shard"), F.min("shuffle").alias("_order"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "_spans", "_shard", "_order")
-    body = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = docs.withColumn("_own", body).withColumn("_mine", F.col(f"`{id_column}`")).dropDuplicates(["_own", "_mine"])
+    rows = packed(docs, _own=F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), _mine=F.col(id_column), _text=F.col(text))
+    once = rows.dropDuplicates(["_own", "_mine"])  # each of the copies has spans of its own
     joined = once.join(spans, (F.col("_own") == F.col("_body")) & F.col("_mine").eqNullSafe(F.col("_id")))
-    words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
+    words = F.regexp_extract_all("_text", F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
 
     def picked(all_words: Column) -> Column:
         return F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(all_words, (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int")))), "")
 
-    whole = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["to_word"] - s["from_word"]) == words_in(F.col(f"`{text}`"))
-    cut = F.when(whole, F.col(f"`{text}`")).otherwise(F.transform(F.array(words), picked)[0])
-    rows = joined.select("_shard", "_order", *[cut.alias(c) if c == text else k for c, k in zip(docs.columns, columns)])
-    return rows.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*columns)
+    whole = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["to_word"] - s["from_word"]) == words_in(F.col("_text"))
+    cut = F.when(whole, F.col("_text")).otherwise(F.transform(F.array(words), picked)[0])
+    made = joined.select("_shard", "_order", F.struct(*[cut.alias(c) if c == text else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]).alias("_doc"))
+    return unpacked(made.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order"), docs)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import settle
+from quoteflow.llm.common import packed, settle, unpacked
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 WINDOW = 8
@@ -232,6 +232,5 @@ def passing(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     """The rows and columns of docs that are kept."""
     slim = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
     fitted = _fit(settle(with_statistics(slim).drop("text")))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("text"), F.col(lang).alias("_l"), F.col(source).alias("_s"))
-    kept = _judged(with_statistics(packed), fitted, "_l", "_s").where("_kept")
-    return kept.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+    rows = packed(docs, text=F.col(text), _l=F.col(lang), _s=F.col(source))
+    return unpacked(_judged(with_statistics(rows), fitted, "_l", "_s").where("_kept"), docs)

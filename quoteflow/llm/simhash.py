@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import Forest, settle
+from quoteflow.llm.common import Forest, packed, settle, unpacked
 from quoteflow.llm.graph import components
 
 BITS, SEED, SHINGLE = 64, 42, 3
@@ -173,10 +173,11 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     best = best.groupBy("component").agg(F.min(F.struct("body", "n")).alias("best"))
     keep = settle(best.select(F.col("component").alias("_id"), F.col("best.body").alias("_body"), F.col("best.n").alias("_n")))
 
+    rows = packed(docs, _own=F.col(id_column), _hash=F.xxhash64(F.col(text)))
+
     def matching(which: DataFrame) -> DataFrame:
-        return docs.join(which, F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_body")))
+        return rows.join(which, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_body")))
 
-    once = matching(keep.where("_n = 1")).drop("_id", "_body", "_n")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = matching(keep.where("_n > 1")).groupBy("_id", "_body").agg(F.first(whole).alias("_row"))
-    return once.unionByName(repeated.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
+    once = matching(keep.where("_n = 1")).select("_doc")
+    repeated = matching(keep.where("_n > 1")).groupBy("_id", "_body").agg(F.first("_doc").alias("_doc")).select("_doc")
+    return unpacked(once.unionByName(repeated), docs)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import texts_of
+from quoteflow.llm.common import packed, texts_of, unpacked
 
 #: words of a window and between starts of windows
 LENGTH, STRIDE = 24, 16
@@ -247,8 +247,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
                 found.append([" ".join(words[int(k * step) :][:LENGTH]) for k in range(WINDOWS) if int(k * step) < len(words)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), batch.column(2)], names=["toxic", "windows", "place"])
 
-    chosen = docs.join(F.broadcast(sample), F.col(id_column) == F.col("_id"))  # at most sum(PER_CLASS) ids
-    rows = chosen.select("_toxic", F.col(text), hashed.alias("place")).mapInArrow(cut, "toxic int, windows array<string>, place long").toPandas()
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text"))
+    chosen = rows.join(F.broadcast(sample), "_id")  # at most sum(PER_CLASS) ids
+    rows = chosen.select("_toxic", "text", hashed.alias("place")).mapInArrow(cut, "toxic int, windows array<string>, place long").toPandas()
     rows = rows[rows["windows"].map(len) > 0].assign(key=rows["windows"].map("\n".join)).sort_values(["place", "key"])
     if share is None or rows["toxic"].nunique() < 2:
         return None
@@ -279,6 +280,5 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
 def clean(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows and columns of docs that are not predicted toxic."""
     network = fit(docs, labels, id_column, text)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("_text"))
-    kept = scored(packed, network, "_text", "_score").where(F.col("_score") < THRESHOLD)
-    return kept.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+    kept = scored(packed(docs, _text=F.col(text)), network, "_text", "_score").where(F.col("_score") < THRESHOLD)
+    return unpacked(kept, docs)
