@@ -101,7 +101,8 @@ def two_source_verdict(a: DataFrame, b: DataFrame, last: int = 60, min_overlap:
 def choose_source(verdicts: DataFrame) -> DataFrame:
     """Decide source and status from per-key verdicts.
 
-    Input columns: primary_status and fallback_status (NULL = not available), comparison_status, comparison_message.
+    Input columns: primary_status and fallback_status (NULL = not available), comparison_status, comparison_message, and optionally
+    primary_messages and fallback_messages (arrays). ``messages`` are those of the chosen source followed by what the choice adds.
     """
     primary, fallback, compare = F.col("primary_status"), F.col("fallback_status"), F.col("comparison_status")
     softened = lambda status: F.when(status == OK, WARNING).otherwise(status)
@@ -113,12 +114,15 @@ def choose_source(verdicts: DataFrame) -> DataFrame:
         .when(compare == BLOCKED, BLOCKED)
         .otherwise(primary)
     )
-    message = (
+    note = (
         F.when(primary.isNull() & fallback.isNotNull(), "fallback used without a second source")
         .when(primary.isNotNull() & fallback.isNull(), "single source only")
         .otherwise(F.col("comparison_message"))
     )
-    return verdicts.withColumns({"source": source, "status": status, "message": message})
+    given = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if c in verdicts.columns else F.array().cast("array<string>")
+    own = F.when(primary.isNotNull(), given("primary_messages")).otherwise(given("fallback_messages"))
+    messages = F.array_compact(F.concat(own, F.array(note)))
+    return verdicts.withColumns({"source": source, "status": status, "messages": messages})
 
 
 def _priority(column: Column, priority: Mapping[str, int], other: int) -> Column:

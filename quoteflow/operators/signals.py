@@ -149,19 +149,27 @@ def ladder(sig: DataFrame, buys: Sequence[float] = DEFAULT_BUYS, sells: Sequence
     return walked.withColumn("action", action_of(F.col("delta"), F.col("steps"))).drop("down", "up", "prev")
 
 
-def store_signals(existing: DataFrame, new: DataFrame, key: str = "symbol", ts: str = "date") -> DataFrame:
-    """New signals for (key, date) pairs not stored yet; a key with a pending fill only holds.
+#: columns of a stored signal that come with the decision and are kept as they are
+SIGNAL_FACTS = ("price", "drawdown", "volatility", "momentum", "underlying", "score", "confidence", "quality_status", "threshold_profile_id")
 
-    ``new`` has delta, reason, steps, buy_mask, sell_mask (after the decision), pending_delta (before it) and the old masks.
+
+def store_signals(existing: DataFrame, new: DataFrame, key: str = "symbol", ts: str = "date", facts: Sequence[str] = SIGNAL_FACTS) -> DataFrame:
+    """New signals for (key, date) pairs not stored yet; a key with a pending fill only holds, and its reason says so.
+
+    ``new`` has delta, reason, steps, buy_mask, sell_mask (after the decision), pending_delta (before it) and the old masks, and any of ``facts``, which
+    are stored with the signal. Of several new rows for one pair the smallest by its columns counts.
     """
     waiting = F.col("pending_delta") != 0
-    fresh = new.join(existing.select(key, ts), [key, ts], "left_anti")
+    rest = [c for c in new.columns if c not in (key, ts)]
+    single = new.groupBy(key, ts).agg(F.min(F.struct(*rest)).alias("_r")).select(key, ts, "_r.*")
+    fresh = single.join(existing.select(key, ts), [key, ts], "left_anti")
     return fresh.select(
-        key, ts, "score", F.when(waiting, "hold").otherwise(action_of(F.col("delta"), F.col("steps"))).alias("action"),
+        key, ts, *[c for c in facts if c in new.columns], F.when(waiting, "hold").otherwise(action_of(F.col("delta"), F.col("steps"))).alias("action"),
         F.when(waiting, 0).otherwise(F.col("delta")).alias("target_step_delta"),
         F.when(waiting, F.col("old_buy_mask")).otherwise(F.col("buy_mask")).alias("buy_mask"),
         F.when(waiting, F.col("old_sell_mask")).otherwise(F.col("sell_mask")).alias("sell_mask"),
         F.when(waiting, F.col("pending_delta")).otherwise(F.col("delta")).alias("pending_delta"),
+        F.when(waiting, F.concat(F.lit("waits for a pending fill; "), F.coalesce("reason", F.lit("")))).otherwise(F.col("reason")).alias("reason"),
     )
 
 

@@ -22,10 +22,12 @@ def scored_bars(bars: DataFrame, gate: DataFrame | None = None) -> DataFrame:
 def observation(bars: DataFrame, calendar: DataFrame, expected) -> tuple[DataFrame, DataFrame]:
     """(one row per symbol with status, latest score and components; the last points).
 
-    ``bars`` may hold several sources (columns source, id, quality_status); ``expected`` is the last closed session.
+    ``bars`` may hold several sources (columns source, id, quality_status); ``expected`` is the last closed session: a column, or a
+    one-row table with expected_date.
     """
+    last = expected if isinstance(expected, DataFrame) else bars.sparkSession.range(1).select(expected.cast("date").alias("expected_date"))
     chosen = qc.prefer_source(bars) if "source" in bars.columns else bars
-    chosen = chosen.where(F.col("date") <= expected)
+    chosen = chosen.join(F.broadcast(last), F.col("date") <= F.col("expected_date")).drop("expected_date")  # a single row
     worst = {"blocked": 2, "warning": 1, "ok": 0}
     level = F.create_map(*[F.lit(x) for item in worst.items() for x in item])
     quality = F.max(level[F.col("quality_status")]) if "quality_status" in bars.columns else F.max(F.lit(0))
@@ -38,7 +40,7 @@ def observation(bars: DataFrame, calendar: DataFrame, expected) -> tuple[DataFra
     parts = [*FIVE_COMPONENT_WEIGHTS, "score"]
     latest = scored.groupBy("symbol").agg(F.max_by(F.struct(*parts), "date").alias("_l"))
     table = facts.join(gaps, "symbol", "left").join(gate.select("symbol", F.col("blocked").alias("gate_blocked")), "symbol", "left")
-    table = table.join(latest, "symbol", "left").withColumns({"latest_score": F.col("_l")["score"], "expected_date": expected})
+    table = table.join(latest, "symbol", "left").withColumn("latest_score", F.col("_l")["score"]).join(F.broadcast(last))
     status = qc.observation_status(table).select(
         "symbol", "status", "bars", "last_date", *[F.col("_l")[c].alias(c) for c in parts]
     )
@@ -56,12 +58,32 @@ def history_view(inputs: DataFrame, n: int = 600) -> tuple[DataFrame, DataFrame]
     return points, threshold_distribution(inputs, n)
 
 
-def check_request(symbols, known, start, end, limit: int | None = None) -> None:
-    """Validate a comparison request before any DataFrame is built."""
+def check_request(symbols, known, start, end, limit: int | None = None, most_symbols: int | None = None, most_days: int | None = None,
+                  most_rows: int | None = None) -> None:
+    """Validate a comparison request before any DataFrame is built; limits that are None do not apply."""
     names = list(symbols)
-    if not 1 <= len(names) <= 14 or len(set(names)) != len(names) or not set(names) <= set(known):
-        raise ValueError("choose 1 to 14 different known symbols")
-    if end < start or (end - start).days > 365 * 15:
-        raise ValueError("the date range is empty or longer than 15 years")
-    if limit is not None and not 0 <= limit <= 5000:
-        raise ValueError("the window must be 0 to 5000 rows")
+    if not names or len(set(names)) != len(names) or not set(names) <= set(known) or (most_symbols is not None and len(names) > most_symbols):
+        raise ValueError("choose different known symbols" + (f", at most {most_symbols}" if most_symbols is not None else ""))
+    if end < start or (most_days is not None and (end - start).days > most_days):
+        raise ValueError("the date range is empty or too long")
+    if limit is not None and (limit < 0 or (most_rows is not None and limit > most_rows)):
+        raise ValueError("the window is negative or too long")
+
+
+def request_problems(requests: DataFrame, known: DataFrame, most_symbols: int | None = None, most_days: int | None = None, most_rows: int | None = None) -> DataFrame:
+    """The same checks for a table of requests: id, symbols (array), start, end, limit -> id, problems (array of texts).
+
+    ``known`` has a column symbol. Repeated names count once here. Null dates make the range empty; a null list has no symbols; a null limit is allowed.
+    """
+    each = requests.select("id", F.explode(F.array_distinct(F.coalesce("symbols", F.array().cast("array<string>")))).alias("symbol"))
+    found = each.join(known.select("symbol").distinct(), "symbol", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("_found"))
+    n = F.when(F.col("symbols").isNull(), 0).otherwise(F.size(F.array_distinct("symbols")))
+    crowd = F.lit(False) if most_symbols is None else n > most_symbols
+    long = F.lit(False) if most_days is None else F.datediff("end", "start") > most_days
+    wide = F.lit(False) if most_rows is None else F.coalesce(F.col("limit") > most_rows, F.lit(False))
+    problems = F.array_compact(F.array(
+        F.when((n == 0) | (n != F.coalesce("_found", F.lit(0))) | crowd, "symbols"),
+        F.when(F.coalesce((F.col("end") < F.col("start")) | long, F.lit(True)), "range"),
+        F.when(F.coalesce(F.col("limit") < 0, F.lit(False)) | wide, "limit"),
+    ))
+    return requests.join(found, "id", "left").select("id", problems.alias("problems"))

@@ -69,15 +69,16 @@ def _(spark, sf):
 s AS (SELECT symbol, CASE WHEN symbol LIKE 'A%' THEN NULL ELSE 'ok' END AS p, CASE WHEN symbol LIKE 'R%' THEN NULL ELSE 'ok' END AS f, status AS c FROM t)
 SELECT symbol, CASE WHEN p IS NOT NULL THEN 'primary' ELSE 'fallback' END AS source,
   CASE WHEN p IS NULL THEN 'warning' WHEN f IS NULL THEN 'warning' WHEN c = 'blocked' THEN 'blocked' ELSE p END AS status,
-  CASE WHEN p IS NULL THEN 'fallback used without a second source' WHEN f IS NULL THEN 'single source only' WHEN c = 'blocked' THEN 'sources disagree' END AS message FROM s""")
+  concat_ws('; ', CASE WHEN p IS NULL THEN 'short' ELSE symbol || ' is late' END, CASE WHEN p IS NULL THEN 'fallback used without a second source' WHEN f IS NULL THEN 'single source only' WHEN c = 'blocked' THEN 'sources disagree' END) AS messages FROM s""")
 def _(spark, sf):
     compared = qc.two_source_verdict(fx.daily_bars(spark, sf), fx.alternate_bars(spark, sf))
     verdicts = compared.select(
         "symbol", F.when(~F.col("symbol").startswith("A"), "ok").alias("primary_status"),
         F.when(~F.col("symbol").startswith("R"), "ok").alias("fallback_status"),
         F.col("status").alias("comparison_status"), F.col("message").alias("comparison_message"),
+        F.array(F.concat("symbol", F.lit(" is late"))).alias("primary_messages"), F.array(F.lit("short")).alias("fallback_messages"),
     )
-    return qc.choose_source(verdicts).select("symbol", "source", "status", "message")
+    return qc.choose_source(verdicts).select("symbol", "source", "status", F.array_join("messages", "; ").alias("messages"))
 
 
 # Two providers of the same bars: the first stops early for some symbols, the second never has symbol R-F's last day.

@@ -117,17 +117,21 @@ def _(spark, sf):
 
 
 # Decisions that arrive for keys with and without a pending fill; every second date is stored already.
-@query("sg3_store_signals", f"""WITH {STATE}, n AS (SELECT symbol, signal_date AS date, score, (v % 3 - 1) AS delta, CASE WHEN v % 3 = 2 THEN 1 + v % 2 ELSE v % 3 END AS steps, v % 5 = 0 AS waiting, v % 8 AS mask FROM st)
+@query("sg3_store_signals", f"""WITH {STATE}, n AS (SELECT symbol, signal_date AS date, score, close, (v % 3 - 1) AS delta, CASE WHEN v % 3 = 2 THEN 1 + v % 2 ELSE v % 3 END AS steps, v % 5 = 0 AS waiting, v % 8 AS mask FROM st)
 SELECT symbol, date, {r('score', 'score')}, CASE WHEN waiting THEN 'hold' WHEN delta > 0 THEN CASE WHEN steps = delta THEN 'buy' ELSE 'add' END WHEN delta < 0 THEN CASE WHEN steps = 0 THEN 'exit' ELSE 'reduce' END ELSE 'hold' END AS action,
   CASE WHEN waiting THEN 0 ELSE delta END::INT AS target_step_delta, CASE WHEN waiting THEN 0 ELSE mask END::INT AS buy_mask, CASE WHEN waiting THEN 7 ELSE mask END::INT AS sell_mask,
-  CASE WHEN waiting THEN 1 ELSE delta END::INT AS pending_delta FROM n WHERE day(date) % 2 = 0""")
+  CASE WHEN waiting THEN 1 ELSE delta END::INT AS pending_delta, close AS price, 'high' AS confidence, 'ok' AS quality_status, 4 AS threshold_profile_id,
+  CASE WHEN waiting THEN 'waits for a pending fill; ' ELSE '' END || 'steps ' || steps AS reason FROM n WHERE day(date) % 2 = 0""")
 def _(spark, sf):
     st = state(spark, sf)
     v = F.col("v")
     new = st.select(
         "symbol", F.col("signal_date").alias("date"), "score", (v % 3 - 1).cast("int").alias("delta"), F.when(v % 3 == 2, 1 + v % 2).otherwise(v % 3).cast("int").alias("steps"),
         F.when(v % 5 == 0, 1).otherwise(0).alias("pending_delta"), (v % 8).cast("int").alias("buy_mask"), (v % 8).cast("int").alias("sell_mask"),
-        F.lit(0).alias("old_buy_mask"), F.lit(7).alias("old_sell_mask"))
+        F.lit(0).alias("old_buy_mask"), F.lit(7).alias("old_sell_mask"), F.col("close").alias("price"), F.lit("high").alias("confidence"),
+        F.lit("ok").alias("quality_status"), F.lit(4).alias("threshold_profile_id"))
+    new = new.withColumn("reason", F.concat(F.lit("steps "), F.col("steps").cast("string")))
+    new = new.unionByName(new.withColumn("score", F.col("score") + 1))  # a second decision for the same day does not count
     return rounded(sg.store_signals(st.where(F.dayofmonth("signal_date") % 2 == 1).select("symbol", F.col("signal_date").alias("date")), new), 4, "score")
 
 
@@ -227,18 +231,45 @@ def _(spark, sf):
 # --- observation and history ---------------------------------------------------------------------------------
 
 
-@query("sc4_observation", f"""{FIVE}, l AS (SELECT symbol, count(*) AS bars, max(date) AS last_date, arg_max(rn, date) AS rn FROM five GROUP BY 1)
-SELECT l.symbol, CASE WHEN f.score IS NULL THEN 'insufficient' WHEN l.last_date < (SELECT max(date) FROM bars) THEN 'stale' ELSE 'ok' END AS status, bars, last_date,
-  {', '.join(r(f'f.{c}', c, 3) for c in ('price_position', 'momentum', 'volume_flow', 'volatility_state', 'urgency', 'score'))} FROM l JOIN five f ON f.symbol = l.symbol AND f.rn = l.rn""")
+# Sessions are the days on which at least two symbols other than R-F traded; a symbol without a bar on one of them is blocked.
+@query("sc4_observation", f"""{FIVE}, l AS (SELECT symbol, count(*) AS bars, min(date) AS first_date, max(date) AS last_date, arg_max(rn, date) AS rn FROM five GROUP BY 1),
+ses AS (SELECT date FROM bars WHERE symbol <> 'R-F' GROUP BY 1 HAVING count(DISTINCT symbol) >= 2),
+gap AS (SELECT DISTINCT l.symbol FROM l JOIN ses ON ses.date BETWEEN first_date AND last_date WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = l.symbol AND b.date = ses.date))
+SELECT l.symbol, CASE WHEN g.symbol IS NOT NULL THEN 'blocked' WHEN f.score IS NULL THEN 'insufficient' WHEN l.last_date < (SELECT max(date) FROM bars) THEN 'stale' ELSE 'ok' END AS status, bars, last_date,
+  {', '.join(r(f'CASE WHEN g.symbol IS NULL THEN f.{c} END', c, 3) for c in ('price_position', 'momentum', 'volume_flow', 'volatility_state', 'urgency', 'score'))}
+FROM l JOIN five f ON f.symbol = l.symbol AND f.rn = l.rn LEFT JOIN gap g ON g.symbol = l.symbol""")
 def _(spark, sf):
     bars = fx.daily_bars(spark, sf)
-    # each symbol's own days are its sessions, so that no symbol is blocked for a missing day
-    end = bars.agg(F.max("date")).first()[0]
-    none = bars.select(F.col("date").alias("session")).where(F.lit(False))
-    status, _points = ob.observation(bars, none, F.lit(end))
+    sessions = bars.where("symbol <> 'R-F'").groupBy(F.col("date").alias("session")).agg(F.count_distinct("symbol").alias("n")).where("n >= 2").select("session")
+    status, _points = ob.observation(bars, sessions, bars.agg(F.max("date").alias("expected_date")))
     return rounded(status, 3, *scores.FIVE_COMPONENT_WEIGHTS, "score")
 
 
+@query("sc4_points", f"""{FIVE} SELECT symbol, date, {r('score', 'score', 3)} FROM five QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 756""")
+def _(spark, sf):
+    bars = fx.daily_bars(spark, sf)
+    none = bars.select(F.col("date").alias("session")).where(F.lit(False))
+    _status, points = ob.observation(bars, none, bars.agg(F.max("date").alias("expected_date")))
+    return rounded(points, 3, "score")
+
+
+# Requests made from customers: symbol lists with unknown and repeated names, ranges and windows of different length.
+@query("flt2_request_problems", f"""WITH {fx.BARS}, q AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN ['A-F', 'R-F'] WHEN 1 THEN ['A-F', 'X'] WHEN 2 THEN ['N-O', 'N-O'] WHEN 3 THEN []::VARCHAR[] ELSE ['A-F', 'N-O', 'R-F'] END AS symbols,
+  c_custkey % 7 AS years, c_custkey % 11 AS k FROM customer)
+SELECT id, concat_ws(',', CASE WHEN id % 5 IN (1, 3, 4) THEN 'symbols' END, CASE WHEN years = 0 OR years > 5 THEN 'range' END, CASE WHEN k = 0 OR k > 9 THEN 'limit' END) AS problems FROM q""")
+def _(spark, sf):
+    names = {0: ["A-F", "R-F"], 1: ["A-F", "X"], 2: ["N-O", "N-O"], 4: ["A-F", "N-O", "R-F"]}
+    rest = F.col("c_custkey") % 5
+    chosen = F.array().cast("array<string>")
+    for k, v in names.items():
+        chosen = F.when(rest == k, F.array(*[F.lit(x) for x in v])).otherwise(chosen)
+    start = F.lit("1995-01-01").cast("date")
+    end = F.date_add(start, (365 * (F.col("c_custkey") % 7) - 1).cast("int"))
+    requests = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), chosen.alias("symbols"), start.alias("start"), end.alias("end"), ((F.col("c_custkey") % 11) * 500 - 1).alias("limit"))
+    found = ob.request_problems(requests, fx.daily_bars(spark, sf), most_symbols=2, most_days=365 * 5, most_rows=4500)
+    return found.select("id", F.array_join("problems", ",").alias("problems"))
+
+
 @query("sc4_contributions", f"""{FIVE}, l AS (SELECT * FROM five WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)
 {' UNION ALL '.join(f"SELECT symbol, date, '{c}' AS component, {w}::DOUBLE AS weight, {r(c, 'value', 3)}, {r(f'{c} * {w}::DOUBLE', 'contribution', 3)} FROM l" for c, w in scores.FIVE_COMPONENT_WEIGHTS.items())}""")
 def _(spark, sf):

@@ -49,8 +49,13 @@ def _(spark, sf):
 
 @query("src3_bars_from_plain_csv", f"WITH {fx.BARS} SELECT symbol, date, open, high, low, close, close AS adjusted_close, volume, 1.0::DOUBLE AS split_factor FROM bars")
 def _(spark, sf):
+    path = wr.scratch_path(spark, "plain")
     text = fx.daily_bars(spark, sf).select("symbol", F.col("date").cast("string").alias("Date"), *[F.col(c).cast("string").alias(c.title()) for c in ("open", "high", "low", "close", "volume")])
-    return rd.bars_from_plain_csv(text)
+    # in each file the month comes twice: first with stale prices, then as it is
+    stale = text.withColumns({"Close": F.lit("1"), "_turn": F.lit(0)})
+    both = stale.unionByName(text.withColumn("_turn", F.lit(1))).withColumn("file", F.concat_ws("_", "symbol", F.substring("Date", 1, 4)))
+    both.repartition("file").sortWithinPartitions("file", "_turn", "Date").drop("_turn").write.partitionBy("file").option("header", True).csv(path)
+    return rd.bars_from_plain_csv(rd.read_plain_csv(spark, f"{path}/*/*.csv"))
 
 
 LINK = r'<a href="([^"<>]*)">([^<]*)</a>'
@@ -87,25 +92,30 @@ def _(spark, sf):
     return rd.require_identity(history_pages(spark, sf), "html").drop("html")
 
 
-# Trade files: one line per line item; sells that exceed the committed holdings and unknown symbols are errors.
-@query("src6_import_errors", f"""WITH {fx.TRADES}, t AS (SELECT instrument, kind, side, quantity, o1, row_number() OVER (ORDER BY o1, o2, o3, o4) + 1 AS line FROM trades)
-SELECT line, 'unknown symbol' AS error FROM t WHERE instrument = 19 UNION ALL SELECT line, 'sell exceeds holdings' FROM t WHERE side = 'sell' AND quantity > CASE WHEN instrument = 19 THEN 0 ELSE instrument * 10 END""")
+# Trade files, eight of them: notes with quotes and line breaks, blank lines nowhere counted; sells that exceed the committed holdings, unknown
+# symbols, empty kinds and times that are no ISO times are errors.
+@query("src6_import_errors", f"""WITH {fx.TRADES}, t AS (SELECT instrument, kind, side, quantity, o1, o2, row_number() OVER (PARTITION BY o1 % 8 ORDER BY o1, o2, o3, o4) + 1 AS line FROM trades),
+e AS (SELECT *, CASE WHEN o1 % 97 = 5 THEN '' ELSE kind END AS k FROM t)
+SELECT (o1 % 8)::BIGINT AS part, line, 'unknown symbol' AS error FROM e WHERE instrument = 19
+UNION ALL SELECT o1 % 8, line, 'sell exceeds holdings' FROM e WHERE side = 'sell' AND quantity > CASE WHEN instrument = 19 OR k = '' THEN 0 ELSE instrument * 10 END
+UNION ALL SELECT o1 % 8, line, 'invalid portfolio_kind' FROM e WHERE k = '' UNION ALL SELECT o1 % 8, line, 'invalid executed_at' FROM e WHERE o1 % 89 = 7""")
 def _(spark, sf):
     path = wr.scratch_path(spark, "trades")
+    note = F.when(F.col("o1") % 5 == 0, F.lit('a "quoted", note\n\nover three lines')).otherwise("plain")
     rows = fx.trades(spark, sf).select(
-        F.concat(F.lit("s"), F.col("instrument")).alias("symbol"), F.col("kind").alias("portfolio_kind"), "side", "quantity", "price", "fee",
-        F.concat(F.col("date").cast("string"), F.lit("T10:00:00")).alias("executed_at"), *fx.TRADE_ORDER)
-    text = F.concat_ws(",", *[F.col(c).cast("string") for c in ("symbol", "portfolio_kind", "side", "quantity", "price", "fee", "executed_at")])
-    header = spark.range(1).select(F.lit("symbol,portfolio_kind,side,quantity,price,fee,executed_at").alias("value"), F.lit(-1).cast("bigint").alias("o1"))
-    body = rows.select(text.alias("value"), *fx.TRADE_ORDER)
-    whole = header.withColumns({c: F.lit(0) for c in fx.TRADE_ORDER[1:]}).unionByName(body)
-    whole.orderBy(*fx.TRADE_ORDER).select("value").coalesce(1).write.text(path)  # an uploaded file is one file
+        F.concat(F.lit("s"), F.col("instrument")).alias("symbol"), F.when(F.col("o1") % 97 == 5, "").otherwise(F.col("kind")).alias("portfolio_kind"), "side",
+        *[F.col(c).cast("string").alias(c) for c in ("quantity", "price", "fee")],
+        F.when(F.col("o1") % 89 == 7, "2024").otherwise(F.concat(F.col("date").cast("string"), F.lit("T10:00:00"))).alias("executed_at"), note.alias("note"), *fx.TRADE_ORDER)
+    rows = rows.withColumn("part", F.col("o1") % 8)
+    # every file is written by one task in its order; the next file by another
+    sorted_rows = rows.repartition(8, "part").sortWithinPartitions("part", *fx.TRADE_ORDER).drop(*fx.TRADE_ORDER)
+    sorted_rows.write.partitionBy("part").options(header=True, escape='"', emptyValue="").csv(path)
     numbers = spark.range(19)
     instruments = numbers.select(F.concat(F.lit("S"), F.col("id")).alias("symbol"), F.col("id").alias("instrument"), F.lit("USD").alias("currency"))
     kinds = F.explode(F.array(F.lit("paper"), F.lit("live"))).alias("kind")
     holdings = numbers.select(kinds, F.col("id").alias("instrument"), (F.col("id") * 10).cast("decimal(18,6)").alias("quantity"))
-    _accepted, errors = rd.import_trades(spark, path, instruments, holdings)
-    return errors.select("line", "error")
+    _accepted, errors = rd.import_trades(spark, f"{path}/*/*.csv", instruments, holdings)
+    return errors.select(F.regexp_extract("file", r"part=(\d+)/", 1).cast("long").alias("part"), "line", "error")
 
 
 def _snapshots(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quoteflow.plans.registry import query, r, rounded
@@ -41,11 +42,11 @@ def _(spark, sf):
     return spark.read.parquet(f"{folder}/out").select("symbol", F.unix_micros("ts").alias("at"), "delta", "steps", "fill_price", "fill_delta")
 
 
-@query("st2_deliver_once", "SELECT user_id || ':' || event_type AS dedup_key, arg_min(value, ts) AS value FROM events GROUP BY 1")
+@query("st2_deliver_once", "SELECT user_id || ':' || event_type AS dedup_key, arg_min(value, (ts, value)) AS value FROM events GROUP BY 1")
 def _(spark, sf):
     folder = scratch_path(spark, "alerts")
     alerts = event_stream(spark, sf).select(F.concat_ws(":", F.col("user_id").cast("string"), "symbol").alias("dedup_key"), "ts", "value")
-    finish(jobs.deliver_once(alerts, f"{folder}/out", f"{folder}/cp"))
+    finish(jobs.deliver_once(alerts, f"{folder}/out", f"{folder}/cp", order=("value",)))
     return spark.read.parquet(f"{folder}/out").select("dedup_key", "value")
 
 
@@ -67,17 +68,35 @@ def _(spark, sf):
     return spark.read.parquet(f"{folder}/out").select("symbol", "date", "source", "close")
 
 
-@query("st4_stream_guard", f"""SELECT event_type AS symbol, CAST(ts AS DATE) AS date, {r('CASE WHEN CAST(ts AS DATE) < DATE \'2024-01-16\' THEN 2 ELSE 1 END', 'close', 4)} FROM events GROUP BY ALL""")
+# Published: each day's lowest value, a null one where it is a whole number of tens, before the middle of the month; the stream restates all days.
+@query("st4_stream_guard", f"""WITH d AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS date, min(value) AS low, max(value) AS high FROM events GROUP BY ALL)
+SELECT symbol, date, {r("CASE WHEN date >= DATE '2024-01-16' THEN high WHEN floor(low * 100) % 10 > 0 THEN low END", 'close', 4)} FROM d""")
 def _(spark, sf):
     folder = scratch_path(spark, "guard")
-    published = spark.read.parquet(f"{sf}/events.parquet").where("ts < TIMESTAMP_NTZ'2024-01-16'").select(
-        F.col("event_type").alias("symbol"), F.to_date("ts").alias("date"), F.lit(2.0).alias("close")).distinct()
-    published.write.parquet(f"{folder}/out")
-    rows = event_stream(spark, sf).select("symbol", F.to_date("ts").alias("date"), F.lit(1.0).alias("close"))
-    finish(jobs.stream_guard(rows, f"{folder}/out", f"{folder}/cp", {}, {"close": 1.5}))
+    days = spark.read.parquet(f"{sf}/events.parquet").where("ts < TIMESTAMP_NTZ'2024-01-16'").groupBy(
+        F.col("event_type").alias("symbol"), F.to_date("ts").alias("date")).agg(F.min("value").alias("low"))
+    days.select("symbol", "date", F.when(F.floor(F.col("low") * 100) % 10 > 0, F.col("low")).alias("close")).write.parquet(f"{folder}/out")
+    rows = event_stream(spark, sf).select("symbol", F.to_date("ts").alias("date"), F.col("value").alias("close"))
+    finish(jobs.stream_guard(rows, f"{folder}/out", f"{folder}/cp", {}, {"close": 1e9}, order=("close",)))
     return rounded(spark.read.parquet(f"{folder}/out"), 4, "close")
 
 
+@query("st4_drift_report", """WITH d AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS date, value FROM events), o AS (SELECT symbol, date, min(value) AS low FROM d GROUP BY ALL),
+e AS (SELECT symbol, max(value - low) AS error FROM d JOIN o USING (symbol, date) GROUP BY 1)
+SELECT symbol, round(error::DOUBLE, 4) + 0.0 AS close_error FROM e WHERE error > 20""")
+def _(spark, sf):
+    folder = scratch_path(spark, "drift")
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("symbol"), F.to_date("ts").alias("date"), F.col("value").alias("close"))
+    events.groupBy("symbol", "date").agg(F.min("close").alias("close")).write.parquet(f"{folder}/out")
+    rows = event_stream(spark, sf).select("symbol", F.to_date("ts").alias("date"), F.col("value").alias("close"))
+    try:
+        finish(jobs.stream_guard(rows, f"{folder}/out", f"{folder}/cp", {}, {"close": 20.0}))
+    except StreamingQueryException as failed:
+        if "drifted" not in str(failed):
+            raise
+    return rounded(spark.read.parquet(f"{folder}/out_drift").select("symbol", "close_error"), 4, "close_error")
+
+
 @query("st5_stream_bars", """SELECT event_type AS symbol, CAST(date_trunc('day', ts) AS DATE) AS day, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close,
   count(*) AS volume FROM events GROUP BY 1, 2 HAVING CAST(date_trunc('day', ts) AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def _(spark, sf):

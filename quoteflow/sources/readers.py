@@ -66,12 +66,19 @@ def bars_from_chart_json(df: DataFrame, column: str, key: str = "symbol") -> Dat
 
 
 def bars_from_plain_csv(df: DataFrame, key: str = "symbol", order_col: str | None = None) -> DataFrame:
-    """Delimited bars with any header case; adjusted price = close, split = 1."""
+    """Delimited bars with any header case; adjusted price = close, split = 1; the last row by ``order_col`` counts for a date.
+
+    Without ``order_col`` the frame must come from :func:`read_plain_csv`, which numbers the rows as they stand in their files.
+    """
     rows = df.withColumnsRenamed({c: c.lower() for c in df.columns})
     rows = rows.withColumns({"date": F.to_date("date"), "adjusted_close": F.col("close"), "split_factor": F.lit(1.0)})
-    order = order_col or "_seq"
-    rows = rows if order_col else rows.withColumn("_seq", F.monotonically_increasing_id())
-    return clean_bars(rows, order, key).select(key, *BAR_SCHEMA.fieldNames())
+    return clean_bars(rows, order_col or "_seq", key).select(key, *BAR_SCHEMA.fieldNames())
+
+
+def read_plain_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Delimited files with a header as text columns, their file and their input order in it (``_seq``, numbered as the file is scanned)."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("_seq"))
 
 
 def extract_records(pages: DataFrame, text: str, pattern: str, fields: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -112,45 +119,54 @@ def require_identity(pages: DataFrame, text: str, requested: str = "symbol") ->
 
 # --- trade import --------------------------------------------------------------------------------------------
 
-TRADE_DEFAULTS = {"portfolio_kind": "live", "fee": "0", "note": ""}
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+#: columns of an uploaded file at most
+WIDTH = 64
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their 1-based number per file, counted per split and then added up."""
-    rows = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    blocks = rows.groupBy("file", "block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
-    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    joined = rows.join(blocks, ["file", "block"])
-    return joined.select("file", (F.col("_offset") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
+def read_trades(spark: SparkSession, path: str) -> DataFrame:
+    """Records of delimited files: file, line (record number; the header is 1, blank lines do not count) and ``fields``, a map by the file's own header.
+
+    Quoted values may hold separators and line breaks. A file is parsed whole by one task, as quotes demand; files are independent. Fields
+    beyond the header are dropped, missing ones are null.
+    """
+    schema = ", ".join(f"c{i} STRING" for i in range(WIDTH))
+    rows = spark.read.schema(schema).options(header=False, multiLine=True, quote='"', escape='"').csv(path)
+    rows = rows.select(F.array(*[f"c{i}" for i in range(WIDTH)]).alias("v"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_id"))
+    # a file lies within one task, so ids run on through it
+    first = rows.groupBy("file").agg(F.min("_id").alias("_first"), F.min_by("v", "_id").alias("_names"))
+    numbered = rows.join(first, "file").withColumn("line", F.col("_id") - F.col("_first") + 1).where("line > 1")
+    names = F.transform("_names", lambda c: F.trim(F.regexp_replace(c, "^\ufeff", "")))
+    both = F.filter(F.arrays_zip(names.alias("name"), F.col("v").alias("value")), lambda e: e["name"] != "")
+    return numbered.select("file", "line", F.map_from_entries(both).alias("fields"))
+
+
+TRADE_COLUMNS = ("symbol", "portfolio_kind", "side", "quantity", "price", "fee", "currency", "executed_at", "note")
 
 
-def parse_trades(lines: DataFrame, header: Sequence[str]) -> DataFrame:
-    """Data lines (line > 1) as string columns named by the header."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    rows = lines.where((F.col("line") > 1) & (F.trim("value") != ""))
-    return rows.select("file", "line", F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"escape": '"'}).alias("_r")).select("file", "line", "_r.*")
+def parse_trades(records: DataFrame) -> DataFrame:
+    """Records with the trade fields as text columns, and ``_given``, the names in the file's header."""
+    return records.select("file", "line", F.map_keys("fields").alias("_given"), *[F.col("fields")[c].alias(c) for c in TRADE_COLUMNS])
 
 
 def validate_trades(rows: DataFrame, instruments: DataFrame, holdings: DataFrame, mode: str = "committed") -> DataFrame:
     """Typed trades with an ``errors`` array per row.
 
     ``instruments``: symbol, instrument, currency. ``holdings``: kind, instrument, quantity already committed. In mode
-    ``committed`` a sell is compared with those only; ``running`` also counts the file's earlier rows.
+    ``committed`` a sell is compared with those only; ``running`` also counts the file's earlier rows. A file without a portfolio_kind column
+    holds live trades; an empty kind in a file that has one is an error. Times must be ISO dates or date-times.
     """
     if mode not in ("committed", "running"):
         raise ValueError("mode must be committed or running")
+    has = lambda c: F.lit(c in rows.columns) if "_given" not in rows.columns else F.array_contains("_given", c)
     have = lambda c, default=None: F.col(c) if c in rows.columns else F.lit(default)
     money = "decimal(18,6)"
     cast = lambda c, kind: F.expr(f"try_cast({c} AS {kind})") if c in rows.columns else F.lit(None).cast(kind)
     typed = rows.select(
-        "file", "line", F.upper("symbol").alias("symbol"), F.coalesce(have("portfolio_kind"), F.lit("live")).alias("kind"), F.lower("side").alias("side"),
+        "file", "line", F.upper("symbol").alias("symbol"), F.when(has("portfolio_kind"), F.coalesce("portfolio_kind", F.lit(""))).otherwise("live").alias("kind"), F.lower("side").alias("side"),
         cast("quantity", money).alias("quantity"), cast("price", money).alias("price"),
         F.when(F.coalesce(have("fee"), F.lit("")) == "", F.lit(0).cast(money)).otherwise(cast("fee", money)).alias("fee"),
-        have("currency").alias("_currency"), cast("executed_at", "timestamp").alias("executed_at"), F.coalesce(have("note"), F.lit("")).alias("note"),
+        have("currency").alias("_currency"), F.when(F.col("executed_at").rlike(ISO_TIME), cast("executed_at", "timestamp")).alias("executed_at"), F.coalesce(have("note"), F.lit("")).alias("note"),
     )
     joined = typed.join(instruments.select("symbol", "instrument", F.col("currency").alias("_own")), "symbol", "left")
     joined = joined.join(holdings.select("kind", "instrument", F.col("quantity").alias("_held")), ["kind", "instrument"], "left")
@@ -178,9 +194,7 @@ def validate_trades(rows: DataFrame, instruments: DataFrame, holdings: DataFrame
 
 def import_trades(spark: SparkSession, path: str, instruments: DataFrame, holdings: DataFrame, mode: str = "committed") -> tuple[DataFrame, DataFrame]:
     """(trades, errors) of a trade file, all or nothing: any error empties the trades."""
-    first = spark.read.text(path).first()
-    header = [c.strip() for c in (first[0] if first else "").lstrip("﻿").split(",")]
-    checked = validate_trades(parse_trades(numbered_lines(spark, path), header), instruments, holdings, mode)
+    checked = validate_trades(parse_trades(read_trades(spark, path)), instruments, holdings, mode)
     wrong = checked.where(F.size("errors") > 0)
     errors = wrong.select("file", "line", F.explode("errors").alias("error"))
     failed = wrong.agg(F.count(F.lit(1)).alias("_bad"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,12 +38,6 @@ def _write_text(spark: SparkSession, text: str, path: str, mode: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(path)
 
 
-def merge_latest(target: DataFrame, updates: DataFrame, key: Sequence[str], order: str = "fetched_at") -> DataFrame:
-    """Target and updates with one row per key: the newest by ``order``; an update wins a tie."""
-    tagged = target.withColumn("_new", F.lit(0)).unionByName(updates.select(*target.columns).withColumn("_new", F.lit(1)))
-    return _pick(tagged, list(key), F.max_by, F.struct(F.col(order), F.col("_new"))).drop("_new")
-
-
 def last_write_wins(target: DataFrame, updates: DataFrame, key: Sequence[str]) -> DataFrame:
     """Updates replace target rows of the same key whatever their age."""
     return updates.select(*target.columns).unionByName(target.join(updates.select(*key), list(key), "left_anti"))
@@ -52,27 +47,40 @@ BAR_KEY = ("symbol", "date", "source")
 
 
 def upsert_bars(spark: SparkSession, path: str, updates: DataFrame, key: Sequence[str] = BAR_KEY) -> None:
-    """Upsert into a Parquet table partitioned by ``month``: only months with updates are read and rewritten."""
-    incoming = updates.withColumn("month", F.date_format("date", "yyyy-MM"))
-    if not _exists(spark, path):
-        unique = _pick(incoming, list(key), F.max_by, F.col("fetched_at"))
-        unique.repartition("month").write.partitionBy("month").parquet(path)
+    """Upsert into a Parquet table partitioned by ``month``: only months with updates are read and rewritten.
+
+    The months of an update are few and go into the plan as literals, so that the other partitions are not even listed; a large month is written
+    by several tasks. Of several updates for a key the newest by ``fetched_at`` counts.
+    """
+    incoming = _pick(updates.withColumn("month", F.date_format("date", "yyyy-MM")), list(key), F.max_by, F.col("fetched_at"))
+    current = existing(spark, path)
+    if current is None:
+        incoming.hint("rebalance", "month").write.partitionBy("month").parquet(path)
         return
-    current = spark.read.parquet(path).withColumn("month", F.col("month").cast("string"))
-    touched = current.join(incoming.select("month").distinct(), "month", "left_semi")
-    unique = _pick(incoming, list(key), F.max_by, F.col("fetched_at"))
-    merged = last_write_wins(touched, unique, key)
-    merged.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    months = [row[0] for row in updates.select(F.date_format("date", "yyyy-MM").alias("month")).distinct().collect()]
+    touched = current.where(F.col("month").cast("string").isin(months)).withColumn("month", F.col("month").cast("string"))
+    merged = last_write_wins(touched, incoming, key)
+    merged.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def append_absent(target: DataFrame, new: DataFrame, key: Sequence[str] = ("symbol", "date")) -> DataFrame:
-    """Target plus the new rows whose (symbol, date) it lacks, whatever the source."""
-    return target.unionByName(new.select(*target.columns).join(target.select(*key), list(key), "left_anti"))
+    """Target plus the new rows whose (symbol, date) it lacks, whatever the source; of several for one the smallest by its columns."""
+    return target.unionByName(_one_each(new.select(*target.columns), key).join(target.select(*key), list(key), "left_anti"))
+
+
+def _one_each(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    rest = [c for c in rows.columns if c not in key]
+    return _pick(rows, list(key), F.min_by, F.struct(*rest)) if rest else rows.distinct()
 
 
 def upsert_fx(target: DataFrame, updates: DataFrame) -> DataFrame:
@@ -96,7 +104,7 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 def export_views(df: DataFrame, path: str, key: str = "symbol") -> None:
     """One folder of JSON per key."""
-    df.repartition(key).write.partitionBy(key).json(path)
+    df.hint("rebalance", key).write.partitionBy(key).json(path)
 
 
 def publish_allowed(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
@@ -108,5 +116,5 @@ def publish_allowed(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
 
 
 def seed_dim(target: DataFrame, rows: DataFrame, key: str = "symbol") -> DataFrame:
-    """Add dimension rows whose key is missing; present rows stay as they are."""
-    return target.unionByName(rows.select(*target.columns).join(target.select(key), key, "left_anti"))
+    """Add dimension rows whose key is missing; present rows stay as they are; of several for one key the smallest counts."""
+    return target.unionByName(_one_each(rows.select(*target.columns), [key]).join(target.select(key), key, "left_anti"))

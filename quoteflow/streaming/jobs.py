@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from quoteflow.operators.joins import DEFAULT_BUYS, DEFAULT_SELLS
 from quoteflow.operators.quality import drift_guard
 from quoteflow.operators.signals import ladder_table
-from quoteflow.sources.writers import _exists, upsert_bars
+from quoteflow.sources.writers import existing, upsert_bars
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LADDER_OUTPUT = "symbol STRING, ts TIMESTAMP, delta INT, steps INT, fill_ts TIMESTAMP, fill_price DOUBLE, fill_delta INT"
@@ -68,15 +68,20 @@ def stream_dedupe(alerts: DataFrame, ts: str = "ts", key: str = "dedup_key", hor
     return alerts.withWatermark(ts, horizon).dropDuplicatesWithinWatermark([key])
 
 
-def deliver_once(alerts: DataFrame, path: str, checkpoint: str, ts: str = "ts", key: str = "dedup_key") -> StreamingQuery:
-    """Unbounded horizon: a batch appends only keys the delivered table does not have, the earliest row of each."""
+def deliver_once(alerts: DataFrame, path: str, checkpoint: str, ts: str = "ts", key: str = "dedup_key", order: Sequence[str] = ()) -> StreamingQuery:
+    """Unbounded horizon: a batch appends only keys the delivered table does not have, the earliest row of each.
+
+    ``order`` and then the other columns break ties of ``ts``. The delivered keys of all time are the state of this job: of the table only its key
+    column is read.
+    """
 
     def write(batch: DataFrame, _id: int) -> None:
         spark = batch.sparkSession
         rest = [c for c in batch.columns if c != key]
-        first = batch.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(ts)).alias("_r")).select(key, "_r.*")
-        if _exists(spark, path):
-            first = first.join(spark.read.parquet(path).select(key), key, "left_anti")
+        first = batch.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(ts, *order, *[c for c in rest if c not in (ts, *order)])).alias("_r")).select(key, "_r.*")
+        delivered = existing(spark, path)
+        if delivered is not None:
+            first = first.join(delivered.select(key), key, "left_anti")
         first.write.mode("append").parquet(path)
 
     return alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -96,17 +101,28 @@ class DriftError(RuntimeError):
 
 
 def stream_guard(rows: DataFrame, published: str, checkpoint: str, relative: Mapping[str, float], absolute: Mapping[str, float],
-                 key: str = "symbol", ts: str = "date") -> StreamingQuery:
-    """Append only new (key, date) rows; restated ones are dropped, and a drift beyond the limits fails the batch."""
+                 key: str = "symbol", ts: str = "date", audit: str | None = None, order: Sequence[str] = ()) -> StreamingQuery:
+    """Append only new (key, date) rows; restated ones are dropped, and a drift beyond the limits fails the batch.
+
+    Of several new rows for one (key, date) the last by ``order`` (then by their columns) counts. Only published rows in the batch's range of dates are read. All
+    violating keys with their errors go to ``audit`` (default: beside the published table) before the batch fails.
+    """
+    report = audit or f"{published.rstrip('/')}_drift"
 
     def write(batch: DataFrame, _id: int) -> None:
-        old = batch.sparkSession.read.parquet(published)
+        if batch.isEmpty():
+            return
+        table = batch.sparkSession.read.parquet(published)
+        span = batch.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).first()
+        old = table.where(F.col(ts).between(F.lit(span["a"]), F.lit(span["b"])))
         worst = drift_guard(old, batch, relative, absolute, key, ts).where(~F.col("within_limits"))
-        bad = [row[0] for row in worst.select(key).limit(5).collect()]  # names for the error text only
-        if bad:
-            raise DriftError(f"published values drifted for {bad}")
-        fresh = batch.join(old.select(key, ts), [key, ts], "left_anti").dropDuplicates([key, ts])
-        fresh.select(*old.columns).write.mode("append").parquet(published)
+        if not worst.isEmpty():
+            worst.withColumn("batch", F.lit(_id)).write.mode("append").parquet(report)
+            raise DriftError(f"published values drifted for {worst.count()} keys; they are listed in {report}")
+        rest = [c for c in batch.columns if c not in (key, ts)]
+        last = batch.groupBy(key, ts).agg(F.max_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order])).alias("_r")).select(key, ts, "_r.*")
+        fresh = last.join(old.select(key, ts), [key, ts], "left_anti")
+        fresh.select(*table.columns).write.mode("append").parquet(published)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -142,4 +142,5 @@ def test_request_checks():
     for names, start, end, limit in ((["S1", "S1"], date(2020, 1, 1), date(2021, 1, 1), 0), ([], date(2020, 1, 1), date(2021, 1, 1), 0), (["X"], date(2020, 1, 1), date(2021, 1, 1), 0),
                                      (["S1"], date(2021, 1, 1), date(2020, 1, 1), 0), (["S1"], date(2000, 1, 1), date(2021, 1, 1), 0), (["S1"], date(2020, 1, 1), date(2021, 1, 1), 5001)):
         with pytest.raises(ValueError):
-            check_request(names, known, start, end, limit)
+            check_request(names, known, start, end, limit, 14, 365 * 15, 5000)
+    check_request([f"S{i}" for i in range(20)], known, date(1990, 1, 1), date(2021, 1, 1), 10**6)
