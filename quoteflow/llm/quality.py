@@ -143,7 +143,8 @@ def _concentrate(rows: DataFrame, x: list[Column], current: DataFrame, widen: fl
     """One step for every group and start: the nearest share of COVER (or those within a limit) gives the next estimate."""
     far = rows.join(current, "g").withColumn("d", distance(x, "e"))
     if limit is None:
-        cut = far.groupBy("g", "start").agg(F.percentile_approx("d", COVER, 10_000).alias("cut"))
+        # written, so that its size is known and rows need not be dealt by group to meet it
+        cut = settle(far.groupBy("g", "start").agg(F.percentile_approx("d", COVER, 10_000).alias("cut")))
         far = far.join(cut, ["g", "start"])
     else:
         far = far.withColumn("cut", F.lit(limit))
