@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteflow.operators.joins import DEFAULT_BUYS, DEFAULT_SELLS
 from quoteflow.operators.metrics import performance_columns
 from quoteflow.operators.ranking import argmax_first
 from quoteflow.operators.signals import STEPS, crossing_events, ladder_on
-from quoteflow.operators.timeline import CHUNK_ROWS, Series, as_list, place, placement_of, positions, running_on, unplace
+from quoteflow.operators.timeline import CHUNK, CHUNK_ROWS, PRED, SUCC, Series, as_list, place, placement_of, positions, running_on, unplace
 from quoteflow.session import settle
 
 # Sweep grid, spacing of the levels, friction in basis points, gates of the choice.
@@ -166,18 +168,107 @@ def enough_rows(rows: DataFrame, key) -> DataFrame:
     return rows.join(counted.select(*keys), keys, "left_semi")  # whole keys go, so the placement stays valid
 
 
+#: runs whose equity is held at once per chunk; bounds the memory of a task
+RUN_BLOCK = 48
+PARTIAL = "run int, friction double, _n long, _first double, _last double, _k long, _m double, _m2 double, _up long, _mdd double, _top double"
+
+
+def _paths(bars: pd.DataFrame, states: pd.DataFrame, ts: str, frictions: Sequence[float], columns: np.ndarray):
+    """(equity, change) of the given runs over a chunk's bars, one column each; ``states`` are its fills, and with a null time what came before the chunk."""
+    close, before = bars["_close"].to_numpy(dtype=float)[:, None], bars["_before"].to_numpy(dtype=float)[:, None]
+    column = states["run"].to_numpy(dtype=np.int64) * len(frictions) + np.searchsorted(frictions, states["friction"].to_numpy(dtype=float))
+    wanted = np.isin(column, columns)
+    states, column = states[wanted], np.searchsorted(columns, column[wanted])
+    cash, units = states["cash"].to_numpy(dtype=float), states["units"].to_numpy(dtype=float)
+    seed, when = states[ts].isna().to_numpy(), pd.to_datetime(states[ts]).to_numpy()
+    # row 0 is the account before the chunk, one unit of cash where there was no fill yet; k + 1 is the one after bar k
+    held = np.full((len(bars) + 1, len(columns)), -1, dtype=np.int64)
+    row = np.where(seed, 0, np.searchsorted(pd.to_datetime(bars[ts]).to_numpy(), when) + 1)
+    order = np.lexsort([row])
+    held[row[order], column[order]] = np.arange(len(order))
+    held = np.maximum.accumulate(held, axis=0)
+    cash, units = np.append(cash[order], 1.0)[held], np.append(units[order], 0.0)[held]
+    equity, prior = cash[1:] + units[1:] * close, cash[:-1] + units[:-1] * before
+    return equity, equity / prior - 1
+
+
+def _partials(ts: str, n_pairs: int, frictions: Sequence[float], tops_only: bool):
+    """One row per run of what a chunk adds to its metrics; with ``tops_only`` just the highest equity."""
+    levels = np.array(sorted(frictions), dtype=float)
+
+    def run(bars: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        bars, out = bars.sort_values(ts), []
+        for start in range(0, n_pairs * len(levels), RUN_BLOCK) if len(bars) else ():
+            columns = np.arange(start, min(start + RUN_BLOCK, n_pairs * len(levels)))
+            equity, change = _paths(bars, states, ts, levels, columns)
+            names = {"run": columns // len(levels), "friction": levels[columns % len(levels)]}
+            if tops_only:
+                out.append(pd.DataFrame({**names, "_top": equity.max(axis=0)}))
+                continue
+            before = np.full(len(columns), -np.inf)
+            seeds = states[states[ts].isna() & states["_top"].notna()]
+            at = seeds["run"].to_numpy(dtype=np.int64) * len(levels) + np.searchsorted(levels, seeds["friction"].to_numpy(dtype=float)) - start
+            mine = (at >= 0) & (at < len(columns))
+            before[at[mine]] = seeds["_top"].to_numpy(dtype=float)[mine]
+            peak = np.maximum(np.maximum.accumulate(equity, axis=0), before)
+            known = np.isfinite(change)
+            k = known.sum(axis=0)
+            mean = np.where(known, change, 0.0).sum(axis=0) / np.maximum(k, 1)
+            off = np.where(known, change - mean, 0.0)
+            out.append(pd.DataFrame({
+                **names, "_n": len(bars), "_first": equity[0], "_last": equity[-1], "_k": k, "_m": mean, "_m2": (off * off).sum(axis=0),
+                "_up": (known & (change > 0)).sum(axis=0), "_mdd": (equity / peak - 1).min(axis=0), "_top": equity.max(axis=0),
+            }))
+        head = bars.iloc[[0]][[c for c in bars.columns if c not in (ts, "_close", "_before")]]
+        return head.merge(pd.concat(out), how="cross") if out else pd.DataFrame()
+
+    return run
+
+
+def _renewed(df: DataFrame) -> DataFrame:
+    """The same rows with columns of their own: both sides of a cogroup come from the bars here."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def run_metrics(rows: DataFrame, pairs, frictions, key="symbol", ts: str = "date", size: int = CHUNK_ROWS) -> DataFrame:
-    """Performance of every (key, run, friction)."""
+    """Performance of every (key, run, friction).
+
+    Bars are never copied per run: each chunk of bars meets the fills of all runs in it, and gives one row a run. A chunk that has others before it also
+    gets each run's account and highest equity from them.
+    """
     keys = as_list(key)
-    run = [*keys, "run", "friction"]
+    run, part = [*keys, "run", "friction"], [*keys, CHUNK]
     rows = settle(rows)  # both are read twice
     filled = settle(fills(decisions(rows, pairs, keys, ts, size), frictions, keys, size))
-    s = curves(rows, filled, pairs, frictions, keys, ts, size)
-    table = running_on(s, _peak=("max", F.col("equity"))).done().groupBy(*run).agg(
-        F.count(F.lit(1)).alias("_n"), F.min_by("equity", ts).alias("_first"), F.max_by("equity", ts).alias("_last"),
-        F.avg("change").alias("_mean"), F.stddev_samp("change").alias("_std"), F.avg((F.col("change") > 0).cast("double")).alias("_gains"),
-        F.min(F.col("equity") / F.col("_peak") - 1).alias("_mdd"),
+    bars = rows.select(*part, ts, "_close", "_before")
+    placed = filled.withColumnRenamed("date", ts) if ts != "date" else filled
+    own = placed.join(rows.select(*keys, ts, CHUNK), [*keys, ts]).select(*part, "run", "friction", ts, "cash", "units")
+    blank = {ts: F.lit(None).cast(rows.schema[ts].dataType), "_top": F.lit(None).cast("double")}
+
+    # only keys of several chunks have rows from here on
+    cut = rows.where(F.col(PRED).isNotNull() | F.col(SUCC).isNotNull()).select(*part).distinct()
+    ids = F.array(*[F.struct(F.lit(i).alias("run"), F.lit(float(f)).alias("friction")) for i in range(len(pairs)) for f in frictions])
+    grid = cut.select(*part, F.inline(ids))
+    ends = own.groupBy(*part, "run", "friction").agg(F.max_by(F.struct("cash", "units"), ts).alias("_end"))
+    earlier = Window.partitionBy(*run).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)  # a row per chunk and run
+    seeds = grid.join(ends, [*part, "run", "friction"], "left").withColumn("_seed", F.last("_end", ignorenulls=True).over(earlier))
+    seeds = seeds.select(*part, "run", "friction", "_seed.cash", "_seed.units").withColumns(blank)
+    states = own.withColumn("_top", blank["_top"]).unionByName(seeds.where("cash IS NOT NULL"))
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in part)
+    tops = bars.join(cut, part, "left_semi").groupBy(*part).cogroup(_renewed(states).groupBy(*part)).applyInPandas(
+        _partials(ts, len(pairs), frictions, True), f"{head}, run int, friction double, _top double")
+    before = tops.withColumn("_top", F.max("_top").over(earlier)).where("_top IS NOT NULL")
+    seeded = seeds.drop("_top").join(before, [*part, "run", "friction"], "left")
+    first = F.coalesce("cash", F.lit(1.0)).alias("cash"), F.coalesce("units", F.lit(0.0)).alias("units")
+    states = own.withColumn("_top", blank["_top"]).unionByName(seeded.select(*part, "run", "friction", ts, *first, "_top"))
+    partial = bars.groupBy(*part).cogroup(_renewed(states).groupBy(*part)).applyInPandas(_partials(ts, len(pairs), frictions, False), f"{head}, {PARTIAL}")
+    table = partial.groupBy(*run).agg(
+        F.sum("_n").alias("_n"), F.min_by("_first", CHUNK).alias("_first"), F.max_by("_last", CHUNK).alias("_last"), F.min("_mdd").alias("_mdd"),
+        F.sum("_k").alias("_k"), (F.sum(F.col("_k") * F.col("_m")) / F.nullif(F.sum("_k"), F.lit(0))).alias("_mean"),
+        (F.sum("_m2") + F.sum(F.col("_k") * F.col("_m") * F.col("_m"))).alias("_squares"), (F.sum("_up") / F.nullif(F.sum("_k"), F.lit(0))).alias("_gains"),
     )
+    spread = F.col("_squares") - F.col("_k") * F.col("_mean") * F.col("_mean")
+    table = table.withColumn("_std", F.when(F.col("_k") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (F.col("_k") - 1))))
     made = trades_of(filled).groupBy(*run).agg(
         F.count(F.lit(1)).cast("double").alias("_t"), F.sum("value").alias("_turn"), F.count_if(F.col("side") == "sell").alias("_exits"),
         F.count_if((F.col("side") == "sell") & (F.col("realized_pnl") > 0)).alias("_wins"),

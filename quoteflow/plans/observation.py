@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoteflow.operators import quality as qc
+from quoteflow.operators.joins import DEFAULT_BUYS, DEFAULT_SELLS
 from quoteflow.operators.metrics import threshold_distribution
+from quoteflow.operators.signals import ladder
 from quoteflow.operators.timeline import last_rows
 from quoteflow.plans.scores import FIVE_COMPONENT_WEIGHTS, five_component_score
+from quoteflow.session import settle
 
 POINTS = 756
 
@@ -48,12 +53,24 @@ def observation(bars: DataFrame, calendar: DataFrame, expected) -> tuple[DataFra
 
 
 def indicator_history(inputs: DataFrame, n: int = POINTS) -> DataFrame:
-    """Last ``n`` points (0 = all) of price, score and percentile."""
-    return last_rows(inputs.select("symbol", "date", F.col("close").alias("price"), "score", F.col("score_rank").alias("percentile")), n)
+    """Last ``n`` points (0 = all) of price, score and percentile. The score is computed once: counts and points read the written rows."""
+    return last_rows(settle(inputs.select("symbol", "date", F.col("close").alias("price"), "score", F.col("score_rank").alias("percentile"))), n)
+
+
+def signal_history(scored: DataFrame, buys: Sequence[float] = DEFAULT_BUYS, sells: Sequence[float] = DEFAULT_SELLS, n: int = POINTS,
+                   factors: Sequence[str] = ()) -> DataFrame:
+    """Last ``n`` rows of a scored series as the chart needs them: price, factors, score, the action of the ladder on the day ('hold' without one) and the
+    thresholds. ``scored`` has symbol, date, close, score and the factors."""
+    rows = settle(scored.select("symbol", "date", F.col("close").alias("price"), *factors, "score"))
+    made = ladder(rows.where("score IS NOT NULL"), buys, sells).select("symbol", "date", "action", "steps")
+    levels = {"buy_thresholds": F.array(*[F.lit(float(x)) for x in buys]), "sell_thresholds": F.array(*[F.lit(float(x)) for x in sells])}
+    joined = last_rows(rows, n).join(made, ["symbol", "date"], "left").withColumns(levels)
+    return joined.withColumn("action", F.coalesce("action", F.lit("hold")))
 
 
 def history_view(inputs: DataFrame, n: int = 600) -> tuple[DataFrame, DataFrame]:
-    """(points, threshold distribution) over the same rows."""
+    """(points, threshold distribution) over the same rows; the score is computed once."""
+    inputs = settle(inputs.select("symbol", "date", "close", "score"))
     points = last_rows(inputs.select("symbol", "date", F.col("close").alias("price"), "score"), n)
     return points, threshold_distribution(inputs, n)
 

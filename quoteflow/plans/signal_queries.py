@@ -9,6 +9,7 @@ from quoteflow.operators.joins import next_open_fill
 from quoteflow.operators.signals import ladder
 from quoteflow.plans import evaluation as ev
 from quoteflow.plans import fixtures as fx
+from quoteflow.plans import observation as ob
 from quoteflow.plans.registry import query, r, rounded
 from quoteflow.plans.series_queries import NUMBERED, recursive
 
@@ -170,7 +171,11 @@ res AS (SELECT *, CASE WHEN mdd < 0 THEN cagr / abs(mdd) ELSE 0 END AS calmar FR
 @query("sg6_sweep", f"""{SWEEP} SELECT symbol, fold::INT AS fold, run, friction, {r('ln(1 + total_return)', 'log_return', 4)}, {r('sharpe', 'sharpe', 4)}, {r('mdd', 'max_drawdown', 4)},
   {r('ln(1 + abs(calmar))', 'log_calmar', 4)}, trades, {r('ln(1 + turnover)', 'log_turnover', 4)} FROM res""")
 def _(spark, sf):
-    out = ev.sweep(scored(spark, sf)).select(
+    return sweep_table(ev.sweep(scored(spark, sf)))
+
+
+def sweep_table(results):
+    out = results.select(
         "symbol", "fold", "run", "friction", F.log(1 + F.col("total_return")).alias("log_return"), "sharpe", "max_drawdown",
         F.log(1 + F.abs("calmar")).alias("log_calmar"), "trades", F.log(1 + F.col("turnover")).alias("log_turnover"),
     )
@@ -194,3 +199,12 @@ def _(spark, sf):
         F.log(1 + F.col("holdout_median_return")).alias("log_median_return"), F.log(1 + F.abs("holdout_median_calmar")).alias("log_median_calmar"),
     )
     return rounded(out, 4, "log_robust_score", "log_median_return", "log_median_calmar")
+
+
+@query("sc5_signal_history", f"""{recursive(SCORED, ladder_cte('w', 'q', 'symbol', BUYS, SELLS))},
+l AS (SELECT sc.symbol, sc.date, n.close AS price, score FROM sc JOIN n ON n.symbol = sc.symbol AND n.date = sc.date QUALIFY row_number() OVER (PARTITION BY sc.symbol ORDER BY sc.date DESC) <= 756),
+m AS (SELECT q.symbol, q.date, w.delta, w.steps, {ACTION} AS action FROM w JOIN q ON q.symbol = w.symbol AND q.rn = w.rn WHERE w.delta <> 0)
+SELECT l.symbol, l.date, price, {r('l.score', 'score')}, coalesce(m.action, 'hold') AS action, m.steps FROM l LEFT JOIN m ON m.symbol = l.symbol AND m.date = l.date""")
+def _(spark, sf):
+    out = ob.signal_history(scored(spark, sf), [float(b) for b in BUYS], [float(x) for x in SELLS])
+    return rounded(out.drop("buy_thresholds", "sell_thresholds"), 4, "score")
