@@ -24,9 +24,9 @@ from quoteflow.llm.common import texts_of
 
 BLANK = "▁"
 #: stretches remembered by a worker; when full, the older half goes
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: characters of texts that are cut, encoded and checked together
-CHECK_BYTES = 4 << 20
+CHECK_BYTES = 1 << 20
 
 #: codes of characters that are no piece start here; the rank of a pair that is no piece
 _LOOSE, _NONE = 1 << 22, 1 << 30
@@ -221,7 +221,7 @@ def learn(pieces: Pieces, new: list[str], young: dict[str, bytes]) -> None:
         young[s] = mine
 
 
-def encode_batch(texts: list[str], model: bytes) -> Iterator[bytes]:
+def encode_batch(texts: list[bytes | str], model: bytes) -> Iterator[bytes]:
     """Little-endian 32-bit ids of each whole text, with begin and end ids; texts are taken up together by about CHECK_BYTES."""
     pieces, young, old = loaded(model)
     begin, end = np.array([pieces.begin], "<u4").tobytes(), np.array([pieces.end], "<u4").tobytes()
@@ -229,8 +229,9 @@ def encode_batch(texts: list[str], model: bytes) -> Iterator[bytes]:
     while at < len(texts):
         cut, parts, size = [], [], 0
         while at < len(texts) and size < CHECK_BYTES:
-            found = stretches(texts[at])
-            size += len(texts[at])
+            text = texts[at] if isinstance(texts[at], str) else texts[at].decode()
+            found = stretches(text)
+            size += len(text)
             parts += found
             cut.append(len(parts))
             at += 1
@@ -255,22 +256,30 @@ def encode(docs: DataFrame, model: bytes, id_column: str = "doc_id", text: str =
     fields = [f"{id_column} {kind}", "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
     fields += ["ids array<int>", "decoded string"] if with_ids else []
 
+    names = [f.split(" ")[0] for f in fields]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)[0]
         for batch in batches:
-            rows: dict[str, list] = {"n": [], "ids": [], "text": [], "all": [], "decoded": []}
-            for packed in encode_batch([raw.decode() for raw in texts_of(batch.column(1))], model):
+            keys, at, size = batch.column(0), 0, 0
+            rows: list[list] = [[] for _ in names[1:]]
+
+            def made(end: int) -> pa.RecordBatch:
+                types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+                columns = [pa.array(c, t) for c, t in zip(rows, types)]
+                return pa.RecordBatch.from_arrays([keys.slice(at, end - at), *columns], names=names)
+
+            for k, packed in enumerate(encode_batch(list(texts_of(batch.column(1))), model), 1):
                 ids = np.frombuffer(packed, dtype="<u4")
                 back = pieces.decode(ids.tolist())
-                rows["n"].append(len(ids))
-                rows["ids"].append(hashlib.sha256(packed).hexdigest())
-                rows["text"].append(hashlib.sha256(back.encode()).hexdigest())
-                if with_ids:
-                    rows["all"].append(ids.astype(np.int32))
-                    rows["decoded"].append(back)
-            columns = [batch.column(0), pa.array(rows["n"], pa.int64()), pa.array(rows["ids"], pa.string()), pa.array(rows["text"], pa.string())]
-            if with_ids:
-                columns += [pa.array(rows["all"], pa.list_(pa.int32())), pa.array(rows["decoded"], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.split(" ")[0] for f in fields])
+                values = [len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), ids.astype(np.int32), back]
+                for column, value in zip(rows, values):
+                    column.append(value)
+                size += len(packed) + len(back) if with_ids else 64
+                if size > CHECK_BYTES:
+                    yield made(k)
+                    rows, at, size = [[] for _ in names[1:]], k, 0
+            if at < len(keys):
+                yield made(len(keys))
 
     return docs.select(F.col(id_column), F.col(text)).mapInArrow(run, ", ".join(fields))
