@@ -65,9 +65,10 @@ def exit_triggers(pos: DataFrame, sig: DataFrame, rule: Rule = Rule(), on: Seque
     """Exit decision per open position with the updated peak and armed flag.
 
     ``pos``: shares, cost_basis, first_date, last_action_date, last_sell_date, peak_price, armed, sold_lots.
-    ``sig``: signal_date, score, close, optionally sell_gate. Age and stop loss ignore the gap between sells.
+    ``sig``: signal_date, score, close, optionally sell_gate. Age and stop loss ignore the gap between sells. A position without a signal row
+    is reported with the reason ``missing_signal``.
     """
-    rows = pos.where(F.col("shares") > HELD).join(sig, list(on))
+    rows = pos.where(F.col("shares") > HELD).join(sig.withColumn("_seen", F.lit(True)), list(on), "left")
     score, close, day = F.col("score"), F.col("close"), F.col("signal_date")
     profit = close / (F.col("cost_basis") / F.col("shares")) - 1
     peak = F.greatest("peak_price", "close")
@@ -96,17 +97,32 @@ def exit_triggers(pos: DataFrame, sig: DataFrame, rule: Rule = Rule(), on: Seque
     fired = wanted & (aged | loss | ~F.coalesce(waiting, F.lit(False)))
     return rows.select(
         *_with_day(on), profit.alias("profit"), peak.alias("peak_price"), armed.alias("armed"),
-        F.coalesce(fired, F.lit(False)).alias("exit"), F.when(fired, reason).alias("reason"),
+        F.coalesce(fired, F.lit(False)).alias("exit"), F.when(F.col("_seen").isNull(), "missing_signal").when(fired, reason).alias("reason"),
     )
 
 
 def entry_candidates(sig: DataFrame, pos: DataFrame, rule: Rule = Rule(), max_lots: int = MAX_LOTS,  # noqa: B008
                      on: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Names that may be bought at the next open, in budget order (priority, then symbol).
+    """Names that may be bought at the next open, in budget order (priority, then symbol); none on days whose ``buy_allowed`` is false.
 
-    ``sig``: signal_date, score, close, optionally buy_gate and priority. ``pos``: shares, lots, selling, sold_now,
+    ``sig``: signal_date, score, close, optionally buy_gate, priority and buy_allowed. ``pos``: shares, lots, selling, sold_now,
     flat_date, last_buy, last_buy_date (missing = never held).
     """
+    chosen = _eligible(sig, pos, rule, max_lots, on).where("_allowed")
+    return chosen.select(
+        *_with_day(on), _optional(chosen, "priority", F.col("score")).alias("priority"), (~F.col("_open")).alias("is_new"),
+        F.when(F.col("_open"), "add_after_drop").otherwise("fear").alias("reason"),
+    )
+
+
+def suppressed_candidates(sig: DataFrame, pos: DataFrame, rule: Rule = Rule(), max_lots: int = MAX_LOTS,  # noqa: B008
+                          on: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Per day, how many names would have been candidates if buying had been allowed."""
+    held_back = _eligible(sig, pos, rule, max_lots, on).where("NOT _allowed")
+    return held_back.groupBy("signal_date").agg(F.count(F.lit(1)).alias("suppressed"))
+
+
+def _eligible(sig: DataFrame, pos: DataFrame, rule: Rule, max_lots: int, on: Sequence[str]) -> DataFrame:
     rows = sig.join(pos, list(on), "left")
     open_ = F.coalesce(F.col("shares") > HELD, F.lit(False))
     busy = F.coalesce("sold_now", F.lit(False)) | F.coalesce("selling", F.lit(False)) | (F.coalesce("lots", F.lit(0)) >= max_lots)
@@ -115,15 +131,12 @@ def entry_candidates(sig: DataFrame, pos: DataFrame, rule: Rule = Rule(), max_lo
     dropped = F.col("close") <= F.col("last_buy") * (1 - rule.add_drop)
     rested = F.datediff("signal_date", "last_buy_date") >= rule.buy_gap_days
     eligible = F.when(open_, low & dropped & rested).otherwise(low & ~cooling)
-    chosen = rows.where(~busy & F.coalesce(eligible, F.lit(False)))
-    return chosen.select(
-        *_with_day(on), _optional(rows, "priority", F.col("score")).alias("priority"), (~open_).alias("is_new"),
-        F.when(open_, "add_after_drop").otherwise("fear").alias("reason"),
-    )
+    allowed = F.coalesce(_optional(rows, "buy_allowed", F.lit(True)), F.lit(True))
+    return rows.where(~busy & F.coalesce(eligible, F.lit(False))).withColumns({"_open": open_, "_allowed": allowed})
 
 
 def desk_actions(sig: DataFrame, pos: DataFrame, plan: DataFrame, rule: Rule = Rule(), on: Sequence[str] = ("symbol",)) -> DataFrame:  # noqa: B008
-    """Label per symbol. ``sig``: score, close, covered, current (plan and data dates agree), has_plan.
+    """Label per symbol with its reason, and the protect price of what is held. ``sig``: score, close, covered, current (plan and data dates agree), has_plan.
 
     ``pos``: profit_pct, holding_days, lots, selling, last_buy_price, peak_price, exit_armed, sold_lots; ``plan``: side.
     """
@@ -153,7 +166,18 @@ def desk_actions(sig: DataFrame, pos: DataFrame, plan: DataFrame, rule: Rule = R
     )
     planned = F.when(F.col("_side") == "buy", "planned_buy").when(F.col("_side") == "sell", "planned_sell")
     final = F.when(F.col("has_plan") & F.col("covered"), F.coalesce(planned, F.when(action.endswith("_candidate"), "no_order").otherwise(action)))
-    return rows.select(*on, F.coalesce(final, action).alias("action"))
+    label = F.coalesce(final, action)
+    reason = F.create_map(*[F.lit(x) for item in DESK_REASONS.items() for x in item])[label]
+    return rows.select(*on, label.alias("action"), reason.alias("reason"), F.when(F.col("_held"), protect).alias("protect_price"))
+
+
+#: what a desk label means
+DESK_REASONS = {
+    "observe": "not covered by the plan", "recompute": "plan and data are of different days", "exit_candidate": "held for the longest time",
+    "sell_candidate": "score or profit at the target", "add_candidate": "low score well below the last buy", "hold_protected": "above the protect price",
+    "hold": "nothing to do", "first_buy_candidate": "low score", "wait": "score is not low", "planned_buy": "the plan buys", "planned_sell": "the plan sells",
+    "no_order": "the plan has no order for it",
+}
 
 
 def kickoff_candidates(sig: DataFrame, limit: float = 20) -> DataFrame:

@@ -79,24 +79,41 @@ for _mode in ("score_or_profit", "trail", "step_trail"):
     query(f"sg9_exit_{_mode}", exit_sql(_mode))(_exits(_mode))
 
 
-@query("sg10_entry_candidates", f"""WITH {STATE}, a AS (SELECT *, v % 3 > 0 AS held, v % 11 = 0 AS selling, v % 6 AS lots, CASE WHEN v % 4 = 0 THEN last_action_date END AS flat_date FROM st)
-SELECT symbol, signal_date, {r('score', 'priority')}, NOT held AS is_new, CASE WHEN held THEN 'add_after_drop' ELSE 'fear' END AS reason FROM a
-WHERE NOT selling AND lots < 4 AND score <= -20 AND CASE WHEN held THEN close <= peak_price * (1 - 0.1::DOUBLE) AND date_diff('day', first_date, signal_date) >= 7
-  ELSE NOT coalesce(date_diff('day', flat_date, signal_date) < 7, false) END""")
+ELIGIBLE = f"""WITH {STATE}, a AS (SELECT *, v % 3 > 0 AS held, v % 11 = 0 AS selling, v % 6 AS lots, CASE WHEN v % 4 = 0 THEN last_action_date END AS flat_date FROM st),
+c AS (SELECT * FROM a WHERE NOT selling AND lots < 4 AND score <= -20 AND CASE WHEN held THEN close <= peak_price * (1 - 0.1::DOUBLE) AND date_diff('day', first_date, signal_date) >= 7
+  ELSE NOT coalesce(date_diff('day', flat_date, signal_date) < 7, false) END)"""
+
+
+@query("sg10_suppressed", f"{ELIGIBLE} SELECT signal_date, count(*) AS suppressed FROM c WHERE day(signal_date) >= 25 GROUP BY 1")
+def _(spark, sf):
+    st = state(spark, sf)
+    return rules.suppressed_candidates(_gated(st), _lots(st), on=ON)
+
+
+@query("sg10_entry_candidates", f"""{ELIGIBLE} SELECT symbol, signal_date, {r('score', 'priority')}, NOT held AS is_new, CASE WHEN held THEN 'add_after_drop' ELSE 'fear' END AS reason FROM c WHERE day(signal_date) < 25""")
 def _(spark, sf):
     st = state(spark, sf)
+    return rounded(rules.entry_candidates(_gated(st), _lots(st), on=ON), 4, "priority")
+
+
+def _gated(st):
+    """Signals; nothing is bought on the last days of a month."""
+    return st.select(*ON, "score", "close", (F.dayofmonth("signal_date") < 25).alias("buy_allowed"))
+
+
+def _lots(st):
     v = F.col("v")
-    pos = st.select(
+    return st.select(
         *ON, F.when(v % 3 > 0, 1.0).otherwise(0.0).alias("shares"), (v % 6).alias("lots"), (v % 11 == 0).alias("selling"), F.lit(False).alias("sold_now"),
         F.when(v % 4 == 0, F.col("last_action_date")).alias("flat_date"), F.col("peak_price").alias("last_buy"), F.col("first_date").alias("last_buy_date"))
-    return rounded(rules.entry_candidates(st.select(*ON, "score", "close"), pos, on=ON), 4, "priority")
 
 
 @query("sg11_desk_actions", f"""WITH {STATE}, a AS (SELECT *, v % 13 > 0 AS covered, v % 17 > 0 AS cur, v % 3 > 0 AS held, (close / (cost_basis / shares) - 1) * 100 AS p, date_diff('day', first_date, signal_date) AS d,
   CASE v % 7 WHEN 0 THEN 'buy' WHEN 1 THEN 'sell' END AS side, v % 2 = 0 AS has_plan FROM st),
 b AS (SELECT *, CASE WHEN NOT covered THEN 'observe' WHEN NOT cur THEN 'recompute' WHEN held AND d >= 60 THEN 'exit_candidate' WHEN held AND (score >= 40 OR p >= 0.3::DOUBLE * 100) THEN 'sell_candidate'
   WHEN held AND NOT v % 11 = 0 AND v % 6 < 4 AND score <= -20 AND close <= peak_price * (1 - 0.1::DOUBLE) THEN 'add_candidate' WHEN held THEN 'hold' WHEN score <= -20 THEN 'first_buy_candidate' ELSE 'wait' END AS act FROM a)
-SELECT symbol, signal_date, CASE WHEN has_plan AND covered THEN CASE WHEN side = 'buy' THEN 'planned_buy' WHEN side = 'sell' THEN 'planned_sell' WHEN act LIKE '%_candidate' THEN 'no_order' ELSE act END ELSE act END AS action FROM b""")
+SELECT symbol, signal_date, CASE WHEN has_plan AND covered THEN CASE WHEN side = 'buy' THEN 'planned_buy' WHEN side = 'sell' THEN 'planned_sell' WHEN act LIKE '%_candidate' THEN 'no_order' ELSE act END ELSE act END AS action,
+  {" ".join(["CASE action"] + [f"WHEN '{k}' THEN '{v}'" for k, v in rules.DESK_REASONS.items()])} END AS reason, {r("CASE WHEN held THEN peak_price * (1 - 0.1::DOUBLE) END", 'protect_price', 6)} FROM b""")
 def _(spark, sf):
     st = state(spark, sf)
     v = F.col("v")
@@ -105,7 +122,7 @@ def _(spark, sf):
         *ON, ((F.col("close") / (F.col("cost_basis") / F.col("shares")) - 1) * 100).alias("profit_pct"), F.datediff("signal_date", "first_date").alias("holding_days"),
         (v % 6).alias("lots"), (v % 11 == 0).alias("selling"), F.col("peak_price").alias("last_buy_price"), "peak_price", F.lit(False).alias("exit_armed"), F.lit(0).alias("sold_lots"))
     plan = st.where("v % 7 < 2").select(*ON, F.when(v % 7 == 0, "buy").otherwise("sell").alias("side"))
-    return rules.desk_actions(sig, pos, plan, on=ON)
+    return rounded(rules.desk_actions(sig, pos, plan, on=ON), 6, "protect_price")
 
 
 @query("sg12_kickoff_candidates", f"""WITH {PRICED}, p AS (SELECT symbol || date AS symbol, CASE WHEN day(date) > 1 THEN (score + 100) / 2 END AS percentile FROM sx)
