@@ -113,7 +113,7 @@ def _lots(st):
 b AS (SELECT *, CASE WHEN NOT covered THEN 'observe' WHEN NOT cur THEN 'recompute' WHEN held AND d >= 60 THEN 'exit_candidate' WHEN held AND (score >= 40 OR p >= 0.3::DOUBLE * 100) THEN 'sell_candidate'
   WHEN held AND NOT v % 11 = 0 AND v % 6 < 4 AND score <= -20 AND close <= peak_price * (1 - 0.1::DOUBLE) THEN 'add_candidate' WHEN held THEN 'hold' WHEN score <= -20 THEN 'first_buy_candidate' ELSE 'wait' END AS act FROM a)
 SELECT symbol, signal_date, CASE WHEN has_plan AND covered THEN CASE WHEN side = 'buy' THEN 'planned_buy' WHEN side = 'sell' THEN 'planned_sell' WHEN act LIKE '%_candidate' THEN 'no_order' ELSE act END ELSE act END AS action,
-  {" ".join(["CASE action"] + [f"WHEN '{k}' THEN '{v}'" for k, v in rules.DESK_REASONS.items()])} END AS reason, {r("CASE WHEN held THEN peak_price * (1 - 0.1::DOUBLE) END", 'protect_price', 6)} FROM b""")
+  {" ".join(["CASE action"] + [f"WHEN '{k}' THEN '{v}'" for k, v in rules.DESK_REASONS.items()])} END AS reason, {r("CASE WHEN held THEN peak_price * (1 - 0.1::DOUBLE) END", 'protect_price', 8)} FROM b""")
 def _(spark, sf):
     st = state(spark, sf)
     v = F.col("v")
@@ -122,7 +122,7 @@ def _(spark, sf):
         *ON, ((F.col("close") / (F.col("cost_basis") / F.col("shares")) - 1) * 100).alias("profit_pct"), F.datediff("signal_date", "first_date").alias("holding_days"),
         (v % 6).alias("lots"), (v % 11 == 0).alias("selling"), F.col("peak_price").alias("last_buy_price"), "peak_price", F.lit(False).alias("exit_armed"), F.lit(0).alias("sold_lots"))
     plan = st.where("v % 7 < 2").select(*ON, F.when(v % 7 == 0, "buy").otherwise("sell").alias("side"))
-    return rounded(rules.desk_actions(sig, pos, plan, on=ON), 6, "protect_price")
+    return rounded(rules.desk_actions(sig, pos, plan, on=ON), 8, "protect_price")
 
 
 @query("sg12_kickoff_candidates", f"""WITH {PRICED}, p AS (SELECT symbol || date AS symbol, CASE WHEN day(date) > 1 THEN (score + 100) / 2 END AS percentile FROM sx)
