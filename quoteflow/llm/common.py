@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quoteflow.session import checkpoint_root, settle
 
-__all__ = ["Forest", "packed", "settle", "shared_path", "table", "texts_of", "unpacked"]
+__all__ = ["Forest", "packed", "settle", "shared_path", "small_batches", "table", "texts_of", "unpacked"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_root(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame, its session set to hand Python batches of at most 4 MB (and one row), so that long texts do not fill a worker's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df
+
+
 def packed(docs: DataFrame, **own: Column) -> DataFrame:
     """The rows of docs as one struct column beside columns of our own, so that no names clash."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *[c.alias(n) for n, c in own.items()])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import texts_of
+from quoteflow.llm.common import small_batches, texts_of
 
 BLANK = "▁"
 #: stretches remembered by a worker; when full, the older half goes
@@ -184,7 +184,7 @@ class Pieces:
 
 
 _STRETCH = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-_LOADED: dict[str, tuple[Pieces, dict, dict]] = {}
+_LOADED: dict[str, tuple[Pieces, dict, dict]] = {}  # of one vocabulary at a time
 
 
 def stretches(text: str) -> list[str]:
@@ -193,9 +193,10 @@ def stretches(text: str) -> list[str]:
 
 
 def loaded(model: bytes) -> tuple[Pieces, dict, dict]:
-    """The vocabulary and two generations of remembered stretches, once for each worker."""
+    """The vocabulary, once for each worker, and two generations of remembered stretches, which a task leaves empty."""
     key = hashlib.sha256(model).hexdigest()
     if key not in _LOADED:
+        _LOADED.clear()
         _LOADED[key] = (Pieces(model), {}, {})
     return _LOADED[key]
 
@@ -281,5 +282,7 @@ def encode(docs: DataFrame, model: bytes, id_column: str = "doc_id", text: str =
                     rows, at, size = [[] for _ in names[1:]], k, 0
             if at < len(keys):
                 yield made(len(keys))
+        for remembered in loaded(model)[1:]:  # the worker goes on to other tasks, maybe of other kinds
+            remembered.clear()
 
-    return docs.select(F.col(id_column), F.col(text)).mapInArrow(run, ", ".join(fields))
+    return small_batches(docs).select(F.col(id_column), F.col(text)).mapInArrow(run, ", ".join(fields))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import packed, settle, unpacked
+from quoteflow.llm.common import packed, settle, small_batches, unpacked
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 WINDOW = 8
@@ -72,7 +72,7 @@ def with_statistics(docs: DataFrame, text: str = "text", name: str = "stats") ->
         rows = [statistics(t.encode() if isinstance(t, str) else b"") for t in values]
         return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in BASE.split(", ")], dtype="int64")
 
-    return docs.withColumn(name, of(F.col(text)))
+    return small_batches(docs).withColumn(name, of(F.col(text)))
 
 
 def base_failed(s: str) -> Column:

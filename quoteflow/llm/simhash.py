@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import Forest, packed, settle, unpacked
+from quoteflow.llm.common import Forest, packed, settle, small_batches, unpacked
 from quoteflow.llm.graph import components
 
 BITS, SEED, SHINGLE = 64, 42, 3
@@ -51,7 +51,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "simhash")
     def of(values):
         return values.map(lambda t: np.uint64(fingerprint(t.encode() if isinstance(t, str) else b"")).astype(np.int64)).astype("int64")
 
-    return docs.withColumn(name, of(F.col(text)))
+    return small_batches(docs).withColumn(name, of(F.col(text)))
 
 
 def masks(radius: int = 3, bits: int = BITS) -> list[int]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import packed, texts_of, unpacked
+from quoteflow.llm.common import packed, small_batches, texts_of, unpacked
 
 #: words of a window and between starts of windows
 LENGTH, STRIDE = 24, 16
@@ -29,7 +29,7 @@ WORD, CHAR, STATE, ATTEND, BUCKETS = 12, 8, 8, 8, 4096
 THRESHOLD, LEAST_DOCS, ONE_IN = 0.3, 3, 300
 STEPS, BATCH, RATE, DECAY, SEED = 300, 48, 0.01, 0.3, 7
 #: characters of texts that are scored together, windows that step together
-CHUNK, TOGETHER = 2 << 20, 4096
+CHUNK, TOGETHER = 1 << 20, 4096
 
 _EDGE = ".,;:!?%*&$#|\"'()[]{}<>-_/\\~`^+=“”«»„…"
 
@@ -263,7 +263,7 @@ def scored(docs: DataFrame, network: Network | None, text: str = "text", name: s
     def of(values: pd.Series) -> pd.Series:
         return pd.Series(score_texts(network, [t if isinstance(t, str) else "" for t in values]))
 
-    return docs.withColumn(name, of(F.col(text)))
+    return small_batches(docs).withColumn(name, of(F.col(text)))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
