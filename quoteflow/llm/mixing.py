@@ -22,8 +22,8 @@ WEIGHTS = (3, 1, 2)
 BUCKETS, LEAST_BLOCKS, BLOCK_WORDS = 1024, 128, 1 << 16
 #: standard deviations around the mean in which a draw is looked up; what lies outside has a chance below 1e-30
 SPREAD = 12
-#: a prime above any number of blocks
-STEP = 2_147_483_647
+#: primes above any number of blocks: steps that go through all blocks of a source
+STEPS = (2_147_483_647, 3_221_225_473, 1_610_612_741, 1_000_000_007, 1_000_000_009, 998_244_353, 805_306_457, 469_762_049)
 KEY = ("doc_id", "source", "body", "copy")
 
 
@@ -161,8 +161,9 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 2024, id_column: str = "d
     passes = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(most) - 1))).alias("pass")
     draws = totals.select("place", "blocks", "quota", passes)
     draws = draws.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    # a step that is prime to the number of blocks goes through all of them
-    turned = F.pmod(F.col("block") * F.pmod(F.lit(STEP), F.col("blocks")) + F.pmod(F.xxhash64(F.lit(seed), "place", "pass"), F.col("blocks")), F.col("blocks"))
+    # a step that is prime to the number of blocks goes through all of them; the one nearest the golden section scatters neighbours
+    step = F.array_min(F.array(*[F.struct(F.abs(F.pmod(F.lit(p), F.col("blocks")) / F.col("blocks") - 0.381966).alias("off"), F.pmod(F.lit(p), F.col("blocks")).alias("step")) for p in STEPS]))["step"]
+    turned = F.pmod(F.col("block") * step + F.pmod(F.xxhash64(F.lit(seed), "place", "pass"), F.col("blocks")), F.col("blocks"))
     draws = draws.withColumn("draw", F.col("pass") * F.col("blocks") + turned).where("draw < quota")
     per_place = runs.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "shard"))).alias("runs"))
     holds = F.filter("runs", lambda r: (r["begin"] <= F.col("draw")) & (F.col("draw") < r["end"]))
