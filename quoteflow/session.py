@@ -23,6 +23,8 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "quote
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # a few kilobytes per key still mean thousands of window frames: do not merge them into one task
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
