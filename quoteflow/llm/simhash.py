@@ -145,12 +145,13 @@ def near_links(fingerprints: DataFrame, radius: int = 3, cell: int = CELL) -> Da
 
 
 def groups(fingerprints: DataFrame, radius: int = 3, cell: int = CELL) -> DataFrame:
-    """(fp, id) rows -> one row per distinct fp: fp, component (smallest id that links reach; null ids count only if there is no other)."""
+    """(fp, id) rows -> one row per distinct fp: fp, root (a fingerprint that names the linked group), component (smallest id that links
+    reach; null ids count only if there is no other)."""
     nodes = settle(fingerprints.groupBy("fp").agg(F.min("id").alias("low")))
     found = components(near_links(nodes.select("fp"), radius, cell)).withColumnRenamed("node", "fp")
     placed = settle(nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     smallest = placed.groupBy("root").agg(F.min("low").alias("component"))
-    return placed.join(smallest, "root").select("fp", "component")
+    return placed.join(smallest, "root").select("fp", "root", "component")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = 3, cell: int = CELL) -> DataFrame:
@@ -165,13 +166,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
-    """The rows of docs, one of each group of near-duplicates: the one with the smallest id, and one of its rows if they repeat."""
+    """The rows of docs, one of each linked group of near-duplicates: the one with the smallest id (a null one only if there is no other),
+    then the smallest text hash, and one of its rows if they repeat. Unlinked texts stay apart under one id and without ids."""
     marked = with_fingerprint(docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")), "text", "fp")
     slim = settle(marked.select("fp", "id", F.xxhash64("text").alias("body")))
-    found = groups(slim.select("fp", "id"), radius)
-    best = slim.join(found, "fp").where(F.col("id").eqNullSafe(F.col("component"))).groupBy("component", "body").agg(F.count("*").alias("n"))
-    best = best.groupBy("component").agg(F.min(F.struct("body", "n")).alias("best"))
-    keep = settle(best.select(F.col("component").alias("_id"), F.col("best.body").alias("_body"), F.col("best.n").alias("_n")))
+    found = groups(slim.select("fp", "id"), radius).select("fp", "root")
+    best = slim.join(found, "fp").groupBy("root", "id", "body").agg(F.count("*").alias("n"))
+    best = best.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "body", "n")).alias("best"))
+    keep = settle(best.select(F.col("best.id").alias("_id"), F.col("best.body").alias("_body"), F.col("best.n").alias("_n")))
 
     rows = packed(docs, _own=F.col(id_column), _hash=F.xxhash64(F.col(text)))
 

@@ -129,3 +129,20 @@ def test_no_pair_rows(spark):
     frame = spark.createDataFrame([(v,) for v in near], "fp long")
     assert simhash.near_links(frame, cell=64).count() <= 15 * len(near) * (1 + len(near) // 64 + 1)
     assert simhash.near_links(frame).agg(F.count("*")).first()[0] <= 15 * len(near)
+
+
+def test_unlinked_groups_stay_apart(spark):
+    """Groups whose smallest id is equal, null or not, each keep a text; linked and repeated rows of one group leave one."""
+    same = "a copy without an id that is here three times"
+    texts = [f"{w} stands alone number {k} with nothing else like {w}{k}" for k, w in enumerate(("river", "engine", "violin", "carpet"))]
+    docs = documents(spark, [*[(None, t, "en", "a", 1) for t in [*texts, same, same]], (20, same, "en", "a", 1), (1, texts[0] + " today again", "en", "a", 1)])
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    groups = plain_components({k: plain_fingerprint(t) for k, (_, t) in enumerate(rows)}, close)
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()]
+    where = [groups[rows.index(r)] for r in kept]
+    assert sorted(where) == sorted(set(groups.values()))
+    for (i, _), g in zip(kept, where):
+        ids = [rows[k][0] for k in groups if groups[k] == g and rows[k][0] is not None]
+        assert i == min(ids, default=None)
+    assert sorted(t for i, t in kept if i is None) == sorted([*texts, "no id at all"])
+    assert (1, "another text under a known id") in kept and sum((t or "").lower().startswith("one two") for _, t in kept) == 1
