@@ -4,25 +4,24 @@ overlapping windows of a text.
 A word enters as its own vector, if it was frequent enough in the training sample, beside the mean vector of its hashed character trigrams. Training sees
 documents as bags of windows: the bag's logit is the log-sum-exp of its windows', so that one toxic stretch makes a document toxic and the others are
 left alone. A document's score is that of its worst window, with the logit moved back to the corpus's share of toxic labels. The network is fitted on the driver
-on a sample of bounded size (PER_CLASS documents, WINDOWS windows of LENGTH words each); scoring reads every word of every document."""
+on a sample of bounded size (PER_CLASS documents, TEXT characters; documents are left out whole, their texts are not cut); training and scoring read every
+word of a document."""
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import packed, small_batches, texts_of, unpacked
+from quoteflow.llm.common import packed, settle, small_batches, unpacked
 
 #: words of a window and between starts of windows
 LENGTH, STRIDE = 24, 16
-#: the training sample: documents of label 0 and 1 at most, windows of each
-PER_CLASS, WINDOWS = (4000, 2000), 12
+#: the training sample: documents of label 0 and 1 at most, and characters of all documents of a label, on the driver
+PER_CLASS, TEXT = (4000, 2000), 1 << 26
 #: sizes: word vectors, character vectors, state of each direction, attention; buckets of trigrams
 WORD, CHAR, STATE, ATTEND, BUCKETS = 12, 8, 8, 8, 4096
 #: score from which a document counts as toxic; a word's own vector needs this many documents of the sample, and one in so many
@@ -154,7 +153,21 @@ def _bag_arrays(bags: list[list[list[str]]]) -> tuple[list[str], np.ndarray, np.
     return list(known), ids, ids > 0, np.repeat(np.arange(len(bags)), [len(b) for b in bags])
 
 
-def train(bags: list[list[list[str]]], labels: list[int], share: float, steps: int = STEPS, seed: int = SEED) -> Network:
+class Bags:
+    """The windows of each text, made when they are asked for."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __getitem__(self, k: int) -> list[list[str]]:
+        words = self.texts[k].lower().split()
+        return [words[s : s + LENGTH] for s in window_starts(len(words))]
+
+
+def train(bags: Bags | list[list[list[str]]], labels: list[int], share: float, steps: int = STEPS, seed: int = SEED) -> Network:
     """Fit on bags of windows of words. share: of label 1 in the corpus, to which the scores are moved back."""
     use = Counter(w for bag in bags for w in {t.strip(_EDGE) or t for window in bag for t in window})
     network, rng = Network(sorted(w for w, n in use.items() if n >= max(LEAST_DOCS, len(bags) // ONE_IN)), seed), np.random.default_rng(seed)
@@ -169,13 +182,18 @@ def train(bags: list[list[list[str]]], labels: list[int], share: float, steps: i
         x, source = network.inputs(tokens)
         drop = rng.random(len(x)) < 0.1  # now and then a word must be known by its characters
         x[drop, :WORD] = 0
-        logits, cache = network.forward(x, ids, mask, keep=True)
+        # a step takes any number of windows: logits of all first, then the gradient of TOGETHER windows at a time
+        parts = [slice(k, k + TOGETHER) for k in range(0, len(ids), TOGETHER)]
+        logits, cache = network.forward(x, ids, mask, keep=True) if len(parts) == 1 else (np.concatenate([network.forward(x, ids[p], mask[p]) for p in parts]), None)
         starts = np.flatnonzero(np.r_[True, bag[1:] != bag[:-1]])
         top = np.maximum.reduceat(logits, starts)[bag]
-        parts = np.exp(logits - top)
-        total = np.add.reduceat(parts, starts)[bag]
-        loss_back = (_squash(top + np.log(total)) - y[chosen][bag]) * parts / total / len(chosen)
-        grads = network.gradients(x, source, ids, mask, cache, loss_back.astype(np.float32))
+        odds = np.exp(logits - top)
+        total = np.add.reduceat(odds, starts)[bag]
+        loss_back = ((_squash(top + np.log(total)) - y[chosen][bag]) * odds / total / len(chosen)).astype(np.float32)
+        grads: dict[str, np.ndarray] = {}
+        for p in parts:
+            found = network.gradients(x, source, ids[p], mask[p], cache or network.forward(x, ids[p], mask[p], keep=True)[1], loss_back[p])
+            grads = {k: grads[k] + g for k, g in found.items()} if grads else found
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
         for name, g in grads.items():
             first[name] = 0.9 * first[name] + 0.1 * g
@@ -228,7 +246,8 @@ def held_out(id_column: str):
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic") -> Network | None:
     """Train on labelled documents that are not held out. None if either label is missing among them.
 
-    Of several labels for one id the largest counts; null ids and labels are left out. The sample takes ids by a hash, up to PER_CLASS of each label."""
+    Of several labels for one id the largest counts; null ids and labels are left out. The sample takes ids by a hash, up to PER_CLASS and TEXT of each label;
+    all windows of a sampled text are in its bag."""
     known = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull()).where(~held_out(id_column))
     known = known.groupBy(F.col(id_column).alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("_toxic"))
     share = known.agg(F.avg("_toxic").alias("share")).first()["share"]
@@ -238,22 +257,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
         part = known.where(F.col("_toxic") == value).orderBy(hashed, "_id").limit(most)
         sample = part if sample is None else sample.unionByName(part)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for raw in texts_of(batch.column(1)):
-                words = raw.decode().lower().split()
-                step = max(LENGTH, len(words) / WINDOWS)
-                found.append([" ".join(words[int(k * step) :][:LENGTH]) for k in range(WINDOWS) if int(k * step) < len(words)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), batch.column(2)], names=["toxic", "windows", "place"])
-
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text"))
     chosen = rows.join(F.broadcast(sample), "_id")  # at most sum(PER_CLASS) ids
-    rows = chosen.select("_toxic", "text", hashed.alias("place")).mapInArrow(cut, "toxic int, windows array<string>, place long").toPandas()
-    rows = rows[rows["windows"].map(len) > 0].assign(key=rows["windows"].map("\n".join)).sort_values(["place", "key"])
-    if share is None or rows["toxic"].nunique() < 2:
+    chosen = settle(chosen.select(F.col("_toxic").alias("toxic"), "text", hashed.alias("place")).where("text IS NOT NULL"))
+    sizes = chosen.select("toxic", "place", F.length("text").alias("size")).toPandas().sort_values("place", ignore_index=True)
+    within = sizes[sizes.groupby("toxic")["size"].cumsum() - sizes["size"] < TEXT].groupby("toxic")["place"].max()
+    if share is None or len(within) < 2:
+        return None
+    rows = chosen.where(F.col("place") <= F.when(F.col("toxic") == 1, F.lit(int(within[1]))).otherwise(F.lit(int(within[0])))).toPandas()
+    rows = rows[rows["text"].map(lambda t: bool(t.split()))].sort_values(["place", "text"])
+    if rows["toxic"].nunique() < 2:
         return None
-    return train([[w.split(" ") for w in bag] for bag in rows["windows"]], rows["toxic"].tolist(), min(max(share, 1e-6), 1 - 1e-6))
+    return train(Bags(rows["text"].tolist()), rows["toxic"].tolist(), min(max(share, 1e-6), 1 - 1e-6))
 
 
 def scored(docs: DataFrame, network: Network | None, text: str = "text", name: str = "score") -> DataFrame:

@@ -96,3 +96,28 @@ def test_odd_rows(spark):
     assert toxicity.judge(nothing(spark), labels).collect() == []
     kept = toxicity.clean(docs, labels.where("false"))
     assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def captured(monkeypatch):
+    """What fit hands to train."""
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda bags, labels, share: seen.append(([b for b in bags], labels)))
+    return seen
+
+
+def test_training_reads_every_word(spark, monkeypatch):
+    seen = captured(monkeypatch)
+    ids = [i for i in range(1, 9) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = {i: " ".join(f"w{i}x{k}" for k in range(3000 if i == ids[0] else 30)) for i in ids}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    toxicity.fit(docs, spark.createDataFrame([(i, int(i == ids[0])) for i in ids], "doc_id long, toxic int"))
+    bags, labels = seen[0]
+    assert sorted(" ".join(sorted({w for window in b for w in window})) for b in bags) == sorted(" ".join(sorted(t.split())) for t in texts.values())
+    assert sum(labels) == 1 and all(len(window) <= toxicity.LENGTH for b in bags for window in b)
+
+
+def test_windows_in_parts_give_the_same_network(monkeypatch):
+    whole = toxicity.train(*small(), 0.5, steps=3)
+    monkeypatch.setattr(toxicity, "TOGETHER", 3)
+    parts = toxicity.train(*small(), 0.5, steps=3)
+    assert all(np.allclose(whole.w[k], parts.w[k], atol=1e-3) for k in whole.w)
