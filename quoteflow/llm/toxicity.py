@@ -30,6 +30,8 @@ STEPS, BATCH, RATE, DECAY, SEED = 300, 48, 0.01, 0.3, 7
 #: characters of texts that are scored together, windows that step together
 CHUNK, TOGETHER = 1 << 20, 4096
 
+#: a character of a word, as str.split() tells them
+_WORD = r"[^\s\x1c-\x1f\x85\p{Z}]"
 _EDGE = ".,;:!?%*&$#|\"'()[]{}<>-_/\\~`^+=“”«»„…"
 
 
@@ -246,28 +248,28 @@ def held_out(id_column: str):
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic") -> Network | None:
     """Train on labelled documents that are not held out. None if either label is missing among them.
 
-    Of several labels for one id the largest counts; null ids and labels are left out. The sample takes ids by a hash, up to PER_CLASS and TEXT of each label;
-    all windows of a sampled text are in its bag."""
+    Of several labels for one id the largest counts; null ids and labels are left out. The sample takes ids that docs has with a word, by a
+    hash, up to PER_CLASS and TEXT of each label; one text of each, that of smallest hash if an id repeats, with all its windows in its bag."""
     known = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull()).where(~held_out(id_column))
     known = known.groupBy(F.col(id_column).alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("_toxic"))
     share = known.agg(F.avg("_toxic").alias("share")).first()["share"]
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text")).where(F.col("text").rlike(_WORD))
+    known = settle(known.join(rows.select("_id").distinct(), "_id", "left_semi"))
     hashed = F.xxhash64(F.lit(SEED), "_id")
     sample = None
     for value, most in enumerate(PER_CLASS):
         part = known.where(F.col("_toxic") == value).orderBy(hashed, "_id").limit(most)
         sample = part if sample is None else sample.unionByName(part)
 
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text"))
     chosen = rows.join(F.broadcast(sample), "_id")  # at most sum(PER_CLASS) ids
-    chosen = settle(chosen.select(F.col("_toxic").alias("toxic"), "text", hashed.alias("place")).where("text IS NOT NULL"))
+    chosen = chosen.groupBy("_id").agg(F.max("_toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    chosen = settle(chosen.select("toxic", "text", hashed.alias("place")))
     sizes = chosen.select("toxic", "place", F.length("text").alias("size")).toPandas().sort_values("place", ignore_index=True)
     within = sizes[sizes.groupby("toxic")["size"].cumsum() - sizes["size"] < TEXT].groupby("toxic")["place"].max()
     if share is None or len(within) < 2:
         return None
     rows = chosen.where(F.col("place") <= F.when(F.col("toxic") == 1, F.lit(int(within[1]))).otherwise(F.lit(int(within[0])))).toPandas()
-    rows = rows[rows["text"].map(lambda t: bool(t.split()))].sort_values(["place", "text"])
-    if rows["toxic"].nunique() < 2:
-        return None
+    rows = rows.sort_values(["place", "text"])
     return train(Bags(rows["text"].tolist()), rows["toxic"].tolist(), min(max(share, 1e-6), 1 - 1e-6))
 
 

@@ -121,3 +121,16 @@ def test_windows_in_parts_give_the_same_network(monkeypatch):
     monkeypatch.setattr(toxicity, "TOGETHER", 3)
     parts = toxicity.train(*small(), 0.5, steps=3)
     assert all(np.allclose(whole.w[k], parts.w[k], atol=1e-3) for k in whole.w)
+
+
+def test_sample_is_of_documents_at_hand_and_one_row_an_id(spark, monkeypatch):
+    seen = captured(monkeypatch)
+    monkeypatch.setattr(toxicity, "PER_CLASS", (3, 2))
+    trained = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    present = trained[-4:]
+    labels = spark.createDataFrame([(i, i % 2 if i not in present else int(i in present[:2])) for i in trained], "doc_id long, toxic int")
+    rows = [(i, f"text of {i}") for i in present] + [(present[0], f"other text {k}") for k in range(300)] + [(present[1], None), (present[2], " \u00a0\x1c\u2003")]
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    bags, found = seen[0]
+    assert sorted(found) == [0, 0, 1, 1] and len(bags) == 4
+    assert {f"text of {i}" for i in present[1:]} <= {" ".join(b[0]) for b in bags}
