@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quoteflow.llm import chat, embeddings, mixing, pieces, quality, sharding, simhash, toxicity, urlfilter, warc
+from quoteflow.llm import chat, embeddings, interactions, mixing, pieces, quality, sharding, simhash, toxicity, urlfilter, warc
 from quoteflow.llm.common import settle, shared_path, table
 
 #: block or allow, host, path
@@ -59,11 +59,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(*mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_sentencepiece, op3_warc, op4_sharding, op5_toxicity, op6_url_filters, op7_chat_formatting,
-        op8_embedding_near_dedup, op9_quality_rules, op10_mixing,
+        op8_embedding_near_dedup, op9_quality_rules, op10_mixing, op12_filter_audit,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -118,4 +122,34 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.component_id, e
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.vec_id = e.vec_id
 """
 
-SQL = {"op3_warc": _WARC, "op6_url_filters": _URLS, "op7_chat_formatting": _CHAT, "op8_embedding_near_dedup": _EMBEDDINGS}
+#: from the definition: every document walks every order; shares are sums of its removals
+_AUDIT = r"""
+WITH l AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+f AS (
+  SELECT w.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+     regexp_matches(text, '[#$%&*|]'), coalesce(w.doc_id > first_id, false)] AS fails
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+x(i) AS (VALUES (1), (2), (3), (4), (5)),
+o AS (
+  SELECT [a.i, b.i, d.i, e.i, g.i] AS o FROM x a, x b, x d, x e, x g
+  WHERE a.i <> b.i AND a.i <> d.i AND a.i <> e.i AND a.i <> g.i AND b.i <> d.i AND b.i <> e.i AND b.i <> g.i AND d.i <> e.i AND d.i <> g.i AND e.i <> g.i),
+s AS (
+  SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, x.i AS step, o[x.i] AS letter,
+    n, good, toxic, fails[o[x.i]] AS failing, len(list_filter(o[1 : x.i - 1], lambda k: fails[k])) > 0 AS gone,
+    len(list_filter(fails, lambda k: k)) = 1 AS alone FROM c, o, x),
+r AS (
+  SELECT part, filter_order, step, letter, sum(n) FILTER (NOT gone AND NOT failing) AS kept, sum(n) FILTER (failing AND NOT gone) AS removed,
+    sum(n) FILTER (failing AND gone) AS redundant, sum(n) FILTER (failing AND alone) AS unique_fails,
+    sum(good) FILTER (failing AND NOT gone) AS good_lost, sum(toxic) FILTER (failing AND NOT gone) AS toxic_lost
+  FROM s GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+  coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM r
+"""
+
+SQL = {"op3_warc": _WARC, "op6_url_filters": _URLS, "op7_chat_formatting": _CHAT, "op8_embedding_near_dedup": _EMBEDDINGS, "op12_filter_audit": _AUDIT}
