@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quoteflow.llm import chat, embeddings, interactions, mixing, pieces, quality, sharding, simhash, toxicity, urlfilter, warc
+from quoteflow.llm import chat, embeddings, interactions, merkle, mixing, pieces, quality, sharding, simhash, toxicity, urlfilter, warc
 from quoteflow.llm.common import settle, shared_path, table
 
 #: block or allow, host, path
@@ -59,6 +59,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(*mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op11_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,7 +71,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_sentencepiece, op3_warc, op4_sharding, op5_toxicity, op6_url_filters, op7_chat_formatting,
-        op8_embedding_near_dedup, op9_quality_rules, op10_mixing, op12_filter_audit,
+        op8_embedding_near_dedup, op9_quality_rules, op10_mixing, op11_merkle_fingerprints, op12_filter_audit,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -152,4 +156,29 @@ SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept,
 FROM r
 """
 
-SQL = {"op3_warc": _WARC, "op6_url_filters": _URLS, "op7_chat_formatting": _CHAT, "op8_embedding_near_dedup": _EMBEDDINGS, "op12_filter_audit": _AUDIT}
+_MERKLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS (SELECT doc_id, text, coalesce(lead(text) OVER o, first_value(text) OVER o) AS following FROM d WINDOW o AS (ORDER BY doc_id DESC)),
+e AS (SELECT doc_id, length(text) AS n, text, following, substr(text, 1, length(text) - length(text) // 2) || substr(following, 1, length(text) // 2) AS edited FROM f),
+v AS (SELECT doc_id, 'own' AS kind, text AS t FROM e UNION ALL SELECT doc_id, 'edited', edited FROM e UNION ALL SELECT doc_id, 'following', following FROM e),
+p AS (
+  SELECT doc_id, kind, list_transform(regexp_extract_all(t, '(?s).{0,398}?(?:\n|[.!?] )|.{1,400}'), lambda x: sha256(x) || ':' || length(x)) AS pieces FROM v),
+w AS (
+  SELECT doc_id, kind, list_transform(pieces, lambda x: substr(x, 1, 32) || substr(x, 65)) AS pieces,
+    array_to_string(list_transform(pieces, lambda x: substr(x, 1, 32) || substr(x, 65) || CASE WHEN x[1] = '0' THEN chr(10) ELSE ' ' END), '') AS written FROM p),
+s AS (
+  SELECT doc_id, kind, list_distinct(pieces) AS pieces, len(pieces) AS n_pieces,
+    list_filter(list_transform(string_split(written, chr(10)), lambda x: rtrim(x)), lambda x: x <> '') AS sections FROM w),
+r AS (
+  SELECT doc_id, kind, pieces, n_pieces, len(sections) AS n_sections, sha256(array_to_string(list_transform(sections, lambda x: sha256(x)), ' ')) AS root,
+    coalesce(list_sum(list_transform(pieces, lambda x: substr(x, 34)::BIGINT)), 0)::BIGINT AS weight FROM s),
+k AS (
+  SELECT a.doc_id, b.kind, b.root, CASE WHEN a.root = b.root THEN 1.0::DOUBLE ELSE least(0.999999::DOUBLE,
+    2.0::DOUBLE * coalesce(list_sum(list_transform(list_intersect(a.pieces, b.pieces), lambda x: substr(x, 34)::BIGINT)), 0)::BIGINT / (a.weight + b.weight)) END AS near
+  FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.kind = 'own' AND b.kind <> 'own')
+SELECT e.doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, o.root AS fingerprint, c.root AS edited_fingerprint,
+  c.near AS near_edited, x.near AS near_next, o.n_pieces::BIGINT AS n_pieces, o.n_sections::BIGINT AS n_sections
+FROM e JOIN r o ON o.doc_id = e.doc_id AND o.kind = 'own' JOIN k c ON c.doc_id = e.doc_id AND c.kind = 'edited' JOIN k x ON x.doc_id = e.doc_id AND x.kind = 'following'
+"""
+
+SQL = {"op3_warc": _WARC, "op6_url_filters": _URLS, "op7_chat_formatting": _CHAT, "op8_embedding_near_dedup": _EMBEDDINGS, "op11_merkle_fingerprints": _MERKLE, "op12_filter_audit": _AUDIT}
