@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +14,23 @@ from pyspark.sql import functions as F
 
 from quoteflow.session import checkpoint_root, settle
 
-__all__ = ["Forest", "packed", "settle", "shared_path", "small_batches", "table", "texts_of", "unpacked"]
+__all__ = ["Forest", "packed", "settle", "shared_path", "small_batches", "table", "texts_of", "unpacked", "vocabulary"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def vocabulary(name: str, path: str | None = None) -> bytes:
+    """The vocabulary file at path, or the installed public one of that name; read on the driver and sent along."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(name)
+    return Path(path).read_bytes()
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path in the folder that the driver and all executors share."""
     return f"{checkpoint_root(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quoteflow.llm import chat, embeddings, interactions, merkle, mixing, pieces, quality, sharding, simhash, toxicity, urlfilter, warc
-from quoteflow.llm.common import settle, shared_path, table
+from quoteflow.llm import alignment, chat, embeddings, interactions, merkle, mixing, pieces, quality, sharding, simhash, toxicity, urlfilter, warc
+from quoteflow.llm.common import settle, shared_path, table, vocabulary
 
 #: block or allow, host, path
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -18,7 +18,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), corpus_pipeline.model_bytes(), with_ids=False)
+    return pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +67,15 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_sentencepiece, op3_warc, op4_sharding, op5_toxicity, op6_url_filters, op7_chat_formatting,
-        op8_embedding_near_dedup, op9_quality_rules, op10_mixing, op11_merkle_fingerprints, op12_filter_audit,
+        op8_embedding_near_dedup, op9_quality_rules, op10_mixing, op11_merkle_fingerprints, op12_filter_audit, op13_alignment,
     )
 } | {"pipeline": corpus_pipeline.run}
 

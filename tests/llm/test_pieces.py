@@ -5,11 +5,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-import corpus_pipeline
 from quoteflow.llm import pieces
+from quoteflow.llm.common import vocabulary
 from tests.llm.cases import documents, nothing
 
-MODEL = corpus_pipeline.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+MODEL = vocabulary("piece_bpe_32k.model", public_tokenizers.path("piece_bpe_32k.model"))
 SIGNS = [" ", "  ", "a", "b", "the", "▁", "\n", "é", "①", "\x00", "\t", "\r", "ing", "한", "😀", "ﬁ", "   ", "<0x0A>", "<s>", "1", "22", ".", "…", " "]
 
 
