@@ -5,28 +5,15 @@ All but the last return the columns of documents."""
 
 from __future__ import annotations
 
-import functools
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quoteflow.llm import mixing, pieces, quality, simhash, toxicity
-from quoteflow.llm.common import shared_path, table
+from quoteflow.llm.common import shared_path, table, vocabulary
 
 #: SQL cannot fit the estimates and the network of the first two stages; tests compare the stages with brute force instead
 ORACLE_SQL = None
 
 
-@functools.cache
-def model_bytes(path: str | None = None) -> bytes:
-    """The SentencePiece vocabulary at path, or the installed public one; read on the driver and sent along."""
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("piece_bpe_32k.model")
-    return Path(path).read_bytes()
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the robust outlier test reject go."""
     return quality.passing(docs)
@@ -49,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids and decoded of each row of the mix."""
-    return pieces.encode(docs, model_bytes())
+    return pieces.encode(docs, vocabulary("piece_bpe_32k.model"))
 
 
 STAGES = [
