@@ -42,6 +42,51 @@ def _(spark, sf):
     return spark.read.parquet(f"{folder}/out").select("symbol", F.unix_micros("ts").alias("at"), "delta", "steps", "fill_price", "fill_delta")
 
 
+def out_of_order(spark, sf, folder: str, per_trigger: int = 3):
+    """The events as a stream of files in which a row comes up to some six days before or after its turn."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("symbol"), "value")
+    turn = F.greatest(F.lit(0), F.least(F.lit(9), F.floor(F.dayofmonth("ts") / 3) + F.crc32(F.col("event_id").cast("string")) % 3 - 1))
+    for k in range(10):
+        rows.where(turn == k).coalesce(2).write.parquet(f"{folder}/in/{k}")
+    schema = "event_id BIGINT, ts TIMESTAMP, symbol STRING, value DOUBLE"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{folder}/in/*")
+
+
+# more than the files are out of order
+DELAY = "10 days"
+
+
+@query("st1_event_time_ladder", f"""{LADDER}, j AS (SELECT q.symbol, q.ts, q.value, w.delta, w.steps, lag(w.delta) OVER (PARTITION BY q.symbol ORDER BY q.rn) AS fill_delta FROM w JOIN q ON q.symbol = w.symbol AND q.rn = w.rn)
+SELECT symbol, epoch_us(ts) AS at, delta, steps, CASE WHEN fill_delta <> 0 THEN value END AS fill_price, coalesce(fill_delta, 0) AS fill_delta FROM j
+WHERE (delta <> 0 OR fill_delta <> 0) AND ts < (SELECT date_trunc('hour', max(ts) - INTERVAL {DELAY}) FROM events)""")
+def _(spark, sf):
+    jobs.use_rocksdb(spark)
+    folder = scratch_path(spark, "event-ladder")
+    rows = out_of_order(spark, sf, folder).withWatermark("ts", DELAY)
+    out = jobs.event_ladder(rows.select("symbol", "ts", "event_id", F.col("value").alias("open"), F.expr("200 * value / (value + 50) - 100").alias("score")), tie="event_id")
+    finish(out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start())
+    return spark.read.parquet(f"{folder}/out").withColumn("fill_price", F.nanvl("fill_price", F.lit(None)))
+
+
+BAR_LADDER = recursive(
+    f"""b AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, arg_min(value, (ts, event_id)) AS open, {SCORE.replace("value", "arg_max(value, (ts, event_id))")} AS score
+  FROM events GROUP BY 1, 2 HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)),
+q AS (SELECT *, row_number() OVER w AS rn, coalesce(lag(score) OVER w, score) AS prev FROM b WINDOW w AS (PARTITION BY symbol ORDER BY day))""",
+    ladder_cte("w", "q", "symbol", BUYS, SELLS),
+)
+
+
+@query("st5_st1_bars_to_decisions", f"""{BAR_LADDER}, j AS (SELECT q.symbol, q.day, q.open, w.delta, w.steps, lag(w.delta) OVER (PARTITION BY q.symbol ORDER BY q.rn) AS fill_delta FROM w JOIN q ON q.symbol = w.symbol AND q.rn = w.rn)
+SELECT symbol, day, delta, steps, CASE WHEN fill_delta <> 0 THEN open END AS fill_price, coalesce(fill_delta, 0) AS fill_delta FROM j WHERE delta <> 0 OR fill_delta <> 0""")
+def _(spark, sf):
+    jobs.use_rocksdb(spark)
+    folder = scratch_path(spark, "bar-decisions")
+    out = jobs.bar_decisions(event_stream(spark, sf), F.expr("200 * close / (close + 50) - 100"))
+    finish(out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start())
+    told = spark.read.parquet(f"{folder}/out")
+    return told.select("symbol", F.to_date(F.timestamp_micros("at")).alias("day"), "delta", "steps", F.nanvl("fill_price", F.lit(None)).alias("fill_price"), "fill_delta")
+
+
 @query("st2_deliver_once", "SELECT user_id || ':' || event_type AS dedup_key, arg_min(value, (ts, value)) AS value FROM events GROUP BY 1")
 def _(spark, sf):
     folder = scratch_path(spark, "alerts")

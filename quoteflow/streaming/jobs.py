@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,86 @@ def stream_ladder(scores: DataFrame, buys: Sequence[float] = DEFAULT_BUYS, sells
     )
 
 
+MICROS = 1_000_000
+EVENT_LADDER_OUTPUT = "symbol STRING, at BIGINT, delta INT, steps INT, fill_price DOUBLE, fill_delta INT"
+
+
+class EventTimeLadder(StatefulProcessor):
+    """Ladder over rows in event-time order, whatever order they arrive in.
+
+    Rows wait in map state by time slot, each slot with a timer at its end. When the watermark has passed it, no row of the slot can come any more: the
+    slot is sorted, walked from the key's ladder state and removed. So the state of a key is its ladder and the rows of the slots still open.
+    """
+
+    def __init__(self, buys: Sequence[float], sells: Sequence[float], slot_seconds: int):
+        self.buys, self.sells, self.slot = np.array(buys, dtype=float), np.array(sells, dtype=float), slot_seconds * MICROS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("ladder", "prev DOUBLE, packed INT, pending INT")
+        self.waiting = handle.getMapState("waiting", "slot BIGINT", "at ARRAY<BIGINT>, tie ARRAY<BIGINT>, price ARRAY<DOUBLE>, score ARRAY<DOUBLE>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            columns = [batch[c].to_numpy() for c in ("at", "tie", "open", "score")]
+            slots = columns[0] // self.slot
+            for slot in np.unique(slots).tolist():
+                here = slots == slot
+                new = tuple(c[here].tolist() for c in columns)
+                held = self.waiting.getValue((slot,)) if self.waiting.containsKey((slot,)) else ([], [], [], [])
+                self.waiting.updateValue((slot,), tuple([*a, *b] for a, b in zip(held, new)))
+                self.handle.registerTimer((slot + 1) * self.slot // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        past = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.slot
+        for slot in sorted(s for (s,) in self.waiting.keys() if s < past):
+            found = self._walk(key[0], *map(np.array, self.waiting.getValue((slot,))))
+            self.waiting.removeKey((slot,))
+            if len(found):
+                yield found
+
+    def _walk(self, symbol: str, at: np.ndarray, tie: np.ndarray, price: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+        nexts, deltas = ladder_table()
+        order = np.lexsort((tie, at))
+        at, price, score = at[order], price[order], score[order]
+        prev, packed, pending = self.state.get() if self.state.exists() else (float(score[0]), 0, 0)
+        before = np.concatenate([[prev], score[:-1]])
+        weight = 1 << np.arange(len(self.buys))
+        down = ((before[:, None] > self.buys) & (self.buys >= score[:, None])) @ weight
+        up = ((before[:, None] < self.sells) & (self.sells <= score[:, None])) @ weight
+        delta, crossed = np.zeros(len(at), dtype=np.int64), np.flatnonzero(down | up)  # a row that crosses nothing changes nothing
+        after = [packed]
+        for k in crossed:
+            delta[k], packed = deltas[packed, down[k], up[k]], nexts[packed, down[k], up[k]]
+            after.append(int(packed))
+        steps = np.array(after)[np.searchsorted(crossed, np.arange(len(at)), side="right")] >> 6
+        filled = np.concatenate([[pending], delta[:-1]])
+        self.state.update((float(score[-1]), int(packed), int(delta[-1])))
+        told = (delta != 0) | (filled != 0)
+        return pd.DataFrame({
+            "symbol": symbol, "at": at[told], "delta": delta[told].astype(np.int32), "steps": steps[told].astype(np.int32),
+            "fill_price": np.where(filled[told] != 0, price[told], np.nan), "fill_delta": filled[told].astype(np.int32),
+        })
+
+    def close(self) -> None:
+        pass
+
+
+def event_ladder(scores: DataFrame, buys: Sequence[float] = DEFAULT_BUYS, sells: Sequence[float] = DEFAULT_SELLS, ts: str = "ts",
+                 tie: str | None = None, slot_seconds: int = 3600) -> DataFrame:
+    """Decisions and next-row fills per symbol in event time over a stream of (symbol, ts, open, score) that has a watermark on ``ts``.
+
+    A row counts once the watermark has passed the end of its slot, so rows may arrive in any order within the watermark's delay and the result is the
+    batch ladder's, however the stream is cut into batches; later ones are dropped. ``tie`` (whole numbers) orders rows of one instant. ``at`` is in
+    microseconds, ``fill_price`` NaN where nothing fills. Needs :func:`use_rocksdb`; the source's trigger options bound what a batch holds.
+    """
+    rows = scores.select("symbol", ts, F.unix_micros(ts).alias("at"), (F.col(tie) if tie else F.lit(0)).cast("bigint").alias("tie"), F.col("open").cast("double"), F.col("score").cast("double"))
+    return rows.groupBy("symbol").transformWithStateInPandas(
+        statefulProcessor=EventTimeLadder(buys, sells, slot_seconds), outputStructType=EVENT_LADDER_OUTPUT, outputMode="append", timeMode="EventTime"
+    )
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
@@ -129,10 +210,19 @@ def stream_guard(rows: DataFrame, published: str, checkpoint: str, relative: Map
 
 def stream_bars(events: DataFrame, window: str = "1 day", delay: str = "1 hour", ts: str = "ts", key: str = "symbol",
                 value: str = "value", tie: str = "event_id") -> DataFrame:
-    """Tumbling bars per key from raw events; a bar is emitted once the watermark passes its end."""
+    """Tumbling bars per key from raw events; a bar is emitted once the watermark passes its end. ``closed``, its last instant, carries the watermark
+    on to a stateful operator behind (:func:`bar_decisions`)."""
     at = F.struct(ts, tie)
     bars = events.withWatermark(ts, delay).groupBy(F.window(ts, window).alias("_w"), key).agg(
         F.min_by(value, at).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, at).alias("close"),
         F.count(F.lit(1)).alias("volume"),
     )
-    return bars.select(key, F.col("_w.start").alias("start"), "open", "high", "low", "close", "volume")
+    return bars.select(key, F.col("_w.start").alias("start"), F.window_time("_w").alias("closed"), "open", "high", "low", "close", "volume")
+
+
+def bar_decisions(events: DataFrame, score, buys: Sequence[float] = DEFAULT_BUYS, sells: Sequence[float] = DEFAULT_SELLS, window: str = "1 day",
+                  delay: str = "1 hour", slot_seconds: int = 86400, **names: str) -> DataFrame:
+    """Ladder decisions over the bars of an event stream, in one query: two stateful operators behind one another, the first one's watermark carried
+    through. ``score`` is a column over a bar's open, high, low, close and volume. A decision fills at the next bar's open; ``at`` is a bar's last instant."""
+    bars = stream_bars(events, window, delay, **names)
+    return event_ladder(bars.withColumn("score", score), buys, sells, "closed", None, slot_seconds)
