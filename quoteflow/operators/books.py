@@ -25,16 +25,30 @@ from quoteflow.session import settle
 BOOK_KEY = ("kind", "instrument")
 QUANTITY = "decimal(38,12)"
 #: quantities on the common scale; whole multipliers; money
-SCALED, MULTIPLIER, MONEY = "decimal(38,6)", "decimal(18,0)", "decimal(38,12)"
+SCALED, MULTIPLIER, MONEY = "decimal(38,6)", "decimal(22,0)", "decimal(38,12)"
+#: decimal digits of a multiplier at most; one decimal less than it can hold
+DIGITS = 21
+#: denominators tried for a split factor: small ones, then decimals of up to nine digits
+DENOMINATORS = (*range(1, 1001), *(10**k for k in range(4, 10)))
 
 
 def _later_splits(splits: DataFrame, instrument: str, ts: str) -> DataFrame:
-    """Per instrument: an array of (day, n, d), each split factor as the fraction n/d with the smallest fitting d up to 1000."""
-    near = lambda d: F.abs(F.col("split_factor") * d - F.round(F.col("split_factor") * d)) < 1e-9 * d
-    d = F.coalesce(F.filter(F.sequence(F.lit(1), F.lit(1000)), lambda k: near(k) & (F.round(F.col("split_factor") * k) > 0))[0], F.lit(1_000_000))
-    fraction = F.struct(F.col(ts).alias("day"), F.round(F.col("split_factor") * F.col("_d")).cast(MULTIPLIER).alias("n"), F.col("_d").cast(MULTIPLIER).alias("d"))
-    events = split_events(splits, instrument, ts).withColumn("_d", d)
-    return events.groupBy(instrument).agg(F.collect_list(fraction).alias("_splits"))  # days are unique per instrument and splits rare
+    """Per instrument: its splits as (day, n, d, f), each factor f as the fraction n/d of the smallest fitting denominator, and ``_shift``.
+
+    ``_shift`` is null where all multipliers made of these numerators and denominators fit. Where they do not, it is the decimal places by which plain
+    products of factors are scaled instead, so that the largest has DIGITS digits."""
+    factor = F.col("split_factor")
+    near = lambda d: (F.abs(factor * d - F.round(factor * d)) < 1e-9 * d) & (F.round(factor * d) > 0)
+    fitting = F.filter(F.array(*[F.lit(d).cast("double") for d in DENOMINATORS]), near)
+    # a factor below a billionth has no such fraction and no place in exact multipliers
+    d = F.coalesce(F.get(fitting, F.lit(0)), F.lit(1e9))
+    event = F.struct(F.col(ts).alias("day"), F.greatest(F.round(factor * F.col("_d")), F.lit(1.0)).alias("n"), F.col("_d").alias("d"), factor.alias("f"))
+    events = split_events(splits, instrument, ts).where("split_factor > 0").withColumn("_d", d)
+    table = events.groupBy(instrument).agg(F.collect_list(event).alias("_splits"))  # days are unique per instrument and splits rare
+    exact = F.aggregate("_splits", F.lit(0.0), lambda acc, e: acc + F.log10(F.greatest(e["n"], e["d"])))
+    most = F.aggregate("_splits", F.lit(0.0), lambda acc, e: acc + F.greatest(F.log10(e["f"]), F.lit(0.0)))
+    tiny = F.exists("_splits", lambda e: F.abs(e["n"] / e["d"] / e["f"] - 1) > 1e-6)
+    return table.withColumn("_shift", F.when((exact >= DIGITS) | tiny, F.floor(DIGITS - most)).cast("int"))
 
 
 def held_quantities(trades: DataFrame, splits: DataFrame | None, key: Sequence[str] = BOOK_KEY, instrument: str = "instrument",
@@ -43,15 +57,22 @@ def held_quantities(trades: DataFrame, splits: DataFrame | None, key: Sequence[s
 
     A split scales what is held on the day before trades of that day. Every quantity is multiplied by the numerators of splits still to come and
     the denominators of those that were: whole numbers, so one exact running sum serves the whole list. ``_unit`` is that multiplier and
-    ``_whole`` the one after all splits.
+    ``_whole`` the one after all splits. Where an instrument's multipliers would have over 21 digits, they are the products of its later factors
+    instead, scaled to 21 digits and rounded to whole numbers: such quantities are right to 15 digits, less the orders of magnitude over six that the
+    factors span.
     """
     keys = as_list(key)
     one = F.lit(1).cast(MULTIPLIER)
     if splits is not None:
         rows = trades.join(_later_splits(splits, instrument, ts), instrument, "left")
-        both = F.aggregate("_splits", one, lambda acc, e: (acc * F.when(e["day"] > F.col(ts), e["n"]).otherwise(e["d"])).cast(MULTIPLIER))
-        after = F.aggregate("_splits", one, lambda acc, e: (acc * e["d"]).cast(MULTIPLIER))
-        rows = rows.withColumns({"_unit": F.coalesce(both, one), "_whole": F.coalesce(after, one)}).drop("_splits")
+        whole = lambda side: lambda acc, e: (acc * F.coalesce(side(e), one)).cast(MULTIPLIER)
+        later = lambda e: e["day"] > F.col(ts)
+        places = F.pow(F.lit(10.0), F.col("_shift"))
+        scaled = lambda f: F.greatest(F.round(f), F.lit(1.0)).cast(MULTIPLIER)
+        product = F.aggregate("_splits", places, lambda acc, e: F.when(later(e), acc * e["f"]).otherwise(acc))
+        both = F.when(F.col("_shift").isNull(), F.aggregate("_splits", one, whole(lambda e: F.when(later(e), e["n"]).otherwise(e["d"]).cast(MULTIPLIER)))).otherwise(scaled(product))
+        after = F.when(F.col("_shift").isNull(), F.aggregate("_splits", one, whole(lambda e: e["d"].cast(MULTIPLIER)))).otherwise(scaled(places))
+        rows = rows.withColumns({"_unit": F.coalesce(both, one), "_whole": F.coalesce(after, one)}).drop("_splits", "_shift")
     else:
         rows = trades.withColumns({"_unit": one, "_whole": one})
     rows = rows.withColumn("_q", (F.col("quantity").cast("decimal(18,6)") * F.col("_unit")).cast(SCALED))
@@ -70,7 +91,7 @@ def held_quantities(trades: DataFrame, splits: DataFrame | None, key: Sequence[s
 
 def _divided(scaled: str, unit: str) -> Column:
     # whole part and rest apart, so that the quotient keeps its digits
-    whole = F.floor(F.col(scaled) / F.col(unit).cast("decimal(20,0)")).cast("decimal(26,0)")
+    whole = F.floor(F.col(scaled) / F.col(unit)).cast("decimal(26,0)")
     rest = (F.col(scaled) - whole * F.col(unit)).cast("decimal(30,6)")
     return (whole.cast("decimal(36,12)") + (rest.cast("double") / F.col(unit).cast("double")).cast("decimal(20,12)")).cast(QUANTITY)
 

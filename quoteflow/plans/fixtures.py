@@ -136,25 +136,26 @@ TRADES = f"""trades AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
-SPLITS = (2.0, 1 / 15, 1 / 20, 1.5)
+SPLITS = (2.0, 1 / 15, 1 / 20, 1.5, 0.066667, 1.0345678)
 
 
 def instrument_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closing price and split factor per traded instrument and ship date (rare splits, some of them reverse and several in a row)."""
+    """Closing price and split factor per traded instrument and ship date (rare splits, some of them reverse, some no plain fractions, some on four days in a row)."""
     rows = table(spark, sf_dir, "lineitem").select(
         (F.col("l_partkey") % INSTRUMENTS).alias("instrument"), F.to_date("l_shipdate").alias("date"),
         F.floor(_unit_price() * 100) / 100,
     ).toDF("instrument", "date", "px")
-    split = (F.dayofyear("date") == 100) & (F.year("date") % 3 == F.col("instrument") % 3)
+    days = F.when(F.col("instrument") % 6 >= 4, 103).otherwise(100)
+    split = F.dayofyear("date").between(100, days) & (F.year("date") % 3 == F.col("instrument") % 3)
     return rows.groupBy("instrument", "date").agg(F.max("px").alias("close")).withColumn(
-        "split_factor", F.when(split, F.element_at(F.array(*[F.lit(f) for f in SPLITS]), (F.col("instrument") % 4 + 1).cast("int"))).otherwise(1.0)
+        "split_factor", F.when(split, F.element_at(F.array(*[F.lit(f) for f in SPLITS]), (F.col("instrument") % 6 + 1).cast("int"))).otherwise(1.0)
     )
 
 
 INSTRUMENT_BARS = f"""ibars AS (
   SELECT l_partkey % {INSTRUMENTS} AS instrument, CAST(l_shipdate AS DATE) AS date, max(floor(l_extendedprice / l_quantity * 100) / 100) AS close,
-    CASE WHEN dayofyear(CAST(l_shipdate AS DATE)) = 100 AND year(CAST(l_shipdate AS DATE)) % 3 = (l_partkey % {INSTRUMENTS}) % 3
-      THEN CASE (l_partkey % {INSTRUMENTS}) % 4 WHEN 0 THEN 2.0::DOUBLE WHEN 1 THEN 1 / 15::DOUBLE WHEN 2 THEN 1 / 20::DOUBLE ELSE 1.5::DOUBLE END
+    CASE WHEN dayofyear(CAST(l_shipdate AS DATE)) BETWEEN 100 AND CASE WHEN (l_partkey % {INSTRUMENTS}) % 6 >= 4 THEN 103 ELSE 100 END AND year(CAST(l_shipdate AS DATE)) % 3 = (l_partkey % {INSTRUMENTS}) % 3
+      THEN CASE (l_partkey % {INSTRUMENTS}) % 6 WHEN 0 THEN 2.0::DOUBLE WHEN 1 THEN 1 / 15::DOUBLE WHEN 2 THEN 1 / 20::DOUBLE WHEN 3 THEN 1.5::DOUBLE WHEN 4 THEN 0.066667::DOUBLE ELSE 1.0345678::DOUBLE END
       ELSE 1.0::DOUBLE END AS split_factor
   FROM lineitem GROUP BY ALL)"""
 

@@ -149,9 +149,10 @@ def test_average_cost_book_with_splits_and_oversells(spark, size):
 
 
 @pytest.mark.parametrize("held,factors,want", [
-    (15_000_000, [1 / 15], "1000000"), (15_000_000, [1 / 300], "50000"), (15_000_000, [1 / 15, 1 / 15], "66666.666666666667"), (7, [1.5, 3.0], "31.5"),
+    (15_000_000, [1 / 15], "1000000"), (15_000_000, [1 / 300], "50000"), (15_000_000, [1 / 15, 1 / 15], "66666.666666666667"), (7, [1.5, 3.0], "31.5"), (15_000_000, [0.066667], "1000005"), (10, [1.0345678], "10.345678"),
+    (10, [1.0345678, 0.066667], "0.689715315226"),
 ])
-def test_reverse_splits_are_exact(spark, held, factors, want):
+def test_split_factors_are_exact(spark, held, factors, want):
     trades = spark.createDataFrame([("live", "A", 1, "buy", Decimal(held), Decimal(1), Decimal(0))],
                                    "kind string, instrument string, id int, side string, quantity decimal(18,6), price decimal(18,6), fee decimal(18,6)"
                                    ).selectExpr("*", "DATE'2020-01-01' AS date")
@@ -163,6 +164,19 @@ def test_reverse_splits_are_exact(spark, held, factors, want):
     assert ledger.held_after == held and ledger.cost == held
 
 
+def test_many_odd_factors_keep_fifteen_digits(spark):
+    factors = [0.066667, 1.0345678, 14.999925, 1.123456789, 0.3333, 3.0003, 0.001, 0.0123457]
+    trades = spark.createDataFrame([("live", "A", 1, "buy", Decimal(1_000_000), Decimal(1), Decimal(0))],
+                                   "kind string, instrument string, id int, side string, quantity decimal(18,6), price decimal(18,6), fee decimal(18,6)"
+                                   ).selectExpr("*", "DATE'2020-01-01' AS date")
+    bars = spark.createDataFrame([("A", f"2020-02-{k + 1:02d}", f) for k, f in enumerate(factors)], "instrument string, day string, split_factor double")
+    row = books.average_cost_book(trades, bars.selectExpr("instrument", "to_date(day) AS date", "split_factor"), order=["id"]).first()
+    want = Decimal(1_000_000)
+    for f in factors:
+        want *= Decimal(str(f))
+    assert float(row.quantity) == pytest.approx(float(want), rel=1e-12) and row.cost == 1_000_000
+
+
 @pytest.mark.parametrize("size", [40, 100_000])
 def test_ledger_ends_where_the_book_does(spark, size):
     trades = spark.createDataFrame(
