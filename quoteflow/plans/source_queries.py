@@ -92,13 +92,13 @@ def _(spark, sf):
     return rd.require_identity(history_pages(spark, sf), "html").drop("html")
 
 
-# Trade files, eight of them: notes with quotes and line breaks, blank lines nowhere counted; sells that exceed the committed holdings, unknown
+# Trade files, one for each 8,192 order keys: notes with quotes and line breaks, blank lines nowhere counted; sells that exceed the committed holdings, unknown
 # symbols, empty kinds and times that are no ISO times are errors.
-@query("src6_import_errors", f"""WITH {fx.TRADES}, t AS (SELECT instrument, kind, side, quantity, o1, o2, row_number() OVER (PARTITION BY o1 % 8 ORDER BY o1, o2, o3, o4) + 1 AS line FROM trades),
+@query("src6_import_errors", f"""WITH {fx.TRADES}, t AS (SELECT instrument, kind, side, quantity, o1, o2, row_number() OVER (PARTITION BY o1 // 8192 ORDER BY o1, o2, o3, o4) + 1 AS line FROM trades),
 e AS (SELECT *, CASE WHEN o1 % 97 = 5 THEN '' ELSE kind END AS k FROM t)
-SELECT (o1 % 8)::BIGINT AS part, line, 'unknown symbol' AS error FROM e WHERE instrument = 19
-UNION ALL SELECT o1 % 8, line, 'sell exceeds holdings' FROM e WHERE side = 'sell' AND quantity > CASE WHEN instrument = 19 OR k = '' THEN 0 ELSE instrument * 10 END
-UNION ALL SELECT o1 % 8, line, 'invalid portfolio_kind' FROM e WHERE k = '' UNION ALL SELECT o1 % 8, line, 'invalid executed_at' FROM e WHERE o1 % 89 = 7""")
+SELECT (o1 // 8192)::BIGINT AS part, line, 'unknown symbol' AS error FROM e WHERE instrument = 19
+UNION ALL SELECT o1 // 8192, line, 'sell exceeds holdings' FROM e WHERE side = 'sell' AND quantity > CASE WHEN instrument = 19 OR k = '' THEN 0 ELSE instrument * 10 END
+UNION ALL SELECT o1 // 8192, line, 'invalid portfolio_kind' FROM e WHERE k = '' UNION ALL SELECT o1 // 8192, line, 'invalid executed_at' FROM e WHERE o1 % 89 = 7""")
 def _(spark, sf):
     path = wr.scratch_path(spark, "trades")
     note = F.when(F.col("o1") % 5 == 0, F.lit('a "quoted", note\n\nover three lines')).otherwise("plain")
@@ -106,9 +106,9 @@ def _(spark, sf):
         F.concat(F.lit("s"), F.col("instrument")).alias("symbol"), F.when(F.col("o1") % 97 == 5, "").otherwise(F.col("kind")).alias("portfolio_kind"), "side",
         *[F.col(c).cast("string").alias(c) for c in ("quantity", "price", "fee")],
         F.when(F.col("o1") % 89 == 7, "2024").otherwise(F.concat(F.col("date").cast("string"), F.lit("T10:00:00"))).alias("executed_at"), note.alias("note"), *fx.TRADE_ORDER)
-    rows = rows.withColumn("part", F.col("o1") % 8)
-    # every file is written by one task in its order; the next file by another
-    sorted_rows = rows.repartition(8, "part").sortWithinPartitions("part", *fx.TRADE_ORDER).drop(*fx.TRADE_ORDER)
+    rows = rows.withColumn("part", F.floor(F.col("o1") / 8192))
+    # every file is written by one task in its order
+    sorted_rows = rows.repartition("part").sortWithinPartitions("part", *fx.TRADE_ORDER).drop(*fx.TRADE_ORDER)
     sorted_rows.write.partitionBy("part").options(header=True, escape='"', emptyValue="").csv(path)
     numbers = spark.range(19)
     instruments = numbers.select(F.concat(F.lit("S"), F.col("id")).alias("symbol"), F.col("id").alias("instrument"), F.lit("USD").alias("currency"))

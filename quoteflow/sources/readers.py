@@ -6,7 +6,7 @@ import json
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,25 +120,69 @@ def require_identity(pages: DataFrame, text: str, requested: str = "symbol") ->
 # --- trade import --------------------------------------------------------------------------------------------
 
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
-#: columns of an uploaded file at most
-WIDTH = 64
+
+
+def _quoted_fields(record: Column) -> Column:
+    """Fields of one delimited record, quotes removed: null where empty and not quoted. Separators count outside quotes only, which are every other
+    stretch between quotes."""
+    parts = F.split(record, '"')
+    marked = F.array_join(F.transform(parts, lambda part, i: F.when(i % 2 == 0, F.translate(part, ",", "\x01")).otherwise(part)), '"')
+    bare = lambda f: F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(F.split(marked, "\x01"), lambda f: F.when(f.startswith('"'), bare(f)).when(f != "", f))
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of delimited files of any size: file, line (record number; blank lines outside quotes do not count), record and header, the file's first.
+
+    A file is read in blocks by many tasks. A line of text ends a record where an even number of quotes lies behind it, and how many lie before a block
+    is not known inside it; so each block counts its records for both cases, a running sum over the blocks of a file tells which holds, and where its
+    numbers begin. Only records that stretch over several lines are put together by another shuffle. Quotes stand in quoted values only, doubled.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = text.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value",
+        F.regexp_count("value", F.lit('"')).cast("long").alias("quotes"),
+    )
+    inside = Window.partitionBy("file", "block").orderBy("at")
+    lines = lines.withColumn("odd", F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2)
+    filled = F.trim(F.translate("value", "\r\t\ufeff", "")) != ""
+    starts = {f"starts{case}": F.sum(((F.col("odd") == case) & filled).cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) for case in (0, 1)}
+    lines = lines.withColumns(starts)
+    # one row a block
+    blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), F.max("starts0").alias("n0"), F.max("starts1").alias("n1"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("case", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+    own = F.when(F.col("case") == 0, F.col("n0")).otherwise(F.col("n1"))
+    blocks = blocks.withColumn("base", F.coalesce(F.sum(own).over(earlier), F.lit(0)))
+    first = lines.where("block = 0 AND starts0 = 1").groupBy("file").agg(_joined().alias("header"))
+    table = blocks.join(first, "file").select("file", "block", "case", "base", "header")
+    placed = lines.join(table, ["file", "block"]).select(
+        "file", "block", "at", "value", "quotes", "header", ((F.col("odd") + F.col("case")) % 2).alias("open"),
+        (F.col("base") + F.when(F.col("case") == 0, F.col("starts0")).otherwise(F.col("starts1"))).alias("line"),
+    )
+    whole = (F.col("open") == 0) & (F.col("quotes") % 2 == 0)
+    single = placed.where(whole & filled).select("file", "line", F.regexp_replace("value", "\r$", "").alias("record"), "header")
+    several = placed.where(~whole).groupBy("file", "line").agg(_joined().alias("record"), F.first("header").alias("header"))
+    return single.unionByName(several)
+
+
+def _joined() -> Column:
+    """The lines of a record in their order."""
+    lines = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
+    return F.regexp_replace(F.array_join(F.transform(lines, lambda x: x["value"]), "\n"), "\r$", "")
 
 
 def read_trades(spark: SparkSession, path: str) -> DataFrame:
-    """Records of delimited files: file, line (record number; the header is 1, blank lines do not count) and ``fields``, a map by the file's own header.
+    """Records of delimited files: file, line (see :func:`read_records`; the header is 1) and ``fields``, a map by the file's own header of any width.
 
-    Quoted values may hold separators and line breaks. A file is parsed whole by one task, as quotes demand; files are independent. Fields
-    beyond the header are dropped, missing ones are null.
+    Quoted values may hold separators and line breaks. Fields beyond the header are dropped, missing ones are null; of equal names the first counts.
     """
-    schema = ", ".join(f"c{i} STRING" for i in range(WIDTH))
-    rows = spark.read.schema(schema).options(header=False, multiLine=True, quote='"', escape='"').csv(path)
-    rows = rows.select(F.array(*[f"c{i}" for i in range(WIDTH)]).alias("v"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_id"))
-    # a file lies within one task, so ids run on through it
-    first = rows.groupBy("file").agg(F.min("_id").alias("_first"), F.min_by("v", "_id").alias("_names"))
-    numbered = rows.join(first, "file").withColumn("line", F.col("_id") - F.col("_first") + 1).where("line > 1")
-    names = F.transform("_names", lambda c: F.trim(F.regexp_replace(c, "^\ufeff", "")))
-    both = F.filter(F.arrays_zip(names.alias("name"), F.col("v").alias("value")), lambda e: e["name"] != "")
-    return numbered.select("file", "line", F.map_from_entries(both).alias("fields"))
+    rows = read_records(spark, path).where("line > 1")
+    names = F.transform(_quoted_fields(F.regexp_replace("header", "^\ufeff", "")), lambda c: F.coalesce(F.trim(c), F.lit("")))
+    rows = rows.select("file", "line", names.alias("_names"), _quoted_fields(F.col("record")).alias("_values"))
+    named = F.transform("_names", lambda name, i: F.struct(name.alias("name"), F.get(F.col("_values"), i).alias("value"), (F.array_position("_names", name) == i + 1).alias("first")))
+    kept = F.transform(F.filter(named, lambda e: e["first"] & (e["name"] != "")), lambda e: F.struct(e["name"], e["value"]))
+    return rows.select("file", "line", F.map_from_entries(kept).alias("fields"))
 
 
 TRADE_COLUMNS = ("symbol", "portfolio_kind", "side", "quantity", "price", "fee", "currency", "executed_at", "note")
@@ -246,5 +290,3 @@ def verify_sha256(spark: SparkSession, path: str, expected: DataFrame, name: str
 
 def manifest_json(values: Mapping) -> str:
     return json.dumps(values, ensure_ascii=False, default=lambda v: v.isoformat() if isinstance(v, date) else str(v))
-
-

@@ -131,6 +131,39 @@ def test_import_is_all_or_nothing_with_line_numbers(spark, tmp_path):
                                                              (5, "invalid price"), (5, "invalid executed_at")}
 
 
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_records_of_one_file_read_by_many_tasks(spark, tmp_path, ending):
+    """Blocks of 64 bytes and up cut quoted values, runs of quotes and line breaks anywhere; the csv module reads the file whole."""
+    import csv
+    import io
+
+    names = [f"name{k}" for k in range(70)]
+    records = [[f"v{i}.{k}" if k % 3 else ["", 'a "quoted" bit', "two\n\nbreaks, here", '"', 'x""y', "\n"][(i + k) % 6] for k in range(70)] for i in range(60)]
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator=ending)
+    writer.writerow(names)
+    for i, record in enumerate(records):
+        writer.writerow(record)
+        if i % 7 == 0:
+            out.write(ending)
+    for name in ("one.csv", "two.csv"):
+        (tmp_path / name).write_bytes(b"\xef\xbb\xbf" + out.getvalue().encode())
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    opened = spark.conf.get("spark.sql.files.openCostInBytes")
+    for size in ("64", "1000", "100000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = readers.read_trades(spark, str(tmp_path))
+        if size == "1000":
+            assert rows.sparkSession.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = {(r.file[-7:], r.line): r.fields for r in rows.collect()}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        spark.conf.set("spark.sql.files.openCostInBytes", opened)
+        assert len(got) == 120
+        for (_, line), fields in got.items():
+            assert [fields[n] or "" for n in names] == records[line - 2]
+
+
 def test_import_modes_differ_for_rows_of_the_same_file(spark, tmp_path):
     lines = ["AAA,live,sell,8,10,0,2020-01-01T10:00:00,", "AAA,live,sell,8,10,0,2020-01-02T10:00:00,"]
     trades, errors = importing(spark, tmp_path, lines)
