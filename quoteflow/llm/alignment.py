@@ -5,8 +5,8 @@ lockstep: one state vector holds every run's place in A and B; a step links both
 end first and drops finished runs. Links are kept per block of documents as short codes into the block's own list of id pairs, so only that list meets
 the corpus-wide counts, and not every link.
 
-Neither vocabulary joins anything over a blank that follows a visible character (checked when they are loaded), so texts fall into chunks there; chunks
-are tokenised by the libraries once, compared with their bytes, and remembered."""
+Neither vocabulary joins anything over a blank that follows a visible character, or over a line end between two (checked when they are loaded), so texts
+fall into chunks there; chunks are tokenised by the libraries once, compared with their bytes, and remembered."""
 
 from __future__ import annotations
 
@@ -14,9 +14,11 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 from quoteflow.llm.common import shared_path, small_batches, texts_of
 
 BLANK = "▁"
-_CUT = re.compile("(?<=[^\\s\u180e\u200b\ufeff])(?= )")
+_CUT = re.compile("(?<=[^\\s\u180e\u200b\ufeff])(?= |\\n[^\\s\u180e\u200b\ufeff])")
+#: chunks of letters and signs that all versions of Unicode class alike
+_PLAIN = re.compile("[ \\n][!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: characters of texts that are aligned together, and whose links share one list of pairs
 BLOCK = 1 << 21
 #: chunks in a run, and bytes of chunks that a worker remembers
-RUN, REMEMBER = 256, 48 << 20
+RUN, REMEMBER = 256, 128 << 20
 #: chunks longer than this are not remembered
 LONG = 64
 
@@ -71,39 +75,83 @@ class Vocabularies:
                 self.b_bytes.append(bytes([int(piece[3:-1], 16)]))
             elif self.b.is_control(i) or self.b.is_unknown(i):
                 self.b_bytes.append(b"")
-            elif BLANK in piece.lstrip(BLANK):
-                raise ValueError("a piece of B reaches over the start of a blank run")
+            elif BLANK in piece.lstrip(BLANK) or "\n" in piece:
+                raise ValueError("a piece of B reaches over a line end or the start of a blank run")
             else:
                 self.b_bytes.append(piece.replace(BLANK, " ").encode())
         self.a_size, self.b_size = (np.array([len(x) for x in side], dtype=np.int64) for side in (self.a_bytes, self.b_bytes))
         word = self.b.encode("a")
         self.lone = self.b.encode("a ")[len(word) :]
-        self.young: dict[str, tuple[bytes, bytes] | None] = {}
-        self.old: dict[str, tuple[bytes, bytes] | None] = {}
+        self.lead = len(self.b.encode("\n")) - 1  # tokens that stand for the blank which it puts before a line end
+        self.quick = self._by_rank(spec["model"]["vocab"], spec["model"]["merges"])
+        self.young: dict[str, tuple[bytes, bytes] | bool] = {}
+        self.old: dict[str, tuple[bytes, bytes] | bool] = {}
         self.weight = 0
 
+    def _by_rank(self, vocab: dict[str, int], merges: list):
+        """The same merges for a faster library, which takes them by their tokens' ids; None where ids do not follow the merges' order."""
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        if [vocab[a + b] for a, b in pairs] != list(range(256, 256 + len(pairs))):
+            return None
+        ranks = {self.a_bytes[i]: i for i in vocab.values() if i < 256 + len(pairs)}
+        return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _a(self, chunks: list[str]) -> list[bytes]:
+        """Ids of A: plain chunks in one text, cut again where their bytes end, the others one by one."""
+        out: list[bytes] = [b""] * len(chunks)
+        plain = [k for k, c in enumerate(chunks) if self.quick and _PLAIN.fullmatch(c)]
+        if plain:
+            ids = np.array(self.quick.encode_ordinary("".join([chunks[k] for k in plain])), dtype="<u4")
+            ends = np.cumsum(self.a_size[ids])
+            wanted = np.cumsum([len(chunks[k].encode()) for k in plain])
+            at = np.searchsorted(ends, wanted) + 1
+            if not (ends[at - 1] == wanted).all():
+                raise ValueError("a token of A reaches over the end of a chunk")
+            raw, cuts = ids.tobytes(), (4 * at).tolist()
+            for k, x, y in zip(plain, [0, *cuts], cuts):
+                out[k] = raw[x:y]
+        others = sorted(set(range(len(chunks))) - set(plain))
+        for k, found in zip(others, self.a.encode_batch([chunks[k] for k in others], add_special_tokens=False)):
+            out[k] = array("I", found.ids).tobytes()
+        return out
+
     def learn(self, chunks: list[str], into: dict) -> None:
-        """The ids of chunks, each starting with a blank; None where the tokens' bytes are not the chunk's."""
-        ours = self.a.encode_batch(chunks, add_special_tokens=False)
-        theirs = self.b.encode([c[1:] for c in chunks])  # it puts a blank in front itself, but not before nothing
-        for chunk, encoded, b in zip(chunks, ours, theirs):
-            a, b, raw = encoded.ids, b if chunk != " " else self.lone, chunk.encode()
-            whole = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
-            into[chunk] = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if whole else None
-
-    def ids(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
-        young, old = self.young, self.old
-        new = [c for c in set(chunks) if c not in young]
-        again = {c: old[c] for c in new if c in old}
-        young.update(again)
-        fresh: dict = {}
-        self.learn([c for c in new if c not in again], fresh)
-        keep = {c: v for c, v in fresh.items() if len(c) <= LONG}
-        young.update(keep)
-        self.weight += sum(300 + 10 * len(c) for c in keep) + sum(300 + 10 * len(c) for c in again)
-        found = [young[c] if c in young else fresh[c] for c in chunks]
-        if self.weight > REMEMBER // 2:
-            self.young, self.old, self.weight = {}, young, 0
+        """The ids of chunks, each starting with a blank or a line end; False where the tokens' bytes are not the chunk's."""
+        if not chunks:
+            return
+        # B puts a blank in front itself, but not before nothing
+        given = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        given = [self.lone if c == " " else b[self.lead :] if c[0] == "\n" else b for c, b in zip(chunks, given)]
+        raw, ours = [c.encode() for c in chunks], self._a(chunks)
+        sides: list[list] = []
+        for side, names, sizes in ((ours, self.a_bytes, self.a_size), ([array("I", b).tobytes() for b in given], self.b_bytes, self.b_size)):
+            joined = b"".join(side)
+            lengths = np.concatenate([[0], np.cumsum(sizes[np.frombuffer(joined, "<u4")])])
+            ends = lengths[np.cumsum([len(x) >> 2 for x in side])]
+            whole = (ends == np.cumsum([len(r) for r in raw])).all() and b"".join(map(names.__getitem__, memoryview(joined).cast("I"))) == b"".join(raw)
+            sides.append(side if whole else [x if b"".join([names[i] for i in memoryview(x).cast("I")]) == r else None for x, r in zip(side, raw)])
+        into.update(zip(chunks, [False if a is None or b is None else (a, b) for a, b in zip(*sides)]))
+
+    def ids(self, chunks: list[str]) -> list[tuple[bytes, bytes] | bool]:
+        young = self.young
+        found = list(map(young.get, chunks))
+        missing = [k for k, f in enumerate(found) if f is None]
+        if missing:
+            new = dict.fromkeys([chunks[k] for k in missing])
+            again = {c: self.old[c] for c in new if c in self.old}
+            fresh: dict = {}
+            self.learn([c for c in new if c not in again], fresh)
+            keep = again | {c: v for c, v in fresh.items() if len(c) <= LONG}
+            young.update(keep)
+            self.weight += sum(300 + 10 * len(c) for c in keep)
+            fresh.update(again)
+            for k in missing:
+                found[k] = fresh[chunks[k]]
+            if self.weight > REMEMBER // 2:
+                self.young, self.old, self.weight = {}, young, 0
         return found
 
 
@@ -129,37 +177,36 @@ def lockstep(end_a: np.ndarray, end_b: np.ndarray, start_a: np.ndarray, start_b:
     return link_a[used], link_b[used], cut[used]
 
 
-def _digits(size: int) -> tuple[np.ndarray, np.ndarray]:
-    written = [str(i).encode() for i in range(size)]
-    width = max(map(len, written))
-    return np.array([list(w.ljust(width, b"0")) for w in written], dtype=np.uint8), np.array([len(w) for w in written], dtype=np.int64)
-
-
 _DIGITS: list = []
 
 
-def written_groups(a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All groups as bytes a1,a2|b1;a3|b2, each with what divides it from the next, and the place where each token's own digits begin."""
-    size = max(a.max(initial=0), b.max(initial=0)) + 1
+def _digits(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per id: its decimal digits, room for a sign behind them, which of these places it uses, and where the sign stands."""
     if not _DIGITS or len(_DIGITS[0]) < size:
-        _DIGITS[:] = _digits(max(size, 1 << 16))
-    digit, count = _DIGITS
-    group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
-    before_b = np.concatenate([[0], np.cumsum(np.bincount(group_b, minlength=len(cuts)))])
-    through_a = np.cumsum(np.bincount(group_a, minlength=len(cuts)))
-    place_a, place_b = np.arange(len(a)) + before_b[group_a], np.arange(len(b)) + through_a[group_b]
-    token, sign = np.empty(len(a) + len(b), dtype=np.int64), np.full(len(a) + len(b), ord(","), dtype=np.uint8)
+        written = [str(i).encode() for i in range(max(size, 1 << 16))]
+        width = len(written[-1]) + 1
+        length = np.array([len(w) for w in written])
+        _DIGITS[:] = [np.frombuffer(b"".join(w.ljust(width) for w in written), np.uint8).reshape(-1, width), np.arange(width) <= length[:, None], length]
+    return tuple(_DIGITS)
+
+
+def written_groups(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All groups as bytes a1,a2|b1;a3|b2, each with what divides it from the next, and the place where each token's own digits begin. last: the
+    places of the tokens that end a group."""
+    ends_a, ends_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
+    ends_a[last_a] = ends_b[last_b] = True
+    group_a, group_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
+    # behind the tokens of A before it and those of B in earlier groups; of B likewise, but for A's in its own group too
+    place_a = np.arange(len(a)) + np.concatenate([[0], last_b + 1])[group_a]
+    place_b = np.arange(len(b)) + (last_a + 1)[group_b] if len(b) else group_b
+    token, sign = np.empty(len(a) + len(b), dtype=np.int64), np.empty(len(a) + len(b), dtype=np.uint8)
     token[place_a], token[place_b] = a, b
-    sign[place_a[np.flatnonzero(np.diff(group_a, append=-1))]] = ord("|")
-    sign[place_b[np.flatnonzero(np.diff(group_b, append=-1))]] = ord(";")
-    length = count[token]
-    begin = np.cumsum(length + 1) - (length + 1)
-    out = np.empty(int((length + 1).sum()), dtype=np.uint8)
-    for k in range(digit.shape[1]):
-        has = length > k
-        out[begin[has] + k] = digit[token[has], k]
-    out[begin + length] = sign
-    return out, begin
+    sign[place_a], sign[place_b] = np.where(ends_a, ord("|"), ord(",")), np.where(ends_b, ord(";"), ord(","))
+    digits, used, length = _digits(int(token.max(initial=0)) + 1)
+    size = length[token]
+    rows = digits[token]
+    rows[np.arange(len(rows)), size] = sign
+    return rows[used[token]], np.cumsum(size + 1) - (size + 1)
 
 
 class _Doc:
@@ -179,7 +226,7 @@ def align_block(vocabularies: Vocabularies, parts: list[tuple[_Doc, list, bool]]
     first = np.concatenate([[0], np.cumsum([len(pairs) for _, pairs, _ in parts])])  # first chunk of each part
     runs = np.unique(np.concatenate([np.arange(x, y, RUN) for x, y in zip(first, first[1:])] + [first]))
     link_a, link_b, cut = lockstep(end_a, end_b, chunk_a[runs[:-1]], chunk_b[runs[:-1]], chunk_a[runs[1:]], chunk_b[runs[1:]])
-    text, begin = written_groups(a, b, end_a, end_b, end_a[link_a[cut]])
+    text, begin = written_groups(a, b, link_a[cut], link_b[cut])
     part_a, part_b = chunk_a[first], chunk_b[first]
     begin = np.concatenate([begin, [len(text)]])[part_a + part_b]
     text = text.tobytes()
@@ -191,11 +238,11 @@ def align_block(vocabularies: Vocabularies, parts: list[tuple[_Doc, list, bool]]
             doc.sha.update((b";" if doc.begun else b"") + text[begin[k] : begin[k + 1] - 1])
             doc.begun = True
         digests.append(None if not ends else doc.sha.hexdigest() if doc.begun else "")
-    pairs, code, totals = np.unique(a[link_a] << 32 | b[link_b], return_inverse=True, return_counts=True)
+    code, pairs = pd.factorize(a[link_a] << 32 | b[link_b])
     return {
         "uid": [d.uid for d, _, _ in parts], "doc_id": [d.doc_id for d, _, _ in parts], "n_a": np.diff(part_a), "n_b": np.diff(part_b),
         "n_groups": np.diff(cuts), "n_links": np.diff(bounds), "digest": digests, "bounds": bounds, "codes": code.astype("<u2" if len(pairs) <= 1 << 16 else "<u4").tobytes(),
-        "pairs": pairs, "totals": totals,
+        "pairs": pairs, "totals": np.bincount(code, minlength=len(pairs)),
     }
 
 
@@ -242,12 +289,12 @@ def blocks(docs: DataFrame, a_json: bytes, b_model: bytes) -> DataFrame:
                 doc, text = _Doc(own + n_docs, doc_id), raw.decode()
                 n_docs += 1
                 whole = " " + text if text and BLANK not in text else ""
-                if len(whole) > BLOCK and any(None in vocabularies.ids(_CUT.split(s)) for s in segments(whole)):
+                if len(whole) > BLOCK and any(False in vocabularies.ids(_CUT.split(s)) for s in segments(whole)):
                     whole = ""
                 open_end = bool(whole)
                 for segment in segments(whole):
                     found = vocabularies.ids(_CUT.split(segment))
-                    if None in found:
+                    if False in found:
                         break
                     size += len(segment)
                     if size >= BLOCK:
