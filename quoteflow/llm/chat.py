@@ -119,8 +119,8 @@ def read_back(rendered: DataFrame, message: tuple[str, ...] = MESSAGE) -> DataFr
 
 
 def as_events(rows: DataFrame, delta: int = DELTA) -> DataFrame:
-    """An event log that ends at the given messages (conv_id, turn, role, text): an opening, a discarded first attempt of every assistant turn, and
-    the text in streamed deltas. Ties of turn are ordered by role and text (`tie` numbers them); rows that repeat wholly stay
+    """An event log that ends at the given messages (conv_id, turn, role, text): an opening, a discarded first attempt of every assistant turn, a draft of
+    every other turn that an edit replaces, and the text (of an edited turn, what follows the edit's) in streamed deltas. Ties of turn are ordered by role and text (`tie` numbers them); rows that repeat wholly stay
     messages of their own. Null text is empty."""
     near = rows.select("conv_id", "turn", "role", "text").repartition("conv_id", "turn")  # everything up to the folded message stays in place
     counted = near.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
@@ -134,7 +134,11 @@ def as_events(rows: DataFrame, delta: int = DELTA) -> DataFrame:
         F.struct(F.lit(2).alias("seq"), F.lit("regenerate").alias("kind"), F.lit("").alias("body")),
     )
     streamed = F.transform(pieces, lambda p, k: F.struct((k + 3).alias("seq"), F.lit("delta").alias("kind"), p.alias("body")))
-    log = F.concat(opened, F.when(F.col("role") == "assistant", dropped).otherwise(F.array().cast("array<struct<seq:int,kind:string,body:string>>")), streamed)
+    drafted = F.array(
+        F.struct(F.lit(1).alias("seq"), F.lit("delta").alias("kind"), F.reverse(F.substring(F.col("body"), 1, 16)).alias("body")),
+        F.struct(F.lit(2).alias("seq"), F.lit("edit").alias("kind"), F.substring(F.col("body"), 1, delta).alias("body")),
+    )
+    log = F.when(F.col("role") == "assistant", F.concat(opened, dropped, streamed)).otherwise(F.concat(opened, drafted, F.slice(streamed, F.lit(2), F.size(streamed))))
     made = single.select("conv_id", "turn", tie, "role", text.alias("body"))
     return made.select("conv_id", "turn", "tie", "role", F.explode(log).alias("e")).select("conv_id", "turn", "tie", "e.seq", "e.kind", "role", "e.body")
 

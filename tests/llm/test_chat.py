@@ -34,6 +34,14 @@ def test_round_trip(spark):
     assert chat.read_back(formatted(spark, [])).collect() == []
 
 
+def test_the_log_has_every_kind_of_event_and_long_messages_survive(spark):
+    rows = [(1, 0, "user", "abc" * 5000), (1, 1, "assistant", "<|im_end|>" * 3000), (1, 2, "user", "")]
+    log = chat.as_events(rows_of(spark, rows))
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"open", "delta", "edit", "regenerate"}
+    assert [(r.turn, r.role, r.text) for r in chat.fold(log).orderBy("turn").collect()] == [r[1:] for r in rows]
+    assert chat.read_back(chat.render(chat.fold(log))).first().loss_chars == 30_000
+
+
 def test_fold(spark):
     log = [
         (1, 0, 0, "open", "assistant", None), (1, 0, 1, "delta", None, "bad "), (1, 0, 2, "regenerate", None, None), (1, 0, 4, "delta", None, "old"),
