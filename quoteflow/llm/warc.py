@@ -86,9 +86,13 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = S
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_column).alias("page"), F.monotonically_increasing_id().alias("row"), F.col(url).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    largest = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page").alias("largest"))
-    # those below the limit get a key of their own kind and meet nothing
-    known = rows.join(largest, "digest", "left").select("page", "row", "url", "payload", "largest", (F.col("largest").isNotNull() & ~F.col("page").eqNullSafe(F.col("largest")) & (F.octet_length("payload") >= least)).alias("revisit"))
+    # decided on slim rows: an empty or error page may be the payload of a third of the table, so payloads do not meet by digest
+    slim = rows.where(F.octet_length("payload") >= least).select("page", "digest").distinct()
+    largest = slim.groupBy("digest").agg(F.max("page").alias("largest"))
+    verdicts = slim.join(largest, "digest").where(F.col("largest").isNotNull() & ~F.col("page").eqNullSafe(F.col("largest")))
+    verdicts = verdicts.select(F.col("page").alias("_page"), F.col("digest").alias("_digest"), "largest")
+    same = F.col("page").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest"))
+    known = rows.join(verdicts, same, "left").select("page", "row", "url", "payload", "largest", F.col("largest").isNotNull().alias("revisit"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -126,6 +130,20 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4
 
 
+def unzipped(raw: bytes) -> bytes:
+    """A plain or gzip archive as it was; archives may have a gzip member for each record, one in all, or several files behind one another."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    out = []
+    while raw:
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(raw))
+        if not member.eof:
+            raise ValueError("a gzip member is cut short")
+        raw = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
 def http_payload(block: bytes) -> bytes:
     head, _, body = block.partition(b"\r\n\r\n")
     return dechunked(body) if re.search(rb"(?im)^transfer-encoding:\s*chunked\s*$", head) else body
@@ -162,8 +180,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                raw = content.as_py()
-                raw = zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
+                raw = unzipped(content.as_py())
                 rows, size = [], 0
                 for fields, block in parse(raw):
                     rows.append(row(fields, block))

@@ -68,3 +68,32 @@ def test_missing_segment_is_an_error(spark):
     for broken in (records.where("coalesce(number, 0) <> 3"), records.where(F.col("total").isNull())):
         with pytest.raises(Exception, match="segments of"):
             warc.reassemble(broken).collect()
+
+
+@pytest.mark.parametrize("layout", ["a member a record", "files behind one another", "one member", "plain"])
+def test_archives_of_others(spark, tmp_path, layout):
+    import gzip
+
+    body = "é<p>x</p>".encode() * 50
+    records = []
+    for k in range(5):
+        block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(body + str(k).encode(), 16)
+        records.append(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:%d>\r\nContent-Length: %d\r\n\r\n" % (k, len(block)) + block + b"\r\n\r\n")
+    data = {
+        "a member a record": b"".join(gzip.compress(r) for r in records),
+        "files behind one another": gzip.compress(b"".join(records[:3])) + gzip.compress(b"".join(records[3:])),
+        "one member": gzip.compress(b"".join(records)), "plain": b"".join(records),
+    }[layout]
+    (tmp_path / "other.warc").write_bytes(data)
+    got = warc.read_records(spark, str(tmp_path)).collect()
+    assert sorted((r.record_id, r.payload) for r in got) == [(f"<urn:x:{k}>", body + str(k).encode()) for k in range(5)]
+    if layout == "one member":
+        with pytest.raises(ValueError, match="cut short"):
+            warc.unzipped(data[:-20])
+
+
+def test_a_payload_of_a_third_of_the_pages_and_one_above_an_archive(spark):
+    rows = [(k, "u", "error page") for k in range(300)] + [(1000, "u", "z" * 40_000)]
+    got = {r.page_id: r for r in round_trip(spark, pages_of(spark, rows), segment=1000, archive=5000)}
+    assert len(got) == 301 and got[1000].payload == b"z" * 40_000
+    assert all(got[k].record_type == ("response" if k == 299 else "revisit") for k in range(300))
