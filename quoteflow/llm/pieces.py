@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from quoteflow.llm.common import small_batches, texts_of
 
 BLANK = "▁"
-#: stretches remembered by a worker; when full, the older half goes
-REMEMBER = 200_000
+#: bytes of stretches of at most SHORT characters that a worker remembers; when full, the older half goes
+REMEMBER = 96 << 20
 #: characters of texts that are cut, encoded and checked together
 CHECK_BYTES = 1 << 20
 
@@ -51,6 +51,7 @@ class Pieces:
         if not (spec.add_dummy_prefix and spec.escape_whitespaces) or spec.remove_extra_whitespaces or trainer.treat_whitespace_as_suffix:
             raise ValueError("needs a dummy prefix, escaped blanks and kept blanks")
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.held = 0  # estimated bytes of the younger remembered stretches
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
         self.bytes: list[int] = [0] * 256
@@ -240,9 +241,14 @@ def encode_batch(texts: list[bytes | str], model: bytes) -> Iterator[bytes]:
         young.update({p: old[p] for p in new if p in old})
         learn(pieces, [p for p in new if p not in old], young)
         known = [young[p] for p in parts]
+        pieces.held += sum(250 + 8 * len(p) for p in new)
+        for p in new:
+            if len(p) > SHORT:
+                del young[p]
         for a, b in zip([0, *cut], cut):
             yield b"".join([begin, *known[a:b], end])
-        if len(young) > REMEMBER:
+        if pieces.held > REMEMBER // 2:
+            pieces.held = 0
             old.clear()
             old.update(young)
             young.clear()
@@ -282,6 +288,7 @@ def encode(docs: DataFrame, model: bytes, id_column: str = "doc_id", text: str =
                     rows, at, size = [[] for _ in names[1:]], k, 0
             if at < len(keys):
                 yield made(len(keys))
+        pieces.held = 0
         for remembered in loaded(model)[1:]:  # the worker goes on to other tasks, maybe of other kinds
             remembered.clear()
 

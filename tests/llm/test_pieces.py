@@ -75,3 +75,15 @@ def test_wrong_encodings_raise(monkeypatch):
     monkeypatch.setattr(pieces.Pieces, "agendas", lambda self, texts: [b"\x05\x00\x00\x00"] * len(texts))
     with pytest.raises(ValueError, match="differs"):
         list(pieces.encode_batch(["entirelynewword zzqq"], MODEL))
+
+
+def test_texts_without_blanks_are_not_remembered(monkeypatch):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("漢字かなABCabc=+/") for _ in range(400)) for _ in range(60)] + ["short words come again and again"] * 5
+    monkeypatch.setattr(pieces, "REMEMBER", 20_000)
+    own, young, old = pieces.loaded(MODEL)
+    young.clear(), old.clear()
+    got = list(pieces.encode_batch(texts, MODEL)) + list(pieces.encode_batch(texts, MODEL))
+    expected = [np.array([own.begin, *ids, own.end], "<u4").tobytes() for ids in library().encode(texts)]
+    assert got == expected * 2
+    assert all(len(s) <= pieces.SHORT for kept in (young, old) for s in kept)
