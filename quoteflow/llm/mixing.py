@@ -24,6 +24,8 @@ BUCKETS, LEAST_BLOCKS, BLOCK_WORDS = 1024, 128, 1 << 16
 SPREAD = 12
 #: primes above any number of blocks: steps that go through all blocks of a source
 STEPS = (2_147_483_647, 3_221_225_473, 1_610_612_741, 1_000_000_007, 1_000_000_009, 998_244_353, 805_306_457, 469_762_049)
+#: sources up to which their laws (some 500 bytes each) are broadcast; parts of a shard that are written by tasks of their own
+FEW, PARTS = 10_000, 16
 KEY = ("doc_id", "source", "body", "copy")
 
 
@@ -148,27 +150,27 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 2024, id_column: str = "d
     laid = bucketed.withColumn("own", F.sum("size").over(own.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     laid = laid.join(starts, ["place", "bucket"]).withColumn("at", F.col("start") + F.col("own"))
 
-    # block b holds the words from floor(b * source_size / blocks) on
-    edge = lambda b: F.floor(b * F.col("source_size") / F.col("blocks")).cast("long")
-    guess = lambda w: F.floor((w * F.col("blocks")) / F.col("source_size")).cast("long")
+    # block b holds the words from floor(b * source_size / blocks) on, by quotient and rest so that no product leaves a long
+    per, rest = F.floor(F.col("source_size") / F.col("blocks")), F.col("source_size") % F.col("blocks")
+    edge = lambda b: (b * per + F.floor(b * rest / F.col("blocks"))).cast("long")
+    guess = lambda w: F.floor(w.cast("double") / F.col("source_size") * F.col("blocks")).cast("long")
     first, last = F.greatest(F.lit(0), guess(F.col("at")) - 1), F.least(F.col("blocks") - 1, guess(F.col("at") + F.col("size") - 1) + 1)
     cut = laid.select(*KEY, "place", "size", "source_size", "blocks", "at", F.explode(F.sequence(first, last)).alias("block"))
     low, high = F.greatest(F.col("at"), edge(F.col("block"))), F.least(F.col("at") + F.col("size"), edge(F.col("block") + 1))
     cut = cut.select(*KEY, "place", "block", (low - F.col("at")).alias("from_word"), (high - F.col("at")).alias("to_word")).where("to_word > from_word")
 
-    # which draws of the source's permuted sequence take a block, and the shard that each draw belongs to
+    # which draws of the source's permuted sequence take a block, and the shard that each draw belongs to: arithmetic on the cut rows
     runs = split_quotas(totals.select("place", "quota"), shards, seed)
-    passes = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(most) - 1))).alias("pass")
-    draws = totals.select("place", "blocks", "quota", passes)
-    draws = draws.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    per_place = runs.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "shard"))).alias("runs"))
     # a step that is prime to the number of blocks goes through all of them; the one nearest the golden section scatters neighbours
     step = F.array_min(F.array(*[F.struct(F.abs(F.pmod(F.lit(p), F.col("blocks")) / F.col("blocks") - 0.381966).alias("off"), F.pmod(F.lit(p), F.col("blocks")).alias("step")) for p in STEPS]))["step"]
-    turned = F.pmod(F.col("block") * step + F.pmod(F.xxhash64(F.lit(seed), "place", "pass"), F.col("blocks")), F.col("blocks"))
-    draws = draws.withColumn("draw", F.col("pass") * F.col("blocks") + turned).where("draw < quota")
-    per_place = runs.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "shard"))).alias("runs"))
+    law = settle(totals.join(per_place, "place").select("place", "blocks", "quota", "runs", step.alias("step")))
+    law = F.broadcast(law) if law.count() <= FEW else law
+    passes = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(most) - 1))).alias("pass")
+    turned = F.pmod(F.col("block") * F.col("step") + F.pmod(F.xxhash64(F.lit(seed), "place", "pass"), F.col("blocks")), F.col("blocks"))
+    drawn = cut.join(law, "place").select("*", passes).withColumn("draw", F.col("pass") * F.col("blocks") + turned).where("draw < quota")
     holds = F.filter("runs", lambda r: (r["begin"] <= F.col("draw")) & (F.col("draw") < r["end"]))
-    drawn = draws.join(per_place, "place").select("place", "block", "pass", holds[0]["shard"].alias("shard"))
-    pieces = cut.join(drawn, ["place", "block"])
+    pieces = drawn.select(*KEY, "pass", "from_word", "to_word", holds[0]["shard"].alias("shard"))
     shuffle = F.xxhash64(F.lit(seed), "shard", "pass", *KEY, "from_word")
     return known.select(*KEY, "size", "source_size", "target"), pieces.select(*KEY, "shard", "pass", "from_word", "to_word", shuffle.alias("shuffle"))
 
@@ -184,7 +186,7 @@ def taken(documents: DataFrame, pieces: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
     """The mix as documents with the columns of docs: one row for each document and pass that takes words of it; its text is whole, or the taken words
-    with the blanks that follow them. Rows of a shard lie together, shuffled within it."""
+    with the blanks that follow them. A shard's rows lie in up to PARTS parts by hash, shuffled within each."""
     _, pieces = mix(docs, id_column=id_column, text=text, source=source, **settings)
     span = F.struct("from_word", "to_word")
     spans = pieces.groupBy(*KEY, "pass").agg(F.sort_array(F.collect_list(span)).alias("_spans"), F.min("shard").alias("_shard"), F.min("shuffle").alias("_order"))
@@ -200,4 +202,5 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     whole = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["to_word"] - s["from_word"]) == words_in(F.col("_text"))
     cut = F.when(whole, F.col("_text")).otherwise(F.transform(F.array(words), picked)[0])
     made = joined.select("_shard", "_order", F.struct(*[cut.alias(c) if c == text else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]).alias("_doc"))
-    return unpacked(made.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order"), docs)
+    made = made.withColumn("_part", F.pmod("_order", F.lit(PARTS)))
+    return unpacked(made.repartition("_shard", "_part").sortWithinPartitions("_shard", "_part", "_order"), docs)

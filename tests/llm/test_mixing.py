@@ -100,3 +100,21 @@ def test_odd_rows(spark):
     words = lambda t: len((t or "").encode().split())
     assert sum(words(r.text) for r in mixing.mixed_documents(docs).collect()) == sum(r.taken for r in got)
     assert mixing.mixed_documents(nothing(spark)).count() == 0
+
+
+def test_sources_of_many_words(spark, monkeypatch):
+    """Products of block numbers and words would leave a long here."""
+    monkeypatch.setattr(mixing, "words_in", lambda text: (F.length(text) * F.lit(10**15)).cast("long"))
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 1 << 46)
+    docs = spark.createDataFrame([(k, "x" * (1 + k % 7), "ab"[k % 2]) for k in range(200)], "doc_id long, text string, source string")
+    rows = mixing.taken(*mixing.mix(docs)).collect()
+    for source in range(2):
+        mine = [r for r in rows if r.doc_id % 2 == source]
+        assert sum(r.taken for r in mine) == pytest.approx(mine[0].target, rel=0.01) and all(r.taken <= 2 * r.size for r in mine)
+
+
+def test_laws_of_many_sources_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "some words here " * (k % 5), f"s{k % 11}") for k in range(300)], "doc_id long, text string, source string")
+    plain = sorted(map(tuple, mixing.taken(*mixing.mix(docs)).collect()))
+    monkeypatch.setattr(mixing, "FEW", 3)
+    assert sorted(map(tuple, mixing.taken(*mixing.mix(docs)).collect())) == plain
