@@ -16,21 +16,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import packed, settle, small_batches, unpacked
+from quoteflow.llm.common import packed, settle, shared_path, small_batches, unpacked
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 WINDOW = 8
-#: documents that a group needs for an estimate of its own; smaller ones pool by language, then all together
-LEAST_GROUP = 100
-#: share of a group's rows that the estimate is to cover; concentration steps of each start and of the best one
-COVER, FIRST_STEPS, LAST_STEPS = 0.75, 2, 4
+P = 4
+#: documents that a group needs for an estimate of its own, by the dimension; smaller ones are judged by their whole language's, then the whole corpus's
+LEAST_GROUP = 25 * P
+#: share of a group's rows that the estimate is to cover; concentration steps of each start; change of a log determinant that ends the
+#: best start's, and their number in any case (the share is cut at an approximate quantile, so that small changes may go to and fro)
+COVER, FIRST_STEPS, STILL, STEPS = 0.75, 2, 1e-3, 30
+#: estimates (rows of some 300 bytes) that are broadcast at most; beyond that rows meet them by group and salt
+FEW, SALTS = 6000, 64
 #: standard deviations of the transformed statistics below which differences are taken for noise
 FLOOR = (0.04, 0.03, 0.15, 0.12)
 #: chance that a clean (normal) vector would be rejected
 TAIL = 1e-9
 #: words of typical length that smooth the mean word length of short texts
 SMOOTH, TYPICAL = 20, 5.0
-P = 4
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -139,13 +142,24 @@ def distance(x: list[Column], e: str) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def _concentrate(rows: DataFrame, x: list[Column], current: DataFrame, widen: float = 1.0, limit: float | None = None) -> DataFrame:
+def _meet(rows: DataFrame, small: DataFrame, few: bool) -> DataFrame:
+    """Rows with what is known of their group g. Rows are never dealt by group alone, which would bring a large group into one task."""
+    if few:
+        return rows.join(F.broadcast(small), "g")
+    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "g"]), F.lit(SALTS)).cast("int")).join(salted, ["g", "salt"]).drop("salt")
+
+
+def _concentrate(rows: DataFrame, x: list[Column], current: DataFrame, few: bool, widen: float = 1.0, limit: float | None = None) -> DataFrame:
     """One step for every group and start: the nearest share of COVER (or those within a limit) gives the next estimate."""
-    far = rows.join(current, "g").withColumn("d", distance(x, "e"))
+    # the starts of a group side by side, so that a row meets its group once
+    starts = current.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("start", "e"))).alias("starts"))
+    far = _meet(rows, starts, few).select("g", *x, F.explode("starts").alias("s")).select("g", F.col("s.start").alias("start"), F.col("s.e").alias("e"), *x)
+    far = far.select("g", "start", *x, distance(x, "e").alias("d"))
     if limit is None:
-        # written, so that its size is known and rows need not be dealt by group to meet it
         cut = settle(far.groupBy("g", "start").agg(F.percentile_approx("d", COVER, 10_000).alias("cut")))
-        far = far.join(cut, ["g", "start"])
+        cuts = cut.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("start", "cut"))).alias("cuts"))
+        far = _meet(far, cuts, few).withColumn("cut", F.col("cuts")[F.col("start")]).drop("cuts")
     else:
         far = far.withColumn("cut", F.lit(limit))
     sums = far.groupBy("g", "start").agg(_moments(x, F.col("d") <= F.col("cut")))
@@ -153,13 +167,16 @@ def _concentrate(rows: DataFrame, x: list[Column], current: DataFrame, widen: fl
 
 
 def estimate(rows: DataFrame) -> DataFrame:
-    """(g, x0..x3) rows, in units of FLOOR -> (g, e): the reweighted minimum-covariance-determinant estimate of each group."""
+    """(g, x0..x3) rows, in units of FLOOR -> (g, e): the reweighted minimum-covariance-determinant estimate of each group.
+
+    Of three starts that with the least determinant after FIRST_STEPS goes on until no group's log determinant changes by more than STILL."""
     x = [F.col(f"x{i}") for i in range(P)]
     middle = settle(rows.groupBy("g").agg(F.array(*[F.percentile_approx(c, 0.5, 10_000) for c in x]).alias("median")))
-    off = rows.join(middle, "g")
+    few = middle.count() <= FEW
+    off = _meet(rows, middle, few)
     spread = off.groupBy("g").agg(F.array(*[F.greatest(F.lit(1.0), 1.4826 * F.percentile_approx(F.abs(x[i] - F.col("median")[i]), 0.5, 10_000)) for i in range(P)]).alias("spread"))
     scale = settle(middle.join(spread, "g"))
-    scaled = rows.join(scale, "g").select("g", *[((x[i] - F.col("median")[i]) / F.col("spread")[i]).alias(f"z{i}") for i in range(P)], "median", "spread")
+    scaled = _meet(rows, scale, few).select("g", *[((x[i] - F.col("median")[i]) / F.col("spread")[i]).alias(f"z{i}") for i in range(P)], "median", "spread")
     z = [F.col(f"z{i}") for i in range(P)]
     size = F.sqrt(F.greatest(reduce(lambda a, b: a + b, [c * c for c in z]), F.lit(1e-12)))
     kinds = [[F.tanh(c) for c in z], [c / size for c in z], [F.when(size <= math.sqrt(P), c) for c in z]]
@@ -172,31 +189,44 @@ def estimate(rows: DataFrame) -> DataFrame:
         starts = found if starts is None else starts.unionByName(found)
     current = settle(starts)
     for _ in range(FIRST_STEPS):
-        current = _concentrate(rows, x, current)
+        current = _concentrate(rows, x, current, few)
     best = current.groupBy("g").agg(F.min(F.struct(F.col("e.logdet").alias("logdet"), "start", "e")).alias("best"))
     current = settle(best.select("g", F.lit(0).alias("start"), F.col("best.e").alias("e")))
-    for step in range(LAST_STEPS):
-        # the last step's covariance is widened to that of the whole normal, of which COVER was seen
-        seen = COVER / (1 - chi2_tail(chi2_point(1 - COVER, P // 2), P // 2 + 1))
-        current = _concentrate(rows, x, current, seen if step == LAST_STEPS - 1 else 1.0)
+    for _ in range(STEPS):
+        further = _concentrate(rows, x, current, few)
+        change = further.select("g", F.col("e.logdet").alias("after")).join(current.select("g", F.col("e.logdet").alias("before")), "g")
+        moved = change.agg(F.max(F.col("before") - F.col("after")).alias("most")).first()["most"]
+        current = further
+        if moved is None or moved <= STILL:
+            break
+    # widened to the covariance of the whole normal, of which COVER was seen
+    seen = COVER / (1 - chi2_tail(chi2_point(1 - COVER, P // 2), P // 2 + 1))
+    current = _concentrate(rows, x, current, few, seen)
     within = chi2_point(0.01, P // 2)
-    current = _concentrate(rows, x, current, 0.99 / (1 - chi2_tail(within, P // 2 + 1)), within)
+    current = _concentrate(rows, x, current, few, 0.99 / (1 - chi2_tail(within, P // 2 + 1)), within)
     return current.select("g", "e")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """lang, source -> g: the group whose estimate judges them, null where too few documents exist anywhere."""
+    """lang, source -> g, the group whose estimate judges them, and feeds, all groups whose estimates their rows enter."""
+    by_both, by_language, all_rows = F.xxhash64(F.lit(0), "lang", "source"), F.xxhash64(F.lit(1), "lang"), F.xxhash64(F.lit(2))
     sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") < LEAST_GROUP)
-    pools = small.groupBy(F.col("lang").alias("pool")).agg(F.sum("n").alias("pool_n"))
-    rest = pools.where(F.col("pool_n") < LEAST_GROUP).agg(F.coalesce(F.sum("pool_n"), F.lit(0)).alias("rest_n"))  # one row
-    known = sizes.join(pools, F.col("lang").eqNullSafe(F.col("pool")), "left").join(F.broadcast(rest))
-    key = (
-        F.when(F.col("n") >= LEAST_GROUP, F.xxhash64(F.lit(0), "lang", "source"))
-        .when(F.col("pool_n") >= LEAST_GROUP, F.xxhash64(F.lit(1), "lang"))
-        .when(F.col("rest_n") >= LEAST_GROUP, F.xxhash64(F.lit(2)))
-    )
-    return settle(known.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), key.alias("g")))
+    small = F.col("n") < LEAST_GROUP
+    languages = sizes.groupBy(F.col("lang").alias("_language")).agg(F.sum("n").alias("language_n"), F.max(small).alias("asked"))
+    few = F.col("language_n") < LEAST_GROUP
+    corpus = languages.agg(F.coalesce(F.max(few), F.lit(False)).alias("corpus_asked"))  # one row
+    known = sizes.join(languages, F.col("lang").eqNullSafe(F.col("_language"))).join(F.broadcast(corpus))
+    judge = F.when(~small, by_both).when(~few, by_language).otherwise(all_rows)
+    feeds = F.array_compact(F.array(F.when(~small, by_both), F.when(~few & F.col("asked"), by_language), F.when(F.col("corpus_asked"), all_rows)))
+    return settle(known.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), judge.alias("g"), feeds.alias("feeds")))
+
+
+def _by_group(rows: DataFrame, table: DataFrame, lang: str = "lang", source: str = "source", how: str = "inner") -> DataFrame:
+    """Rows with what a table says of their language and source; salted, for one pair may hold a third of the rows."""
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c.startswith("stats")]), F.lit(SALTS)).cast("int")
+    same = F.col(f"`{lang}`").eqNullSafe(F.col("_lang")) & F.col(f"`{source}`").eqNullSafe(F.col("_source")) & (F.col("_own_salt") == F.col("_salt"))
+    return rows.withColumn("_own_salt", own).join(salted, same, how).drop("_own_salt", "_salt", "_lang", "_source")
 
 
 def _fit(slim: DataFrame) -> DataFrame:
@@ -204,15 +234,15 @@ def _fit(slim: DataFrame) -> DataFrame:
     scaled = [(c / f).alias(f"x{i}") for i, (c, f) in enumerate(zip(transformed("stats"), FLOOR))]
     worded = slim.where("stats.n_words > 0")
     named = _groups(worded)
-    rows = worded.join(named, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).where("g IS NOT NULL").select("g", *scaled)
+    rows = _by_group(worded, named.select("_lang", "_source", "feeds")).select(F.explode("feeds").alias("g"), *scaled)
     found = estimate(settle(rows))
-    return named.join(found, "g").select("_lang", "_source", "e")
+    return settle(named.select("_lang", "_source", "g").join(found, "g").select("_lang", "_source", "e"))
 
 
 def _judged(rows: DataFrame, fitted: DataFrame, lang: str, source: str) -> DataFrame:
     limit = chi2_point(TAIL, P // 2)
     scaled = [c / f for c, f in zip(transformed("stats"), FLOOR)]
-    known = rows.join(fitted, F.col(f"`{lang}`").eqNullSafe(F.col("_lang")) & F.col(f"`{source}`").eqNullSafe(F.col("_source")), "left")
+    known = rows.join(F.broadcast(fitted), F.col(f"`{lang}`").eqNullSafe(F.col("_lang")) & F.col(f"`{source}`").eqNullSafe(F.col("_source")), "left") if fitted.count() <= FEW else _by_group(rows, fitted, lang, source, "left")
     return known.withColumn("_far", F.when(F.col("stats.n_words") > 0, distance(scaled, "e"))).withColumn("_kept", ~base_failed("stats") & F.coalesce(F.col("_far") <= limit, F.lit(True)))
 
 
@@ -220,7 +250,7 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     """One row per document: doc_id, the base statistics, base_failed, kept, distance (squared; null without words or estimate).
 
     Null and empty texts have no words and fail the base; null languages and sources are groups like others; groups under LEAST_GROUP documents are
-    judged by their language's pool, then by the pool of all, then by the base alone; repeated rows count and are judged each; an empty table gives no rows;
+    judged by the estimate over all rows of their language, or of the corpus where the language has as few; repeated rows count and are judged each; an empty table gives no rows;
     other columns are not read."""
     slim = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
     slim = settle(with_statistics(slim).drop("text"))
@@ -230,8 +260,10 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
 
 
 def passing(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows and columns of docs that are kept."""
-    slim = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    fitted = _fit(settle(with_statistics(slim).drop("text")))
-    rows = packed(docs, text=F.col(text), _l=F.col(lang), _s=F.col(source))
-    return unpacked(_judged(with_statistics(rows), fitted, "_l", "_s").where("_kept"), docs)
+    """The rows and columns of docs that are kept. They are written once with their statistics, which are read again for the estimate and for the verdict."""
+    path = shared_path(docs.sparkSession, "statistics")
+    rows = packed(docs, _text=F.col(text), _l=F.col(lang), _s=F.col(source))
+    with_statistics(rows, "_text").drop("_text").write.option("compression", "zstd").parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    fitted = _fit(settle(rows.select(F.col("_l").alias("lang"), F.col("_s").alias("source"), "stats")))
+    return unpacked(_judged(rows, fitted, "_l", "_s").where("_kept"), docs)
