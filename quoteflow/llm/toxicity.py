@@ -1,14 +1,16 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over word and character inputs, trained in numpy, that scores all
 overlapping windows of a text.
 
-A word enters as its own vector, if it was frequent enough in the training sample, beside the mean vector of its hashed character trigrams. Training sees
-documents as bags of windows: the bag's logit is the log-sum-exp of its windows', so that one toxic stretch makes a document toxic and the others are
-left alone. A document's score is that of its worst window, with the logit moved back to the corpus's share of toxic labels. The network is fitted on the driver
+A word enters as its own vector, if it was frequent enough in the training sample, beside the mean vector of its hashed character trigrams. A text is read in
+blocks of SPAN words; attention pools every run of LENGTH words in a block, and blocks overlap so that every run of the text lies in just one. So the windows,
+one from each word on, share their block's states, and all of them cost as much as a few. Training sees documents as bags of windows: the bag's logit is
+the log-sum-exp of its windows', so that one toxic stretch makes a document toxic and the others are left alone. A document's score is that of its worst window, with the logit moved back to the corpus's share of toxic labels. The network is fitted on the driver
 on a sample of bounded size (PER_CLASS documents, TEXT characters; documents are left out whole, their texts are not cut); training and scoring read every
 word of a document."""
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 
 import numpy as np
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 
 from quoteflow.llm.common import packed, settle, small_batches, unpacked
 
-#: words of a window and between starts of windows
-LENGTH, STRIDE = 24, 16
+#: words of a window, of a block, and between starts of blocks
+LENGTH, SPAN = 24, 64
+STEP = SPAN - LENGTH + 1
 #: the training sample: documents of label 0 and 1 at most, and characters of all documents of a label, on the driver
 PER_CLASS, TEXT = (4000, 2000), 1 << 26
 #: sizes: word vectors, character vectors, state of each direction, attention; buckets of trigrams
@@ -27,8 +30,8 @@ WORD, CHAR, STATE, ATTEND, BUCKETS = 12, 8, 8, 8, 4096
 #: score from which a document counts as toxic; a word's own vector needs this many documents of the sample, and one in so many
 THRESHOLD, LEAST_DOCS, ONE_IN = 0.3, 3, 300
 STEPS, BATCH, RATE, DECAY, SEED = 300, 48, 0.01, 0.3, 7
-#: characters of texts that are scored together, windows that step together
-CHUNK, TOGETHER = 1 << 20, 4096
+#: characters of texts that are scored together, blocks that step together
+CHUNK, TOGETHER = 1 << 20, 1536
 
 #: a character of a word, as str.split() tells them
 _WORD = r"[^\s\x1c-\x1f\x85\p{Z}]"
@@ -52,6 +55,28 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _window_sums(v: np.ndarray) -> np.ndarray:
+    """Sums over every LENGTH neighbours along the second axis, put together from sums over powers of two."""
+    out, at, count = 0, 0, v.shape[1] - LENGTH + 1
+    for bit in range(LENGTH.bit_length()):
+        if LENGTH >> bit & 1:
+            out, at = out + v[:, at : at + count], at + (1 << bit)
+        v = v[:, : -(1 << bit)] + v[:, 1 << bit :]
+    return out
+
+
+def _window_spread(v: np.ndarray) -> np.ndarray:
+    """What each place gets of its windows: the transpose of `_window_sums`."""
+    pad = [(0, 0), (LENGTH - 1, LENGTH - 1)] + [(0, 0)] * (v.ndim - 2)
+    return _window_sums(np.pad(v, pad))
+
+
+def open_windows(mask: np.ndarray) -> np.ndarray:
+    """Which windows of a block there are: those whole within its words, and the one of a block with fewer words than a window."""
+    starts = np.arange(STEP)
+    return (starts + LENGTH <= mask.sum(axis=1)[:, None]) | (starts == 0)
+
+
 class Network:
     def __init__(self, words: list[str], seed: int = SEED):
         rng = np.random.default_rng(seed)
@@ -99,28 +124,28 @@ class Network:
         return states
 
     def forward(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """Logit of each window; windows without words get the bias."""
+        """Logit of each window of each block; `open_windows` tells which there are."""
         kept = {"f": [], "b": []} if keep else {"f": None, "b": None}
         states = np.concatenate([self._run(d, x, ids, mask, kept[d]) for d in "fb"], axis=2)
         act = np.tanh(states @ self.w["attend"] + self.w["attend_bias"])
         score = np.where(mask, act @ self.w["query"], -1e9)
-        share = np.exp(score - score.max(axis=1, keepdims=True)) * mask
-        share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-9)
-        pooled = (share[:, None, :] @ states)[:, 0]
+        odds = np.exp(score - score.max(axis=1, keepdims=True)) * mask
+        total = np.maximum(_window_sums(odds), 1e-30)
+        pooled = _window_sums(odds[:, :, None] * states) / total[:, :, None]
         logits = pooled @ self.w["out"] + self.w["out_bias"][0]
-        return (logits, (states, act, share, pooled, kept)) if keep else logits
+        return (logits, (states, act, odds, total, pooled, kept)) if keep else logits
 
     def gradients(self, x, source, ids, mask, cache, back: np.ndarray) -> dict[str, np.ndarray]:
         """Of the loss, given its derivative by each window's logit."""
-        states, act, share, pooled, kept = cache
-        g = {"out": pooled.T @ back, "out_bias": np.array([back.sum()], np.float32)}
-        d_pooled = back[:, None] * self.w["out"]
-        d_share = (states @ d_pooled[:, :, None])[:, :, 0]
-        d_score = share * (d_share - (share * d_share).sum(axis=1, keepdims=True))
+        states, act, odds, total, pooled, kept = cache
+        g = {"out": np.tensordot(back, pooled, ([0, 1], [0, 1])), "out_bias": np.array([back.sum()], np.float32)}
+        d_sums = back[:, :, None] * self.w["out"] / total[:, :, None]
+        d_weighted = _window_spread(d_sums)
+        d_score = odds * (_window_spread(-(d_sums * pooled).sum(axis=2)) + (d_weighted * states).sum(axis=2))
         g["query"] = np.einsum("bta,bt->a", act, d_score)
         d_act = d_score[:, :, None] * self.w["query"] * (1 - act * act)
         g["attend"], g["attend_bias"] = np.tensordot(states, d_act, ([0, 1], [0, 1])), d_act.sum(axis=(0, 1))
-        d_states = share[:, :, None] * d_pooled[:, None, :] + d_act @ self.w["attend"].T
+        d_states = odds[:, :, None] * d_weighted + d_act @ self.w["attend"].T
         d_x = np.zeros_like(x)
         for k, d in enumerate("fb"):
             own, after = self.w[f"own_{d}"], np.zeros((len(ids), STATE), np.float32)
@@ -145,18 +170,23 @@ class Network:
         return g
 
 
-def _bag_arrays(bags: list[list[list[str]]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens, window ids (0 pads), mask, bag of each window."""
+def block_starts(n: int) -> range:
+    """Starts of the blocks of n words: every window lies in the block of the last start that is not behind its own."""
+    return range(0, max(1, n - LENGTH + 1), STEP)
+
+
+def _bag_arrays(bags: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens, ids of the blocks' words (0 pads), mask, bag of each block."""
     known: dict[str, int] = {}
-    windows = [w for bag in bags for w in bag]
-    ids = np.zeros((len(windows), LENGTH), dtype=np.int64)
-    for k, w in enumerate(windows):
-        ids[k, : len(w)] = [known.setdefault(t, len(known)) + 1 for t in w]
-    return list(known), ids, ids > 0, np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    blocks = [(k, words[s : s + SPAN]) for k, words in enumerate(bags) for s in block_starts(len(words))]
+    ids = np.zeros((len(blocks), SPAN), dtype=np.int64)
+    for row, (_, words) in zip(ids, blocks):
+        row[: len(words)] = [known.setdefault(t, len(known)) + 1 for t in words]
+    return list(known), ids, ids > 0, np.array([k for k, _ in blocks])
 
 
 class Bags:
-    """The windows of each text, made when they are asked for."""
+    """The words of each text, made when they are asked for."""
 
     def __init__(self, texts: list[str]):
         self.texts = texts
@@ -164,14 +194,13 @@ class Bags:
     def __len__(self) -> int:
         return len(self.texts)
 
-    def __getitem__(self, k: int) -> list[list[str]]:
-        words = self.texts[k].lower().split()
-        return [words[s : s + LENGTH] for s in window_starts(len(words))]
+    def __getitem__(self, k: int) -> list[str]:
+        return self.texts[k].lower().split()
 
 
-def train(bags: Bags | list[list[list[str]]], labels: list[int], share: float, steps: int = STEPS, seed: int = SEED) -> Network:
-    """Fit on bags of windows of words. share: of label 1 in the corpus, to which the scores are moved back."""
-    use = Counter(w for bag in bags for w in {t.strip(_EDGE) or t for window in bag for t in window})
+def train(bags: Bags | list[list[str]], labels: list[int], share: float, steps: int = STEPS, seed: int = SEED) -> Network:
+    """Fit on documents' words. share: of label 1 in the corpus, to which the scores are moved back."""
+    use = Counter(w for bag in bags for w in {t.strip(_EDGE) or t for t in bag})
     network, rng = Network(sorted(w for w, n in use.items() if n >= max(LEAST_DOCS, len(bags) // ONE_IN)), seed), np.random.default_rng(seed)
     y = np.array(labels, dtype=np.float32)
     first, second = ({k: np.zeros_like(v) for k, v in network.w.items()} for _ in range(2))
@@ -184,14 +213,17 @@ def train(bags: Bags | list[list[list[str]]], labels: list[int], share: float, s
         x, source = network.inputs(tokens)
         drop = rng.random(len(x)) < 0.1  # now and then a word must be known by its characters
         x[drop, :WORD] = 0
-        # a step takes any number of windows: logits of all first, then the gradient of TOGETHER windows at a time
+        # a step takes any number of blocks: logits of all first, then the gradient of TOGETHER blocks at a time
         parts = [slice(k, k + TOGETHER) for k in range(0, len(ids), TOGETHER)]
         logits, cache = network.forward(x, ids, mask, keep=True) if len(parts) == 1 else (np.concatenate([network.forward(x, ids[p], mask[p]) for p in parts]), None)
+        there = open_windows(mask)
+        found, bag = logits[there], np.repeat(bag, there.sum(axis=1))
         starts = np.flatnonzero(np.r_[True, bag[1:] != bag[:-1]])
-        top = np.maximum.reduceat(logits, starts)[bag]
-        odds = np.exp(logits - top)
+        top = np.maximum.reduceat(found, starts)[bag]
+        odds = np.exp(found - top)
         total = np.add.reduceat(odds, starts)[bag]
-        loss_back = ((_squash(top + np.log(total)) - y[chosen][bag]) * odds / total / len(chosen)).astype(np.float32)
+        loss_back = np.zeros(there.shape, dtype=np.float32)
+        loss_back[there] = (_squash(top + np.log(total)) - y[chosen][bag]) * odds / total / len(chosen)
         grads: dict[str, np.ndarray] = {}
         for p in parts:
             found = network.gradients(x, source, ids[p], mask[p], cache or network.forward(x, ids[p], mask[p], keep=True)[1], loss_back[p])
@@ -208,11 +240,6 @@ def train(bags: Bags | list[list[list[str]]], labels: list[int], share: float, s
     return network
 
 
-def window_starts(n: int) -> list[int]:
-    """Starts of the overlapping windows of n words; the last one ends with the text."""
-    return [0] if n <= LENGTH else [*range(0, n - LENGTH, STRIDE), n - LENGTH]
-
-
 def score_texts(network: Network | None, texts: list[str]) -> np.ndarray:
     """Scores from 0 to 1: the worst window's. Texts without words score 0, and so does everything without a network."""
     out, at = np.zeros(len(texts)), 0
@@ -222,7 +249,7 @@ def score_texts(network: Network | None, texts: list[str]) -> np.ndarray:
         while at < len(texts) and size < CHUNK:
             words = texts[at].lower().split()
             if words:
-                mine = window_starts(len(words))
+                mine = block_starts(len(words))
                 starts += [len(ids) + s for s in mine]
                 ends += [len(ids) + len(words)] * len(mine)
                 owner += [at] * len(mine)
@@ -232,12 +259,13 @@ def score_texts(network: Network | None, texts: list[str]) -> np.ndarray:
         if not ids:
             continue
         x, _ = network.inputs(list(known))
-        flat = np.array(ids + [0] * LENGTH)
+        flat = np.array(ids + [0] * SPAN)
         for k in range(0, len(starts), TOGETHER):
-            place = np.array(starts[k : k + TOGETHER])[:, None] + np.arange(LENGTH)
+            place = np.array(starts[k : k + TOGETHER])[:, None] + np.arange(SPAN)
             mask = place < np.array(ends[k : k + TOGETHER])[:, None]
             logits = network.forward(x, np.where(mask, flat[place], 0), mask)
-            np.maximum.at(out, owner[k : k + TOGETHER], 1 / (1 + np.exp(-(logits.astype(np.float64) + network.shift))))
+            worst = np.where(open_windows(mask), logits, -np.inf).max(axis=1)
+            np.maximum.at(out, owner[k : k + TOGETHER], 1 / (1 + np.exp(-(worst.astype(np.float64) + network.shift))))
     return out
 
 
@@ -249,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     """Train on labelled documents that are not held out. None if either label is missing among them.
 
     Of several labels for one id the largest counts; null ids and labels are left out. The sample takes ids that docs has with a word, by a
-    hash, up to PER_CLASS and TEXT of each label; one text of each, that of smallest hash if an id repeats, with all its windows in its bag."""
+    hash, up to PER_CLASS and TEXT of each label; one text of each, that of smallest hash if an id repeats, whole."""
     known = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull()).where(~held_out(id_column))
     known = known.groupBy(F.col(id_column).alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("_toxic"))
     share = known.agg(F.avg("_toxic").alias("share")).first()["share"]
@@ -295,7 +323,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
 
 
 def clean(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows and columns of docs that are not predicted toxic."""
+    """The rows and columns of docs that are not predicted toxic. Without labels of both kinds all rows stay, with a warning."""
     network = fit(docs, labels, id_column, text)
+    if network is None:
+        warnings.warn("labels of both kinds are missing among the documents: none is removed", stacklevel=2)
     kept = scored(packed(docs, _text=F.col(text)), network, "_text", "_score").where(F.col("_score") < THRESHOLD)
     return unpacked(kept, docs)

@@ -1,13 +1,14 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from quoteflow.llm import toxicity
 from tests.llm.cases import documents, nothing
 
 
 def small():
-    bags = [[["you", "idiot"], ["fine", "day", "here"]], [["a", "fine", "day"]], [["idiot!", "again", "and", "more"]], [["day"]]] * 4
+    bags = [["you", "idiot", "fine", "day", "here"], ["a", "fine", "day"], ["idiot!", "again", "and", "more"] * 21, ["day"] * 30] * 4
     return bags, [1, 0, 1, 0] * 4
 
 
@@ -15,10 +16,10 @@ def test_gradients_match_differences():
     network = toxicity.Network(["idiot", "fine", "day"])
     network.w = {k: v.astype(np.float64) for k, v in network.w.items()}
     tokens, ids, mask, _ = toxicity._bag_arrays(small()[0][:3])
-    back = np.random.default_rng(1).standard_normal(len(ids))
+    back = np.random.default_rng(1).standard_normal((len(ids), toxicity.STEP)) * toxicity.open_windows(mask)
 
     def loss():
-        return float(network.forward(network.inputs(tokens)[0].astype(np.float64), ids, mask) @ back)
+        return float((network.forward(network.inputs(tokens)[0].astype(np.float64), ids, mask) * back).sum())
 
     x, source = network.inputs(tokens)
     _, cache = network.forward(x.astype(np.float64), ids, mask, keep=True)
@@ -43,7 +44,7 @@ def test_learns_a_word_inside_a_bag():
         windows = [list(rng.choice(["fine", "day", "here", "again", "and", "more"], size=24)) for _ in range(rng.integers(1, 6))]
         if k % 2:
             windows[rng.integers(len(windows))][rng.integers(24)] = "idiot"
-        bags.append([w[: rng.integers(18, 25)] if not k % 2 else w for w in windows])
+        bags.append([w for window in windows for w in window[: 24 if k % 2 else rng.integers(18, 25)]])
         labels.append(k % 2)
     network = toxicity.train(bags, labels, 0.5, steps=200)
     texts = ["fine day " * 6, "fine day here " * 70 + "idiot " + "day and more " * 70, "fine day again " * 200, "", " \n\t", "more and Idiot. " + "day here " * 6]
@@ -51,12 +52,47 @@ def test_learns_a_word_inside_a_bag():
     assert scores[1] > 0.8 and scores[5] > 0.8 and scores[0] < 0.2 and scores[2] < 0.2 and scores[3] == scores[4] == 0
 
 
-def test_windows_cover_every_word_and_overlap():
-    for n in (0, 1, 23, 24, 25, 40, 41, 1000):
-        starts = toxicity.window_starts(n)
-        covered = {k for s in starts for k in range(s, min(n, s + toxicity.LENGTH))}
-        assert covered == set(range(n)) and all(b - a <= toxicity.STRIDE for a, b in zip(starts, starts[1:]))
-        assert starts[-1] == max(0, n - toxicity.LENGTH)
+def test_every_run_of_words_is_a_window_of_one_block():
+    for n in (1, 23, 24, 25, 40, 41, 63, 64, 65, 105, 106, 1000):
+        starts = toxicity.block_starts(n)
+        mask = np.array([[s + k < n for k in range(toxicity.SPAN)] for s in starts])
+        windows = [s + int(k) for s, row in zip(starts, toxicity.open_windows(mask)) for k in np.flatnonzero(row)]
+        assert windows == list(range(max(1, n - toxicity.LENGTH + 1)))
+        assert {k for s, row in zip(starts, mask) for k in s + np.flatnonzero(row)} == set(range(n))
+
+
+def plain_score(network, text):
+    """Every window of every block in plain loops over words."""
+    w, words, logits = {k: v.astype(float) for k, v in network.w.items()}, text.lower().split(), []
+    squash = lambda v: 1 / (1 + np.exp(-v))
+    if not words:
+        return 0.0
+    for start in range(0, max(1, len(words) - 23), 41):
+        block = words[start : start + 64]
+        x = [network.inputs([t])[0][1].astype(float) for t in block]
+        states = {}
+        for d in "fb":
+            h, found = np.zeros(toxicity.STATE), []
+            for v in x if d == "f" else x[::-1]:
+                given, own = v @ w[f"in_{d}"] + w[f"bias_{d}"], h @ w[f"own_{d}"]
+                z, r = squash(given[:8] + own[:8]), squash(given[8:16] + own[8:16])
+                h = (1 - z) * np.tanh(given[16:] + r * own[16:]) + z * h
+                found.append(h)
+            states[d] = found if d == "f" else found[::-1]
+        both = [np.concatenate(p) for p in zip(states["f"], states["b"])]
+        for k in range(max(1, min(41, len(block) - 23))):
+            run = both[k : k + 24]
+            odds = np.exp([np.tanh(s @ w["attend"] + w["attend_bias"]) @ w["query"] for s in run])
+            logits.append(sum(o * s for o, s in zip(odds, run)) / odds.sum() @ w["out"] + w["out_bias"][0])
+    return float(squash(max(logits) + network.shift))
+
+
+def test_scores_equal_plain_loops():
+    network = toxicity.train(*small(), 0.5, steps=40)
+    rng = np.random.default_rng(5)
+    vocabulary = ["fine", "day", "Idiot", "again", "more,", "new", "ünïcode", "#"]
+    texts = [" ".join(rng.choice(vocabulary, size=n)) for n in (1, 5, 23, 24, 25, 64, 65, 70, 104, 105, 250)]
+    assert np.allclose(toxicity.score_texts(network, texts), [plain_score(network, t) for t in texts], atol=1e-4)
 
 
 def test_trigrams_stay_inside_words():
@@ -94,7 +130,8 @@ def test_odd_rows(spark):
     none = toxicity.judge(docs, labels.where("false")).collect()
     assert {r.score for r in none} == {0.0} and {r.predicted for r in none} == {0}
     assert toxicity.judge(nothing(spark), labels).collect() == []
-    kept = toxicity.clean(docs, labels.where("false"))
+    with pytest.warns(UserWarning, match="none is removed"):
+        kept = toxicity.clean(docs, labels.where("false"))
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
@@ -112,11 +149,10 @@ def test_training_reads_every_word(spark, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     toxicity.fit(docs, spark.createDataFrame([(i, int(i == ids[0])) for i in ids], "doc_id long, toxic int"))
     bags, labels = seen[0]
-    assert sorted(" ".join(sorted({w for window in b for w in window})) for b in bags) == sorted(" ".join(sorted(t.split())) for t in texts.values())
-    assert sum(labels) == 1 and all(len(window) <= toxicity.LENGTH for b in bags for window in b)
+    assert sorted(" ".join(b) for b in bags) == sorted(texts.values()) and sum(labels) == 1
 
 
-def test_windows_in_parts_give_the_same_network(monkeypatch):
+def test_blocks_in_parts_give_the_same_network(monkeypatch):
     whole = toxicity.train(*small(), 0.5, steps=3)
     monkeypatch.setattr(toxicity, "TOGETHER", 3)
     parts = toxicity.train(*small(), 0.5, steps=3)
@@ -133,4 +169,4 @@ def test_sample_is_of_documents_at_hand_and_one_row_an_id(spark, monkeypatch):
     toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
     bags, found = seen[0]
     assert sorted(found) == [0, 0, 1, 1] and len(bags) == 4
-    assert {f"text of {i}" for i in present[1:]} <= {" ".join(b[0]) for b in bags}
+    assert {f"text of {i}" for i in present[1:]} <= {" ".join(b) for b in bags}
