@@ -223,7 +223,9 @@ def train(bags: Bags | list[list[str]], labels: list[int], share: float, steps:
         odds = np.exp(found - top)
         total = np.add.reduceat(odds, starts)[bag]
         loss_back = np.zeros(there.shape, dtype=np.float32)
-        loss_back[there] = (_squash(top + np.log(total)) - y[chosen][bag]) * odds / total / len(chosen)
+        # a word lies in LENGTH windows: taken off, so that a bag's logit is near that of its worst window, which scores it
+        alike = np.log(np.minimum(LENGTH, np.bincount(bag, minlength=len(chosen))))[bag]
+        loss_back[there] = (_squash(top + np.log(total) - alike) - y[chosen][bag]) * odds / total / len(chosen)
         grads: dict[str, np.ndarray] = {}
         for p in parts:
             found = network.gradients(x, source, ids[p], mask[p], cache or network.forward(x, ids[p], mask[p], keep=True)[1], loss_back[p])
