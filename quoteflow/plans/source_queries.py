@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quoteflow.plans import fixtures as fx
 from quoteflow.plans.registry import query, r, rounded
 from quoteflow.sources import readers as rd
+from quoteflow.sources import tables
 from quoteflow.sources import writers as wr
 
 KEY = ["symbol", "date"]
@@ -125,6 +126,9 @@ def _snapshots(spark, sf):
         manifest = {"strategy_version": "v1", "frozen_cutoff": date(1999, 6, 30), "symbols": ["A-F", "N-O"], "source_by_symbol": {"A-F": "public"},
                     "audit": {"A-F": {"adjustment_factor": 1.5, "new_rows": 3, "preserved_through": date(1999, 6, 30)}}}
         wr.publish_snapshot(spark, {"bars": bars.where(F.col("date") <= F.lit(day))}, root, day, manifest)
+    # a later run that failed between its manifest and the pointer
+    unfinished = rd.manifest_json({**manifest, "latest_completed_session": date(2001, 1, 31)})
+    tables.create_text(spark, f"{root}/2001-01-31/manifest.json", unfinished)
     return root
 
 
@@ -166,7 +170,7 @@ def _(spark, sf):
     base, upd = _tables(spark, sf)
     wr.upsert_bars(spark, path, base)
     wr.upsert_bars(spark, path, upd)
-    return spark.read.parquet(path).select(*KEY, "source", "close")
+    return wr.read_bars(spark, path).select(*KEY, "source", "close")
 
 
 @query("snk3_append_absent", f"WITH {UPDATES} SELECT * FROM base UNION ALL SELECT * FROM upd u WHERE NOT EXISTS (SELECT 1 FROM base b WHERE u.symbol = b.symbol AND u.date = b.date)")

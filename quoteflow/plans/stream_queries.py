@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quoteflow.plans.registry import query, r, rounded
 from quoteflow.plans.series_queries import recursive
 from quoteflow.plans.signal_queries import BUYS, SELLS, ladder_cte
-from quoteflow.sources.writers import scratch_path
+from quoteflow.sources.writers import read_bars, scratch_path
 from quoteflow.streaming import jobs
 
 
@@ -110,7 +110,7 @@ def _(spark, sf):
     folder = scratch_path(spark, "upsert")
     bars = event_stream(spark, sf).select("symbol", F.to_date("ts").alias("date"), F.lit("stream").alias("source"), F.col("value").alias("close"), F.col("ts").alias("fetched_at"))
     finish(jobs.stream_upsert(bars, f"{folder}/out", f"{folder}/cp"))
-    return spark.read.parquet(f"{folder}/out").select("symbol", "date", "source", "close")
+    return read_bars(spark, f"{folder}/out").select("symbol", "date", "source", "close")
 
 
 # Published: each day's lowest value, a null one where it is a whole number of tens, before the middle of the month; the stream restates all days.

@@ -262,15 +262,17 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("snapshot_date", F.to_date(folder))
 
 
-def newest_snapshot(manifests: DataFrame) -> DataFrame:
-    """The newest committed manifest and whether it agrees with its folder."""
-    newest = manifests.agg(F.max("snapshot_date").alias("snapshot_date"))
-    chosen = manifests.join(F.broadcast(newest), "snapshot_date")  # a single row
+def pointed_snapshot(manifests: DataFrame, pointer: DataFrame) -> DataFrame:
+    """The manifest that the pointer (one row, ``date``) names, and whether pointer, folder and manifest agree; the folder is missing where it is null."""
+    named = pointer.select(F.col("date").alias("snapshot_date"))
+    chosen = named.join(manifests, "snapshot_date", "left")
     return chosen.withColumn("consistent", F.col("latest_completed_session").eqNullSafe(F.col("snapshot_date")))
 
 
 def active_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    return newest_snapshot(read_manifests(spark, root))
+    """The published snapshot: the one that the pointer names, though newer folders may be there whose publishing failed."""
+    pointer = spark.read.schema("date DATE").json(f"{root}/latest.json")
+    return pointed_snapshot(read_manifests(spark, root), pointer)
 
 
 def upto_cutoff(rows: DataFrame, snapshot: DataFrame, ts: str = "date") -> DataFrame:

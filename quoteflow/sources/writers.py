@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from quoteflow.operators.quality import _pick
 from quoteflow.session import checkpoint_root
+from quoteflow.sources import tables
 from quoteflow.sources.readers import manifest_json
 
 
@@ -21,21 +22,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def publish_snapshot(spark: SparkSession, frames: Mapping[str, DataFrame], root: str, day, manifest: Mapping) -> None:
-    """Write every frame below ``root/day``, then the manifest, then move the pointer.
+    """Write every frame below ``root/day``, then the manifest, then move the pointer that readers follow.
 
-    Every write refuses to overwrite; readers see only folders with a manifest, so a failed run leaves nothing visible.
+    Every write refuses to overwrite, and the pointer moves in one step, so a failed run leaves the snapshot before it in place.
     """
     folder = f"{root}/{day.isoformat()}"
     for name, frame in frames.items():
         frame.write.mode("errorifexists").option("header", True).csv(f"{folder}/{name}")
     record = {**manifest, "latest_completed_session": day}
-    _write_text(spark, manifest_json(record), f"{folder}/manifest", "errorifexists")
-    _write_text(spark, manifest_json({"date": day}), f"{root}/latest", "overwrite")
-
-
-def _write_text(spark: SparkSession, text: str, path: str, mode: str) -> None:
-    """One JSON document as a single file (a manifest is small by nature)."""
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(path)
+    if not tables.create_text(spark, f"{folder}/manifest.json", manifest_json(record)):
+        raise FileExistsError(f"{folder} is published already")
+    tables.replace_text(spark, f"{root}/latest.json", manifest_json({"date": day}))
 
 
 def last_write_wins(target: DataFrame, updates: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -46,21 +43,19 @@ def last_write_wins(target: DataFrame, updates: DataFrame, key: Sequence[str]) -
 BAR_KEY = ("symbol", "date", "source")
 
 
-def upsert_bars(spark: SparkSession, path: str, updates: DataFrame, key: Sequence[str] = BAR_KEY) -> None:
-    """Upsert into a Parquet table partitioned by ``month``: only months with updates are read and rewritten.
+def upsert_bars(spark: SparkSession, path: str, updates: DataFrame, key: Sequence[str] = BAR_KEY, writer: str | None = None, batch: int | None = None) -> None:
+    """Upsert into a committed table partitioned by ``month`` (:mod:`tables`): only months with updates are read and written anew.
 
-    The months of an update are few and go into the plan as literals, so that the other partitions are not even listed; a large month is written
-    by several tasks. Of several updates for a key the newest by ``fetched_at`` counts.
+    The old version stays whole until the new one is committed. Of several updates for a key the newest by ``fetched_at`` counts. ``batch``, a number that
+    grows by ``writer``, makes a repeated call harmless.
     """
     incoming = _pick(updates.withColumn("month", F.date_format("date", "yyyy-MM")), list(key), F.max_by, F.col("fetched_at"))
-    current = existing(spark, path)
-    if current is None:
-        incoming.hint("rebalance", "month").write.partitionBy("month").parquet(path)
-        return
-    months = [row[0] for row in updates.select(F.date_format("date", "yyyy-MM").alias("month")).distinct().collect()]
-    touched = current.where(F.col("month").cast("string").isin(months)).withColumn("month", F.col("month").cast("string"))
-    merged = last_write_wins(touched, incoming, key)
-    merged.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    tables.upsert(spark, path, incoming, key, "month", writer, batch)
+
+
+def read_bars(spark: SparkSession, path: str, at: int | None = None) -> DataFrame | None:
+    """The table of :func:`upsert_bars` at a version, by default the newest."""
+    return tables.read(spark, path, at)
 
 
 def existing(spark: SparkSession, path: str) -> DataFrame | None:

@@ -169,10 +169,11 @@ def deliver_once(alerts: DataFrame, path: str, checkpoint: str, ts: str = "ts",
 
 
 def stream_upsert(bars: DataFrame, path: str, checkpoint: str, key: Sequence[str] = ("symbol", "date", "source")) -> StreamingQuery:
-    """Upsert every micro-batch of a bar stream into the month-partitioned table; replaying a batch gives the same table."""
+    """Upsert every micro-batch of a bar stream into the committed table (:mod:`tables`), a version each; a batch that was committed before a failure
+    is known by its number and not written again."""
 
-    def write(batch: DataFrame, _id: int) -> None:
-        upsert_bars(batch.sparkSession, path, batch, key)
+    def write(batch: DataFrame, number: int) -> None:
+        upsert_bars(batch.sparkSession, path, batch, key, checkpoint, number)
 
     return bars.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,6 +1,6 @@
 """Hand tables: labels, verdicts, sources, imports, snapshots, ledgers and streams."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta, timezone
 from decimal import Decimal
 
 import pytest
@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quoteflow.functions import scalars as sc
 from quoteflow.operators import joins, metrics, quality, rules
-from quoteflow.sources import readers, writers
+from quoteflow.operators.signals import ladder_table
+from quoteflow.sources import readers, tables, writers
 from quoteflow.streaming import jobs
 
 
@@ -201,6 +202,64 @@ def stream_of(spark, folder, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+def event_rows(n=400, days=12):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(f"K{k % 3}", datetime(2024, 1, 1 + k * days // n, (k * 24 * days // n) % 24, k % 60), k, round(rnd.uniform(1, 200), 2)) for k in range(n)]
+    return rows + [(s, t, i + n, v / 2) for s, t, i, v in rows[::5]]  # ties of time
+
+
+@pytest.mark.parametrize("per_trigger", [1, 3, 1000])
+def test_event_time_ladder_whatever_the_order_and_the_batches(spark, tmp_path, per_trigger):
+    jobs.use_rocksdb(spark)
+    rows = event_rows()
+    schema = "symbol string, ts timestamp, event_id long, open double"
+    for part in range(8):  # a row comes up to two days before or after its turn
+        mine = [r for r in rows if min(7, max(0, (r[1].day - 1) // 2 + (r[2] * 7 % 3) - 1)) == part]
+        spark.createDataFrame(mine[::-1], schema).coalesce(2).write.parquet(str(tmp_path / "in" / str(part)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(str(tmp_path / "in" / "*")).withWatermark("ts", "6 days")
+    out = jobs.event_ladder(stream.withColumn("score", F.expr("open - 100")), [-40.0, -60.0, -80.0], [40.0, 60.0, 80.0], tie="event_id")
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.symbol, r.at, r.delta, r.steps, r.fill_delta) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    nexts, deltas = ladder_table()
+    latest = max(r[1] for r in rows)
+    end = (latest - timedelta(days=6)).replace(minute=0, second=0)
+    want = []
+    for symbol in ("K0", "K1", "K2"):
+        prev, state, pending = None, 0, 0
+        for _, ts, _, value in sorted((r for r in rows if r[0] == symbol), key=lambda r: (r[1], r[2])):
+            score = value - 100
+            before = score if prev is None else prev
+            down = sum(1 << i for i, level in enumerate((-40.0, -60.0, -80.0)) if before > level >= score)
+            up = sum(1 << i for i, level in enumerate((40.0, 60.0, 80.0)) if before < level <= score)
+            delta, filled = int(deltas[state, down, up]), pending
+            state, pending, prev = int(nexts[state, down, up]), delta, score
+            if (delta or filled) and ts < end:
+                want.append((symbol, int(ts.replace(tzinfo=timezone.utc).timestamp()) * 1_000_000, delta, state >> 6, filled))
+    assert got == sorted(want) and len(want) > 20
+
+
+def test_bars_to_decisions_restarts_from_its_checkpoint(spark, tmp_path):
+    """Two stateful operators in one query, stopped and started again with more files, decide as if they had run through."""
+    jobs.use_rocksdb(spark)
+    schema = "symbol string, ts timestamp, event_id long, value double"
+    rows = sorted(event_rows(), key=lambda r: r[1])
+
+    def run(name, parts):
+        for k, part in enumerate(parts):
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / name / "in" / str(k)))
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / name / "in" / "*"))
+            out = jobs.bar_decisions(stream, F.expr("close - 100"), [-40.0, -60.0, -80.0], [40.0, 60.0, 80.0])
+            out.writeStream.format("parquet").option("path", str(tmp_path / name / "out")).option("checkpointLocation", str(tmp_path / name / "cp")).trigger(
+                availableNow=True).start().awaitTermination()
+        return sorted((r.symbol, r.at, r.delta, r.steps, r.fill_delta) for r in spark.read.parquet(str(tmp_path / name / "out")).collect())
+
+    whole = run("whole", [rows])
+    assert run("cut", [rows[:200], rows[200:330], rows[330:]]) == whole and len(whole) > 5
+
+
 def test_stream_ladder_over_many_batches_equals_the_batch_ladder(spark, tmp_path):
     import numpy as np
 
