@@ -90,37 +90,65 @@ def ladder_table() -> tuple[np.ndarray, np.ndarray]:
     return nexts, deltas
 
 
+@lru_cache(maxsize=1)
+def ladder_states() -> np.ndarray:
+    """The states that a ladder can reach from none."""
+    nexts, known = ladder_table()[0], np.zeros(1, dtype=np.int64)
+    while True:
+        more = np.unique(np.concatenate([known, nexts[known].ravel()]))
+        if len(more) == len(known):
+            return known
+        known = more
+
+
+def ladder_paths(down: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """State after each event (rows) for each state to begin with (columns), both as places in :func:`ladder_states`.
+
+    An event is a map of states to states, and the maps of all events up to each one are composed in doubling steps."""
+    states = ladder_states()
+    place = np.zeros(256, dtype=np.intp)
+    place[states] = np.arange(len(states))
+    paths = place[ladder_table()[0][states[None, :], down[:, None], up[:, None]]]
+    reach = 1
+    while reach < len(paths):
+        paths[reach:] = np.take_along_axis(paths[reach:], paths[:-reach], axis=1)
+        reach *= 2
+    return paths
+
+
 def ladder_on(events: DataFrame, key="symbol", ts: str = "date", size: int = CHUNK_ROWS) -> DataFrame:
     """Walk the ladder over rows with ``down``/``up`` bits; adds delta, steps, both masks and the cycle number.
 
-    The state is one of 256 values, so a chunk is summarised exactly by where it leads from each of them.
+    The state is one of a few values, so a chunk is summarised exactly by where it leads from each of them.
     """
 
     def bits(pdf):
         return pdf["down"].to_numpy(dtype=np.int64), pdf["up"].to_numpy(dtype=np.int64)
 
+    def begun(before: np.ndarray, delta: np.ndarray) -> np.ndarray:
+        """Whether a cycle begins: a buy out of no steps."""
+        return (before < 64) & (delta > 0)
+
     def step(pdf):
-        nexts, deltas = ladder_table()
-        state, entries = np.arange(256), np.zeros(256, dtype=np.int64)
-        for down, up in zip(*bits(pdf), strict=True):
-            entries += (state < 64) & (deltas[state, down, up] > 0)
-            state = nexts[state, down, up]
-        return np.concatenate([state, entries])
+        down, up = bits(pdf)
+        paths, states = ladder_paths(down, up), ladder_states()
+        before = states[np.concatenate([[np.arange(len(states))], paths[:-1]])]
+        entries = begun(before, ladder_table()[1][before, down[:, None], up[:, None]]).sum(axis=0)
+        return np.concatenate([paths[-1], entries])
 
     def combine(seed, vector):
         state, cycle = (0, 0) if seed is None else (int(seed[0]), int(seed[1]))
-        return np.array([vector[state], cycle + vector[256 + state]])
+        return np.array([vector[state], cycle + vector[len(vector) // 2 + state]])
 
     def replay(pdf, seed):
-        nexts, deltas = ladder_table()
-        state, cycle = (0, 0) if seed is None else (int(seed[0]), int(seed[1]))
-        rows = np.empty((len(pdf), 5), dtype=np.int64)
-        for i, (down, up) in enumerate(zip(*bits(pdf), strict=True)):
-            delta = deltas[state, down, up]
-            cycle += int(state < 64 and delta > 0)
-            state = int(nexts[state, down, up])
-            rows[i] = (delta, state >> 6, (state >> 3) & 7, state & 7, cycle)
-        return dict(zip(("delta", "steps", "buy_mask", "sell_mask", "cycle"), rows.T, strict=True))
+        down, up = bits(pdf)
+        start, cycle = (0, 0) if seed is None else (int(seed[0]), int(seed[1]))
+        after = ladder_states()[ladder_paths(down, up)[:, start]]
+        before = np.concatenate([[ladder_states()[start]], after[:-1]])
+        delta = ladder_table()[1][before, down, up]
+        return {
+            "delta": delta, "steps": after >> 6, "buy_mask": after >> 3 & 7, "sell_mask": after & 7, "cycle": cycle + np.cumsum(begun(before, delta)),
+        }
 
     outputs = [T.StructField(n, T.IntegerType()) for n in ("delta", "steps", "buy_mask", "sell_mask")]
     outputs.append(T.StructField("cycle", T.LongType()))
