@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quoteflow.session import checkpoint_root, settle
 
-__all__ = ["Forest", "packed", "settle", "shared_path", "small_batches", "table", "texts_of", "unpacked", "vocabulary"]
+__all__ = ["Forest", "packed", "release", "settle", "shared_path", "shared_paths", "small_batches", "table", "texts_of", "unpacked", "vocabulary"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,14 +32,25 @@ def vocabulary(name: str, path: str | None = None) -> bytes:
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    return f"{checkpoint_root(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A new path in the folder that the driver and all executors share; `release` deletes what is there."""
+    _MADE.append(f"{checkpoint_root(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """The same frame, its session set to hand Python batches of at most 4 MB (and one row), so that long texts do not fill a worker's memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
-    return df
+_MADE: list[str] = []
+
+
+def shared_paths() -> tuple[str, ...]:
+    """The shared paths made so far and not released."""
+    return tuple(_MADE)
+
+
+def release(spark: SparkSession, keep: tuple[str, ...]) -> None:
+    """Delete all shared paths but those to keep: for a caller whose results no longer need what was made on their way."""
+    for path in set(_MADE) - set(keep):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        _MADE.remove(path)
 
 
 def packed(docs: DataFrame, **own: Column) -> DataFrame:
