@@ -3,19 +3,24 @@
 A fingerprint has 64 bits over hashed word shingles. Bit position i carries a vector phi(i) of r + 1 bits, and every non-zero
 vector v of r + 1 bits makes one table whose mask holds the positions with odd <v, phi(i)>. Two fingerprints that differ in at
 most r positions span at most r dimensions, so some v is orthogonal to all of them: that table's masked values are equal. With
-r = 3 these 15 tables find every pair, whatever the data; nothing is capped."""
+r = 3 these 15 tables find every pair, whatever the data; nothing is capped.
+
+Three of 64 bits are less than what most near copies differ in, and tables for more would hold few bits each. So removal (`one_of_each`) links texts of a
+likeness of 0.8 or more by five-word shingles besides: rows of permuted minima name candidates, each is compared with one text of its bucket, and only
+pairs whose exact likeness suffices are links."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import Forest, packed, settle, small_batches, unpacked
+from quoteflow.llm.common import Forest, packed, settle, shared_path, small_batches, unpacked
 from quoteflow.llm.graph import components
 
 BITS, SEED, SHINGLE = 64, 42, 3
@@ -23,6 +28,11 @@ BITS, SEED, SHINGLE = 64, 42, 3
 _ROWS = 1 << 16
 #: members of a cell; larger buckets are dealt out as pairs of chunks of this size
 CELL = 2048
+#: words of a shingle and least likeness by which removal links texts; minima that make a bucket, and buckets of a text
+WORDS, LIKENESS = 5, 0.8
+PER_BUCKET, BUCKETS = 5, 14
+#: odd factors and summands of the permutations
+_MIX = np.random.default_rng(SEED).integers(1, 1 << 63, size=(2, PER_BUCKET * BUCKETS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes, words: int = SHINGLE) -> int:
@@ -144,11 +154,82 @@ def near_links(fingerprints: DataFrame, radius: int = 3, cell: int = CELL) -> Da
     return together.mapInArrow(_cell_links(radius), "src long, dst long")
 
 
-def groups(fingerprints: DataFrame, radius: int = 3, cell: int = CELL) -> DataFrame:
+def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
+    """Distinct 64-bit hashes of the text's word shingles, ascending; of fewer words, one of the whole sequence; none without words."""
+    found = text.lower().split()
+    if not found:
+        return np.empty(0, dtype=np.uint64)
+    known: dict[bytes, int] = {}
+    place = np.fromiter((known.setdefault(w, len(known)) for w in found), np.int64, len(found))
+    codes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in known), np.uint64, len(known))[place]
+    width = min(words, len(found))
+    mixed = np.zeros(len(found) - width + 1, dtype=np.uint64)
+    for k in range(width):
+        mixed = (mixed ^ codes[k : k + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def bucket_keys(hashes: np.ndarray) -> list[int]:
+    """A key for every bucket: a hash of PER_BUCKET permuted minima. Two texts share a key with the chance likeness ^ PER_BUCKET."""
+    if not len(hashes):
+        return []
+    least = np.full(PER_BUCKET * BUCKETS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        turned = hashes[at : at + 4096, None] * _MIX[0] + _MIX[1]
+        turned ^= turned >> np.uint64(32)
+        least = np.minimum(least, (turned * np.uint64(0xD6E8FEB86659FD93)).min(axis=0))
+    return [xxhash.xxh64_intdigest(row.tobytes(), SEED) - (1 << 63) for row in least.reshape(BUCKETS, PER_BUCKET)]
+
+
+def with_sketch(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Adds fp, keys (of the buckets), n_shingles and shingles (their hashes as bytes)."""
+
+    @F.pandas_udf("fp long, keys array<long>, n_shingles int, shingles binary")
+    def of(values: pd.Series) -> pd.DataFrame:
+        made = []
+        for value in values:
+            raw = value.encode() if isinstance(value, str) else b""
+            hashes = shingle_hashes(raw)
+            made.append((int(np.uint64(fingerprint(raw)).astype(np.int64)), bucket_keys(hashes), len(hashes), hashes.astype("<u8").tobytes()))
+        return pd.DataFrame(made, columns=["fp", "keys", "n_shingles", "shingles"])
+
+    return small_batches(rows).withColumn("_sketch", of(F.col(text))).select(*[c for c in rows.columns if c != text], "_sketch.*")
+
+
+def likeness_links(sketches: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """(fp, body, keys, n_shingles, shingles) -> (src, dst) links between fingerprints of texts that are alike.
+
+    Of the texts of a fingerprint that of the smallest hash counts. In each bucket all meet one of its texts, another one in every bucket, so that a bucket
+    costs as many comparisons as it has texts."""
+    nodes = settle(sketches.groupBy("fp").agg(F.min_by(F.struct("keys", "n_shingles"), "body").alias("s")).select("fp", "s.*"))
+    keyed = nodes.select("fp", "n_shingles", F.posexplode("keys").alias("bucket", "key"))
+    heads = keyed.groupBy("bucket", "key").agg(F.min(F.struct(F.xxhash64("bucket", "fp").alias("h"), "fp", "n_shingles")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    met = keyed.join(heads, ["bucket", "key"]).select("fp", "n_shingles", F.col("head.fp").alias("head"), F.col("head.n_shingles").alias("head_n"))
+    sizes = F.least("n_shingles", "head_n") >= F.lit(least) * F.greatest("n_shingles", "head_n")
+    pairs = settle(met.where((F.col("fp") != F.col("head")) & sizes).select("fp", "head").distinct())
+    asked = pairs.select("fp").unionByName(pairs.select(F.col("head").alias("fp"))).distinct()
+    sets = settle(sketches.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min_by("shingles", "body").alias("shingles")))
+    both = pairs.join(sets.withColumnRenamed("shingles", "a"), "fp").join(sets.select(F.col("fp").alias("head"), F.col("shingles").alias("b")), "head")
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: bytes, y: bytes) -> bool:
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            return shared >= least * (len(x) + len(y) - shared)
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    return both.where(alike("a", "b")).select(F.col("fp").alias("src"), F.col("head").alias("dst"))
+
+
+def groups(fingerprints: DataFrame, radius: int = 3, cell: int = CELL, more: DataFrame | None = None) -> DataFrame:
     """(fp, id) rows -> one row per distinct fp: fp, root (a fingerprint that names the linked group), component (smallest id that links
-    reach; null ids count only if there is no other)."""
+    reach; null ids count only if there is no other). more: (src, dst) links beside those within the radius."""
     nodes = settle(fingerprints.groupBy("fp").agg(F.min("id").alias("low")))
-    found = components(near_links(nodes.select("fp"), radius, cell)).withColumnRenamed("node", "fp")
+    links = near_links(nodes.select("fp"), radius, cell)
+    found = components(links if more is None else links.unionByName(more)).withColumnRenamed("node", "fp")
     placed = settle(nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     smallest = placed.groupBy("root").agg(F.min("low").alias("component"))
     return placed.join(smallest, "root").select("fp", "root", "component")
@@ -167,10 +248,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
     """The rows of docs, one of each linked group of near-duplicates: the one with the smallest id (a null one only if there is no other),
-    then the smallest text hash, and one of its rows if they repeat. Unlinked texts stay apart under one id and without ids."""
-    marked = with_fingerprint(docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")), "text", "fp")
-    slim = settle(marked.select("fp", "id", F.xxhash64("text").alias("body")))
-    found = groups(slim.select("fp", "id"), radius).select("fp", "root")
+    then the smallest text hash, and one of its rows if they repeat. Texts are linked by fingerprints within the radius and by likeness (see
+    `likeness_links`). Unlinked texts stay apart under one id and without ids."""
+    path = shared_path(docs.sparkSession, "sketches")
+    marked = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
+    with_sketch(marked).write.parquet(path)
+    sketches = docs.sparkSession.read.parquet(path)
+    slim = sketches.select("fp", "id", "body")
+    found = groups(slim.select("fp", "id"), radius, more=likeness_links(sketches)).select("fp", "root")
     best = slim.join(found, "fp").groupBy("root", "id", "body").agg(F.count("*").alias("n"))
     best = best.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "body", "n")).alias("best"))
     keep = settle(best.select(F.col("best.id").alias("_id"), F.col("best.body").alias("_body"), F.col("best.n").alias("_n")))

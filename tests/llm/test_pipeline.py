@@ -2,9 +2,9 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from quoteflow.llm import quality, simhash, toxicity
-from quoteflow.llm.common import shared_path
+from quoteflow.llm.common import shared_path, shared_paths
 from tests.llm.test_mixing import plain_targets
-from tests.llm.test_simhash import close, plain_components, plain_fingerprint
+from tests.llm.test_simhash import alike, close, plain_components, plain_fingerprint, plain_shingles
 
 BASE = "/root/testdata/sf0.001"
 
@@ -28,7 +28,8 @@ def test_each_stage_against_its_own_input(spark):
     labels = spark.read.parquet(f"{BASE}/labels.parquet")
     toxic = {r.doc_id for r in toxicity.judge(inputs[1], labels).where("predicted = 1").collect()}
     assert rows(outputs[1]) == Counter(tuple(r) for r in inputs[1].collect() if r.doc_id not in toxic)
-    component = plain_components({r.doc_id: plain_fingerprint(r.text) for r in inputs[2].collect()}, close)
+    marks = {r.doc_id: (plain_fingerprint(r.text), plain_shingles(r.text)) for r in inputs[2].collect()}
+    component = plain_components(marks, lambda a, b: close(a[0], b[0]) or alike(a[1], b[1]))
     assert rows(outputs[2]) == Counter(tuple(r) for r in inputs[2].collect() if component[r.doc_id] == r.doc_id)
     before, sizes, taken = {r.doc_id: r for r in inputs[3].collect()}, Counter(), Counter()
     texts = defaultdict(list)
@@ -49,6 +50,10 @@ def test_each_stage_against_its_own_input(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, BASE)
     assert out.count() > 50 and "ids_sha256" in out.columns
+    # its last stage is all that it leaves, and another run leaves that alone
+    made = [p for p in shared_paths() if "pipeline-" in p and "pipeline-test" not in p]
+    assert len(made) == 1 and "sentencepiece" in made[0]
+    assert corpus_pipeline.run(spark, BASE).count() == out.count()
 
 
 def test_repeated_rows_leave_one(spark):

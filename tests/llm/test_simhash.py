@@ -44,6 +44,53 @@ def close(a, b):
     return (a ^ b).bit_count() <= 3
 
 
+def plain_shingles(text):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    width = min(5, len(words))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b) if a and b else False
+
+
+def test_likeness_links_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sketches = simhash.with_sketch(docs.selectExpr("doc_id AS id", "xxhash64(text) AS body", "text"))
+    rows = {r.body: r.fp for r in sketches.select("body", "fp").collect()}
+    texts = {}
+    for r in docs.selectExpr("text", "xxhash64(text) AS body").collect():
+        fp = rows[r.body]
+        texts[fp] = min(texts.get(fp, (r.body, r.text)), (r.body, r.text))
+    shingles = {fp: plain_shingles(t) for fp, (_, t) in texts.items()}
+    order = sorted(shingles, key=lambda f: len(shingles[f]))
+    pairs = {(a, b) for i, a in enumerate(order) for b in order[i + 1 :] if len(shingles[a]) >= 0.8 * len(shingles[b]) and alike(shingles[a], shingles[b])}
+    links = simhash.likeness_links(sketches).collect()
+    assert all(alike(shingles[r.src], shingles[r.dst]) for r in links)
+    assert len(pairs) > 3
+    root = {f: f for f in shingles}
+
+    def top(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for r in links:
+        root[top(r.src)] = top(r.dst)
+    assert sum(top(a) == top(b) for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_one_of_each_links_near_copies_beyond_three_bits(spark):
+    words = [f"word{k * k % 1009}" for k in range(400)]
+    near = [f"changed{k}" if k % 57 == 50 else w for k, w in enumerate(words)]
+    far = [*words[:150], *[f"other{k}" for k in range(250)]]
+    assert not close(plain_fingerprint(" ".join(words)), plain_fingerprint(" ".join(near)))
+    many = [(10 + k, " ".join([*words[: 7 * k], f"x{k}", *words[7 * k + 1 :]])) for k in range(50)]
+    docs = spark.createDataFrame([(5, " ".join(words)), (3, " ".join(near)), (4, " ".join(far)), *many, (None, None), (7, "")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [3, 4, 7]
+
+
 def test_documents_match_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     prints = {r.doc_id: plain_fingerprint(r.text) for r in docs.collect()}
