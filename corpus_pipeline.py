@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quoteflow.llm import mixing, pieces, quality, simhash, toxicity
-from quoteflow.llm.common import shared_path, table, vocabulary
+from quoteflow.llm.common import release, shared_path, shared_paths, table, vocabulary
 
 #: SQL cannot fit the estimates and the network of the first two stages; tests compare the stages with brute force instead
 ORACLE_SQL = None
@@ -49,10 +49,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again, the last one's too."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result is written and read again, the last one's too. What a stage was made from is deleted when it is written, so
+    the shared folder holds one stage and what the next one makes on its way."""
+    docs, others = table(spark, sf_dir, "documents"), shared_paths()
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, (*others, path))
         docs = spark.read.parquet(path)
     return docs
