@@ -84,20 +84,24 @@ def decisions(rows: DataFrame, pairs, key="symbol", ts: str = "date", size: int
 
 
 def _fill_step(friction: Column):
-    """Fold of one cycle: state and the list of its fills, from one unit of cash."""
+    """Fold of one cycle: state and the list of its fills, from one unit of cash.
+
+    A fill moves the account to a share of its worth, so cash and units after it follow from the worth and the fee. The cost basis goes through an affine
+    map a fill: a buy adds what it paid, a sell leaves the part that it does not sell and gains its proceeds less the rest.
+    """
 
     def step(acc, fill):
-        price, target = fill["price"], fill["steps"] / STEPS
-        worth = acc["cash"] + acc["units"] * price
-        trade = worth * target - acc["units"] * price
-        cost = F.abs(trade) * friction
-        sold = F.least(F.lit(1.0), F.abs(trade / price) / F.nullif(acc["units"], F.lit(0.0)))
-        selling = (trade <= 0) & (acc["units"] > 0)
-        allocated = F.when(selling, acc["basis"] * sold).otherwise(0.0)
-        basis = F.when(trade > 0, acc["basis"] + trade + cost).otherwise(acc["basis"] - allocated)
-        pnl = F.when(selling, F.abs(trade) - cost - allocated).otherwise(0.0)
-        cash = acc["cash"] - trade - cost
-        units = F.when(fill["steps"] == 0, 0.0).otherwise(acc["units"] + trade / price)
+        price, share = fill["price"], fill["steps"] / STEPS
+        holding = acc["units"] * price
+        worth = acc["cash"] + holding
+        trade = worth * share - holding
+        cost = friction * F.abs(trade)
+        out = (trade <= 0) & (holding > 0)
+        left = F.when(out, F.greatest(F.lit(0.0), 1 + trade / holding)).otherwise(1.0)
+        paid = F.when(trade > 0, trade + cost).otherwise(0.0)
+        basis = left * acc["basis"] + paid
+        pnl = F.when(out, -trade - cost - (1 - left) * acc["basis"]).otherwise(0.0)
+        cash, units = worth * (1 - share) - cost, F.when(fill["steps"] == 0, 0.0).otherwise(worth * share / price)
         record = F.struct(
             fill["date"].alias("date"), price.alias("price"), fill["steps"].alias("steps"), cash.alias("cash"), units.alias("units"),
             trade.alias("trade"), cost.alias("cost"), pnl.alias("realized_pnl"),

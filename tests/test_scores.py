@@ -25,15 +25,31 @@ def rank(x, k, minimum, scale):
 
 
 def rsi(close, n):
-    d = close.diff()
-    up, down = d.clip(lower=0).ewm(alpha=1 / n, adjust=False, min_periods=n).mean(), (-d).clip(lower=0).ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
-    return (2 * (100 - 100 / (1 + up / down.where(down != 0))) - 100).clip(-100, 100)
+    """From the definition: the means of rises and falls start at the first change, and each later change enters with weight 1/n."""
+    prices, out = close.to_numpy(), []
+    rise = fall = None
+    for i, price in enumerate(prices):
+        if i == 0 or np.isnan(price) or np.isnan(prices[i - 1]):
+            out.append(np.nan)
+            continue
+        change = price - prices[i - 1]
+        rise = max(change, 0.0) if rise is None else rise + (max(change, 0.0) - rise) / n
+        fall = max(-change, 0.0) if fall is None else fall + (max(-change, 0.0) - fall) / n
+        # 100 - 100 / (1 + rise / fall) is the rises' percentage of both; from there to -100..100
+        out.append(np.nan if i < n or fall == 0 else 200 * rise / (rise + fall) - 100)
+    return pd.Series(out, close.index)
 
 
 def stoch(g, k):
-    f = g.adjusted_close / g.close
-    top, low = (g.high * f).rolling(k).max(), (g.low * f).rolling(k).min()
-    return ((g.adjusted_close - low) / (top - low).where(top != low) * 200 - 100).clip(-100, 100)
+    """From the definition: where the close stands between the lowest low and the highest high of the last k rows, all adjusted alike."""
+    bars, out = g[["high", "low", "close", "adjusted_close"]].to_numpy(), []
+    for i in range(len(bars)):
+        frame_ = bars[max(0, i - k + 1): i + 1]
+        scale = frame_[:, 3] / frame_[:, 2]
+        top, bottom = (frame_[:, 0] * scale).max(), (frame_[:, 1] * scale).min()
+        whole = i >= k - 1 and top > bottom
+        out.append(min(100.0, max(-100.0, 200 * (bars[i, 3] - bottom) / (top - bottom) - 100)) if whole else np.nan)
+    return pd.Series(out, g.index)
 
 
 def two_input(g, p):
