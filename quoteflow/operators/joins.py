@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quoteflow.operators.timeline import CHUNK_ROWS, Series, as_list
+from quoteflow.operators.timeline import CHUNK_ROWS, Series, as_list, running
 
 # Default ladder thresholds used while a key has no profile.
 DEFAULT_BUYS = (-60.0, -75.0, -90.0)
@@ -184,6 +187,36 @@ def restrict(bars: DataFrame, symbols: DataFrame | None = None, dates: DataFrame
     return bars
 
 
-def calendar_next(calendar: DataFrame, session: str = "session") -> DataFrame:
-    """Sessions with the following one; a calendar is bounded by its days."""
-    return calendar.withColumn("next_session", F.lead(session).over(Window.orderBy(session)))
+def as_of(left: DataFrame, right: DataFrame, columns: Sequence[str], key="symbol", ts: str = "ts", strict: bool = False, tolerance: float | None = None,
+          order: Sequence[str] = (), out: str = "matched", size: int = CHUNK_ROWS, width: int | None = None) -> DataFrame:
+    """Add ``out``, a struct of ``ts`` and ``columns`` of the last right row of the key at or before (``strict``: before) each left row; null if there is none.
+
+    ``ts`` may be dates, instants or numbers, alike on both sides; ``tolerance`` is the largest distance in days, seconds or units. Of right rows with
+    one ``ts`` the last by ``order`` counts. Both sides become one series cut into chunks, and the last right row is carried from chunk to chunk, so a key
+    that holds most rows is many tasks. Left rows without key or ``ts`` match nothing.
+    """
+    keys = as_list(key)
+    found = F.struct(F.col(ts), *[F.col(c) for c in columns])
+    kind = F.lit(0 if strict else 1)  # at one instant, right rows come after or before left ones
+    ties = [f"_o{i}" for i in range(len(order))]
+    known = left.where(F.col(ts).isNotNull() & reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    rest = left.where(F.col(ts).isNull() | reduce(or_, [F.col(k).isNull() for k in keys]))
+    mine = known.select(*keys, ts, kind.alias("_side"), *[F.lit(None).cast(right.schema[c].dataType).alias(t) for c, t in zip(order, ties)], F.lit(None).cast(
+        right.select(found.alias("f")).schema["f"].dataType).alias("_found"), F.struct(*left.columns).alias("_left"))
+    theirs = right.where(F.col(ts).isNotNull()).select(*keys, ts, (1 - kind).alias("_side"), *[F.col(c).alias(t) for c, t in zip(order, ties)], found.alias("_found"), F.lit(None).cast(
+        left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType).alias("_left"))
+    both = running(mine.unionByName(theirs), keys, ts, size, width, ["_side", *ties], _last=("last", F.col("_found")))
+    rows = both.where(F.col("_left").isNotNull()).select("_left.*", F.col("_last").alias(out))
+    if tolerance is not None:
+        rows = rows.withColumn(out, F.when(_distance(left, ts, F.col(ts), F.col(out)[ts]) <= tolerance, F.col(out)))
+    return rows.unionByName(rest.withColumn(out, F.lit(None).cast(rows.schema[out].dataType)))
+
+
+def _distance(df: DataFrame, ts: str, later: Column, earlier: Column) -> Column:
+    """Days, seconds or units between two values of the kind of ``ts``."""
+    kind = df.schema[ts].dataType
+    if isinstance(kind, T.DateType):
+        return F.datediff(later, earlier)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 1_000_000
+    return later - earlier

@@ -179,6 +179,18 @@ def _(spark, sf):
     return joins.last_session(moments, sessions, "moment").drop("moment")
 
 
+# Every other event and the one of another kind before it, by user; one user holds a third of all events.
+@query("jn_as_of_instants", """WITH e AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END AS who, ts, value FROM events),
+r AS (SELECT who, ts, max(event_id) AS other, arg_max(value, event_id) AS other_value FROM e WHERE event_id % 2 = 1 GROUP BY ALL)
+SELECT l.event_id, CASE WHEN l.ts - r.ts <= INTERVAL 6 HOUR THEN other END AS other, CASE WHEN l.ts - r.ts <= INTERVAL 6 HOUR THEN other_value END AS other_value
+FROM (SELECT * FROM e WHERE event_id % 2 = 0) l ASOF LEFT JOIN r ON r.who = l.who AND r.ts < l.ts""")
+def _(spark, sf):
+    rows = fx.table(spark, sf, "events").select("event_id", F.when(F.col("user_id") % 3 == 0, -1).otherwise(F.col("user_id")).alias("who"), "ts", "value")
+    other = rows.where("event_id % 2 = 1").withColumnRenamed("event_id", "other")
+    met = joins.as_of(rows.where("event_id % 2 = 0"), other, ["other", "value"], "who", "ts", strict=True, tolerance=6 * 3600, order=["other"], size=400)
+    return met.select("event_id", F.col("matched.other").alias("other"), F.col("matched.value").alias("other_value"))
+
+
 @query("jn10_unmatched_fills", f"""WITH {fx.BARS}, {fx.CALENDAR}, n AS (SELECT session, lead(session) OVER (ORDER BY session) AS nxt FROM calendar),
 i AS (SELECT n.nxt AS date, symbol, CASE WHEN close < open THEN 'buy' ELSE 'sell' END AS side FROM bars b JOIN n ON n.session = b.date WHERE nxt IS NOT NULL)
 SELECT f.symbol, f.date, f.side FROM (SELECT symbol, date, CASE WHEN volume % 2 = 0 THEN 'buy' ELSE 'sell' END AS side FROM bars) f

@@ -200,16 +200,17 @@ def _(spark, sf):
     return audit.recompute_diff(payload(fx.daily_bars(spark, sf)), payload(fx.alternate_bars(spark, sf))).select("ledger", "date")
 
 
-# An account record per symbol and day, with one unbalanced day and one wrong fee total among the first twenty of some symbols.
+# An account record per symbol and day, with unbalanced days and wrong fee totals among the first twenty of some symbols.
 LEDGER = f"""{fx.BARS}, num AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn, volume::BIGINT AS v FROM bars),
-lg AS (SELECT symbol AS ledger, rn, v, close, v % 4 = 0 AS off, (v % 3)::DOUBLE AS fee, v % 2 = 0 AS filled, lag(v % 3 = 0) OVER (PARTITION BY symbol ORDER BY date) AS allowed FROM num)"""
+lg AS (SELECT symbol AS ledger, rn, v, close, v % 4 = 0 AS off, (v % 3)::DOUBLE AS fee, v % 2 = 0 AS filled, lag(v % 3 = 0) OVER (PARTITION BY symbol ORDER BY date) AS allowed,
+  (v % 11 = 0) <> coalesce(lag(v % 11 = 0) OVER (PARTITION BY symbol ORDER BY date), false) AS fee_off FROM num)"""
 
 
 @query("agg14_audit_ledger", f"""WITH {LEDGER}, w AS (SELECT *, last_value(close) OVER (PARTITION BY ledger ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM lg WHERE rn <= 20)
-SELECT ledger, count(*) AS observed_sessions, count_if(off)::BIGINT AS balance_issues, 0::BIGINT AS fee_issues, sum(CASE WHEN filled AND NOT coalesce(allowed, true) THEN 1 ELSE 0 END)::BIGINT AS unmatched_fills,
+SELECT ledger, count(*) AS observed_sessions, count_if(off)::BIGINT AS balance_issues, count_if(fee_off)::BIGINT AS fee_issues, sum(CASE WHEN filled AND NOT coalesce(allowed, true) THEN 1 ELSE 0 END)::BIGINT AS unmatched_fills,
   count_if(v % 6 = 0) AS delayed_recordings, count_if(v % 7 = 0) AS late_signals, any_value(last) AS pool_return_pct, min(close) AS pool_max_drawdown_pct, any_value(last) AS benchmark_return_pct,
-  min(close) AS benchmark_max_drawdown_pct, count(*) = 20 AND count_if(off) = 0 AND sum(CASE WHEN filled AND NOT coalesce(allowed, true) THEN 1 ELSE 0 END) = 0 AS ready_for_review,
-  count(*) = 20 AND count_if(off) = 0 AND sum(CASE WHEN filled AND NOT coalesce(allowed, true) THEN 1 ELSE 0 END) = 0 AND count_if(v % 7 = 0) = 0 AS clean_forward_sample FROM w GROUP BY 1""")
+  min(close) AS benchmark_max_drawdown_pct, count(*) = 20 AND count_if(off) = 0 AND count_if(fee_off) = 0 AND sum(CASE WHEN filled AND NOT coalesce(allowed, true) THEN 1 ELSE 0 END) = 0 AS ready_for_review,
+  count(*) = 20 AND count_if(off) = 0 AND count_if(fee_off) = 0 AND sum(CASE WHEN filled AND NOT coalesce(allowed, true) THEN 1 ELSE 0 END) = 0 AND count_if(v % 7 = 0) = 0 AS clean_forward_sample FROM w GROUP BY 1""")
 def _(spark, sf):
     v = F.col("volume").cast("bigint")
     fee = F.when(v % 2 == 0, (v % 3).cast("double")).otherwise(0.0)
@@ -225,7 +226,8 @@ def _(spark, sf):
 
     records = rows.select(
         F.col("symbol").alias("ledger"), "date",
-        account(100 + value + F.when(v % 4 == 0, 1.0).otherwise(0.0), F.when(v % 2 == 0, F.array(fill)).otherwise(empty), F.col("fees_cumulative")).alias("pool"),
+        account(100 + value + F.when(v % 4 == 0, 1.0).otherwise(0.0), F.when(v % 2 == 0, F.array(fill)).otherwise(empty),
+                F.col("fees_cumulative") + F.when(v % 11 == 0, 0.5).otherwise(0.0)).alias("pool"),
         account(100 + value, empty, F.lit(0.0)).alias("benchmark"),
         F.when(v % 3 == 0, F.array(F.struct(F.lit("X").alias("symbol"), F.lit("buy_candidate").alias("side")))).otherwise(
             F.array().cast("array<struct<symbol:string,side:string>>")).alias("intents"),

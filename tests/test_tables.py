@@ -96,6 +96,28 @@ def test_latest_fx_rules(spark):
     assert got == {"USD": 8.0, "HKD": 0.5, "CNY": 1.0, "BAD": None, "XXX": None}
 
 
+@pytest.mark.parametrize("size", [7, 100_000])
+@pytest.mark.parametrize("strict,tolerance", [(False, None), (True, None), (False, 100.0), (True, 3.0)])
+def test_as_of_join(spark, size, strict, tolerance):
+    import random
+
+    rnd = random.Random(5)
+    start = datetime(2024, 1, 1)
+    def row(k):
+        return ("HOT" if k % 4 else f"k{k % 3}", start + timedelta(seconds=rnd.randrange(4000) * 5), k)
+    left, right = [row(k) for k in range(300)], [row(k) for k in range(200)]
+    left += [(None, start, 900), ("HOT", None, 901), ("none", start, 902)]
+    schema = "who string, ts timestamp, id long"
+    got = joins.as_of(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema).withColumnRenamed("id", "other"), ["other"], "who", "ts", strict, tolerance, ["other"], size=size, width=600)
+    found = {r.id: (r.matched.other if r.matched else None) for r in got.collect()}
+    assert len(found) == len(left)
+    for who, ts, i in left:
+        near = [(t, o) for w, t, o in right if who is not None and ts is not None and w == who and (t < ts or t == ts and not strict)]
+        best = max(near, default=None)
+        inside = best and (tolerance is None or (ts - best[0]).total_seconds() <= tolerance)
+        assert found[i] == (best[1] if inside else None), (who, ts, i)
+
+
 def test_short_curve_has_zero_metrics(spark):
     row = metrics.performance(spark.createDataFrame([("A", date(2020, 1, 1), 1.0)], "symbol string, date date, equity double")).first()
     assert row.sharpe == 0 and row.cagr == 0 and row.trades == 0
