@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from quoteflow.operators import quality as qc
+from quoteflow.plans import daily
 from quoteflow.plans import fixtures as fx
 from quoteflow.plans.registry import query, r, rounded
+from quoteflow.plans.series_queries import FROZEN_PARAMETERS
+from quoteflow.session import settle
+from quoteflow.sources.readers import active_snapshot
+from quoteflow.sources.writers import scratch_path
 
 KEY = ["symbol", "date"]
 
@@ -294,3 +301,31 @@ FROM (SELECT DISTINCT symbol FROM second) s LEFT JOIN (SELECT symbol, date FROM
 def _(spark, sf):
     days = fx.calendar(spark, sf).where(F.col("session").between("1998-01-01", "1998-03-31")).withColumnRenamed("session", "date")
     return qc.panel_price_check(fx.second_bars(spark, sf), days)
+
+
+# --- daily chain ---------------------------------------------------------------------------------------------
+
+# Gentle prices on the second series' days, over the days that all its symbols have. Two days are published, each from a source with another adjustment; the
+# third source is a percent off for one symbol in the overlap, so its day fails and the second one stays.
+@query("e2_daily_chain", f"""WITH {fx.SECOND}, p AS (SELECT symbol, date, 100 + (date_diff('day', DATE '1970-01-01', date) % 17) / 100::DOUBLE AS close FROM second WHERE date <= DATE '1997-06-30')
+SELECT symbol, count(*) AS bars, max(date) AS last_date, {r('sum(close)', 'close_sum', 3)}, DATE '1997-06-30' AS snapshot_date, 'failed' AS status, 'appended bars: 1-URGENT' AS reason FROM p GROUP BY 1""")
+def _(spark, sf):
+    days = fx.second_bars(spark, sf).select(*KEY)
+    price = 100 + (F.unix_date("date") % 17) / 100
+    bars = settle(days.select(*KEY, *[price.alias(c) for c in ("open", "high", "low", "close", "adjusted_close")], F.lit(10.0).alias("volume"), F.lit(1.0).alias("split_factor")))
+    calendar = bars.groupBy(F.col("date").alias("session")).agg(F.count(F.lit(1)).alias("n")).where("n = 5").select("session")
+    base = bars.where("date <= DATE'1996-12-31'")
+    root = scratch_path(spark, "daily")
+    overlap = ("1996-10-01", "1996-12-31")
+    for day, shift, wrong in ((date(1997, 3, 31), 1.02, 1.0), (date(1997, 6, 30), 1.03, 1.0), (date(1997, 9, 30), 1.01, 1.01)):
+        off = F.when(F.col("symbol") == "1-URGENT", wrong).otherwise(1.0)
+        fresh = bars.withColumns({"adjusted_close": F.col("adjusted_close") * shift, "close": F.col("close") * off})
+        try:
+            daily.update(spark, root, base, fresh, calendar, day, overlap, FROZEN_PARAMETERS)
+        except daily.ChainStopped:
+            pass
+    active = active_snapshot(spark, root).select("snapshot_date")
+    status = spark.read.schema("status STRING, reason STRING").json(f"{root}/status.json")
+    rows = daily.published_inputs(spark, root, daily.published_day(spark, root)).groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("bars"), F.max("date").alias("last_date"), F.sum("close").alias("close_sum"))
+    return rounded(rows.join(F.broadcast(active)).join(F.broadcast(status)), 3, "close_sum")  # single rows

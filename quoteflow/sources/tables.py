@@ -65,6 +65,12 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(at, jvm.org.apache.hadoop.fs.Path(path), options)
 
 
+def text_at(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None where there is none."""
+    files, at, _ = _file_system(spark, path)
+    return _read_text(spark, path) if files.exists(at) else None
+
+
 def _read_text(spark: SparkSession, path: str) -> str:
     return spark.read.option("wholetext", True).text(path).first()["value"]
 
