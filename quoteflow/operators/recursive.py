@@ -48,9 +48,6 @@ def chunk_scan(
         seed = None if first is None else np.asarray(first, dtype=float)
         return whole_placement(pdf[names].assign(**replay(pdf, seed)))
 
-    if s.single:
-        return cut.groupBy(*keys).applyInPandas(run, result)
-
     used = list(dict.fromkeys([*keys, CHUNK, *sort, *inputs]))
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:

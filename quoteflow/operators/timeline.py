@@ -8,7 +8,7 @@ inside its chunk. Running aggregates add one small table with a row per chunk.
 
 The cut depends only on the data (time bucket and row counts), never on task order, so a lost executor
 recomputes the same chunks. There is one path for every size: a short key is a key with one chunk, and no job runs before the
-action. Only a caller that knows its keys to be short by their nature says so (``short``), and then nothing is cut.
+action.
 """
 
 from __future__ import annotations
@@ -80,10 +80,6 @@ def bucket_layout(df: DataFrame, key, ts: str, halo: int = 0, ahead: int = 0, si
     return table.select(*keys, BUCKET, CHUNK, SUCC, PRED, FROM, TO, "_start", "_total")
 
 
-def one_chunk(df: DataFrame) -> DataFrame:
-    return df.withColumn(CHUNK, F.lit(0).cast("bigint"))
-
-
 def place(df: DataFrame, halo: int = 0, ahead: int = 0, key="symbol", ts: str = "date", size: int = CHUNK_ROWS,
           width: int | None = None) -> DataFrame:
     """Add the placement columns, so that the operators called on the result need not count the rows again.
@@ -114,32 +110,28 @@ def whole_placement(pdf: pd.DataFrame) -> pd.DataFrame:
 class Series:
     """Rows cut into chunks, with window specs that stay inside a chunk."""
 
-    def __init__(self, frame: DataFrame, keys: list[str], order: list[str], placed: bool = False, single: bool = False):
-        self.frame, self.keys, self.order, self.placed, self.single = frame, keys, order, placed, single
+    def __init__(self, frame: DataFrame, keys: list[str], order: list[str], placed: bool = False):
+        self.frame, self.keys, self.order, self.placed = frame, keys, order, placed
         self._pending: dict[str, tuple[str, Column]] = {}
 
     @classmethod
     def cut(cls, df: DataFrame, halo: int = 0, key="symbol", ts: str = "date", size: int = CHUNK_ROWS,
-            width: int | None = None, order: Sequence[str] = (), ahead: int = 0, short: bool = False) -> Series:
-        """Cut ``df`` (reusing its placement if it has one); ``order`` breaks ties of ``ts``.
-
-        ``short`` states that keys have few rows by their nature, so that nothing is cut.
-        """
+            width: int | None = None, order: Sequence[str] = (), ahead: int = 0) -> Series:
+        """Cut ``df`` (reusing its placement if it has one); ``order`` breaks ties of ``ts``."""
         keys = as_list(key)
         placed = CHUNK in df.columns
-        rows = df if placed else one_chunk(df) if short else place(df, halo, ahead, keys, ts, size, width)
-        single = short and not placed
-        if (halo or ahead) and not single:
+        rows = df if placed else place(df, halo, ahead, keys, ts, size, width)
+        if halo or ahead:
             rows = rows.withColumn("_at", F.explode(F.sequence(FROM, TO)))
             rows = rows.withColumn(OWN, F.col("_at") == F.col(CHUNK)).withColumn(CHUNK, F.col("_at")).drop("_at")
         else:
             rows = rows.withColumn(OWN, F.lit(True))
-        return cls(rows, keys, [ts, *order], placed, single)
+        return cls(rows, keys, [ts, *order], placed)
 
     @property
     def parts(self) -> list[str]:
         """Columns that identify a chunk."""
-        return self.keys if self.single else [*self.keys, CHUNK]
+        return [*self.keys, CHUNK]
 
     def window(self, reverse: bool = False) -> WindowSpec:
         order = [F.col(c).desc() for c in self.order] if reverse else self.order
@@ -153,7 +145,7 @@ class Series:
         return self.rows(-(k - 1), 0)
 
     def using(self, frame: DataFrame) -> Series:
-        return Series(frame, self.keys, self.order, self.placed, self.single)
+        return Series(frame, self.keys, self.order, self.placed)
 
     def let(self, windowed: Column) -> Column:
         """Name a window expression: each distinct one is evaluated once, by the next :meth:`add`.
@@ -242,8 +234,6 @@ def running_on(s: Series, reverse: bool = False, exclusive: bool = False, **spec
     inside = s.window(reverse).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     own = {n: _aggregate(k, F.when(F.col(OWN), F.col(f"_x_{n}"))).over(inside) for n, (k, _) in specs.items()}
     scratch = [f"_x_{n}" for n in specs]
-    if s.single:
-        return s.using(frame.withColumns(own).drop(*scratch))
     totals = []
     for name, (kind, _) in specs.items():
         value = F.col(f"_x_{name}")

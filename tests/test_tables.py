@@ -96,6 +96,26 @@ def test_latest_fx_rules(spark):
     assert got == {"USD": 8.0, "HKD": 0.5, "CNY": 1.0, "BAD": None, "XXX": None}
 
 
+def test_daily_chain_is_repeatable_and_keeps_the_last_good_day(spark, tmp_path):
+    from quoteflow.plans import daily
+    from quoteflow.plans.series_queries import FROZEN_PARAMETERS
+
+    root = str(tmp_path / "forward")
+    calendar = spark.sql("SELECT explode(sequence(DATE'2020-01-01', DATE'2020-01-31')) AS session")
+    base, overlap = steady(spark, days=10), ("2020-01-01", "2020-01-10")
+    run = lambda fresh, day: daily.update(spark, root, base, fresh, calendar, day, overlap, FROZEN_PARAMETERS)
+    first = run(steady(spark, days=15, adjusted=1.02), date(2020, 1, 15))
+    assert first["status"] == "ok" and run(steady(spark, days=2), date(2020, 1, 15))["data_date"] == "2020-01-15"
+    with pytest.raises(daily.ChainStopped, match="appended bars: A"):
+        run(steady(spark, days=15, adjusted=1.02), date(2020, 1, 18))
+    status = spark.read.json(f"{root}/status.json").first()
+    assert (status.status, status.last_successful_date) == ("failed", "2020-01-15") and daily.published_day(spark, root) == "2020-01-15"
+    changed = spark.createDataFrame([("A", False)], "file string, ok boolean")
+    with pytest.raises(daily.ChainStopped, match="frozen file"):
+        daily.update(spark, root, base, base, calendar, date(2020, 1, 16), overlap, FROZEN_PARAMETERS, digests=changed)
+    assert daily.published_inputs(spark, root, "2020-01-15").count() == 15
+
+
 @pytest.mark.parametrize("size", [7, 100_000])
 @pytest.mark.parametrize("strict,tolerance", [(False, None), (True, None), (False, 100.0), (True, 3.0)])
 def test_as_of_join(spark, size, strict, tolerance):
