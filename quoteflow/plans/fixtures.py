@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quoteflow.session import settle
+
 INSTRUMENTS = 20
 
 
@@ -20,7 +22,7 @@ def _unit_price() -> Column:
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """one bar per (return flag, line status) and ship date."""
+    """one bar per (return flag, line status) and ship date; written once, for a query reads its bars several times."""
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     rows = table(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", "l_returnflag", "l_linestatus").alias("symbol"),
@@ -31,10 +33,10 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min(F.struct("o", "px"))["px"].alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
         F.max(F.struct("o", "px"))["px"].alias("close"), F.min("l_discount").alias("_d"), F.sum("l_quantity").alias("volume"),
     )
-    return grouped.select(
+    return settle(grouped.select(
         "symbol", "date", "open", "high", "low", "close",
         (F.col("close") * (1 - F.col("_d"))).alias("adjusted_close"), "volume", F.lit(1.0).alias("split_factor"),
-    )
+    ))
 
 
 BARS = """bars AS (
