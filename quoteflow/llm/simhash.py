@@ -31,6 +31,8 @@ CELL = 2048
 #: words of a shingle and least likeness by which removal links texts; minima that make a bucket, and buckets of a text
 WORDS, LIKENESS = 5, 0.8
 PER_BUCKET, BUCKETS = 5, 14
+#: fingerprints that are broadcast at most
+ASKED = 500_000
 #: odd factors and summands of the permutations
 _MIX = np.random.default_rng(SEED).integers(1, 1 << 63, size=(2, PER_BUCKET * BUCKETS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -183,7 +185,7 @@ def bucket_keys(hashes: np.ndarray) -> list[int]:
 
 
 def with_sketch(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Adds fp, keys (of the buckets), n_shingles and shingles (their hashes as bytes)."""
+    """Adds fp, keys (of the buckets), n_shingles and shingles (32 bits of their hashes, as bytes: two of 500 shingles share them once in 30,000 texts)."""
 
     @F.pandas_udf("fp long, keys array<long>, n_shingles int, shingles binary")
     def of(values: pd.Series) -> pd.DataFrame:
@@ -191,7 +193,8 @@ def with_sketch(rows: DataFrame, text: str = "text") -> DataFrame:
         for value in values:
             raw = value.encode() if isinstance(value, str) else b""
             hashes = shingle_hashes(raw)
-            made.append((int(np.uint64(fingerprint(raw)).astype(np.int64)), bucket_keys(hashes), len(hashes), hashes.astype("<u8").tobytes()))
+            short = np.unique(hashes >> np.uint64(32)).astype("<u4")
+            made.append((int(np.uint64(fingerprint(raw)).astype(np.int64)), bucket_keys(hashes), len(hashes), short.tobytes()))
         return pd.DataFrame(made, columns=["fp", "keys", "n_shingles", "shingles"])
 
     return small_batches(rows).withColumn("_sketch", of(F.col(text))).select(*[c for c in rows.columns if c != text], "_sketch.*")
@@ -208,14 +211,16 @@ def likeness_links(sketches: DataFrame, least: float = LIKENESS) -> DataFrame:
     met = keyed.join(heads, ["bucket", "key"]).select("fp", "n_shingles", F.col("head.fp").alias("head"), F.col("head.n_shingles").alias("head_n"))
     sizes = F.least("n_shingles", "head_n") >= F.lit(least) * F.greatest("n_shingles", "head_n")
     pairs = settle(met.where((F.col("fp") != F.col("head")) & sizes).select("fp", "head").distinct())
-    asked = pairs.select("fp").unionByName(pairs.select(F.col("head").alias("fp"))).distinct()
+    asked = settle(pairs.select("fp").unionByName(pairs.select(F.col("head").alias("fp"))).distinct())
+    # a few megabytes of fingerprints at most go to the sets; beyond that both are dealt by fingerprint
+    asked = F.broadcast(asked) if asked.count() <= ASKED else asked
     sets = settle(sketches.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min_by("shingles", "body").alias("shingles")))
     both = pairs.join(sets.withColumnRenamed("shingles", "a"), "fp").join(sets.select(F.col("fp").alias("head"), F.col("shingles").alias("b")), "head")
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x: bytes, y: bytes) -> bool:
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
             shared = len(np.intersect1d(x, y, assume_unique=True))
             return shared >= least * (len(x) + len(y) - shared)
 

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from quoteflow.llm import quality, simhash, toxicity
 from quoteflow.llm.common import shared_path, shared_paths
+from tests.llm.cases import documents, nothing
 from tests.llm.test_mixing import plain_targets
 from tests.llm.test_simhash import alike, close, plain_components, plain_fingerprint, plain_shingles
 
@@ -60,3 +61,19 @@ def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame([(1, "a b c d e", "x"), (1, "a b c d e", "x"), (2, "a b c d e", "y"), (1, "a b c d e f g h", "z")], "doc_id long, text string, source string")
     kept = simhash.one_of_each(docs).collect()
     assert sum(r.text == "a b c d e" for r in kept) == 1
+
+
+def test_odd_rows_and_an_empty_table_go_through_all_stages(spark):
+    """Nulls, empty and long texts, repeats and clashing names in, whole rows of the same columns out; nothing in, nothing out."""
+    prose = [(r.doc_id + 1000, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{BASE}/documents.parquet").limit(40).collect()]
+    for docs in (documents(spark, [*prose, *prose[:3], (None, prose[5][1] + " more words", None, None, None)]), nothing(spark)):
+        columns, empty = docs.columns, docs.isEmpty()
+        known = {(r.doc_id, r.text) for r in docs.collect()}
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, BASE)
+            path = shared_path(spark, "pipeline-test")
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if name in ("quality_rules", "toxicity", "simhash_near_dedup"):
+                assert docs.columns == columns and {(r.doc_id, r.text) for r in docs.collect()} <= known
+            assert docs.isEmpty() == empty
