@@ -1,10 +1,14 @@
 """The training-data pipeline: quality rules, toxicity, SimHash near-dedup, mixing to target weights, SentencePiece encoding and decoding.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and its result is written as Parquet and read again as the next one's docs.
+A result must be written before the next stage is called.
 All but the last return the columns of documents."""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quoteflow.llm import mixing, pieces, quality, simhash, toxicity
@@ -39,12 +43,29 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pieces.encode(docs, vocabulary("piece_bpe_32k.model"))
 
 
+_LAST: list[str] = []
+
+
+def _in_turn(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, which first deletes what the stage before it made on its way in the shared folder: that one's result is written when the next is called."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, tuple(p for p in shared_paths() if p not in _LAST))
+        before = shared_paths()
+        result = stage(spark, docs, sf_dir)
+        _LAST[:] = [p for p in shared_paths() if p not in before]
+        return result
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("toxicity", remove_toxic),
-    ("simhash_near_dedup", near_dedup),
-    ("mixing", mix_sources),
-    ("sentencepiece", encode_pieces),
+    ("quality_rules", _in_turn(quality_rules)),
+    ("toxicity", _in_turn(remove_toxic)),
+    ("simhash_near_dedup", _in_turn(near_dedup)),
+    ("mixing", _in_turn(mix_sources)),
+    ("sentencepiece", _in_turn(encode_pieces)),
 ]
 
 
