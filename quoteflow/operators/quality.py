@@ -273,7 +273,8 @@ def prefix_equal(old: DataFrame, new: DataFrame, columns: Sequence[str], tol: fl
 
 def drift_guard(old: DataFrame, new: DataFrame, relative: Mapping[str, float], absolute: Mapping[str, float],
                 key="symbol", ts: str = "date") -> DataFrame:
-    """Per key the worst error on common dates against per-column limits (relative and absolute)."""
+    """Per key the worst error on common dates against per-column limits (relative and absolute). A column that is null on all of them in ``old`` has
+    nothing to drift from and is within its limit."""
     keys = as_list(key)
     columns = [*relative, *absolute]
     both = old.select(*keys, ts, *[F.col(c).alias(f"_o_{c}") for c in columns]).join(
@@ -281,11 +282,11 @@ def drift_guard(old: DataFrame, new: DataFrame, relative: Mapping[str, float], a
     )
     errors = {c: F.abs(F.col(f"_n_{c}") / F.nullif(F.col(f"_o_{c}"), F.lit(0.0)) - 1) for c in relative}
     errors |= {c: F.abs(F.col(f"_n_{c}") - F.col(f"_o_{c}")) for c in absolute}
-    table = both.groupBy(*keys).agg(*[F.max(e).alias(f"{c}_error") for c, e in errors.items()])
+    table = both.groupBy(*keys).agg(*[F.max(e).alias(f"{c}_error") for c, e in errors.items()], *[F.count(f"_o_{c}").alias(f"_known_{c}") for c in errors])
     within = F.lit(True)
     for c, limit in {**relative, **absolute}.items():
-        within = within & F.coalesce(F.col(f"{c}_error") <= limit, F.lit(False))
-    return table.withColumn("within_limits", within)
+        within = within & F.coalesce(F.col(f"{c}_error") <= limit, F.col(f"_known_{c}") == 0)
+    return table.withColumn("within_limits", within).drop(*[f"_known_{c}" for c in errors])
 
 
 def anchor_continuity(published: DataFrame, fresh: DataFrame, frozen, key="symbol", ts: str = "date") -> DataFrame:

@@ -334,3 +334,18 @@ def test_drift_fails_the_batch_and_keeps_the_table(spark, tmp_path):
     with pytest.raises(Exception, match="drifted"):
         query.awaitTermination()
     assert spark.read.parquet(table).count() == 1
+
+
+def test_published_nulls_do_not_drift(spark, tmp_path):
+    """All published values of A are null: its restated row is dropped, its new one appended. B, of which one published value is known, still fails."""
+    schema = "symbol string, date date, close double"
+    table, folder = str(tmp_path / "pub"), str(tmp_path / "in")
+    first, second, third = (date(2020, 1, d) for d in (1, 2, 3))
+    spark.createDataFrame([("A", first, None), ("A", second, None), ("B", first, 1.0)], schema).write.parquet(table)
+    spark.createDataFrame([("A", first, 2.0), ("A", third, 5.0)], schema).coalesce(1).write.parquet(folder)
+    jobs.stream_guard(stream_of(spark, folder, schema), table, str(tmp_path / "cp"), {}, {"close": 1.0}).awaitTermination()
+    assert {tuple(r) for r in spark.read.parquet(table).collect()} == {("A", first, None), ("A", second, None), ("B", first, 1.0), ("A", third, 5.0)}
+    spark.createDataFrame([("B", first, None)], schema).coalesce(1).write.mode("append").parquet(folder)
+    query = jobs.stream_guard(stream_of(spark, folder, schema), table, str(tmp_path / "cp"), {"close": 0.002}, {})
+    with pytest.raises(Exception, match="drifted"):
+        query.awaitTermination()
