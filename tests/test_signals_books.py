@@ -191,6 +191,40 @@ def test_ledger_ends_where_the_book_does(spark, size):
         assert sum(r.realized_pnl for r in mine) == pytest.approx(b.realized_pnl, abs=1e-6)
 
 
+@pytest.mark.parametrize("size", [1, 100_000])
+def test_rows_without_a_quantity_change_no_holdings(spark, size):
+    rows = [("A", i, side, None if q is None else Decimal(q), Decimal(2), Decimal(0)) for i, (side, q) in enumerate([("buy", None), ("sell", 3), ("buy", 10), ("sell", None), ("sell", 4), ("buy", None)])]
+    trades = spark.createDataFrame(rows, "instrument string, id int, side string, quantity decimal(18,6), price decimal(18,6), fee decimal(18,6)").selectExpr(
+        "*", "date_add(DATE'2020-01-01', id) AS date", "'live' AS kind")
+    row = books.average_cost_book(trades, order=["id"], size=size).first()
+    assert (float(row.quantity), row.cost, row.oversold, row.trades) == (6.0, 12.0, 1, 6)
+
+
+def test_a_book_reads_its_trades_three_times_at_most(spark, tmp_path):
+    """Once to count the rows of the chunks, once for their totals and once to walk them (Spark may share the last two); not again for every running sum."""
+    trades = spark.createDataFrame([("live", "A", 1, "buy", Decimal(5), Decimal(10), Decimal(1))],
+                                   "kind string, instrument string, id int, side string, quantity decimal(18,6), price decimal(18,6), fee decimal(18,6)"
+                                   ).selectExpr("*", "DATE'2020-01-01' AS date")
+    trades.write.parquet(str(tmp_path / "trades"))
+    book = books.average_cost_book(spark.read.parquet(str(tmp_path / "trades")), order=["id"])
+    assert 1 <= book._jdf.queryExecution().optimizedPlan().toString().count("parquet") <= 4  # the layout is joined on both ways
+
+
+def test_totals_compute_positions_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for frame in rows:
+            made.add(len(frame))
+            yield frame
+
+    kind = "currency string, market_value double, cost double, realized_pnl double, unrealized_pnl double, fees double"
+    positions = spark.createDataFrame([("USD", 1.0, 1.0, 1.0, 1.0, 1.0), ("EUR", 2.0, 1.0, 1.0, 1.0, 1.0), ("XXX", 9.0, 1.0, 1.0, 1.0, 1.0)], kind).mapInPandas(seen, kind)
+    rates = spark.createDataFrame([("EUR", "USD", 1.5)], "base string, quote string, rate double").selectExpr("DATE'2020-01-01' AS date", "*")
+    row = books.portfolio_totals(positions, rates, "USD").first()
+    assert (row.market_value, row.missing_fx) == (4.0, ["XXX"]) and made.value == 3
+
+
 def test_sell_without_holdings_only_pays_the_fee(spark):
     trades = spark.createDataFrame([("live", "A", 1, "sell", Decimal(5), Decimal(10), Decimal(1))],
                                    "kind string, instrument string, id int, side string, quantity decimal(18,6), price decimal(18,6), fee decimal(18,6)"
