@@ -128,47 +128,59 @@ def _quoted_fields(record: Column) -> Column:
     parts = F.split(record, '"')
     marked = F.array_join(F.transform(parts, lambda part, i: F.when(i % 2 == 0, F.translate(part, ",", "\x01")).otherwise(part)), '"')
     bare = lambda f: F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
-    return F.transform(F.split(marked, "\x01"), lambda f: F.when(f.startswith('"'), bare(f)).when(f != "", f))
+    quoted = F.transform(F.split(marked, "\x01"), lambda f: F.when(f.startswith('"'), bare(f)).when(f != "", f))
+    # most records have no quotes
+    return F.when(record.contains('"') | record.contains("\x01"), quoted).otherwise(F.transform(F.split(record, ","), lambda f: F.nullif(f, F.lit(""))))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of delimited files of any size: file, line (record number; blank lines outside quotes do not count), record and header, the file's first.
+    """Records of delimited files of any size: file, line (record number; blank lines outside quotes do not count), record, header, the file's first, and
+    names, its fields, null where they are empty or repeated.
 
     A file is read in blocks by many tasks. A line of text ends a record where an even number of quotes lies behind it, and how many lie before a block
     is not known inside it; so each block counts its records for both cases, a running sum over the blocks of a file tells which holds, and where its
     numbers begin. Only records that stretch over several lines are put together by another shuffle. Quotes stand in quoted values only, doubled.
     """
     text = spark.read.option("lineSep", "\n").text(path)
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
     lines = text.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value",
-        F.regexp_count("value", F.lit('"')).cast("long").alias("quotes"),
+        file.alias("file"), block.alias("block"), F.xxhash64(file, block).alias("block_id"), F.monotonically_increasing_id().alias("at"), "value",
+        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).cast("long").alias("quotes"), F.col("value").rlike("[^\\r\\t\ufeff ]").alias("filled"),
     )
-    inside = Window.partitionBy("file", "block").orderBy("at")
+    # the number in front spares comparing the paths of other blocks
+    inside = Window.partitionBy("block_id", "file", "block").orderBy("at")
     lines = lines.withColumn("odd", F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2)
-    filled = F.trim(F.translate("value", "\r\t\ufeff", "")) != ""
+    filled = F.col("filled")
     starts = {f"starts{case}": F.sum(((F.col("odd") == case) & filled).cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) for case in (0, 1)}
     lines = lines.withColumns(starts)
     # one row a block
-    blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), F.max("starts0").alias("n0"), F.max("starts1").alias("n1"))
+    heading = F.when((F.col("block") == 0) & (F.col("starts0") == 1), F.struct("block", "at", "value"))
+    blocks = lines.groupBy("block_id", "file", "block").agg(F.sum("quotes").alias("quotes"), F.max("starts0").alias("n0"), F.max("starts1").alias("n1"), F.when((F.col("block") == 0) & (F.max("starts0") > 0), _joined(heading)).alias("header"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("case", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
     own = F.when(F.col("case") == 0, F.col("n0")).otherwise(F.col("n1"))
     blocks = blocks.withColumn("base", F.coalesce(F.sum(own).over(earlier), F.lit(0)))
-    first = lines.where("block = 0 AND starts0 = 1").groupBy("file").agg(_joined().alias("header"))
-    table = blocks.join(first, "file").select("file", "block", "case", "base", "header")
-    placed = lines.join(table, ["file", "block"]).select(
-        "file", "block", "at", "value", "quotes", "header", ((F.col("odd") + F.col("case")) % 2).alias("open"),
+    # the header stands in the first block; a file without one has no records
+    blocks = blocks.withColumn("header", F.first(F.when(F.col("block") == 0, F.col("header"))).over(earlier.rowsBetween(Window.unboundedPreceding, 0))).where("header IS NOT NULL")
+    table = blocks.select("block_id", "file", "block", "case", "base", "header", _header_names(F.col("header")).alias("names"))
+    placed = lines.join(table, ["block_id", "file", "block"]).select(
+        "file", "block", "at", "value", "quotes", "filled", "header", "names", ((F.col("odd") + F.col("case")) % 2).alias("open"),
         (F.col("base") + F.when(F.col("case") == 0, F.col("starts0")).otherwise(F.col("starts1"))).alias("line"),
     )
     whole = (F.col("open") == 0) & (F.col("quotes") % 2 == 0)
-    single = placed.where(whole & filled).select("file", "line", F.regexp_replace("value", "\r$", "").alias("record"), "header")
-    several = placed.where(~whole).groupBy("file", "line").agg(_joined().alias("record"), F.first("header").alias("header"))
+    single = placed.where(whole & filled).select("file", "line", F.when(F.col("value").contains("\r"), F.regexp_replace("value", "\r$", "")).otherwise(F.col("value")).alias("record"), "header", "names")
+    several = placed.where(~whole).groupBy("file", "line").agg(_joined().alias("record"), F.first("header").alias("header"), F.first("names").alias("names"))
     return single.unionByName(several)
 
 
-def _joined() -> Column:
-    """The lines of a record in their order."""
-    lines = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
+def _header_names(header: Column) -> Column:
+    names = F.transform(_quoted_fields(F.regexp_replace(header, "^\ufeff", "")), lambda c: F.coalesce(F.trim(c), F.lit("")))
+    return F.transform(names, lambda name, i: F.when((name != "") & (F.array_position(names, name) == i + 1), name))
+
+
+def _joined(line: Column | None = None) -> Column:
+    """The lines of a record in their order; null ones are left out."""
+    lines = F.array_sort(F.collect_list(F.struct("block", "at", "value") if line is None else line))
     return F.regexp_replace(F.array_join(F.transform(lines, lambda x: x["value"]), "\n"), "\r$", "")
 
 
@@ -178,11 +190,9 @@ def read_trades(spark: SparkSession, path: str) -> DataFrame:
     Quoted values may hold separators and line breaks. Fields beyond the header are dropped, missing ones are null; of equal names the first counts.
     """
     rows = read_records(spark, path).where("line > 1")
-    names = F.transform(_quoted_fields(F.regexp_replace("header", "^\ufeff", "")), lambda c: F.coalesce(F.trim(c), F.lit("")))
-    rows = rows.select("file", "line", names.alias("_names"), _quoted_fields(F.col("record")).alias("_values"))
-    named = F.transform("_names", lambda name, i: F.struct(name.alias("name"), F.get(F.col("_values"), i).alias("value"), (F.array_position("_names", name) == i + 1).alias("first")))
-    kept = F.transform(F.filter(named, lambda e: e["first"] & (e["name"] != "")), lambda e: F.struct(e["name"], e["value"]))
-    return rows.select("file", "line", F.map_from_entries(kept).alias("fields"))
+    # side by side: a column that a lambda names is computed again for every element
+    named = F.zip_with("names", _quoted_fields(F.col("record")), lambda name, value: F.struct(name.alias("name"), value.alias("value")))
+    return rows.select("file", "line", F.map_from_entries(F.filter(named, lambda e: e["name"].isNotNull())).alias("fields"))
 
 
 TRADE_COLUMNS = ("symbol", "portfolio_kind", "side", "quantity", "price", "fee", "currency", "executed_at", "note")
@@ -281,9 +291,15 @@ def upto_cutoff(rows: DataFrame, snapshot: DataFrame, ts: str = "date") -> DataF
     return rows.join(F.broadcast(cut), F.col(ts) <= F.col("_cut")).drop("_cut")
 
 
-def verify_sha256(spark: SparkSession, path: str, expected: DataFrame, name: str = r"([^/]+)$") -> DataFrame:
-    """File name, digest and whether it is the expected one; ``expected`` has file and sha256, ``name`` reads it from the path."""
-    files = spark.read.format("binaryFile").load(path).select(
+def verify_sha256(spark: SparkSession, path: str, expected: DataFrame, name: str = r"([^/]+)$", under: str | None = None) -> DataFrame:
+    """File name, digest and whether it is the expected one; ``expected`` has file and sha256, ``name`` reads it from the path.
+
+    With ``under`` the files are those of that pattern in all folders below ``path``, which are listed by many tasks; a pattern in ``path`` itself is
+    looked up on the driver, one folder after the other."""
+    found = spark.read.format("binaryFile")
+    if under is not None:
+        found = found.option("recursiveFileLookup", True).option("pathGlobFilter", under)
+    files = found.load(path).select(
         F.regexp_extract("path", name, 1).alias("file"), F.sha2("content", 256).alias("actual")
     )
     both = expected.join(files, "file", "full_outer")

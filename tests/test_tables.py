@@ -1,5 +1,6 @@
 """Hand tables: labels, verdicts, sources, imports, snapshots, ledgers and streams."""
 
+import re
 from datetime import date, datetime, timedelta, timezone
 from decimal import Decimal
 
@@ -207,6 +208,16 @@ def test_records_of_one_file_read_by_many_tasks(spark, tmp_path, ending):
             assert [fields[n] or "" for n in names] == records[line - 2]
 
 
+def test_a_record_is_split_once(spark, tmp_path):
+    """Not again for every field that is looked up in it."""
+    (tmp_path / "t.csv").write_text("a,,a,b,c\n1,2,3,\n\n,x,y,z,,more\n")
+    rows = readers.read_trades(spark, str(tmp_path / "t.csv"))
+    assert {r.line: r.fields for r in rows.collect()} == {2: {"a": "1", "b": None, "c": None}, 3: {"a": None, "b": "z", "c": None}}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "map_from_entries" in line]
+    assert made and not any(re.search(r"\bget\(", line) for line in made)
+
+
 def test_import_modes_differ_for_rows_of_the_same_file(spark, tmp_path):
     lines = ["AAA,live,sell,8,10,0,2020-01-01T10:00:00,", "AAA,live,sell,8,10,0,2020-01-02T10:00:00,"]
     trades, errors = importing(spark, tmp_path, lines)
