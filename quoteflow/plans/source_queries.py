@@ -145,11 +145,9 @@ def _(spark, sf):
 def _(spark, sf):
     path = wr.scratch_path(spark, "files")
     pages = fx.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("file"), "html")
-    # a file per page: tasks move their own files in place, which the driver would do one by one
-    each = pages.select("file", F.col("html").alias("value")).repartition("file").write.partitionBy("file")
-    each.option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("lineSep", "\u0000").text(path)
+    wr.write_files(pages.select("file", F.col("html").alias("value")), path, "\u0000")
     expected = pages.select("file", F.when(F.col("file").cast("int") % 3 > 0, F.sha2(F.concat("html", F.lit("\u0000")), 256)).otherwise("stale").alias("sha256"))
-    files = rd.verify_sha256(spark, path, expected, name=r"file=([^/]+)/", under="*.txt")
+    files = rd.verify_sha256(spark, path, expected, name=wr.FILE_NAME, under="*.txt")
     return files.select("file", "ok")
 
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Mapping, Sequence
+import os
+import re
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoteflow.operators.quality import clean_bars
 from quoteflow.operators.timeline import running
+from quoteflow.sources import tables
 
 BAR_SCHEMA = T.StructType(
     [T.StructField("date", T.DateType())]
@@ -294,17 +299,80 @@ def upto_cutoff(rows: DataFrame, snapshot: DataFrame, ts: str = "date") -> DataF
 def verify_sha256(spark: SparkSession, path: str, expected: DataFrame, name: str = r"([^/]+)$", under: str | None = None) -> DataFrame:
     """File name, digest and whether it is the expected one; ``expected`` has file and sha256, ``name`` reads it from the path.
 
-    With ``under`` the files are those of that pattern in all folders below ``path``, which are listed by many tasks; a pattern in ``path`` itself is
-    looked up on the driver, one folder after the other."""
-    found = spark.read.format("binaryFile")
-    if under is not None:
-        found = found.option("recursiveFileLookup", True).option("pathGlobFilter", under)
-    files = found.load(path).select(
-        F.regexp_extract("path", name, 1).alias("file"), F.sha2("content", 256).alias("actual")
-    )
+    With ``under`` the files are those of that pattern in all folders below ``path``. Where that is a folder of the local (mounted) file system, tasks list
+    and read them, and the driver holds none of their names; elsewhere, and without ``under``, Spark's reader does."""
+    folder = tables.local_folder(spark, path) if under is not None else None
+    if folder is not None and os.path.isdir(folder):
+        found = _local_digests(spark, folder, under)
+    else:
+        found = spark.read.format("binaryFile")
+        if under is not None:
+            found = found.option("recursiveFileLookup", True).option("pathGlobFilter", under)
+        found = found.load(path).select("path", F.sha2("content", 256).alias("actual"))
+    files = found.select(F.regexp_extract("path", name, 1).alias("file"), "actual")
     both = expected.join(files, "file", "full_outer")
     return both.withColumn("ok", F.coalesce(F.col("sha256") == F.col("actual"), F.lit(False)))
 
 
+def _local_digests(spark: SparkSession, folder: str, under: str) -> DataFrame:
+    """path and actual (SHA-256) of the files below a folder whose names match, without those that Spark's readers leave out: hidden and empty ones."""
+    pattern = spark._jvm.org.apache.hadoop.fs.GlobPattern(under).compiled().pattern()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    top = spark.range(0, 1, 1, 1).select(F.lit(folder).alias("path"))
+    # one task lists the first level, many what is below it; then the files are dealt out evenly
+    level = top.mapInArrow(_listing(pattern, False), "path string").repartition(tasks)
+    files = level.mapInArrow(_listing(pattern, True), "path string").repartition(tasks)
+    return files.mapInArrow(_digests, "path string, actual string")
+
+
+BLOCK = 4096  # names in a batch
+
+
+def _listing(pattern: str, deep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Files stay, folders become the matching files and the folders in them, with ``deep`` all matching files below them."""
+    wanted = re.compile(pattern, re.DOTALL)
+
+    def entries(folder: str) -> Iterator[str]:
+        with os.scandir(folder) as found:
+            for entry in found:
+                hidden = re.match(r"\.|_(?!.*=)|.*\._COPYING_$", entry.name, re.DOTALL)
+                if not entry.is_dir():
+                    if not hidden and wanted.fullmatch(entry.name):
+                        yield entry.path
+                elif hidden and not entry.name.startswith(("_metadata", "_common_metadata")):
+                    continue
+                elif deep:
+                    yield from entries(entry.path)
+                else:
+                    yield entry.path
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = []
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                for name in entries(path) if os.path.isdir(path) else (path,):
+                    names.append(name)
+                    if len(names) == BLOCK:
+                        yield pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string())})
+                        names = []
+        yield pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string())})
+
+    return run
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The path as Spark writes it and the SHA-256 of each file, read in blocks of 1 MiB."""
+    for batch in batches:
+        found = {}
+        for path in batch.column(0).to_pylist():
+            digest = hashlib.sha256()
+            with open(path, "rb", buffering=0) as file:
+                while block := file.read(1 << 20):
+                    digest.update(block)
+                if file.tell():
+                    found[f"file:{path}"] = digest.hexdigest()
+        yield pa.RecordBatch.from_pydict({"path": pa.array(found.keys(), pa.string()), "actual": pa.array(found.values(), pa.string())})
+
+
 def manifest_json(values: Mapping) -> str:
     return json.dumps(values, ensure_ascii=False, default=lambda v: v.isoformat() if isinstance(v, date) else str(v))

@@ -38,6 +38,12 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at, jvm
 
 
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """The path as Python's ``open`` takes it where it is in the local (on a cluster, mounted) file system, None where only Spark reaches it."""
+    files, at, _ = _file_system(spark, path)
+    return at.toUri().getPath() if files.getUri().getScheme() == "file" else None
+
+
 def create_text(spark: SparkSession, path: str, text: str) -> bool:
     """Write a small file that must not exist yet; False if it does."""
     files, at, _ = _file_system(spark, path)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,6 +115,58 @@ def publish_allowed(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in allowed if c in df.columns])
 
 
+NAMELESS = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder of null and empty names
+ESCAPED = r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]"""  # as Spark escapes them in folder names
+
+
+def write_files(df: DataFrame, path: str, end: str) -> None:
+    """A file for each name in ``file``, with the ``value`` of each of its rows and ``end`` after each: what :data:`FILE_NAME` finds in a path is its name.
+
+    Spark's writer makes a folder, a file and a checksum file for each, and starts a process for each of them to set its permissions where Hadoop has no
+    native library. So in a local (mounted) file system Python tasks write the files, each task into one folder that takes its name when the task is done.
+    """
+    folder = tables.local_folder(df.sparkSession, path)
+    rows = df.select(*[F.col(c).cast("string").alias(c) for c in ("file", "value")]).repartition("file")
+    if folder is None:
+        rows.write.partitionBy("file").option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("lineSep", end).text(path)
+        return
+    os.makedirs(folder)
+    rows.mapInArrow(_file_writer(folder, end.encode()), "files long").write.format("noop").mode("overwrite").save()
+
+
+FILE_NAME = r"file=([^/]+?)(?:\.txt$|/)"
+
+
+def _file_writer(folder: str, end: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        own = f"{folder}/_attempt-{task.taskAttemptId()}"
+        os.mkdir(own)
+        try:
+            for batch in batches:
+                for name, value in zip(batch.column(0), batch.column(1).cast(pa.large_binary())):
+                    escaped = re.sub(ESCAPED, lambda c: f"%{ord(c[0]):02X}", name.as_py() or NAMELESS)
+                    with open(f"{own}/file={escaped}.txt", "ab") as out:  # rows of a name need not follow each other
+                        out.write((value.as_py() or b"") + end)
+            commit_folder(own, f"{folder}/part-{task.partitionId():05d}")
+        except BaseException:
+            shutil.rmtree(own, ignore_errors=True)
+            raise
+        yield from ()
+
+    return run
+
+
+def commit_folder(own: str, final: str) -> None:
+    """What one attempt at a task has written gets its final name in one step; if another attempt had it first, it is deleted."""
+    try:
+        os.rename(own, final)
+    except OSError:
+        if not os.path.isdir(final):
+            raise
+        shutil.rmtree(own)
+
+
 def seed_dim(target: DataFrame, rows: DataFrame, key: str = "symbol") -> DataFrame:
     """Add dimension rows whose key is missing; present rows stay as they are; of several for one key the smallest counts."""
     return target.unionByName(_one_each(rows.select(*target.columns), [key]).join(target.select(key), key, "left_anti"))

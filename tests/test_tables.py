@@ -1,5 +1,6 @@
 """Hand tables: labels, verdicts, sources, imports, snapshots, ledgers and streams."""
 
+import hashlib
 import re
 from datetime import date, datetime, timedelta, timezone
 from decimal import Decimal
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quoteflow.functions import scalars as sc
 from quoteflow.operators import joins, metrics, quality, rules
 from quoteflow.operators.signals import ladder_table
+from quoteflow.plans import catalogue
 from quoteflow.sources import readers, tables, writers
 from quoteflow.streaming import jobs
 
@@ -360,3 +362,60 @@ def test_published_nulls_do_not_drift(spark, tmp_path):
     query = jobs.stream_guard(stream_of(spark, folder, schema), table, str(tmp_path / "cp"), {"close": 0.002}, {})
     with pytest.raises(Exception, match="drifted"):
         query.awaitTermination()
+
+
+PAGES = [(i, f"<p>{'é' * i}\r\n</p>") for i in range(1, 200)] + [(200, None), (202, ""), (-1, "x"), (7, "twice"), (None, "nameless")]
+
+
+def checked_pages(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(PAGES, "page_id long, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(writers, "scratch_path", lambda spark, name: str(tmp_path / name))
+    rows = catalogue.QUERIES["src8_verify_sha256"](spark, str(tmp_path)).collect()
+    return sorted(((r.file, r.ok) for r in rows), key=str)
+
+
+# ids of a page with two rows, or with a null text, have no right digest; a row without id and the file of those without stand alone
+CHECKED = sorted([(str(i), i % 3 > 0 and i != 7) for i in range(1, 200)] + [("200", False), ("202", True), ("-1", False), ("7", False), (None, False), ("__HIVE_DEFAULT_PARTITION__", False)], key=str)
+
+
+def test_a_page_costs_one_file(spark, tmp_path, monkeypatch):
+    """Neither a folder nor a checksum file for each page: each was a process to start besides, for its permissions."""
+    assert checked_pages(spark, tmp_path, monkeypatch) == CHECKED
+    made = list((tmp_path / "files").rglob("*"))
+    files = [p for p in made if p.is_file() and "file=" in str(p) and p.suffix == ".txt"]
+    assert len(files) == len({i for i, _ in PAGES})
+    assert len(made) - len(files) <= 8  # a folder for each task
+
+
+def test_files_are_the_same_where_only_spark_reaches_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "local_folder", lambda spark, path: None)
+    assert checked_pages(spark, tmp_path, monkeypatch) == CHECKED
+
+
+def test_files_are_hashed_below_a_folder_as_by_sparks_reader(spark, tmp_path, monkeypatch):
+    names = ["a.txt", "deep/er/b.txt", "deep/c.csv", "deep/d.TXT", "k=1/_e.txt", "_hidden/f.txt", ".g.txt", "deep/_x=1/h.txt", "deep/i{j}.txt", "deep/l.csv.txt", "_metadata/m.txt", "_metadata.txt",
+             "n.txt._COPYING_", "sp ace/o%20é.txt", "big.txt", "empty.txt"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes({"big.txt": bytes(range(256)) * 9000, "empty.txt": b""}.get(n, n.encode()))
+    expected = spark.createDataFrame([("a.txt", hashlib.sha256(b"a.txt").hexdigest()), ("empty.txt", "stale"), ("gone.txt", "0")], "file string, sha256 string")
+
+    def got(under):
+        return sorted((tuple(r) for r in readers.verify_sha256(spark, str(tmp_path), expected, under=under).collect()), key=str)
+
+    patterns = ["*.txt", "{a,b,l*}.{txt,csv}", "[!a-d]*.txt", "*"]
+    by_tasks = [got(p) for p in patterns]
+    assert ("a.txt", *[hashlib.sha256(b"a.txt").hexdigest()] * 2, True) in by_tasks[0] and ("gone.txt", "0", None, False) in by_tasks[0]
+    monkeypatch.setattr(tables, "local_folder", lambda spark, path: None)
+    assert by_tasks == [got(p) for p in patterns]
+
+
+def test_a_second_attempt_at_a_task_leaves_nothing(spark, tmp_path):
+    for name in ("_attempt-1", "_attempt-2"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "file=1.txt").write_text("a")
+    writers.commit_folder(str(tmp_path / "_attempt-1"), str(tmp_path / "part-00000"))
+    writers.commit_folder(str(tmp_path / "_attempt-2"), str(tmp_path / "part-00000"))
+    assert [str(p.relative_to(tmp_path)) for p in sorted(tmp_path.rglob("*"))] == ["part-00000", "part-00000/file=1.txt"]
+    with pytest.raises(FileNotFoundError):
+        writers.commit_folder(str(tmp_path / "gone"), str(tmp_path / "part-00001"))
